@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 # ---- fixed values: white space set, quote marks, caps ----
 
 SPACE_CHARS = (
-    "\t\n\u000b\f\r              "
-    "    　﻿"
+    "\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-SPACE_CLASS = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACE_CLASS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 QUOTE_CHARS = "\"'‘’“”"
 ANCHOR_CAP = 256
 TITLE_CAP = 512
