@@ -7,6 +7,8 @@ Slices count code points; only the refusal limit counts UTF-16 units.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ ORCID_SHAPE = r"(?i)^[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]\z"
 # ---- end of fixed values ----
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(col: Column) -> Column:
     """Trim every Unicode white space character and the byte order mark."""
     return F.btrim(col, F.lit(SPACE_CHARS))
@@ -86,9 +93,6 @@ def quote(col: Column) -> Column:
     Pairs are peeled as long as both ends are quote marks. The number of leading quote marks bounds the number of
     rounds, so the fold below is exact.
     """
-    flat = strip(F.regexp_replace(F.regexp_replace(col, r"\p{Cc}+", " "), " {2,}", " "))
-    lead = F.regexp_extract(flat, f"^(?:[{QUOTE_CHARS}]|{SPACE_CLASS})+", 0)
-    rounds = F.length(F.regexp_replace(lead, f"[^{QUOTE_CHARS}]", ""))
 
     def peel(text: Column, _: Column) -> Column:
         inside = (
@@ -98,9 +102,19 @@ def quote(col: Column) -> Column:
         )
         return F.when(inside, strip(text.substr(F.lit(2), F.length(text) - 2))).otherwise(text)
 
-    peeled = F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), rounds), flat, peel)).otherwise(flat)
-    capped = F.when(F.length(peeled) > ANCHOR_CAP, strip(F.substring(peeled, 1, ANCHOR_CAP))).otherwise(peeled)
-    return F.coalesce(capped, F.lit(""))
+    def peeled(flat: Column) -> Column:
+        lead = F.regexp_extract(flat, f"^(?:[{QUOTE_CHARS}]|{SPACE_CLASS})+", 0)
+        rounds = F.length(F.regexp_replace(lead, f"[^{QUOTE_CHARS}]", ""))
+        return F.when(
+            F.lit(QUOTE_CHARS).contains(F.substring(flat, 1, 1)) & (flat != ""),
+            F.aggregate(F.sequence(F.lit(1), rounds), flat, peel),
+        ).otherwise(flat)
+
+    def capped(text: Column) -> Column:
+        return F.when(F.length(text) > ANCHOR_CAP, strip(F.substring(text, 1, ANCHOR_CAP))).otherwise(text)
+
+    flat = strip(F.regexp_replace(F.regexp_replace(col, r"\p{Cc}+", " "), " {2,}", " "))
+    return F.when(col.isNull(), "").otherwise(bind(bind(flat, peeled), capped))
 
 
 def orcid(col: Column) -> Column:

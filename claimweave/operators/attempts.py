@@ -58,23 +58,31 @@ def outcome_counts(judged: DataFrame) -> DataFrame:
     return judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("retry").alias("retryable"))
 
 
-def resolved(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
+def resolved(attempts: DataFrame, max_replies: int = 3, max_calls: int = 5) -> DataFrame:
     """The calls that count, with ``parse``, ``parsed`` and ``winner``.
 
-    A graph's calls stop at the first reply that parses, at the first final failure, and after ``max_attempts``.
-    The stopping point is an aggregate, so later calls fall to a join on it, not to a per-graph scan.
+    A graph's calls stop at the first reply that parses, after ``max_replies`` replies, at the first final failure,
+    and after ``max_calls`` failures in a row. Attempts are numbered from 1 per graph, so at most
+    ``max_replies * max_calls`` rows per graph reach the windows.
     """
-    judged = parse_graphs(with_outcome(attempts.where(F.col("attempt") <= max_attempts)))
-    usable = (F.col("outcome") == "ok") & (F.col("parse") != "none")
-    final = (F.col("outcome") != "ok") & ~F.col("retry")
-    stops = judged.groupBy("graph_id").agg(
-        F.min(F.when(usable | final, F.col("attempt"))).alias("_stop")
+    judged = parse_graphs(with_outcome(attempts.where(F.col("attempt") <= max_replies * max_calls)))
+    replied = F.col("outcome") == "ok"
+    usable = replied & (F.col("parse") != "none")
+    by_attempt = Window.partitionBy("graph_id").orderBy("attempt")
+    in_a_row = Window.partitionBy("graph_id", "_replies").orderBy("attempt")
+    counted = judged.withColumn("_replies", F.sum(replied.cast("int")).over(by_attempt)).withColumn(
+        "_failures", F.sum((~replied).cast("int")).over(in_a_row)
+    )
+    stop = (
+        usable
+        | (replied & (F.col("_replies") == max_replies))
+        | (~replied & (~F.col("retry") | (F.col("_failures") == max_calls)))
     )
     return (
-        judged.join(stops, "graph_id")
+        counted.withColumn("_stop", F.min(F.when(stop, F.col("attempt"))).over(Window.partitionBy("graph_id")))
         .where(F.col("_stop").isNull() | (F.col("attempt") <= F.col("_stop")))
-        .withColumn("winner", usable & (F.col("attempt") == F.col("_stop")))
-        .drop("_stop")
+        .withColumn("winner", usable)
+        .drop("_stop", "_replies", "_failures")
     )
 
 
@@ -91,7 +99,11 @@ def models_by_first_use(calls: DataFrame) -> DataFrame:
 
 
 def cost_receipts(calls: DataFrame) -> DataFrame:
-    """Calls with a usage receipt, summed numeric cost and a warning when it was not free. Other cost values count zero."""
+    """Replies with a usage receipt, summed numeric cost and a warning when it was not free.
+
+    Cost values that are not numbers count zero.
+    """
+    calls = calls.withColumn("usage", F.when(F.col("outcome") == "ok", F.col("usage")))
     cost = member(strict_json(F.col("usage")), "cost")
     numeric = kind(cost).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     spent = F.coalesce(F.when(numeric, F.try_variant_get(cost, "$", "double")), F.lit(0.0))

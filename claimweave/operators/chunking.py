@@ -10,22 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.text import SPACE_CHARS, SPACE_CLASS, strip
+from claimweave.functions.text import SPACE_CLASS, strip
 from claimweave.vocab import PIECE_BUDGET, PIECE_OVERLAP
 
-_BREAKS = r"\n\r  "
-_INLINE_SPACE = SPACE_CLASS.replace(r"\n", "")
-# (?dm): lines end at \n only. A heading line needs white space after its marks.
-_TITLE_LINE = rf"(?dm)^#{_INLINE_SPACE}+(?=[^\n]*[^\s{SPACE_CHARS[5:]}])[^{_BREAKS}]*$\n?"
-_BLANK_TITLE_LINE = rf"(?dm)^#{_INLINE_SPACE}+$\n?"
-_SECTION_LINE = rf"#{{2,3}}{_INLINE_SPACE}+[^{_BREAKS}]*$"
+_SPACE = SPACE_CLASS.replace(r"\n", "")  # within a line
+_WORD = "[^" + SPACE_CLASS[1:]
+_REST = r"[^\n\r\u2028\u2029]*"
+# (?dm): lines end at \n only. A marked line needs white space after its marks.
+_TITLE_LINE = rf"(?dm)^#{_SPACE}+({_WORD}{_REST})$\n?"
+_BLANK_TITLE_LINE = rf"(?dm)^#{_SPACE}+$\n?"
+_SECTION_LINE = rf"#{{2,3}}{_SPACE}+{_REST}$"
 _SECTION_START = rf"(?dm)(?=^{_SECTION_LINE})"
 
 
 def _split_title(text: Column) -> tuple[Column, Column]:
     """The first non-blank ``# title`` and the text without it (and without blank title lines before it)."""
-    line = F.regexp_extract(text, _TITLE_LINE, 0)
-    title = strip(F.regexp_replace(line, "^#", ""))
+    title = strip(F.regexp_extract(text, _TITLE_LINE, 1))
     around = F.split(text, _TITLE_LINE, 2)
     before = F.regexp_replace(around[0], _BLANK_TITLE_LINE, "")
     return title, F.concat(before, F.coalesce(F.get(around, F.lit(1)), F.lit("")))
@@ -134,7 +134,7 @@ def chunked(papers: DataFrame, budget: int = PIECE_BUDGET, overlap: int = PIECE_
     lengths = F.transform("sections", lambda s: F.length(s["text"]))
     grouped = split.withColumn("_groups", F.aggregate(lengths, begin, place, lambda a: a["groups"])).withColumn(
         "_placed",
-        F.arrays_zip(F.col("sections").alias("s"), F.col("_groups").alias("g")),
+        F.zip_with("sections", "_groups", lambda s, g: F.struct(s.alias("s"), g.alias("g"))),
     )
 
     def label(section: Column) -> Column:

@@ -8,13 +8,14 @@ a reused id nor a repeated triple that makes up much of the data lands in one ta
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.ordering import number_rows
 from claimweave.functions.text import none_if_empty, quote, strip, text_or_empty
+from claimweave.session import settle
 from claimweave.vocab import NODE_CLASSES, legal_triples, relation_rules
 
 
@@ -235,28 +236,43 @@ def relations_by_pair(df: DataFrame) -> DataFrame:
     )
 
 
-@dataclass
 class Graph:
-    """Classified corpus: clean nodes and edges with a dense 0-based ``ord`` per graph, and the judged inputs."""
+    """A classified corpus; every table is planned on first use.
 
-    nodes: DataFrame
-    edges: DataFrame
-    judged_nodes: DataFrame
-    judged_edges: DataFrame
+    ``nodes`` and ``edges`` are clean and carry a dense 0-based ``ord`` per graph. With ``durable`` the tables that
+    other plans read several times (projection, edits, reports) are written to the shared folder once; single-use
+    plans stay lazy.
+    """
+
+    def __init__(self, raw_nodes: DataFrame, raw_edges: DataFrame, durable: bool = False):
+        self.raw_nodes, self.raw_edges, self.durable = raw_nodes, raw_edges, durable
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return settle(df, name) if self.durable else df
+
+    @cached_property
+    def judged_nodes(self) -> DataFrame:
+        return judge_nodes(self.raw_nodes)
 
-    @property
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._keep(number_rows(admitted_nodes(self.judged_nodes), ["graph_id"], "pos", "ord"), "nodes")
+
+    @cached_property
+    def judged_edges(self) -> DataFrame:
+        # End types need no numbering: the lazy plan skips it, the durable one reads the written nodes.
+        ends = self.nodes if self.durable else admitted_nodes(self.judged_nodes)
+        return self._keep(judge_edges(distinct_edges(self.raw_edges), ends), "judged-edges")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._keep(number_rows(accepted_edges(self.judged_edges), ["graph_id"], "pos", "ord"), "edges")
+
+    @cached_property
     def rejects(self) -> DataFrame:
         return reject_ledger(self.judged_nodes, self.judged_edges)
 
 
-def classify(raw_nodes: DataFrame, raw_edges: DataFrame) -> Graph:
+def classify(raw_nodes: DataFrame, raw_edges: DataFrame, durable: bool = False) -> Graph:
     """Classify the raw records of every graph in the corpus."""
-    judged_n = judge_nodes(raw_nodes)
-    admitted = admitted_nodes(judged_n)
-    judged_e = judge_edges(distinct_edges(raw_edges), admitted)
-    return Graph(
-        nodes=number_rows(admitted, ["graph_id"], "pos", "ord"),
-        edges=number_rows(accepted_edges(judged_e), ["graph_id"], "pos", "ord"),
-        judged_nodes=judged_n,
-        judged_edges=judged_e,
-    )
+    return Graph(raw_nodes, raw_edges, durable)

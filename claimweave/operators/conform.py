@@ -44,9 +44,7 @@ def objects_of(docs: DataFrame) -> DataFrame:
 
 def explode_variant(df: DataFrame, column: str, *kept: str) -> DataFrame:
     """``kept`` columns plus ``pos, key, value`` of every element or member of a variant column."""
-    return df.select(*kept, column).lateralJoin(
-        df.sparkSession.tvf.variant_explode(F.col(column).outer())
-    ).drop(column)
+    return df.select(*kept, column).lateralJoin(df.sparkSession.tvf.variant_explode(F.col(column).outer())).drop(column)
 
 
 def triples(objects: DataFrame) -> DataFrame:

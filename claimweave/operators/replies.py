@@ -12,13 +12,23 @@ from claimweave.operators.conform import explode_variant
 AUTHORS_TYPE = "array<struct<name: string, orcid: string>>"
 
 
-def _first_valid(content: Column, valid) -> tuple[Column, Column]:
-    """Parse the unfenced reply, else its outer brace span. Returns the parsed value and how it was found."""
-    bare = unfence(content)
-    whole, span = strict_json(bare), strict_json(outer_span(bare))
-    value = F.when(valid(whole), whole).when(valid(span), span)
-    how = F.when(valid(whole), "whole").when(valid(span), "span").otherwise("none")
-    return value, how
+def _parsed_as(replies: DataFrame, valid) -> DataFrame:
+    """Parse the unfenced reply, or else its outer brace span, as a value that passes ``valid``.
+
+    The steps are columns of their own, so each text is parsed once; the span only where the whole reply failed.
+    """
+    steps = (
+        replies.withColumn("_bare", unfence(F.col("content")))
+        .withColumn("_whole", strict_json(F.col("_bare")))
+        .withColumn("_whole_ok", valid(F.col("_whole")))
+        .withColumn("_span", strict_json(F.when(~F.col("_whole_ok"), outer_span(F.col("_bare")))))
+        .withColumn("_span_ok", valid(F.col("_span")))
+    )
+    return (
+        steps.withColumn("parsed", F.when(F.col("_whole_ok"), F.col("_whole")).when(F.col("_span_ok"), F.col("_span")))
+        .withColumn("parse", F.when(F.col("_whole_ok"), "whole").when(F.col("_span_ok"), "span").otherwise("none"))
+        .drop("_bare", "_whole", "_whole_ok", "_span", "_span_ok")
+    )
 
 
 def parse_graphs(replies: DataFrame) -> DataFrame:
@@ -26,24 +36,26 @@ def parse_graphs(replies: DataFrame) -> DataFrame:
 
     A graph has arrays under both ``nodes`` and ``edges``.
     """
-    value, how = _first_valid(
-        F.col("content"), lambda v: is_array(member(v, "nodes")) & is_array(member(v, "edges"))
-    )
-    return replies.withColumns({"parsed": value, "parse": how})
+    return _parsed_as(replies, lambda v: is_array(member(v, "nodes")) & is_array(member(v, "edges")))
 
 
 def parse_verdicts(replies: DataFrame) -> DataFrame:
     """Add ``parsed`` and ``parse`` for consolidation replies: an object with an array under ``merges`` or ``edges``."""
-    value, how = _first_valid(
-        F.col("content"), lambda v: is_object(v) & (is_array(member(v, "merges")) | is_array(member(v, "edges")))
+    return _parsed_as(
+        replies, lambda v: is_object(v) & (is_array(member(v, "merges")) | is_array(member(v, "edges")))
     )
-    return replies.withColumns({"parsed": value, "parse": how})
 
 
 def record_rows(parsed: DataFrame, name: str, *kept: str) -> DataFrame:
-    """``kept`` columns plus ``pos`` and ``rec VARIANT`` for each entry of the array member ``name``."""
-    lists = parsed.where(F.col("parsed").isNotNull()).withColumn("_list", member(F.col("parsed"), name))
-    return explode_variant(lists.where(is_array(F.col("_list"))), "_list", *kept).select(
+    """``kept`` columns plus ``pos`` and ``rec VARIANT`` for each entry of the array member ``name``.
+
+    A missing or other member is an empty list. It is emptied in place: a filter would be pushed down through the
+    parsing steps and repeat them.
+    """
+    lists = parsed.withColumn("_member", member(F.col("parsed"), name)).withColumn(
+        "_list", F.when(is_array(F.col("_member")), F.col("_member"))
+    )
+    return explode_variant(lists, "_list", *kept).select(
         *kept, F.col("pos").cast("bigint").alias("pos"), F.col("value").alias("rec")
     )
 
@@ -80,7 +92,7 @@ def paper_info(parsed: DataFrame) -> DataFrame:
 
     Authors need a name; the first 64 with one are kept; a malformed ORCID is dropped, never repaired.
     """
-    raw = parsed.where(F.col("parsed").isNotNull()).select("graph_id", member(F.col("parsed"), "paper").alias("_paper"))
+    raw = parsed.select("graph_id", member(F.col("parsed"), "paper").alias("_paper"))
 
     def field(name: str, cap: int) -> Column:
         return none_if_empty(F.substring(string_field(F.col("_paper"), name), 1, cap)).alias(name)

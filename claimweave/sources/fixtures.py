@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["documents", "orders", "events", "conversations", "benchmark"]
+TABLES = ["documents", "orders", "events"]
 
 _PAPER_ROWS = """
 select doc_id as paper_id,
@@ -25,7 +25,8 @@ select doc_id as paper_id,
        '# Title ' || doc_id || chr(10) || 'lead ' || doc_id || chr(10)
        || '## One' || chr(10) || substr(text, 1, third) || chr(10) || chr(10) || substr(text, third + 1, third)
        || chr(10) || '### Two' || chr(10) || substr(text, 2 * third + 1) || chr(10) || '## Empty' as text
-from (select doc_id, text, cast(floor(length(text) / 3.0) as int) as third from {documents}) t
+from (select doc_id, text, cast(floor(length(text) / 3.0) as int) as third
+      from (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from {documents}) s) t
 """
 
 _RAW_NODES = """
