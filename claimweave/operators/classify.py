@@ -163,10 +163,10 @@ def mark_folded(raw_edges: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def accepted_edges(judged: DataFrame) -> DataFrame:
-    """Legal edges with a cleaned anchor."""
+    """Legal edges with a cleaned anchor; ``ord`` is their order within the graph."""
     return judged.where(F.col("verdict") == "ok").select(
         "graph_id",
-        "pos",
+        F.col("pos").alias("ord"),
         "relation",
         "subject",
         "object",
@@ -239,9 +239,10 @@ def relations_by_pair(df: DataFrame) -> DataFrame:
 class Graph:
     """A classified corpus; every table is planned on first use.
 
-    ``nodes`` and ``edges`` are clean and carry a dense 0-based ``ord`` per graph. With ``durable`` the tables that
-    other plans read several times (projection, edits, reports) are written to the shared folder once; single-use
-    plans stay lazy.
+    ``nodes`` carry a dense 0-based ``ord`` per graph, from which their ids are minted. Edges only need an order, so
+    their ``ord`` is the record position (``numbered_edges`` has the dense one). With ``durable`` the tables that other
+    plans read several times (projection, edits, reports) are written to the shared folder once; single-use plans
+    stay lazy.
     """
 
     def __init__(self, raw_nodes: DataFrame, raw_edges: DataFrame, durable: bool = False):
@@ -266,7 +267,11 @@ class Graph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._keep(number_rows(accepted_edges(self.judged_edges), ["graph_id"], "pos", "ord"), "edges")
+        return accepted_edges(self.judged_edges)
+
+    @cached_property
+    def numbered_edges(self) -> DataFrame:
+        return number_rows(self.edges.withColumnRenamed("ord", "pos"), ["graph_id"], "pos", "ord")
 
     @cached_property
     def rejects(self) -> DataFrame:

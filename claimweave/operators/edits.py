@@ -29,7 +29,7 @@ def staged_nodes(nodes: DataFrame) -> DataFrame:
 
 def staged_edges(graph: Graph) -> DataFrame:
     """Accepted, then dangling, then ungrammatical edges, as editable records ``x0, x1, …`` per graph."""
-    accepted = graph.edges.select("graph_id", "pos", *EDGE_FIELDS, F.lit(0).alias("_branch"))
+    accepted = graph.edges.select("graph_id", F.col("ord").alias("pos"), *EDGE_FIELDS, F.lit(0).alias("_branch"))
     refused = graph.judged_edges.where(F.col("verdict") != "ok").select(
         "graph_id",
         "pos",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.functions.plans import pinned
 from claimweave.functions.replies import is_array, is_object, kind, member, outer_span, raw_string_field, strict_json, string_field, unfence
 from claimweave.functions.text import AUTHOR_CAP, FIELD_CAP, TITLE_CAP, none_if_empty, orcid
 from claimweave.operators.conform import explode_variant
@@ -15,20 +16,18 @@ AUTHORS_TYPE = "array<struct<name: string, orcid: string>>"
 def _parsed_as(replies: DataFrame, valid) -> DataFrame:
     """Parse the unfenced reply, or else its outer brace span, as a value that passes ``valid``.
 
-    The steps are columns of their own, so each text is parsed once; the span only where the whole reply failed.
+    Each step is computed once per reply, and the span only where the whole reply failed.
     """
-    steps = (
-        replies.withColumn("_bare", unfence(F.col("content")))
-        .withColumn("_whole", strict_json(F.col("_bare")))
-        .withColumn("_whole_ok", valid(F.col("_whole")))
-        .withColumn("_span", strict_json(F.when(~F.col("_whole_ok"), outer_span(F.col("_bare")))))
-        .withColumn("_span_ok", valid(F.col("_span")))
-    )
-    return (
-        steps.withColumn("parsed", F.when(F.col("_whole_ok"), F.col("_whole")).when(F.col("_span_ok"), F.col("_span")))
-        .withColumn("parse", F.when(F.col("_whole_ok"), "whole").when(F.col("_span_ok"), "span").otherwise("none"))
-        .drop("_bare", "_whole", "_whole_ok", "_span", "_span_ok")
-    )
+    bare = pinned(replies, _bare=unfence(F.col("content")))
+    whole = pinned(bare, _whole=strict_json(F.col("_bare")))
+    judged = pinned(whole, _whole_ok=valid(F.col("_whole")))
+    span = pinned(judged, _span=strict_json(F.when(~F.col("_whole_ok"), outer_span(F.col("_bare")))))
+    whole_ok, span_ok = F.col("_whole_ok"), valid(F.col("_span"))
+    return pinned(
+        span,
+        parsed=F.when(whole_ok, F.col("_whole")).when(span_ok, F.col("_span")),
+        parse=F.when(whole_ok, "whole").when(span_ok, "span").otherwise("none"),
+    ).drop("_bare", "_whole", "_whole_ok", "_span")
 
 
 def parse_graphs(replies: DataFrame) -> DataFrame:
@@ -49,12 +48,10 @@ def parse_verdicts(replies: DataFrame) -> DataFrame:
 def record_rows(parsed: DataFrame, name: str, *kept: str) -> DataFrame:
     """``kept`` columns plus ``pos`` and ``rec VARIANT`` for each entry of the array member ``name``.
 
-    A missing or other member is an empty list. It is emptied in place: a filter would be pushed down through the
-    parsing steps and repeat them.
+    A missing or other member is an empty list.
     """
-    lists = parsed.withColumn("_member", member(F.col("parsed"), name)).withColumn(
-        "_list", F.when(is_array(F.col("_member")), F.col("_member"))
-    )
+    found = pinned(parsed, _member=member(F.col("parsed"), name))
+    lists = pinned(found, _list=F.when(is_array(F.col("_member")), F.col("_member")))
     return explode_variant(lists, "_list", *kept).select(
         *kept, F.col("pos").cast("bigint").alias("pos"), F.col("value").alias("rec")
     )
@@ -92,10 +89,10 @@ def paper_info(parsed: DataFrame) -> DataFrame:
 
     Authors need a name; the first 64 with one are kept; a malformed ORCID is dropped, never repaired.
     """
-    raw = parsed.select("graph_id", member(F.col("parsed"), "paper").alias("_paper"))
+    raw = pinned(parsed.select("graph_id", "parsed"), _paper=member(F.col("parsed"), "paper"))
 
     def field(name: str, cap: int) -> Column:
-        return none_if_empty(F.substring(string_field(F.col("_paper"), name), 1, cap)).alias(name)
+        return none_if_empty(F.substring(string_field(F.col("_paper"), name), 1, cap))
 
     listed = member(F.col("_paper"), "authors")
     entries = F.when(is_array(listed), F.try_variant_get(listed, "$", "array<variant>"))
@@ -109,14 +106,12 @@ def paper_info(parsed: DataFrame) -> DataFrame:
         ),
         lambda a: a["name"] != "",
     )
-    return (
-        raw.where(is_object(F.col("_paper")))
-        .select(
-            "graph_id",
-            field("title", TITLE_CAP),
-            field("doi", FIELD_CAP),
-            field("license", FIELD_CAP),
-            F.slice(F.coalesce(people, F.array().cast(AUTHORS_TYPE)), 1, AUTHOR_CAP).alias("authors"),
-        )
-        .where(F.coalesce("title", "doi", "license").isNotNull() | (F.size("authors") > 0))
+    clean = pinned(
+        raw.where(is_object(F.col("_paper"))),
+        title=field("title", TITLE_CAP),
+        doi=field("doi", FIELD_CAP),
+        license=field("license", FIELD_CAP),
+        authors=F.slice(F.coalesce(people, F.array().cast(AUTHORS_TYPE)), 1, AUTHOR_CAP),
     )
+    usable = F.coalesce("title", "doi", "license").isNotNull() | (F.size("authors") > 0)
+    return clean.where(usable).select("graph_id", "title", "doi", "license", "authors")

@@ -12,7 +12,7 @@ from claimweave.functions import text
 from claimweave.operators import analytics, anchors, attempts, chunking, classify, conform, consolidate, edits, merge
 from claimweave.operators import project, replies, report, requests, routing
 from claimweave.plans.build import Projection, projection_of
-from claimweave.session import configure
+from claimweave.session import configure, settle
 from claimweave.sources import fixtures, papers
 from claimweave.streaming import deltas, incremental, runs
 
@@ -85,7 +85,8 @@ class Corpus:
 
     @cached_property
     def edited(self) -> tuple[DataFrame, DataFrame]:
-        return edits.edited_graph(self.graph, self.edit_log)
+        nodes, edges = edits.edited_graph(self.graph, self.edit_log)
+        return settle(nodes, "edited-nodes"), settle(edges, "edited-edges")
 
     @cached_property
     def edited_status(self) -> DataFrame:
@@ -334,7 +335,7 @@ def verdict_counts(c: Corpus) -> DataFrame:
 
 @query
 def clean_edges(c: Corpus) -> DataFrame:
-    return c.lazy_graph.edges.select("graph_id", "ord", "relation", "subject", "object", "anchor")
+    return c.lazy_graph.numbered_edges.select("graph_id", "ord", "relation", "subject", "object", "anchor")
 
 
 @query

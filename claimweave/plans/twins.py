@@ -236,7 +236,7 @@ STEPS: dict[str, str] = {
     "kept_edges": """
         select graph_id, ord, relation, subject, object, anchor
         from (select *, row_number() over (partition by graph_id, relation, subject, object order by ord) as copy
-              from (select e.graph_id, e.ord, e.relation, coalesce(s.survivor, e.subject) as subject,
+              from (select e.graph_id, e.pos as ord, e.relation, coalesce(s.survivor, e.subject) as subject,
                            coalesce(o.survivor, e.object) as object, e.anchor
                     from edges e
                     left join folds s on s.graph_id = e.graph_id and s.id = e.subject
@@ -449,7 +449,7 @@ STEPS: dict[str, str] = {
                      (select graph_id, ord // 10000 as b, sha256(string_agg(id, ',' order by ord)) as d
                       from nodes group by all) t group by graph_id) n on n.graph_id = g.graph_id
         left join (select graph_id, sha256(string_agg(d, ',' order by b)) as d from
-                     (select graph_id, ord // 10000 as b, sha256(string_agg(subject || '>' || object, ',' order by ord)) as d
+                     (select graph_id, pos // 10000 as b, sha256(string_agg(subject || '>' || object, ',' order by pos)) as d
                       from edges group by all) t group by graph_id) p on p.graph_id = g.graph_id
         group by g.graph_id""",
     "signatures_after": """
