@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.text import SPACE_CLASS, strip
+from claimweave.functions.plans import pinned
+from claimweave.functions.text import SPACE_CLASS, bind, strip
 from claimweave.vocab import PIECE_BUDGET, PIECE_OVERLAP
 
 _SPACE = SPACE_CLASS.replace(r"\n", "")  # within a line
@@ -23,37 +24,39 @@ _SECTION_LINE = rf"#{{2,3}}{_SPACE}+{_REST}$"
 _SECTION_START = rf"(?dm)(?=^{_SECTION_LINE})"
 
 
-def _split_title(text: Column) -> tuple[Column, Column]:
-    """The first non-blank ``# title`` and the text without it (and without blank title lines before it)."""
-    title = strip(F.regexp_extract(text, _TITLE_LINE, 1))
-    around = F.split(text, _TITLE_LINE, 2)
-    before = F.regexp_replace(around[0], _BLANK_TITLE_LINE, "")
-    return title, F.concat(before, F.coalesce(F.get(around, F.lit(1)), F.lit("")))
-
-
 def sectioned(papers: DataFrame) -> DataFrame:
     """Add ``title`` and ``sections ARRAY<STRUCT<heading, body, text>>`` in reading order.
 
     The first ``# `` line is the title; ``## `` and ``### `` start sections; lines before the first heading form a
     section without heading; a section without any text is left out.
     """
-    unix = papers.withColumn("_text", F.regexp_replace("text", "\r\n", "\n"))
-    title, rest = _split_title(F.col("_text"))
-    pieces = F.split("_rest", _SECTION_START)
+    unix = pinned(papers, _text=F.regexp_replace("text", "\r\n", "\n"))
+    # Around the first non-blank title; blank title lines before it go too.
+    titled = pinned(
+        unix,
+        title=strip(F.regexp_extract("_text", _TITLE_LINE, 1)),
+        _around=F.split("_text", _TITLE_LINE, 2),
+    )
+    before = F.regexp_replace(F.col("_around")[0], _BLANK_TITLE_LINE, "")
+    rest = F.concat(before, F.coalesce(F.get("_around", F.lit(1)), F.lit("")))
     first_line = rf"(?dm)\A{_SECTION_LINE}"
 
     def section(raw: Column) -> Column:
-        line = F.regexp_extract(raw, first_line, 0)
-        heading = strip(line)
-        body = strip(F.substring(raw, F.length(line) + 1, F.length(raw)))
-        text = F.when(heading == "", body).otherwise(strip(F.concat(heading, F.lit("\n\n"), body)))
-        return F.struct(heading.alias("heading"), body.alias("body"), text.alias("text"))
+        def named(line: Column) -> Column:
+            heading = strip(line)
+            return bind(
+                strip(F.substring(raw, F.length(line) + 1, F.length(raw))),
+                lambda body: F.struct(
+                    heading.alias("heading"),
+                    body.alias("body"),
+                    F.when(heading == "", body).otherwise(strip(F.concat(heading, F.lit("\n\n"), body))).alias("text"),
+                ),
+            )
 
-    return (
-        unix.withColumns({"title": title, "_rest": rest})
-        .withColumn("sections", F.filter(F.transform(pieces, section), lambda s: s["text"] != ""))
-        .drop("_text", "_rest")
-    )
+        return bind(F.regexp_extract(raw, first_line, 0), named)
+
+    pieces = F.transform(F.split(rest, _SECTION_START), section)
+    return pinned(titled, sections=F.filter(pieces, lambda s: s["text"] != "")).drop("_text", "_around")
 
 
 def section_rows(papers: DataFrame) -> DataFrame:
@@ -70,7 +73,10 @@ def _windows(section: Column, room: Column, overlap: int) -> Column:
 
     With breaks normalised to one blank line, every window is a slice of the body: the fold only moves offsets.
     """
-    body = F.regexp_replace(section["body"], r"\n{2,}", "\n\n")
+    return bind(F.regexp_replace(section["body"], r"\n{2,}", "\n\n"), lambda body: _body_windows(section, body, room, overlap))
+
+
+def _body_windows(section: Column, body: Column, room: Column, overlap: int) -> Column:
     lengths = F.transform(F.split(body, "\n\n"), lambda p: F.length(p))
     spot = "struct<start: int, end: int, done: array<struct<start: int, end: int>>>"
     begin = F.struct(
@@ -132,16 +138,18 @@ def chunked(papers: DataFrame, budget: int = PIECE_BUDGET, overlap: int = PIECE_
         ).cast(state)
 
     lengths = F.transform("sections", lambda s: F.length(s["text"]))
-    grouped = split.withColumn("_groups", F.aggregate(lengths, begin, place, lambda a: a["groups"])).withColumn(
-        "_placed",
-        F.zip_with("sections", "_groups", lambda s, g: F.struct(s.alias("s"), g.alias("g"))),
+    grouped = pinned(split, _groups=F.aggregate(lengths, begin, place, lambda a: a["groups"]))
+    grouped = pinned(
+        grouped, _placed=F.zip_with("sections", "_groups", lambda s, g: F.struct(s.alias("s"), g.alias("g")))
     )
 
     def label(section: Column) -> Column:
         return F.when(section["heading"] == "", "(preamble)").otherwise(section["heading"])
 
     def pieces_of(group: Column) -> Column:
-        members = F.transform(F.filter("_placed", lambda p: p["g"] == group), lambda p: p["s"])
+        return bind(F.transform(F.filter("_placed", lambda p: p["g"] == group), lambda p: p["s"]), pieces_from)
+
+    def pieces_from(members: Column) -> Column:
         only = members[0]
         together = F.array(
             F.struct(

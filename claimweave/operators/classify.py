@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions.ordering import number_rows
+from claimweave.functions.ordering import fits_one_block, number_rows
 from claimweave.functions.text import none_if_empty, quote, strip, text_or_empty
 from claimweave.session import settle
 from claimweave.vocab import NODE_CLASSES, legal_triples, relation_rules
@@ -257,7 +257,9 @@ class Graph:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._keep(number_rows(admitted_nodes(self.judged_nodes), ["graph_id"], "pos", "ord"), "nodes")
+        one_block = fits_one_block(self.raw_nodes, "pos")
+        numbered = number_rows(admitted_nodes(self.judged_nodes), ["graph_id"], "pos", "ord", one_block=one_block)
+        return self._keep(numbered, "nodes")
 
     @cached_property
     def judged_edges(self) -> DataFrame:
@@ -271,7 +273,8 @@ class Graph:
 
     @cached_property
     def numbered_edges(self) -> DataFrame:
-        return number_rows(self.edges.withColumnRenamed("ord", "pos"), ["graph_id"], "pos", "ord")
+        one_block = fits_one_block(self.raw_edges, "pos")
+        return number_rows(self.edges.withColumnRenamed("ord", "pos"), ["graph_id"], "pos", "ord", one_block=one_block)
 
     @cached_property
     def rejects(self) -> DataFrame:

@@ -6,6 +6,8 @@ subject, object)``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,23 +55,33 @@ def applied_groups(merge_groups: DataFrame, nodes: DataFrame) -> DataFrame:
     open_groups = settle(well_formed_groups(merge_groups, nodes), "open-groups")
     won = []
     while not open_groups.isEmpty():
-        earliest = open_groups.groupBy("graph_id", "id").agg(F.min("group_no").alias("_earliest"))
-        leaders = (
-            open_groups.join(earliest, ["graph_id", "id"])
-            .groupBy("graph_id", "group_no")
-            .agg(F.bool_and(F.col("group_no") == F.col("_earliest")).alias("_leads"))
-            .where("_leads")
-            .drop("_leads")
+        state = settle(_claim_round(open_groups), "claim-round")
+        won.append(state.where("won").drop("won"))
+        open_groups = state.where("not won").drop("won")
+    return reduce(DataFrame.unionByName, won, open_groups)
+
+
+def _claim_round(open_groups: DataFrame) -> DataFrame:
+    """Open groups after one round, with ``won``; beaten groups are left out."""
+    earliest = open_groups.groupBy("graph_id", "id").agg(F.min("group_no").alias("_rival"))
+    rows = open_groups.join(earliest, ["graph_id", "id"])
+    leads = F.bool_and(F.col("group_no") == F.col("_rival"))
+    leaders = (
+        rows.groupBy("graph_id", "group_no")
+        .agg(leads.alias("_leads"))
+        .where("_leads")
+        .select("graph_id", F.col("group_no").alias("_rival"), "_leads")
+    )
+    # A leader is the earliest group of each of its ids, so whoever it beats sees it as the rival of a shared id.
+    fate = (
+        rows.join(leaders, ["graph_id", "_rival"], "left")
+        .groupBy("graph_id", "group_no")
+        .agg(
+            leads.alias("won"),
+            F.bool_or(F.col("_leads").isNotNull() & (F.col("group_no") != F.col("_rival"))).alias("_beaten"),
         )
-        winners = settle(open_groups.join(leaders, ["graph_id", "group_no"], "left_semi"), "won-groups")
-        won.append(winners)
-        claimed = winners.select("graph_id", "id").distinct()
-        beaten = open_groups.join(claimed, ["graph_id", "id"], "left_semi").select("graph_id", "group_no").distinct()
-        open_groups = settle(open_groups.join(beaten, ["graph_id", "group_no"], "left_anti"), "open-groups")
-    result = open_groups
-    for winners in won:
-        result = result.unionByName(winners)
-    return result
+    )
+    return open_groups.join(fate, ["graph_id", "group_no"]).where(~F.col("_beaten")).drop("_beaten")
 
 
 def fold_map(applied: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,13 +155,12 @@ def consolidation_stats(
         tally(folds, "folded"),
         tally(edges, "edges_before"),
         tally(kept_edges, "edges_kept"),
-        tally(judged.where("accepted"), "added"),
-        tally(judged.where("not accepted"), "refused"),
         tally(nodes, "nodes"),
+        judged.groupBy("graph_id", "accepted")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("graph_id", "n", F.when(F.col("accepted"), "added").otherwise("refused").alias("measure")),
     ]
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
+    long = reduce(DataFrame.unionByName, parts)
 
     def total(measure: str):
         return F.coalesce(F.sum(F.when(F.col("measure") == measure, F.col("n"))), F.lit(0))
@@ -167,9 +178,9 @@ def consolidation_stats(
 def consolidate(nodes: DataFrame, edges: DataFrame, merge_groups: DataFrame, proposed: DataFrame) -> dict[str, DataFrame]:
     """Apply a verdict to every graph. Returns ``nodes``, ``edges``, ``folds``, ``applied``, ``proposals``, ``stats``."""
     applied = applied_groups(merge_groups, nodes)
-    folds = fold_map(applied, nodes)
+    folds = settle(fold_map(applied, nodes), "fold-map")
     kept_nodes = fold_nodes(nodes, folds)
-    kept_edges = repointed_edges(edges, folds)
+    kept_edges = settle(repointed_edges(edges, folds), "kept-edges")
     judged = judged_proposals(proposed, folds, kept_nodes, kept_edges)
     return {
         "nodes": kept_nodes,

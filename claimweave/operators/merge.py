@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.ordering import number_rows
 from claimweave.functions.text import comparable
+from claimweave.session import settle
 
 #: Room for positions inside one piece when pieces are put in sequence.
 PIECE_STRIDE = 1 << 40
@@ -116,8 +117,11 @@ def first_triples(edges: DataFrame, *carried: str) -> DataFrame:
 def fold_exact(
     nodes: DataFrame, edges: DataFrame, key: Callable[[], Column] = same_text
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fold equal records of each graph. Returns nodes, edges and the fold map."""
-    folds = text_folds(nodes, key)
+    """Fold equal records of each graph. Returns nodes, edges and the fold map.
+
+    The fold map is written once: it is narrow, and comparing whole texts is the expensive part.
+    """
+    folds = settle(text_folds(nodes, key), "text-folds")
     return fold_nodes(nodes, folds), first_triples(repoint(edges, folds), "anchor", "consolidated"), folds
 
 

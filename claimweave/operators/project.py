@@ -6,6 +6,7 @@ Names that belong to the published schema (context address, base IRI prefix, age
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,14 +184,17 @@ def node_objects(minted: DataFrame, stamps: DataFrame, papers: DataFrame, paper_
     )
 
 
-def relation_objects(edges: DataFrame, minted: DataFrame) -> DataFrame:
-    """The columns of each reified relation, numbered over the edges whose two ends have an IRI."""
+def relation_objects(edges: DataFrame, minted: DataFrame, one_block: bool = False) -> DataFrame:
+    """The columns of each reified relation, numbered over the edges whose two ends have an IRI.
+
+    ``one_block`` as in ``number_rows``, for edges known to have low positions.
+    """
     ends = minted.select("graph_id", "id", "iri", clip(F.col("text"), 80).alias("snip"))
     subjects = ends.withColumnsRenamed({"id": "subject", "iri": "source", "snip": "_from"})
     objects = ends.withColumnsRenamed({"id": "object", "iri": "destination", "snip": "_to"})
     mapped = edges.join(subjects, ["graph_id", "subject"]).join(objects, ["graph_id", "object"])
     title = F.concat("_from", F.lit(" -"), "relation", F.lit("-> "), "_to")
-    return number_rows(mapped, ["graph_id"], "ord", "r").select(
+    return number_rows(mapped, ["graph_id"], "ord", "r", one_block=one_block).select(
         "graph_id",
         "r",
         F.concat(F.lit("x:r"), F.col("r").cast("string")).alias("iri"),
@@ -212,9 +216,9 @@ def anchor_items(node_objs: DataFrame, relation_objs: DataFrame) -> DataFrame:
     return of_nodes.unionByName(of_edges).where(F.col("item").isNotNull())
 
 
-def definitions(node_objs: DataFrame, relation_objs: DataFrame) -> DataFrame:
+def definitions(nodes: DataFrame, relation_objs: DataFrame) -> DataFrame:
     """``(graph_id, section, ord, iri, name)``: one definition per used class and relation, by first use."""
-    classes = node_objs.groupBy("graph_id", F.col("type").alias("name")).agg(F.min("ord").alias("_first"))
+    classes = nodes.groupBy("graph_id", F.col("type").alias("name")).agg(F.min("ord").alias("_first"))
     relations = relation_objs.groupBy("graph_id", F.col("relation").alias("name")).agg(F.min("r").alias("_first"))
     used = classes.withColumns({"section": F.lit(CLASS_DEFS), "_tag": F.lit("x:_schema_")}).unionByName(
         relations.withColumns({"section": F.lit(RELATION_DEFS), "_tag": F.lit("x:_rel_")})
@@ -252,10 +256,7 @@ def projection_report(
         tally(relation_objs.where(anchored), "anchors", F.lit("edges")),
         tally(stamps, "stamps", F.col("stamp")),
     ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    return reduce(DataFrame.unionByName, parts)
 
 
 LICENSE_NOTE = "license has no slot in the schema; kept in this report only"
@@ -278,63 +279,79 @@ def omission_notes(papers: DataFrame, stamps: DataFrame, paper_docs: DataFrame)
 
 
 def linked_objects(
-    graphs: DataFrame, papers: DataFrame, node_objs: DataFrame, relation_objs: DataFrame, naming: Naming
+    nodes: DataFrame, papers: DataFrame, node_objs: DataFrame, relation_objs: DataFrame, naming: Naming
 ) -> DataFrame:
-    """Every linked-data object as ``(graph_id, section, ord, obj_id, obj_json)``; absent keys are left out."""
-    stamp, agent = naming.stamp, F.lit("x:agent")
+    """Every linked-data object as ``(graph_id, section, ord, obj_id, obj_json)``; absent keys are left out.
 
-    def key(name: str, value: Column) -> Column:
-        return value.alias(name)
+    An anchored record and its grounding item come from one row, so each big table is read once.
+    """
+    stamp, agent = naming.stamp, F.lit("x:agent")
 
-    def rows(df: DataFrame, section: Column, order: str, iri: str, *fields: Column) -> DataFrame:
-        return df.select(
-            "graph_id",
-            section.cast("int").alias("section"),
-            F.col(order).alias("ord"),
-            F.col(iri).alias("obj_id"),
-            F.to_json(F.struct(F.col(iri).alias("@id"), *fields)).alias("obj_json"),
+    def obj(section: Column | int, order: str, iri: str, json: Column) -> Column:
+        section = section if isinstance(section, Column) else F.lit(section)
+        return F.struct(
+            section.cast("int").alias("section"), F.col(order).alias("ord"), F.col(iri).alias("obj_id"), json.alias("obj_json")
         )
 
-    account_rows = rows(
-        accounts(graphs, papers, naming), F.lit(ACCOUNTS), "ord", "account_id",
-        key("@type", F.lit("UserAccount")), key("accountName", F.col("account_name")),
+    def fields(iri: str, **values: Column) -> Column:
+        return F.to_json(F.struct(F.col(iri).alias("@id"), *[v.alias(k.replace("type_", "@type")) for k, v in values.items()]))
+
+    def item(section: int, order: str) -> Column:
+        return obj(section, order, "item", fields(
+            "item", type_=F.lit("Item"), format=F.lit("text/plain"), content=F.col("anchor"), has_container=F.lit("x:doc")
+        ))
+
+    def rows(df: DataFrame, *objects: Column) -> DataFrame:
+        return df.select("graph_id", F.inline(F.array(*objects)))
+
+    def with_items(df: DataFrame, own: Column, its_item: Column) -> DataFrame:
+        both = F.when(F.col("item").isNull(), F.array(own)).otherwise(F.array(own, its_item))
+        return df.select("graph_id", F.inline(both))
+
+    account_json = fields("account_id", type_=F.lit("UserAccount"), accountName=F.col("account_name"))
+    graphs = nodes.select("graph_id").distinct()
+    account_rows = rows(accounts(graphs, papers, naming), obj(ACCOUNTS, "ord", "account_id", account_json))
+
+    definition_json = fields(
+        "iri",
+        type_=F.when(F.col("section") == CLASS_DEFS, "NodeSchema").otherwise("AbstractRelationDef"),
+        subClassOf=F.array("name"), label=F.col("name"), created=stamp, modified=stamp, creator=agent,
+    )
+    definition_rows = rows(definitions(nodes, relation_objs), obj(F.col("section"), "ord", "iri", definition_json))
+
+    anchored = F.col("anchor").isNotNull()
+    container = (
+        nodes.where(anchored).select("graph_id")
+        .unionByName(relation_objs.where(anchored).select("graph_id"))
+        .distinct()
+        .select("graph_id", F.lit(0).cast("bigint").alias("ord"), F.lit("x:doc").alias("doc"))
     )
-    definition_rows = rows(
-        definitions(node_objs, relation_objs), F.col("section"), "ord", "iri",
-        key("@type", F.when(F.col("section") == CLASS_DEFS, "NodeSchema").otherwise("AbstractRelationDef")),
-        key("subClassOf", F.array("name")), key("label", F.col("name")),
-        key("created", stamp), key("modified", stamp), key("creator", agent),
+    container_rows = rows(container, obj(CONTAINER, "ord", "doc", fields("doc", type_=F.lit("Container"))))
+
+    # The creator is a list on the paper's own document and a plain id elsewhere, so it is joined in as JSON text.
+    head = fields(
+        "iri",
+        type_=F.array(F.concat(F.lit("x:_schema_"), "type"), "type"),
+        title=F.col("title"), content=F.col("content"), created=stamp, modified=stamp,
     )
-    items = anchor_items(node_objs, relation_objs)
-    item_rows = rows(
-        items, F.col("section"), "ord", "item",
-        key("@type", F.lit("Item")), key("format", F.lit("text/plain")), key("content", F.col("content")),
-        key("has_container", F.lit("x:doc")),
+    creator = F.when(F.col("creators") == F.array(agent), F.lit('"x:agent"')).otherwise(F.to_json("creators"))
+    tail = F.to_json(F.struct(F.col("item").alias("description"), F.col("source_document").alias("sourceDocument")))
+    node_json = F.concat(
+        head.substr(F.lit(1), F.length(head) - 1), F.lit(',"creator":'), creator,
+        F.when(tail == "{}", "}").otherwise(F.concat(F.lit(","), tail.substr(F.lit(2), F.length(tail)))),
     )
-    container = items.select("graph_id", F.lit(0).cast("bigint").alias("ord"), F.lit("x:doc").alias("doc")).distinct()
-    container_rows = rows(container, F.lit(CONTAINER), "ord", "doc", key("@type", F.lit("Container")))
-    node_fields = [
-        key("@type", F.array(F.concat(F.lit("x:_schema_"), "type"), "type")),
-        key("title", F.col("title")), key("content", F.col("content")), key("created", stamp), key("modified", stamp),
-    ]
-    tail = [key("description", F.col("item")), key("sourceDocument", F.col("source_document"))]
-    # The creator is a list only on the paper's own document, so the two shapes are built apart.
-    own = F.col("creators") != F.array(agent)
-    node_rows = rows(
-        node_objs.where(~own), F.lit(NODES), "ord", "iri", *node_fields, key("creator", agent), *tail
-    ).unionByName(
-        rows(node_objs.where(own), F.lit(NODES), "ord", "iri", *node_fields, key("creator", F.col("creators")), *tail)
+    node_rows = with_items(node_objs, obj(NODES, "ord", "iri", node_json), item(NODE_ITEMS, "ord"))
+
+    relation_json = fields(
+        "iri",
+        type_=F.array(F.concat(F.lit("x:_rel_"), "relation"), F.col("relation"), F.lit("RelationInstance")),
+        source=F.col("source"), destination=F.col("destination"), title=F.col("title"),
+        created=stamp, modified=stamp, creator=agent, description=F.col("item"),
     )
-    relation_rows = rows(
-        relation_objs, F.lit(RELATIONS), "r", "iri",
-        key("@type", F.array(F.concat(F.lit("x:_rel_"), "relation"), F.col("relation"), F.lit("RelationInstance"))),
-        key("source", F.col("source")), key("destination", F.col("destination")), key("title", F.col("title")),
-        key("created", stamp), key("modified", stamp), key("creator", agent), key("description", F.col("item")),
+    relation_rows = with_items(relation_objs, obj(RELATIONS, "r", "iri", relation_json), item(EDGE_ITEMS, "r"))
+    return reduce(
+        DataFrame.unionByName, [account_rows, definition_rows, container_rows, node_rows, relation_rows]
     )
-    objects = account_rows
-    for part in (definition_rows, container_rows, item_rows, node_rows, relation_rows):
-        objects = objects.unionByName(part)
-    return objects
 
 
 def documents(objects: DataFrame, names: DataFrame, naming: Naming, width: int = OBJECTS_PER_PART) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.functions.ordering import fits_one_block
 from claimweave.operators import project
 from claimweave.operators.classify import Graph
 from claimweave.operators.project import Naming
@@ -18,7 +19,7 @@ from claimweave.session import settle
 class Projection:
     """All projection tables of a corpus over one clean graph; each is planned on first use.
 
-    The minted nodes and relation objects feed several tables, so with ``durable`` they are written once.
+    The relation objects and the object rows feed several tables, so with ``durable`` they are written once.
     """
 
     nodes: DataFrame
@@ -44,11 +45,12 @@ class Projection:
 
     @cached_property
     def node_objects(self) -> DataFrame:
-        return self._keep(project.node_objects(self.minted, self.stamps, self.papers, self.paper_docs), "node-objects")
+        return project.node_objects(self.minted, self.stamps, self.papers, self.paper_docs)
 
     @cached_property
     def relation_objects(self) -> DataFrame:
-        return self._keep(project.relation_objects(self.edges, self.minted), "relation-objects")
+        one_block = self.durable and fits_one_block(self.edges, "ord")
+        return self._keep(project.relation_objects(self.edges, self.minted, one_block), "relation-objects")
 
     @cached_property
     def graphs(self) -> DataFrame:
@@ -57,7 +59,7 @@ class Projection:
     @cached_property
     def objects(self) -> DataFrame:
         linked = project.linked_objects(
-            self.graphs, self.papers, self.node_objects, self.relation_objects, self.naming
+            self.nodes, self.papers, self.node_objects, self.relation_objects, self.naming
         )
         return self._keep(linked, "objects")
 

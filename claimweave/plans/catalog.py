@@ -61,6 +61,7 @@ class Corpus:
 
     @cached_property
     def lazy_projection(self) -> Projection:
+        """Projection tables that are read once, over the written graph."""
         return projection_of(self.graph, self.papers, NAMING)
 
     @cached_property
@@ -108,7 +109,8 @@ class Corpus:
     def pieces(self) -> tuple[DataFrame, DataFrame]:
         graph = classify.classify(self.view("piece_nodes"), self.view("piece_edges"), durable=True)
         part = F.split("graph_id", "#")
-        return merge.joined_pieces(graph.nodes, graph.edges, part[0], part[1].cast("bigint"))
+        nodes, edges = merge.joined_pieces(graph.nodes, graph.edges, part[0], part[1].cast("bigint"))
+        return settle(nodes, "joined-nodes"), edges
 
 
 _REGISTRY: dict[str, Callable[[Corpus], DataFrame]] = {}
@@ -521,7 +523,7 @@ def anchor_items(c: Corpus) -> DataFrame:
 @query
 def definitions(c: Corpus) -> DataFrame:
     p = c.lazy_projection
-    return project.definitions(p.node_objects, p.relation_objects).select("graph_id", "ord", "iri", "name")
+    return project.definitions(p.nodes, p.relation_objects).select("graph_id", "ord", "iri", "name")
 
 
 @query
@@ -552,7 +554,7 @@ def documents(c: Corpus) -> DataFrame:
 
 
 def _triples(c: Corpus) -> DataFrame:
-    return conform.with_mixins(conform.triples(conform.objects_of(c.projection.documents())))
+    return settle(conform.with_mixins(conform.triples(conform.objects_of(c.projection.documents()))), "triples")
 
 
 @query
