@@ -24,52 +24,59 @@ def wanted_versus_got(relation: Column, wants: Column, subj_type: Column, obj_ty
 
 
 def judge_nodes(raw_nodes: DataFrame) -> DataFrame:
-    """Every raw node with trimmed ``id``, ``type``, ``text`` and ``why`` (NULL when admitted).
+    """The verdict on every raw node: ``graph_id, pos, id, type, raw_type, why`` (``why`` is NULL when admitted).
 
     Reasons in order: missing id, missing text, invalid type, duplicate id. Only otherwise valid records reserve an
-    id, so a rejected record never blocks a later one.
+    id, so a rejected record never blocks a later one. Texts are looked at in the scan and left there: everything
+    that shuffles is narrow.
     """
-    cleaned = raw_nodes.withColumns(
-        {
-            "raw_type": F.coalesce("type", F.lit("")),
-            "id": text_or_empty(F.col("id")),
-            "type": text_or_empty(F.col("type")),
-            "text": text_or_empty(F.col("text")),
-        }
+    narrow = raw_nodes.select(
+        "graph_id",
+        "pos",
+        text_or_empty(F.col("id")).alias("id"),
+        text_or_empty(F.col("type")).alias("type"),
+        F.coalesce("type", F.lit("")).alias("raw_type"),
+        (text_or_empty(F.col("text")) == "").alias("_blank"),
     ).withColumn(
         "_fault",
         F.when(F.col("id") == "", "missing id")
-        .when(F.col("text") == "", "missing text")
+        .when(F.col("_blank"), "missing text")
         .when(~F.col("type").isin(NODE_CLASSES), F.concat(F.lit('invalid type "'), "raw_type", F.lit('"'))),
     )
     # Ids claimed more than once are the exception: only they travel to the join.
     reused = (
-        cleaned.where(F.col("_fault").isNull())
+        narrow.where(F.col("_fault").isNull())
         .groupBy("graph_id", "id")
         .agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_uses"))
         .where(F.col("_uses") > 1)
         .drop("_uses")
     )
     repeated = F.col("_fault").isNull() & (F.col("pos") != F.col("_first"))
-    return (
-        cleaned.join(reused, ["graph_id", "id"], "left")
-        .withColumn(
-            "why",
-            F.coalesce("_fault", F.when(repeated, F.concat(F.lit('duplicate id "'), "id", F.lit('"')))),
-        )
-        .drop("_fault", "_first")
+    duplicate = F.when(repeated, F.concat(F.lit('duplicate id "'), "id", F.lit('"')))
+    return narrow.join(reused, ["graph_id", "id"], "left").select(
+        "graph_id", "pos", "id", "type", "raw_type", F.coalesce("_fault", duplicate).alias("why")
     )
 
 
-def admitted_nodes(judged: DataFrame) -> DataFrame:
-    """Clean node columns of the admitted records; DOI and URL survive only on source documents."""
+def admitted(judged: DataFrame) -> DataFrame:
+    """``(graph_id, pos, id, type)`` of the admitted nodes."""
+    return judged.where(F.col("why").isNull()).select("graph_id", "pos", "id", "type")
+
+
+def clean_nodes(raw_nodes: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Clean columns of admitted nodes; DOI and URL survive only on source documents.
+
+    ``numbered`` holds the admitted nodes with their ``ord``. It meets the wide rows on (graph_id, pos), which is
+    unique, so the wide rows move at most once and spread evenly.
+    """
     on_source = F.col("type") == "SourceDocument"
-    return judged.where(F.col("why").isNull()).select(
+    return raw_nodes.drop("id", "type").join(numbered, ["graph_id", "pos"]).select(
         "graph_id",
         "pos",
+        "ord",
         "id",
         "type",
-        "text",
+        strip(F.col("text")).alias("text"),
         none_if_empty(strip(F.col("description"))).alias("description"),
         F.when(on_source, none_if_empty(strip(F.col("doi")))).alias("doi"),
         F.when(on_source, none_if_empty(strip(F.col("url")))).alias("url"),
@@ -175,17 +182,28 @@ def accepted_edges(judged: DataFrame) -> DataFrame:
     )
 
 
-def reject_ledger(judged_nodes: DataFrame, judged_edges: DataFrame) -> DataFrame:
+def reject_ledger(raw_nodes: DataFrame, judged_nodes: DataFrame, judged_edges: DataFrame) -> DataFrame:
     """All rejects as ``(graph_id, kind, pos, why, payload)``; kind is node, dangling or ungrammatical."""
-    nodes = judged_nodes.where(F.col("why").isNotNull()).select(
-        "graph_id",
-        F.lit("node").alias("kind"),
-        "pos",
-        "why",
-        F.to_json(
-            F.struct("id", F.col("raw_type").alias("type"), "text", "description", "doi", "url", "anchor"),
-            {"ignoreNullFields": "false"},
-        ).alias("payload"),
+    payload = F.struct(
+        "id",
+        F.col("raw_type").alias("type"),
+        text_or_empty(F.col("text")).alias("text"),
+        "description",
+        "doi",
+        "url",
+        "anchor",
+    )
+    refused = judged_nodes.where(F.col("why").isNotNull())
+    nodes = (
+        raw_nodes.drop("id", "type")
+        .join(refused, ["graph_id", "pos"])
+        .select(
+            "graph_id",
+            F.lit("node").alias("kind"),
+            "pos",
+            "why",
+            F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"),
+        )
     )
     edges = judged_edges.where(F.col("verdict") != "ok").select(
         "graph_id",
@@ -253,19 +271,17 @@ class Graph:
 
     @cached_property
     def judged_nodes(self) -> DataFrame:
-        return judge_nodes(self.raw_nodes)
+        return self._keep(judge_nodes(self.raw_nodes), "judged-nodes")
 
     @cached_property
     def nodes(self) -> DataFrame:
         one_block = fits_one_block(self.raw_nodes, "pos")
-        numbered = number_rows(admitted_nodes(self.judged_nodes), ["graph_id"], "pos", "ord", one_block=one_block)
-        return self._keep(numbered, "nodes")
+        numbered = number_rows(admitted(self.judged_nodes), ["graph_id"], "pos", "ord", one_block=one_block)
+        return self._keep(clean_nodes(self.raw_nodes, numbered), "nodes")
 
     @cached_property
     def judged_edges(self) -> DataFrame:
-        # End types need no numbering: the lazy plan skips it, the durable one reads the written nodes.
-        ends = self.nodes if self.durable else admitted_nodes(self.judged_nodes)
-        return self._keep(judge_edges(distinct_edges(self.raw_edges), ends), "judged-edges")
+        return self._keep(judge_edges(distinct_edges(self.raw_edges), admitted(self.judged_nodes)), "judged-edges")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -278,7 +294,7 @@ class Graph:
 
     @cached_property
     def rejects(self) -> DataFrame:
-        return reject_ledger(self.judged_nodes, self.judged_edges)
+        return reject_ledger(self.raw_nodes, self.judged_nodes, self.judged_edges)
 
 
 def classify(raw_nodes: DataFrame, raw_edges: DataFrame, durable: bool = False) -> Graph:

@@ -17,10 +17,10 @@ from claimweave.operators.classify import Graph, classify
 WATERMARK = "10 minutes"
 
 
-def classify_batch(batch: DataFrame) -> Graph:
+def classify_batch(batch: DataFrame, durable: bool = False) -> Graph:
     """Classify the graphs of one set of replies ``(graph_id, content)``."""
     parsed = replies.parse_graphs(batch)
-    return classify(replies.raw_nodes(parsed), replies.raw_edges(parsed))
+    return classify(replies.raw_nodes(parsed), replies.raw_edges(parsed), durable)
 
 
 def write_batch(table: str, batch_id: int, df: DataFrame) -> None:
@@ -34,7 +34,7 @@ def classify_stream(reply_stream: DataFrame, out: str, checkpoint: str) -> DataS
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        graph = classify_batch(batch)
+        graph = classify_batch(batch, durable=True)
         write_batch(f"{out}/nodes", batch_id, graph.nodes)
         write_batch(f"{out}/edges", batch_id, graph.edges)
         write_batch(f"{out}/rejects", batch_id, graph.rejects)
