@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.ordering import number_rows
 from claimweave.functions.text import none_if_empty, strip
 from claimweave.operators.classify import Graph, relations_by_pair, wanted_versus_got, with_end_types, with_rule
+from claimweave.session import settle
 
 NODE_FIELDS = ["type", "text", "description", "doi", "url", "anchor"]
 EDGE_FIELDS = ["relation", "subject", "object", "anchor"]
@@ -117,9 +118,12 @@ def replay(staged: DataFrame, edit_log: DataFrame, noun: str, fields: list[str])
 
 
 def edited_graph(graph: Graph, edit_log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of every graph after its edits."""
-    edges = staged_edges(graph)
-    adds = added_records(edit_log, edges)
+    """Nodes and edges of every graph after its edits.
+
+    The staged edges and the added records are numbered tables read several times below, so both are written once.
+    """
+    edges = settle(staged_edges(graph), "staged-edges")
+    adds = settle(added_records(edit_log, edges), "added-records")
     nodes_now = replay(with_added(staged_nodes(graph.nodes), adds, "addNode", NODE_FIELDS), edit_log, "Node", NODE_FIELDS)
     edges_now = replay(with_added(edges, adds, "addEdge", EDGE_FIELDS), edit_log, "Edge", EDGE_FIELDS)
     return nodes_now, edges_now

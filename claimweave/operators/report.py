@@ -64,3 +64,23 @@ def corpus_totals(report: DataFrame, source: Column) -> DataFrame:
     """Report rows rolled up: per graph, per source, and the whole corpus (NULL keys)."""
     sums = [F.sum(name).alias(name) for name in report.columns if name != "graph_id"]
     return report.withColumn("source", source).rollup("source", "graph_id").agg(*sums)
+
+
+def run_summary(
+    requests: DataFrame, judged_nodes: DataFrame, receipts: DataFrame, models: DataFrame, failures: DataFrame,
+    papers: DataFrame,
+) -> DataFrame:
+    """One row per requested graph: title, admitted and rejected nodes, calls, cost, models in order, failure reason.
+
+    Every joined table has one row per graph; a graph has a handful of models, so their list is short.
+    """
+    counts = judged_nodes.groupBy("graph_id").agg(
+        F.count_if(F.col("why").isNull()).alias("nodes"), F.count_if(F.col("why").isNotNull()).alias("rejected")
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("use_no", "model")))["model"]
+    named = models.groupBy("graph_id").agg(F.array_join(in_order, " + ").alias("models"))
+    joined = requests.select("graph_id").distinct()
+    for table in (papers.select("graph_id", "title"), counts, receipts.drop("billed"), named, failures):
+        joined = joined.join(table, "graph_id", "left")
+    zero = {name: F.coalesce(name, F.lit(0)) for name in ("nodes", "rejected", "calls")}
+    return joined.withColumns(zero).withColumn("cost", F.coalesce("cost", F.lit(0.0)))

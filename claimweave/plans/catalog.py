@@ -719,6 +719,19 @@ def corpus_totals(c: Corpus) -> DataFrame:
     return report.corpus_totals(_report(c), source)
 
 
+@query
+def reply_report(c: Corpus) -> DataFrame:
+    """The run report of the reply log: what each requested paper gave and cost."""
+    # Several tables read the resolved calls, so replies are parsed once.
+    calls = settle(c.calls, "calls")
+    won = attempts.winners(calls).select("graph_id", "parsed")
+    graph = classify.classify(replies.raw_nodes(won), replies.raw_edges(won))
+    return report.run_summary(
+        c.view("attempts"), graph.judged_nodes, attempts.cost_receipts(calls), attempts.models_by_first_use(calls),
+        attempts.failures(c.view("attempts"), calls), replies.paper_info(won),
+    )
+
+
 @query
 def working_graphs(c: Corpus) -> DataFrame:
     """Rows of the working-graph artifact by part."""

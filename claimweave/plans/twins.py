@@ -599,6 +599,14 @@ def _report_sql() -> str:
     group by graph_id"""
 
 
+_REPLY_VERDICTS = f"""
+        select graph_id, pos, id, type, case when id = '' then 'missing id' when text = '' then 'missing text' end as why
+        from (select graph_id, cast(i as bigint) as pos, coalesce({strip(_string('rec', '$.id'))}, '') as id,
+                     coalesce({strip(_string('rec', '$.type'))}, '') as type, coalesce({strip(_string('rec', '$.text'))}, '') as text
+              from (select graph_id, i, json_extract(reply, '$.nodes[' || i || ']') as rec
+                    from (select graph_id, reply, unnest(range(cast(json_array_length(reply, '$.nodes') as bigint))) as i
+                          from calls where outcome = 'ok' and parse <> 'none') t) u) v"""
+
 QUERIES: dict[str, str] = {
     "input_types": f"""
         select paper_id, name, {_EXT} as ext, {_EXT} in ('.pdf', '.txt', '.md') as accepted,
@@ -685,13 +693,7 @@ QUERIES: dict[str, str] = {
                case when parse <> 'none' and json_type(reply, '$.edges') = 'ARRAY'
                     then cast(json_array_length(reply, '$.edges') as bigint) else 0 end as edges
         from parsed_verdicts""",
-    "reply_verdicts": f"""
-        select graph_id, pos, id, type, case when id = '' then 'missing id' when text = '' then 'missing text' end as why
-        from (select graph_id, cast(i as bigint) as pos, coalesce({strip(_string('rec', '$.id'))}, '') as id,
-                     coalesce({strip(_string('rec', '$.type'))}, '') as type, coalesce({strip(_string('rec', '$.text'))}, '') as text
-              from (select graph_id, i, json_extract(reply, '$.nodes[' || i || ']') as rec
-                    from (select graph_id, reply, unnest(range(cast(json_array_length(reply, '$.nodes') as bigint))) as i
-                          from calls where outcome = 'ok' and parse <> 'none') t) u) v""",
+    "reply_verdicts": _REPLY_VERDICTS,
     "node_verdicts": "select graph_id, pos, id, type, coalesce(why, 'ok') as verdict from judged_nodes",
     "clean_nodes": "select graph_id, ord, id, type, text, description, doi, url, anchor from nodes",
     "clean_anchors": f"select graph_id, pos, anchor from {quoted('raw_nodes')} q",
@@ -896,6 +898,25 @@ QUERIES: dict[str, str] = {
     "corpus_totals": f"""
         select split_part(graph_id, '-', 1) as source, graph_id, sum(columns(* exclude (graph_id)))::bigint
         from ({_report_sql()}) t group by rollup (split_part(graph_id, '-', 1), graph_id)""",
+    "reply_report": f"""
+        select a.graph_id, max(p.title) as title, coalesce(max(v.nodes), 0) as nodes, coalesce(max(v.rejected), 0) as rejected,
+               max(c.calls) as calls, max(c.cost) as cost, max(c.models) as models, max(c.why) as why
+        from attempts a
+        left join (select graph_id, count(usage) filter (where outcome = 'ok') as calls,
+                          coalesce(sum(case when outcome = 'ok' and json_type(usage, '$.cost') in ('UBIGINT', 'BIGINT', 'DOUBLE')
+                                            then cast(json_extract_string(usage, '$.cost') as double) end), 0.0) as cost,
+                          (select string_agg(m, ' + ' order by first) from
+                             (select case when k.model = '' then k.asked else k.model end as m, min(k.attempt) as first
+                              from calls k where k.graph_id = calls.graph_id and k.outcome = 'ok' group by 1) z) as models,
+                          case when count(*) filter (where outcome = 'ok' and parse <> 'none') = 0
+                               then case when max_by(outcome, attempt) = 'ok' then 'reply parsed to no {{nodes, edges}} graph'
+                                         else max_by(outcome, attempt) end end as why
+                   from calls group by graph_id) c on c.graph_id = a.graph_id
+        left join (select graph_id, count(*) filter (where why is null) as nodes, count(*) filter (where why is not null) as rejected
+                   from ({_REPLY_VERDICTS}) r group by graph_id) v on v.graph_id = a.graph_id
+        left join (select graph_id, nullif({strip(_string('reply', '$.paper.title'))}, '') as title from calls
+                   where outcome = 'ok' and parse <> 'none') p on p.graph_id = a.graph_id
+        group by a.graph_id""",
     "working_graphs": """
         select graph_id, part, count(*) as n
         from (select graph_id, 'nodes' as part from nodes union all select graph_id, 'edges' from edges

@@ -43,9 +43,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a table feeds several branches or an iteration: the lineage ends at files that outlive a lost
-    executor, and as parquet the readers still prune columns and push filters down.
+    executor, and as parquet the readers still prune columns and push filters down. Tables lie in one folder per
+    application, which may be deleted when the application has ended.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "claimweave", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(
+        shared_dir(spark), "claimweave", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}"
+    )
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -82,17 +82,19 @@ def reassembled(deltas: DataFrame, width: int = DELTAS_PER_BLOCK) -> DataFrame:
 def gaps(deltas: DataFrame, seconds: int) -> DataFrame:
     """Silences of more than ``seconds`` between consecutive rows: ``(gen_id, seq, ts, gap_seconds)``.
 
-    Each row meets the previous one inside its own day; the first row of a day meets the last row of the latest
-    earlier day that has any. A generation that fills the log is so sorted day by day instead of in one task.
+    Each row meets the previous one inside its own hour; the first row of an hour meets the last row of the latest
+    earlier hour that has any. A generation that fills the log is so sorted hour by hour instead of in one task.
     """
-    dated = deltas.select("gen_id", "seq", F.col("ts").cast("timestamp").alias("ts")).withColumn("_day", F.to_date("ts"))
-    in_day = Window.partitionBy("gen_id", "_day").orderBy("ts", "seq")
-    ends = dated.groupBy("gen_id", "_day").agg(F.max("ts").alias("_last"))
-    # One row per generation and day reaches this window.
+    dated = deltas.select("gen_id", "seq", F.col("ts").cast("timestamp").alias("ts")).withColumn(
+        "_hour", F.floor(F.unix_micros("ts") / 3_600_000_000).cast("bigint")
+    )
+    in_hour = Window.partitionBy("gen_id", "_hour").orderBy("ts", "seq")
+    ends = dated.groupBy("gen_id", "_hour").agg(F.max("ts").alias("_last"))
+    # One row per generation and hour reaches this window.
     before = ends.select(
-        "gen_id", "_day", F.lag("_last").over(Window.partitionBy("gen_id").orderBy("_day")).alias("_earlier")
+        "gen_id", "_hour", F.lag("_last").over(Window.partitionBy("gen_id").orderBy("_hour")).alias("_earlier")
     )
-    chained = dated.withColumn("_previous", F.lag("ts").over(in_day)).join(before, ["gen_id", "_day"])
+    chained = dated.withColumn("_previous", F.lag("ts").over(in_hour)).join(before, ["gen_id", "_hour"])
     previous = F.coalesce("_previous", "_earlier")
     gap = F.unix_micros("ts") - F.unix_micros(previous)
     return chained.where(gap > seconds * 1_000_000).select(

@@ -42,7 +42,7 @@ def test_edge_verdicts(spark):
             ("constructor", "c", "c"),
         ],
     )
-    graph = classify.classify(nodes, edges)
+    graph = classify.classify(nodes, edges, durable=True)
     judged = {row["pos"]: row["verdict"] for row in classify.mark_folded(edges, graph.judged_edges).collect()}
     assert judged == {
         0: "ungrammatical", 1: "dangling", 2: "ungrammatical", 3: "ok", 4: "folded", 5: "ok", 6: "ungrammatical",
@@ -57,7 +57,7 @@ def test_edge_verdicts(spark):
 def test_every_record_is_accounted_for(spark):
     nodes = node_rows(spark, [{"id": f"n{i % 3}", "type": "Claim", "text": "t"} for i in range(7)])
     edges = edge_rows(spark, [("supports", f"n{i % 3}", f"n{i % 4}") for i in range(20)])
-    graph = classify.classify(nodes, edges)
+    graph = classify.classify(nodes, edges, durable=True)
     judged = graph.judged_edges.collect()
     assert sum(row["copies"] + 1 for row in judged) == 20
     assert graph.nodes.count() + graph.judged_nodes.where("why is not null").count() == 7

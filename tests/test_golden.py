@@ -39,12 +39,12 @@ PAPERS = "graph_id string, title string, doi string, license string, authors arr
 
 @pytest.fixture(scope="module")
 def golden(spark):
-    graph = classify.classify(node_rows(spark, NODES), edge_rows(spark, EDGES))
+    graph = classify.classify(node_rows(spark, NODES), edge_rows(spark, EDGES), durable=True)
     papers = spark.createDataFrame(
         [("g", "Drying of clay tiles in shade", "10.1234/CLAY", "CC0", [("Ida Ram", "0000-0002-1825-0097"), ("Bo Lind", None)])],
         PAPERS,
     )
-    return graph, projection_of(graph, papers, NAMING)
+    return graph, projection_of(graph, papers, NAMING, durable=True)
 
 
 @pytest.fixture(scope="module")
