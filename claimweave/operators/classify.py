@@ -23,14 +23,12 @@ def wanted_versus_got(relation: Column, wants: Column, subj_type: Column, obj_ty
     return F.concat(relation, F.lit(" wants "), wants, F.lit(", got "), subj_type, F.lit("→"), obj_type)
 
 
-def judge_nodes(raw_nodes: DataFrame) -> DataFrame:
-    """The verdict on every raw node: ``graph_id, pos, id, type, raw_type, why`` (``why`` is NULL when admitted).
+def _checked(raw_nodes: DataFrame) -> DataFrame:
+    """``graph_id, pos, id, type, raw_type`` and the fault a node has on its own.
 
-    Reasons in order: missing id, missing text, invalid type, duplicate id. Only otherwise valid records reserve an
-    id, so a rejected record never blocks a later one. Texts are looked at in the scan and left there: everything
-    that shuffles is narrow.
+    Texts are looked at in the scan and left there: everything that shuffles is narrow.
     """
-    narrow = raw_nodes.select(
+    return raw_nodes.select(
         "graph_id",
         "pos",
         text_or_empty(F.col("id")).alias("id"),
@@ -43,6 +41,29 @@ def judge_nodes(raw_nodes: DataFrame) -> DataFrame:
         .when(F.col("_blank"), "missing text")
         .when(~F.col("type").isin(NODE_CLASSES), F.concat(F.lit('invalid type "'), "raw_type", F.lit('"'))),
     )
+
+
+def admit_nodes(raw_nodes: DataFrame) -> DataFrame:
+    """``(graph_id, pos, id, type)`` of the admitted nodes: the first faultless record of each id.
+
+    One aggregate, combined map-side; its output is already partitioned for the joins on (graph_id, id).
+    """
+    return (
+        _checked(raw_nodes)
+        .where(F.col("_fault").isNull())
+        .groupBy("graph_id", "id")
+        .agg(F.min(F.struct("pos", "type")).alias("_first"))
+        .select("graph_id", "_first.pos", "id", "_first.type")
+    )
+
+
+def judge_nodes(raw_nodes: DataFrame) -> DataFrame:
+    """The verdict on every raw node: ``graph_id, pos, id, type, raw_type, why`` (``why`` is NULL when admitted).
+
+    Reasons in order: missing id, missing text, invalid type, duplicate id. Only otherwise valid records reserve an
+    id, so a rejected record never blocks a later one.
+    """
+    narrow = _checked(raw_nodes)
     # Ids claimed more than once are the exception: only they travel to the join.
     reused = (
         narrow.where(F.col("_fault").isNull())
@@ -58,11 +79,6 @@ def judge_nodes(raw_nodes: DataFrame) -> DataFrame:
     )
 
 
-def admitted(judged: DataFrame) -> DataFrame:
-    """``(graph_id, pos, id, type)`` of the admitted nodes."""
-    return judged.where(F.col("why").isNull()).select("graph_id", "pos", "id", "type")
-
-
 def clean_nodes(raw_nodes: DataFrame, numbered: DataFrame) -> DataFrame:
     """Clean columns of admitted nodes; DOI and URL survive only on source documents.
 
@@ -269,19 +285,24 @@ class Graph:
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return settle(df, name) if self.durable else df
 
+    @cached_property
+    def admitted(self) -> DataFrame:
+        """``(graph_id, pos, id, type)`` of the admitted nodes: enough for every check on edges."""
+        return self._keep(admit_nodes(self.raw_nodes), "admitted")
+
     @cached_property
     def judged_nodes(self) -> DataFrame:
-        return self._keep(judge_nodes(self.raw_nodes), "judged-nodes")
+        return judge_nodes(self.raw_nodes)
 
     @cached_property
     def nodes(self) -> DataFrame:
         one_block = fits_one_block(self.raw_nodes, "pos")
-        numbered = number_rows(admitted(self.judged_nodes), ["graph_id"], "pos", "ord", one_block=one_block)
+        numbered = number_rows(self.admitted, ["graph_id"], "pos", "ord", one_block=one_block)
         return self._keep(clean_nodes(self.raw_nodes, numbered), "nodes")
 
     @cached_property
     def judged_edges(self) -> DataFrame:
-        return self._keep(judge_edges(distinct_edges(self.raw_edges), admitted(self.judged_nodes)), "judged-edges")
+        return self._keep(judge_edges(distinct_edges(self.raw_edges), self.admitted), "judged-edges")
 
     @cached_property
     def edges(self) -> DataFrame:

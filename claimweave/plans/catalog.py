@@ -197,7 +197,7 @@ def extraction_requests(c: Corpus) -> DataFrame:
 
 @query
 def consolidation_eligibility(c: Corpus) -> DataFrame:
-    return requests.consolidation_eligibility(classify.admitted(c.lazy_graph.judged_nodes), MERGE_LIMIT)
+    return requests.consolidation_eligibility(c.lazy_graph.admitted, MERGE_LIMIT)
 
 
 @query
@@ -353,7 +353,7 @@ def reject_top8(c: Corpus) -> DataFrame:
 
 @query
 def legal_relations(c: Corpus) -> DataFrame:
-    ends = classify.admitted(c.lazy_graph.judged_nodes)
+    ends = c.lazy_graph.admitted
     pairs = classify.legal_relations(classify.distinct_edges(c.view("raw_edges")), ends)
     legal = F.coalesce(F.array_join("legal_relations", ","), F.lit(""))
     return pairs.select("graph_id", "subj_type", "obj_type", "n_edges", legal.alias("legal"))
@@ -472,7 +472,7 @@ def slugs(c: Corpus) -> DataFrame:
 
 @query
 def accounts(c: Corpus) -> DataFrame:
-    return project.accounts(classify.admitted(c.lazy_graph.judged_nodes).select("graph_id").distinct(), c.papers, NAMING)
+    return project.accounts(c.lazy_graph.admitted.select("graph_id").distinct(), c.papers, NAMING)
 
 
 @query
@@ -634,7 +634,7 @@ def export_edges(c: Corpus) -> DataFrame:
 @query
 def connect(c: Corpus) -> DataFrame:
     drawn = c.view("raw_edges").select("graph_id", F.col("pos").alias("seq"), "subject", "object")
-    return edits.connect(drawn, classify.admitted(c.lazy_graph.judged_nodes))
+    return edits.connect(drawn, c.lazy_graph.admitted)
 
 
 @query
@@ -696,7 +696,7 @@ def structure_changes(c: Corpus) -> DataFrame:
 
 @query
 def orphans(c: Corpus) -> DataFrame:
-    return analytics.orphans(classify.admitted(c.lazy_graph.judged_nodes), c.lazy_graph.edges)
+    return analytics.orphans(c.lazy_graph.admitted, c.lazy_graph.edges)
 
 
 # ---- reports ----
