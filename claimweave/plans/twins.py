@@ -599,6 +599,70 @@ def _report_sql() -> str:
     group by graph_id"""
 
 
+
+def _object(**fields: str) -> str:
+    """SQL for a JSON object text; ``fields`` are SQL expressions of JSON text, left out when NULL."""
+    parts = [f"""coalesce(',"{key.replace('at_', '@')}":' || {value}, '')""" for key, value in fields.items()]
+    return "'{' || substr(" + " || ".join(parts) + ", 2) || '}'"
+
+
+def _text(x: str) -> str:
+    return f"cast(to_json({x}) as varchar)"
+
+
+_DATED = {"created": _text(f"'{catalog.STAMP}'"), "modified": _text(f"'{catalog.STAMP}'")}
+_AGENT = _text("'x:agent'")
+
+
+def _item_sql(table: str, order: str, section: int) -> str:
+    item = _object(
+        at_id=_text("item"), at_type=_text("'Item'"), format=_text("'text/plain'"), content=_text("anchor"), has_container=_text("'x:doc'")
+    )
+    return f"select graph_id, {section} as section, {order} as ord, {item} as obj from {table} where item is not null"
+
+
+_DOCUMENTS = f"""
+    select graph_id, 0 as part, 1 as n_parts,
+           '["{catalog.NAMING.context_iri}",{{"x":"{catalog.NAMING.base_prefix}' || {_SLUG.format(x='graph_id')} || ':"}}]' as context,
+           string_agg(obj, ',' order by section, ord) as body
+    from (select graph_id, 0 as section, ord,
+                 {_object(at_id=_text('account_id'), at_type=_text("'UserAccount'"), accountName=_text('account_name'))} as obj
+          from account_rows
+          union all
+          select graph_id, section, ord,
+                 {_object(at_id=_text('iri'), at_type=_text("case when section = 1 then 'NodeSchema' else 'AbstractRelationDef' end"),
+                          subClassOf=_text('[name]'), label=_text('name'), **_DATED, creator=_AGENT)}
+          from defs
+          union all
+          select graph_id, 3, 0, {_object(at_id=_text("'x:doc'"), at_type=_text("'Container'"))} from object_ids where section = 3
+          union all {_item_sql('node_objs', 'ord', 4)}
+          union all {_item_sql('relation_objs', 'r', 5)}
+          union all
+          select graph_id, 6, ord,
+                 {_object(at_id=_text('iri'), at_type=_text("['x:_schema_' || type, type]"), title=_text('title'), content=_text('content'),
+                          **_DATED, creator="case when creators = 'x:agent' then '" + '"x:agent"' + "' else " + _text("string_split(creators, ',')") + " end",
+                          description=_text('item'), sourceDocument=_text('source_document'))}
+          from node_objs
+          union all
+          select graph_id, 7, r,
+                 {_object(at_id=_text('iri'), at_type=_text("['x:_rel_' || relation, relation, 'RelationInstance']"),
+                          source=_text('source'), destination=_text('destination'), title=_text('title'), **_DATED, creator=_AGENT,
+                          description=_text('item'))}
+          from relation_objs) t
+    group by graph_id"""
+
+_CONSOLIDATION = f"""
+    select n.graph_id, 'Review these records; return merges and missing relations as one JSON object.' || chr(10) || chr(10)
+           || '{{"nodes":[' || n.list || '],"edges":[' || coalesce(e.list, '') || ']}}' as user_message
+    from (select graph_id, count(*) as records,
+                 string_agg({_object(id=_text('id'), type=_text('type'), text=_text('substr(text, 1, 2000)'),
+                                     description=_text('substr(description, 1, 2000)'))}, ',' order by ord) as list
+          from nodes group by graph_id) n
+    left join (select graph_id, string_agg({_object(relation=_text('relation'), subject=_text('subject'), object=_text('object'))},
+                                           ',' order by pos) as list
+               from edges group by graph_id) e on e.graph_id = n.graph_id
+    where n.records <= {catalog.MERGE_LIMIT}"""
+
 _REPLY_VERDICTS = f"""
         select graph_id, pos, id, type, case when id = '' then 'missing id' when text = '' then 'missing text' end as why
         from (select graph_id, cast(i as bigint) as pos, coalesce({strip(_string('rec', '$.id'))}, '') as id,
@@ -608,6 +672,8 @@ _REPLY_VERDICTS = f"""
                           from calls where outcome = 'ok' and parse <> 'none') t) u) v"""
 
 QUERIES: dict[str, str] = {
+    "documents": _DOCUMENTS,
+    "consolidation_requests": _CONSOLIDATION,
     "input_types": f"""
         select paper_id, name, {_EXT} as ext, {_EXT} in ('.pdf', '.txt', '.md') as accepted,
                {_EXT} in ('.pdf', '.txt', '.md', '') as web_accepted,
