@@ -50,8 +50,9 @@ def none_if_empty(col: Column) -> Column:
 
 
 def squeeze(col: Column) -> Column:
-    """White space runs become one space; ends trimmed."""
-    return strip(F.regexp_replace(col, SPACE_CLASS + "+", " "))
+    """White space runs become one space; ends trimmed. A lone plain space is no match, which spares most of a text."""
+    other = SPACE_CLASS.replace(" ", "", 1)
+    return strip(F.regexp_replace(col, f"{other}{SPACE_CLASS}*| {SPACE_CLASS}+", " "))
 
 
 def comparable(col: Column) -> Column:
