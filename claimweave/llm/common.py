@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from claimweave.session import configure, settle
 
@@ -50,7 +51,7 @@ def text_bytes() -> Column:
 
 def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` with a step from one batch to column dictionaries."""
-    names = [field.split()[0] for field in schema.split(", ")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
