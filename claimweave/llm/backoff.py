@@ -192,7 +192,7 @@ def _scores(order: int, words: int, alpha: float, cutoff: int):
                     has = grams.place >= n
                     seen = has & (counts[n] >= cutoff)
                     score = np.where(seen, np.log(np.maximum(counts[n], 1) / history), score + np.where(has, math.log(alpha), 0.0))
-                    backed = has & ~seen
+                    backed = np.where(has, ~seen, backed)
                 first = np.cumsum(grams.n_words) - grams.n_words
                 sums = [float(score[a : a + n].sum()) for a, n in zip(first.tolist(), grams.n_words.tolist())]
                 offs = [int(backed[a : a + n].sum()) for a, n in zip(first.tolist(), grams.n_words.tolist())]

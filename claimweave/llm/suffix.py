@@ -59,19 +59,26 @@ def spans_of(drop: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> str:
+    """The characters of UTF-8 ``data`` that no span touches."""
+    edges = [0, *(edge for span in spans for edge in span), len(data)]
+    return "".join(data[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2]))
+
+
 def deduplicate(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",), text: bool = True, class_limit: int = CLASS_LIMIT) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts earlier in the corpus.
 
     Earlier means a smaller ``doc_id``, or the same document and an earlier start; strings are judged on the input and
     matches never cross documents. Returns the columns in ``keep`` with ``n_bytes``, ``n_removed``, ``spans`` (maximal
-    removed runs), ``kept_sha256`` and, if asked for, ``kept`` (the remaining bytes).
+    removed runs), ``kept_sha256`` and, if asked for, ``kept_text``: the remaining characters, without those of which the
+    removed runs took some bytes.
 
     A null text is empty; texts below ``width`` bytes stay whole. A null ``doc_id`` comes before all others. Input rows
     with equal id and text are one document and get equal results; rows that share an id alone are different documents,
     ordered by a hash of the text. Other columns play no part. No rows in, no rows out.
     """
     rows = with_runs(docs, repeated_runs(docs, width, class_limit), list(keep))
-    extra = ", kept binary" if text else ""
+    extra = ", kept_text string" if text else ""
     row_type = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +90,11 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("d
                 left = np.frombuffer(data, np.uint8)[~drop].tobytes() if drop.any() else data
                 sizes.append(len(data))
                 removed.append(len(data) - len(left))
-                spans.append([{"start": a, "end": b} for a, b in spans_of(drop)])
+                runs_of = spans_of(drop)
+                spans.append([{"start": a, "end": b} for a, b in runs_of])
                 digests.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
+                if text:
+                    kept.append(whole_characters(data, runs_of))
             columns = {
                 "row": batch["row"],
                 "n_bytes": pa.array(sizes, pa.int64()),
@@ -94,8 +103,8 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("d
                 "kept_sha256": pa.array(digests, pa.string()),
             }
             if text:
-                columns["kept"] = pa.array(kept, pa.binary())
+                columns["kept_text"] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = f"row {row_type}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string{extra}"
-    return rows.mapInArrow(run, schema).select("row.*", "n_bytes", "n_removed", "spans", "kept_sha256", *(["kept"] if text else []))
+    return rows.mapInArrow(run, schema).select("row.*", "n_bytes", "n_removed", "spans", "kept_sha256", *(["kept_text"] if text else []))

@@ -45,10 +45,10 @@ def words_of(text: str) -> set[str]:
 
 
 def slots_of(word: str) -> tuple[int, ...]:
-    """Slots of a word and of its first four and five letters."""
+    """Slots of a word and of its first four, five and six letters."""
     if not word:
         return ()
-    names = [f"w{word}"] + [f"{n}{word[:n]}" for n in (4, 5) if len(word) >= n]
+    names = [f"w{word}"] + [f"{n}{word[:n]}" for n in (4, 5, 6) if len(word) >= n]
     return tuple(xxhash.xxh3_64_intdigest(name) % SLOTS for name in names)
 
 
@@ -93,11 +93,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
-def fit(rows: list[tuple[list[int], list[list[int]], int]], penalty: float = 4.0, ridge: float = 0.02, steps: int = 300, least: int = 3) -> Model:
+def fit(rows: list[tuple[list[int], list[list[int]], int]], penalty: float = 4.0, ridge: float = 0.02, steps: int = 300, least: int = 3, excess: float = 3.5) -> Model:
     """Fit to ``(slots, slots of each counterfactual, label)`` rows.
 
-    Slots on fewer than ``least`` rows, or no more frequent among one label than chance would have it, are left out first.
-    With no rows, or one label only, the model is a constant.
+    Slots on fewer than ``least`` rows, or less than ``excess`` standard deviations more frequent among toxic rows than chance
+    would have it, are left out first: rare words of long texts would only add noise to their scores. With no rows, or one
+    label only, the model is a constant.
     """
     labels = np.array([label for *_, label in rows], float)
     n, positive = len(rows), float(labels.sum())
@@ -112,7 +113,7 @@ def fit(rows: list[tuple[list[int], list[list[int]], int]], penalty: float = 4.0
     share = positive / n
     z = (hits - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
     swapped = [(slots, other) for slots, others, _ in rows for other in others]
-    used = (total >= least) & (np.abs(z) >= 2.5)
+    used = (total >= least) & (z >= excess)
     changed = sorted({slot for slots, other in swapped for slot in set(slots) ^ set(other)})
     used[changed] |= total[changed] > 0
     place = np.cumsum(used) - 1
@@ -192,12 +193,12 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
     Every whole text is scored; a null or empty text has the score of the bias. Rows are scored one by one, so repeated
     rows agree and other columns play no part. No rows in, no rows out.
     """
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SLOTS weights
 
     def step(batch: pa.RecordBatch) -> Iterable[dict]:
         own = shared.value
-        scores = [own.score(text.as_py()) for text in batch["_text"]]
+        scores = [own.score(text.as_py() or "") for text in batch["text"]]
         yield {name: batch[name] for name in keep} | {"score": pa.array(scores, pa.float64())}
 
     kept = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in keep)

@@ -345,7 +345,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = False, range_bytes:
         if rows:
             yield _table(rows)
 
-    return ranges.unionByName(whole).repartition("path", "begin").mapInArrow(run, RECORD)
+    # A number of its own: the rows are few and small, but each stands for much work.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.unionByName(whole).repartition(tasks, "path", "begin").mapInArrow(run, RECORD)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:

@@ -89,6 +89,9 @@ def test_bytes(spark, seed, limit):
     found = suffix.deduplicate(corpus(spark, texts), class_limit=limit).collect()
     rows = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found), key=str)
     assert rows == brute_bytes(texts, 100)
+    for r in found:
+        if not r.n_removed:
+            assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
     assert any(0 < r.n_removed < r.n_bytes for r in found)
 
 
@@ -113,3 +116,10 @@ def test_blocks_cut_at_buffer_ends(spark, monkeypatch):
     assert all((c.start[1:] == c.start[:-1] + c.count[:-1]).all() for c in cut)
     found = suffix.deduplicate(corpus(spark, texts)).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found), key=str) == whole
+
+
+def test_cut_characters_go_whole():
+    data = "aé日b".encode()
+    assert suffix.whole_characters(data, [(2, 4)]) == "ab"
+    assert suffix.whole_characters(data, []) == "aé日b"
+    assert suffix.whole_characters("éé".encode(), [(1, 3)]) == ""
