@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterable
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import pyarrow.fs
 import regex
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from claimweave.llm.common import mapped, text_bytes
 
 #: Pieces and token pairs whose encoding a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+NONE = 1 << 60
 
 
 class Vocabulary:
@@ -36,36 +38,104 @@ class Vocabulary:
                 self.rank[base64.b64decode(token)] = int(rank)
         self.token = {rank: token for token, rank in self.rank.items()}
         self.longest = max(map(len, self.rank), default=0)
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """Parts of a short string after merging adjacent parts, lowest rank first, the leftmost on ties."""
+        self.size = {rank: len(token) for rank, token in self.token.items()}
+        self._pairs: dict[int, bool] = {}
+        self._histories: dict[int, list[tuple[int, bytes, bytes]]] = {}
+        # Finds all tokens that end at each place of a text. Tokens that merging never makes are not among them.
+        self.ending = ahocorasick.Automaton()
+        for token, rank in self.rank.items():
+            if len(self.merged(token)) == 1:
+                self.ending.add_word(token.decode("latin-1"), (len(token), rank))
+        self.ending.make_automaton()
+
+    def merged(self, data: bytes, history: list | None = None) -> list[bytes]:
+        """Parts of a short string after merging adjacent parts, lowest rank first, the leftmost on ties.
+
+        ``history`` gets a triple per state: rank of the next merge, first part and last part.
+        """
+        rank = self.rank.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, place = min((self.rank.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
-                break
-            parts[place : place + 2] = [parts[place] + parts[place + 1]]
-        return parts
-
-    def stands_alone(self, token: int) -> bool:
-        """Whether merging the token's own bytes gives the token."""
-        known = self._whole.get(token)
+        ranks = [rank(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+        while True:
+            best = min(ranks, default=NONE)
+            if history is not None:
+                history.append((best, parts[0], parts[-1]))
+            if best == NONE:
+                return parts
+            place = ranks.index(best)
+            parts[place] += parts.pop(place + 1)
+            del ranks[place]
+            if place:
+                ranks[place - 1] = rank(parts[place - 1] + parts[place], NONE)
+            if place < len(ranks):
+                ranks[place] = rank(parts[place] + parts[place + 1], NONE)
+
+    def history(self, token: int) -> list[tuple[int, bytes, bytes]]:
+        known = self._histories.get(token)
         if known is None:
-            known = self._whole[token] = len(self.merged(self.token[token])) == 1
+            known = self._histories[token] = []
+            self.merged(self.token[token], known)
         return known
 
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of both tokens gives these two tokens.
+
+        Until a merge crosses the border, each side merges as it does alone; so both histories are followed, the lower
+        rank first, and a merge across the border would have to come before the next one on the left and not
+        after the next one on the right.
+        """
+        rank = self.rank.get
+        lefts, rights = self.history(left), self.history(right)
+        i = j = 0
+        while True:
+            (next_left, _, tail), (next_right, head, _) = lefts[i], rights[j]
+            across = rank(tail + head, NONE)
+            if across < next_left and across <= next_right and across < NONE:
+                return False
+            if next_left == NONE and next_right == NONE:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of both tokens gives these two tokens."""
-        known = self._pairs.get((left, right))
+        known = self._pairs.get(left << 32 | right)
         if known is None:
             if len(self._pairs) >= REMEMBERED:
                 self._pairs.clear()
-            a, b = self.token[left], self.token[right]
-            known = self._pairs[left, right] = self.merged(a + b) == [a, b]
+            known = self._pairs[left << 32 | right] = self._stay_apart(left, right)
         return known
 
+    def fill(self, last: list[int], data: bytes, offset: int = 0) -> None:
+        """Set the open entries (-1) of ``last``; ``data`` holds the bytes from ``offset`` to the end."""
+        known, may_follow = self._pairs.get, self.may_follow
+        for end, (size, token) in self.ending.iter(data.decode("latin-1")):
+            end += offset
+            if last[end] >= 0:
+                continue
+            before = end - size
+            if before < 0:
+                last[end] = token
+                continue
+            left = last[before]
+            fits = known(left << 32 | token)
+            if fits or fits is None and may_follow(left, token):
+                last[end] = token
+        if -1 in last:
+            raise ValueError("the vocabulary lacks a single byte")
+
+    def walk(self, last: list[int], end: int) -> list[int]:
+        """The tokens of the prefix up to ``end``, from the last tokens of the prefixes."""
+        out = []
+        size = self.size
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= size[token]
+        out.reverse()
+        return out
+
 
 class Prefixes:
     """The unique valid last token of every prefix of a byte string."""
@@ -76,20 +146,13 @@ class Prefixes:
         self.last: list[int] = []
         self.append(data)
 
-    def _last_token(self, end: int) -> int:
-        vocabulary, data = self.vocabulary, self.data
-        for begin in range(max(0, end - vocabulary.longest), end):
-            token = vocabulary.rank.get(bytes(data[begin:end]))
-            if token is not None and vocabulary.stands_alone(token):
-                if not begin or vocabulary.may_follow(self.last[begin - 1], token):
-                    return token
-        raise ValueError("the vocabulary lacks a single byte")
-
     def append(self, data: bytes) -> None:
         """Continue with more bytes; the entries so far stay."""
-        for byte in data:
-            self.data.append(byte)
-            self.last.append(self._last_token(len(self.data)))
+        old = len(self.last)
+        self.data += data
+        self.last += [-1] * len(data)
+        back = max(0, old - self.vocabulary.longest)  # a token that ends in the new bytes may begin before them
+        self.vocabulary.fill(self.last, bytes(self.data[back:]), back)
 
     def edit(self, start: int, end: int, data: bytes) -> int:
         """Replace the bytes from ``start`` to ``end``; returns how many entries were computed anew.
@@ -100,24 +163,19 @@ class Prefixes:
         rest_data, rest_last = bytes(self.data[end:]), self.last[end:]
         del self.data[start:], self.last[start:]
         self.append(data)
-        agreeing, done = 0, 0
-        while done < len(rest_data) and agreeing < self.vocabulary.longest:
-            self.append(rest_data[done : done + 1])
-            agreeing = agreeing + 1 if self.last[-1] == rest_last[done] else 0
-            done += 1
+        agreeing, done, step = 0, 0, self.vocabulary.longest
+        while done < len(rest_data) and agreeing < step:
+            self.append(rest_data[done : done + step])
+            for new, old in zip(self.last[len(self.last) - len(rest_data[done : done + step]) :], rest_last[done : done + step]):
+                agreeing = agreeing + 1 if new == old else 0
+            done += step
         self.data += rest_data[done:]
         self.last += rest_last[done:]
-        return len(data) + done
+        return len(data) + min(done, len(rest_data))
 
     def tokens(self, end: int | None = None) -> list[int]:
         """Encoding of the prefix up to ``end``."""
-        end = len(self.data) if end is None else end
-        out = []
-        while end:
-            token = self.last[end - 1]
-            out.append(token)
-            end -= len(self.vocabulary.token[token])
-        return out[::-1]
+        return self.vocabulary.walk(self.last, len(self.data) if end is None else end)
 
 
 class Encoder:
@@ -127,17 +185,26 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern).findall
         self._known: dict[str, list[int]] = {}
+        self._older: dict[str, list[int]] = {}
 
     def piece(self, piece: str) -> list[int]:
-        known = self._known.get(piece)
+        """Encoding of one match. Two generations of known pieces: what is asked for again outlives the change."""
+        known = self._older.get(piece)
         if known is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
             data = piece.encode()
             whole = self.vocabulary.rank.get(data)
-            known = [whole] if whole is not None else Prefixes(self.vocabulary, data).tokens()
-            if len(data) <= 256:
-                self._known[piece] = known
+            if whole is not None:
+                known = [whole]
+            else:
+                last = [-1] * len(data)
+                self.vocabulary.fill(last, data)
+                known = self.vocabulary.walk(last, len(data))
+            if len(data) > 256:
+                return known
+        if len(self._known) >= REMEMBERED // 2:
+            self._older = dict(self._known)
+            self._known.clear()
+        self._known[piece] = known
         return known
 
     def encode(self, text: str) -> list[int]:
