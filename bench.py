@@ -10,6 +10,7 @@ import time
 from pyspark.sql import SparkSession
 
 from claimweave.plans import catalog
+from claimweave.session import release
 
 HEADLINE = [
     "route_papers",
@@ -66,6 +67,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

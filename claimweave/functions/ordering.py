@@ -15,26 +15,16 @@ def block_of(pos: Column, width: int = BLOCK) -> Column:
     return F.floor(pos / F.lit(width)).cast("bigint")
 
 
-def fits_one_block(df: DataFrame, pos: str, width: int = BLOCK) -> bool:
-    """Whether no position reaches a second block. Asked of a stored table, this reads little more than its statistics."""
-    return df.where(F.col(pos) >= width).isEmpty()
-
-
-def number_rows(
-    df: DataFrame, keys: Sequence[str], pos: str, out: str, width: int = BLOCK, one_block: bool = False
-) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], pos: str, out: str, width: int = BLOCK) -> DataFrame:
     """Add ``out``: the dense 0-based rank of each row by ``pos`` within ``keys`` (``pos`` unique per key).
 
     A single window over ``keys`` would sort a whole hot group in one task. Here rows are ranked inside
     (keys, position block) and shifted by the row count of earlier blocks, so the largest sort is one block. The
     block counts are aggregated before the shuffle and only blocks after a key's first carry a shift, so for
-    ordinary groups the joined side is empty and AQE drops the join. Counting evaluates ``df`` a second time; callers
-    that know every position to be below ``width`` (see ``fits_one_block``) say ``one_block`` and skip it.
+    ordinary groups the joined side is empty and AQE drops the join. Counting evaluates ``df`` a second time, so it
+    is best a stored table or a narrow plan.
     """
     keys = list(keys)
-    if one_block:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(pos)) - 1
-        return df.withColumn(out, rank.cast("bigint"))
     blocked = df.withColumn("_block", block_of(F.col(pos), width))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import strip, text_or_empty
+from claimweave.vocab import FENCE
 
-FENCE = r"(?s)\A```[^\n]*\n(.*?)\n```\z"
 SPAN = r"(?s)\{.*\}"
 _END = "claimweave:end"
 

@@ -12,7 +12,7 @@ from claimweave.functions.replies import kind, member, strict_json
 from claimweave.functions.text import none_if_empty, strip
 from claimweave.operators.replies import parse_graphs
 
-NO_GRAPH = "reply parsed to no {nodes, edges} graph"
+NO_GRAPH = "no usable graph in the reply"
 
 
 def retryable(status: Column) -> Column:
@@ -35,13 +35,13 @@ def with_outcome(attempts: DataFrame) -> DataFrame:
     stall = F.col("stall") if "stall" in attempts.columns else F.lit(None).cast("string")
     stream_error = F.col("stream_error") if "stream_error" in attempts.columns else F.lit(None).cast("string")
     empty = F.coalesce(strip(F.col("content")), F.lit("")) == ""
-    mismatch = F.concat(F.lit("model mismatch: asked for "), "asked", F.lit(", answered by "), "model")
+    mismatch = F.concat(F.lit("answered by "), "model", F.lit(" instead of "), "asked")
     outcome = (
         F.when(stall.isNotNull(), stall)
-        .when(F.col("status") == 0, "network error")
+        .when(F.col("status") == 0, "no connection")
         .when(~F.col("status").between(200, 299), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
-        .when(stream_error.isNotNull(), F.concat(F.lit("stream error: "), F.substring(stream_error, 1, 200)))
-        .when(empty, "empty streamed content")
+        .when(stream_error.isNotNull(), F.concat(F.lit("error in the stream: "), F.substring(stream_error, 1, 200)))
+        .when(empty, "blank reply")
         .when(~same_model(F.col("asked"), F.col("model")), mismatch)
         .otherwise("ok")
     )
@@ -62,10 +62,10 @@ def resolved(attempts: DataFrame, max_replies: int = 3, max_calls: int = 5) -> D
     """The calls that count, with ``parse``, ``parsed`` and ``winner``.
 
     A graph's calls stop at the first reply that parses, after ``max_replies`` replies, at the first final failure,
-    and after ``max_calls`` failures in a row. Attempts are numbered from 1 per graph, so at most
-    ``max_replies * max_calls`` rows per graph reach the windows.
+    and after ``max_calls`` failures in a row. Only the order of the attempt numbers counts: they may start anywhere
+    and leave gaps.
     """
-    judged = parse_graphs(with_outcome(attempts.where(F.col("attempt") <= max_replies * max_calls)))
+    judged = parse_graphs(with_outcome(attempts))
     replied = F.col("outcome") == "ok"
     usable = replied & (F.col("parse") != "none")
     by_attempt = Window.partitionBy("graph_id").orderBy("attempt")

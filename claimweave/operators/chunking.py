@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.plans import pinned
 from claimweave.functions.text import SPACE_CLASS, bind, strip
-from claimweave.vocab import PIECE_BUDGET, PIECE_OVERLAP
+from claimweave.vocab import CONTINUED, PIECE_BUDGET, PIECE_OVERLAP
 
 _SPACE = SPACE_CLASS.replace(r"\n", "")  # within a line
 _WORD = "[^" + SPACE_CLASS[1:]
@@ -108,7 +108,7 @@ def _body_windows(section: Column, body: Column, room: Column, overlap: int) ->
     head = F.when(section["heading"] == "", "").otherwise(F.concat(section["heading"], F.lit("\n\n")))
     return F.transform(
         texts,
-        lambda t, i: F.concat(head, F.when(i > 0, "(section continued)\n\n").otherwise(""), t),
+        lambda t, i: F.concat(head, F.when(i > 0, f"{CONTINUED}\n\n").otherwise(""), t),
     )
 
 

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions.ordering import fits_one_block, number_rows
+from claimweave.functions.ordering import number_rows
 from claimweave.functions.text import none_if_empty, quote, strip, text_or_empty
 from claimweave.session import settle
 from claimweave.vocab import NODE_CLASSES, legal_triples, relation_rules
@@ -46,14 +46,23 @@ def _checked(raw_nodes: DataFrame) -> DataFrame:
 def admit_nodes(raw_nodes: DataFrame) -> DataFrame:
     """``(graph_id, pos, id, type)`` of the admitted nodes: the first faultless record of each id.
 
-    One aggregate, combined map-side; its output is already partitioned for the joins on (graph_id, id).
+    One hash aggregate, combined map-side; its output is already partitioned for the joins on (graph_id, id). Position
+    and class share one number, of which the class is the last digit, since only numbers aggregate without a sort.
     """
+    classes = F.array(*[F.lit(name) for name in NODE_CLASSES])
+    width = len(NODE_CLASSES)
+    packed = F.col("pos") * width + F.array_position(classes, F.col("type")) - 1
     return (
         _checked(raw_nodes)
         .where(F.col("_fault").isNull())
         .groupBy("graph_id", "id")
-        .agg(F.min(F.struct("pos", "type")).alias("_first"))
-        .select("graph_id", "_first.pos", "id", "_first.type")
+        .agg(F.min(packed).alias("_first"))
+        .select(
+            "graph_id",
+            F.expr(f"_first div {width}").alias("pos"),
+            "id",
+            F.element_at(classes, (F.col("_first") % width + 1).cast("int")).alias("type"),
+        )
     )
 
 
@@ -101,22 +110,21 @@ def clean_nodes(raw_nodes: DataFrame, numbered: DataFrame) -> DataFrame:
 
 
 def distinct_edges(raw_edges: DataFrame) -> DataFrame:
-    """First occurrence of each (relation, subject, object) with its own anchor, and how many copies were folded."""
+    """First occurrence of each (relation, subject, object), and how many copies were folded.
+
+    A hash aggregate over the position alone; the first copy's anchor is fetched by ``accepted_edges``.
+    """
     trimmed = raw_edges.select(
         "graph_id",
         "pos",
         text_or_empty(F.col("relation")).alias("relation"),
         text_or_empty(F.col("subject")).alias("subject"),
         text_or_empty(F.col("object")).alias("object"),
-        "anchor",
     )
-    first = F.min(F.struct("pos", "anchor"))
     return (
         trimmed.groupBy("graph_id", "relation", "subject", "object")
-        .agg(first.alias("_first"), (F.count(F.lit(1)) - 1).alias("copies"))
-        .select(
-            "graph_id", "_first.pos", "relation", "subject", "object", F.col("_first.anchor").alias("anchor"), "copies"
-        )
+        .agg(F.min("pos").alias("pos"), (F.count(F.lit(1)) - 1).alias("copies"))
+        .select("graph_id", "pos", "relation", "subject", "object", "copies")
     )
 
 
@@ -185,9 +193,13 @@ def mark_folded(raw_edges: DataFrame, judged: DataFrame) -> DataFrame:
     )
 
 
-def accepted_edges(judged: DataFrame) -> DataFrame:
-    """Legal edges with a cleaned anchor; ``ord`` is their order within the graph."""
-    return judged.where(F.col("verdict") == "ok").select(
+def accepted_edges(judged: DataFrame, raw_edges: DataFrame) -> DataFrame:
+    """Legal edges with the cleaned anchor of their first copy; ``ord`` is their order within the graph.
+
+    Anchors meet their edge on (graph_id, pos), which is unique.
+    """
+    anchors = raw_edges.where(F.col("anchor").isNotNull()).select("graph_id", "pos", "anchor")
+    return judged.where(F.col("verdict") == "ok").join(anchors, ["graph_id", "pos"], "left").select(
         "graph_id",
         F.col("pos").alias("ord"),
         "relation",
@@ -296,8 +308,7 @@ class Graph:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        one_block = fits_one_block(self.raw_nodes, "pos")
-        numbered = number_rows(self.admitted, ["graph_id"], "pos", "ord", one_block=one_block)
+        numbered = number_rows(self.admitted, ["graph_id"], "pos", "ord")
         return self._keep(clean_nodes(self.raw_nodes, numbered), "nodes")
 
     @cached_property
@@ -306,12 +317,11 @@ class Graph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return accepted_edges(self.judged_edges)
+        return accepted_edges(self.judged_edges, self.raw_edges)
 
     @cached_property
     def numbered_edges(self) -> DataFrame:
-        one_block = fits_one_block(self.raw_edges, "pos")
-        return number_rows(self.edges.withColumnRenamed("ord", "pos"), ["graph_id"], "pos", "ord", one_block=one_block)
+        return number_rows(self.edges.withColumnRenamed("ord", "pos"), ["graph_id"], "pos", "ord")
 
     @cached_property
     def rejects(self) -> DataFrame:

@@ -6,11 +6,13 @@ closed key sets, grounding items inside a container, and source stamps on eviden
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.replies import is_array, member, strict_json
-from claimweave.vocab import NODE_CLASSES, RELATIONS, known_quirks
+from claimweave.vocab import NODE_CLASSES, RELATIONS
 
 # ---- fixed values: keys allowed on each kind of object ----
 
@@ -31,8 +33,34 @@ ALLOWED_KEYS = {
     "RelationInstance": NODE_KEYS[:3] + NODE_KEYS[4:] + ["source", "destination"],
 }
 
+# Constraints that the published shapes break by construction: component, namespace (base or own), term.
+KNOWN_QUIRKS = [
+    ("InConstraintComponent", "base", "source"),
+    ("InConstraintComponent", "base", "destination"),
+    ("InConstraintComponent", "own", "sourceDocument"),
+]
+
 # ---- end of fixed values ----
 
+
+@dataclass(frozen=True)
+class Namespaces:
+    """Addresses of the two published vocabularies; set them to those of the shapes in use."""
+
+    base: str = "https://example.org/base#"
+    own: str = "https://example.org/discourse#"
+
+    def full(self, path: Column) -> Column:
+        """The whole address of a path: ``<address>``, ``prefix:term`` with the prefixes base and own, or one of the emitted terms."""
+        bare = F.regexp_replace(path, "^<|>$", "")
+        terms = {term: getattr(self, space) + term for _, space, term in KNOWN_QUIRKS}
+        out = F.when(bare.startswith("base:"), F.concat(F.lit(self.base), F.substring(bare, 6, 1 << 30))).when(
+            bare.startswith("own:"), F.concat(F.lit(self.own), F.substring(bare, 5, 1 << 30))
+        )
+        for term, address in terms.items():
+            out = out.when(bare == term, F.lit(address))
+        return out.otherwise(bare)
+
 RELATION_NAMES = [name for name, _, _ in RELATIONS]
 
 
@@ -116,19 +144,13 @@ def violations(triple_rows: DataFrame) -> DataFrame:
     )
 
 
-def partition_quirks(violation_rows: DataFrame) -> DataFrame:
-    """Add ``known``: the violation is one of the published shapes' own artefacts.
-
-    A path may come as a full IRI or prefixed; only its last term is compared.
-    """
-    quirks = F.broadcast(known_quirks(violation_rows.sparkSession).withColumn("known", F.lit(True)))
-    term = F.regexp_extract("path", r"[^#/:<>]+(?=>?\z)", 0)
-    return (
-        violation_rows.withColumn("_term", term)
-        .join(quirks.withColumnRenamed("path", "_term"), ["component", "_term"], "left")
-        .withColumn("known", F.coalesce("known", F.lit(False)))
-        .drop("_term")
-    )
+def partition_quirks(violation_rows: DataFrame, namespaces: Namespaces = Namespaces()) -> DataFrame:
+    """Add ``known``: the violation is one of the published shapes' own artefacts. Whole addresses are compared."""
+    full = namespaces.full(F.col("path"))
+    known = F.lit(False)
+    for component, space, term in KNOWN_QUIRKS:
+        known = known | ((F.col("component") == component) & (full == getattr(namespaces, space) + term))
+    return violation_rows.withColumn("known", F.coalesce(known, F.lit(False)))
 
 
 def conformance(triple_rows: DataFrame, judged: DataFrame) -> DataFrame:
@@ -152,17 +174,28 @@ def shown_violations(judged: DataFrame, limit: int = 20) -> DataFrame:
     return judged.where(~F.col("known")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def read_documents(texts: DataFrame, published: str, local: str) -> tuple[DataFrame, DataFrame]:
-    """Read whole documents back from ``texts(graph_id, jsonld)``.
+def _local_context(context: Column, published: str, local: str) -> Column:
+    """Context JSON with the published address, alone or as a member of a list, replaced; inline contexts stay as they are."""
+    quoted = F.to_json(F.array(F.lit(published))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(published)))) - 2)
+    swap = lambda text: F.when(text == quoted, F.to_json(F.array(F.lit(local))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(local)))) - 2)).otherwise(text)
+    members = F.try_variant_get(context, "$", "array<variant>")
+    listed = F.concat(F.lit("["), F.array_join(F.transform(members, lambda m: swap(F.to_json(m))), ","), F.lit("]"))
+    return F.when(is_array(context), listed).otherwise(swap(F.to_json(context)))
+
 
-    Returns ``(graph_id, obj VARIANT)`` and ``(graph_id, context)``, where the published context address, alone or in
-    a list, is replaced by the local copy.
+def read_parts(docs: DataFrame, published: str, local: str) -> tuple[DataFrame, DataFrame]:
+    """Objects and contexts of documents in any number of parts, ``docs(graph_id, part, context, body)``.
+
+    Returns ``(graph_id, obj VARIANT)`` and ``(graph_id, context)``, where the published context address is replaced by the local copy.
     """
+    first = docs.where(F.col("part") == 0).select("graph_id", F.try_parse_json("context").alias("_context"))
+    return objects_of(docs), first.select("graph_id", _local_context(F.col("_context"), published, local).alias("context"))
+
+
+def read_documents(texts: DataFrame, published: str, local: str) -> tuple[DataFrame, DataFrame]:
+    """As ``read_parts``, from whole documents ``texts(graph_id, jsonld)``."""
     parsed = texts.select("graph_id", strict_json(F.col("jsonld")).alias("_doc"))
-    context = member(F.col("_doc"), "@context")
-    swap = F.to_json(context)
-    swapped = F.replace(swap, F.to_json(F.array(F.lit(published))).substr(F.lit(2), F.lit(len(published) + 2)), F.lit(f'"{local}"'))
-    contexts = parsed.select("graph_id", swapped.alias("context"))
+    contexts = parsed.select("graph_id", _local_context(member(F.col("_doc"), "@context"), published, local).alias("context"))
     listed = parsed.select("graph_id", member(F.col("_doc"), "@graph").alias("_graph"))
     objects = explode_variant(listed, "_graph", "graph_id").select("graph_id", F.col("value").alias("obj"))
     return objects, contexts

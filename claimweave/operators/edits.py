@@ -157,9 +157,9 @@ def edge_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ruled = with_rule(with_end_types(edges.where(~F.col("dropped")), live))
     no_subject, no_object = F.col("subj_type").isNull(), F.col("obj_type").isNull()
     reason = (
-        F.when(no_subject & no_object, "both endpoints are missing/dropped")
-        .when(no_subject, "subject is missing/dropped")
-        .when(no_object, "object is missing/dropped")
+        F.when(no_subject & no_object, "both ends are gone")
+        .when(no_subject, "the subject end is gone")
+        .when(no_object, "the object end is gone")
         .when(F.col("rule_relation").isNull(), F.concat(F.lit('unknown relation "'), "relation", F.lit('"')))
         .when(
             ~F.col("legal"),
@@ -224,7 +224,7 @@ def connect(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     drawn = requests.where(F.col("subject") != F.col("object"))
     typed = with_end_types(drawn, nodes).where(F.col("subj_type").isNotNull() & F.col("obj_type").isNotNull())
-    notice = F.concat(F.lit("No legal relation from "), "subj_type", F.lit(" → "), "obj_type")
+    notice = F.concat(F.lit("nothing links "), "subj_type", F.lit(" to "), "obj_type")
     return typed.join(relations_by_pair(nodes), ["subj_type", "obj_type"], "left").select(
         "graph_id",
         "seq",

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from claimweave.functions.ordering import number_rows
 from claimweave.functions.text import clip, comparable, none_if_empty, slug, strip
 
-#: Objects per document part; larger graphs come as several ordered parts of one document.
+#: Objects and bytes per document part; larger graphs come as several ordered parts of one document.
 OBJECTS_PER_PART = 20_000
+BYTES_PER_PART = 16 << 20
 
 ACCOUNTS, CLASS_DEFS, RELATION_DEFS, CONTAINER, NODE_ITEMS, EDGE_ITEMS, NODES, RELATIONS = range(8)
 
@@ -93,12 +94,10 @@ def paper_documents(minted: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def first_links(edges: DataFrame, relation: str, source: str, target: str) -> DataFrame:
-    """Per object of ``relation``: its first subject by edge order."""
-    return (
-        edges.where(F.col("relation") == relation)
-        .groupBy("graph_id", F.col("object").alias(target))
-        .agg(F.min_by("subject", "ord").alias(source))
-    )
+    """Per object of ``relation``: its first subject by edge order, which is unique within a graph."""
+    linked = edges.where(F.col("relation") == relation).select("graph_id", "ord", F.col("subject").alias(source), F.col("object").alias(target))
+    first = linked.groupBy("graph_id", target).agg(F.min("ord").alias("ord"))
+    return linked.join(first, ["graph_id", target, "ord"]).select("graph_id", target, source)
 
 
 def spines(edges: DataFrame) -> DataFrame:
@@ -184,17 +183,16 @@ def node_objects(minted: DataFrame, stamps: DataFrame, papers: DataFrame, paper_
     )
 
 
-def relation_objects(edges: DataFrame, minted: DataFrame, one_block: bool = False) -> DataFrame:
+def relation_objects(edges: DataFrame, minted: DataFrame) -> DataFrame:
     """The columns of each reified relation, numbered over the edges whose two ends have an IRI.
 
-    ``one_block`` as in ``number_rows``, for edges known to have low positions.
     """
     ends = minted.select("graph_id", "id", "iri", clip(F.col("text"), 80).alias("snip"))
     subjects = ends.withColumnsRenamed({"id": "subject", "iri": "source", "snip": "_from"})
     objects = ends.withColumnsRenamed({"id": "object", "iri": "destination", "snip": "_to"})
     mapped = edges.join(subjects, ["graph_id", "subject"]).join(objects, ["graph_id", "object"])
     title = F.concat("_from", F.lit(" -"), "relation", F.lit("-> "), "_to")
-    return number_rows(mapped, ["graph_id"], "ord", "r", one_block=one_block).select(
+    return number_rows(mapped, ["graph_id"], "ord", "r").select(
         "graph_id",
         "r",
         F.concat(F.lit("x:r"), F.col("r").cast("string")).alias("iri"),
@@ -354,12 +352,14 @@ def linked_objects(
     )
 
 
-def documents(objects: DataFrame, names: DataFrame, naming: Naming, width: int = OBJECTS_PER_PART) -> DataFrame:
+def documents(
+    objects: DataFrame, names: DataFrame, naming: Naming, width: int = OBJECTS_PER_PART, part_bytes: int = BYTES_PER_PART
+) -> DataFrame:
     """``(graph_id, part, n_parts, context, body)``: objects in document order, joined to text.
 
-    ``names(graph_id, name)`` gives each graph's short name. A graph of up to ``width`` objects is one part. Larger
-    graphs are cut at fixed object numbers, so no task ever holds more than one part; the parts in order make the
-    whole document (see ``document_text``).
+    ``names(graph_id, name)`` gives each graph's short name. Objects are cut into blocks of ``width`` numbers, and a block
+    where its objects' text passes another ``part_bytes``; so no task holds more than a part and no part more than that and one object.
+    The parts in order make the whole document (see ``document_text``), and ``conform.read_parts`` reads any number.
     """
     sizes = objects.groupBy("graph_id", "section").agg((F.max("ord") + 1).alias("_size"))
     # At most eight rows per graph reach these windows.
@@ -373,11 +373,15 @@ def documents(objects: DataFrame, names: DataFrame, naming: Naming, width: int =
         }
     ).drop("_size")
     placed = objects.join(starts, ["graph_id", "section"]).withColumn("_seq", F.col("_start") + F.col("ord"))
-    parts = placed.groupBy(
-        "graph_id",
-        F.floor(F.col("_seq") / F.lit(width)).cast("int").alias("_slot"),
-    ).agg(F.array_sort(F.collect_list(F.struct("_seq", "obj_json"))).alias("_objects"))
-    # Gaps in the numbering can leave a slot empty, so parts are renumbered; one row per part reaches this window.
+    # The largest sort is one block of ``width`` objects.
+    in_block = Window.partitionBy("graph_id", "_block").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    sized = placed.withColumn("_block", F.floor(F.col("_seq") / F.lit(width)).cast("int")).withColumn(
+        "_cut", F.floor(F.coalesce(F.sum(F.octet_length("obj_json")).over(in_block), F.lit(0)) / F.lit(part_bytes)).cast("int")
+    )
+    parts = sized.groupBy("graph_id", F.struct("_block", "_cut").alias("_slot")).agg(
+        F.array_sort(F.collect_list(F.struct("_seq", "obj_json"))).alias("_objects")
+    )
+    # Numbers leave gaps, so parts are renumbered; one row per part reaches this window.
     by_slot = Window.partitionBy("graph_id").orderBy("_slot")
     context = F.lit(naming.context_override) if naming.context_override else F.to_json(F.array(F.lit(naming.context_iri)))
     if not naming.context_override:

@@ -76,6 +76,15 @@ def raw_edges(parsed: DataFrame) -> DataFrame:
     return record_rows(parsed, "edges", "graph_id").select("graph_id", "pos", *fields)
 
 
+def proposed_edges(parsed: DataFrame) -> DataFrame:
+    """Edges that consolidation replies propose; their fields are coerced to text, as the ids of merge groups are."""
+    fields = [
+        F.coalesce(raw_string_field(F.col("rec"), name), F.try_variant_get("rec", f"$.{name}", "string"), F.lit("")).alias(name)
+        for name in ("relation", "subject", "object")
+    ]
+    return record_rows(parsed, "edges", "graph_id").select("graph_id", "pos", *fields)
+
+
 def merge_groups(parsed: DataFrame) -> DataFrame:
     """``(graph_id, group_no, ids)`` of verdict replies; an entry that is not a list is an empty group."""
     ids = F.when(is_array(F.col("rec")), F.try_variant_get("rec", "$", "array<string>"))

@@ -44,27 +44,27 @@ def consolidation_eligibility(nodes: DataFrame, limit: int = CONSOLIDATION_LIMIT
 def consolidation_requests(
     nodes: DataFrame, edges: DataFrame, prompts: Prompts = Prompts(), limit: int = CONSOLIDATION_LIMIT
 ) -> DataFrame:
-    """One request per eligible graph, holding its record list and existing relations as JSON.
+    """``(graph_id, part, n_parts, user_message)``: requests that hold record lists and existing relations as JSON.
 
-    Graphs over the limit are removed before anything is collected, so a collected list has at most ``limit`` nodes,
-    and the distinct legal edges between them.
+    Every record is in exactly one part of at most ``limit`` records, by its number ``ord``; a relation stands in the
+    part of its subject. A graph within the limit is one part.
     """
-    eligible = consolidation_eligibility(nodes, limit).where(F.col("skipped").isNull()).select("graph_id")
     cut = lambda name: F.substring(name, 1, CONSOLIDATION_TEXT_LIMIT).alias(name)
-    node_lists = (
-        nodes.join(eligible, "graph_id", "left_semi")
-        .groupBy("graph_id")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", F.struct("id", "type", cut("text"), cut("description")).alias("r")))).alias("_n"))
-    )
+    part = F.floor(F.col("ord") / F.lit(limit)).cast("int").alias("part")
+    placed = nodes.select("graph_id", part, "ord", F.struct("id", "type", cut("text"), cut("description")).alias("r"))
+    node_lists = placed.groupBy("graph_id", "part").agg(F.array_sort(F.collect_list(F.struct("ord", "r"))).alias("_n"))
+    sizes = nodes.groupBy("graph_id").agg((F.max(F.floor(F.col("ord") / F.lit(limit))) + 1).cast("int").alias("n_parts"))
+    subjects = nodes.select("graph_id", F.col("id").alias("subject"), part)
     edge_lists = (
-        edges.join(eligible, "graph_id", "left_semi")
-        .groupBy("graph_id")
+        edges.select("graph_id", "ord", "relation", "subject", "object")
+        .join(subjects, ["graph_id", "subject"])
+        .groupBy("graph_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("ord", F.struct("relation", "subject", "object").alias("r")))).alias("_e"))
     )
     no_edges = F.array().cast("array<struct<relation: string, subject: string, object: string>>")
-    payload = F.to_json(
-        F.struct(F.col("_n.r").alias("nodes"), F.coalesce("_e.r", no_edges).alias("edges"))
-    )
-    return node_lists.join(edge_lists, "graph_id", "left").select(
-        "graph_id", F.concat(F.lit(prompts.consolidate + "\n\n"), payload).alias("user_message")
+    payload = F.to_json(F.struct(F.col("_n.r").alias("nodes"), F.coalesce("_e.r", no_edges).alias("edges")))
+    return (
+        node_lists.join(edge_lists, ["graph_id", "part"], "left")
+        .join(sizes, "graph_id")
+        .select("graph_id", "part", "n_parts", F.concat(F.lit(prompts.consolidate + "\n\n"), payload).alias("user_message"))
     )

@@ -14,7 +14,7 @@ def gate_types(papers: DataFrame) -> DataFrame:
     ext = extension(F.col("name"))
     label = F.coalesce(none_if_empty(ext), F.lit("(no extension)"))
     accepted = ext.isin(ACCEPTED_EXTENSIONS)
-    refusal = F.concat(F.lit("unsupported input "), label, F.lit(" — use .pdf, .txt, or .md"))
+    refusal = F.concat(F.lit("cannot read "), label, F.lit(" files"))
     return papers.withColumns(
         {
             "ext": ext,
@@ -40,8 +40,8 @@ def route(papers: DataFrame, limit: int = SINGLE_CALL_LIMIT) -> DataFrame:
     blank = strip(F.col("text")) == ""
     routed = F.when(F.col("text").isNull(), "missing").when(blank, "empty").when(chars > limit, "too_big").otherwise("accepted")
     reason = (
-        F.when(F.col("route") == "missing", "neither text nor file given")
-        .when(F.col("route") == "empty", "no text to decompose")
+        F.when(F.col("route") == "missing", "there is no text")
+        .when(F.col("route") == "empty", "the text is blank")
         .when(
             F.col("route") == "too_big",
             F.concat(F.col("chars").cast("string"), F.lit(f" characters, over the limit of {limit}")),

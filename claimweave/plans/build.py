@@ -8,7 +8,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.ordering import fits_one_block
 from claimweave.operators import project
 from claimweave.operators.classify import Graph
 from claimweave.operators.project import Naming
@@ -49,8 +48,7 @@ class Projection:
 
     @cached_property
     def relation_objects(self) -> DataFrame:
-        one_block = self.durable and fits_one_block(self.edges, "ord")
-        return self._keep(project.relation_objects(self.edges, self.minted, one_block), "relation-objects")
+        return self._keep(project.relation_objects(self.edges, self.minted), "relation-objects")
 
     @cached_property
     def graphs(self) -> DataFrame:
@@ -69,9 +67,9 @@ class Projection:
             self.nodes, self.edges, self.node_objects, self.relation_objects, self.stamps
         )
 
-    def documents(self, width: int = project.OBJECTS_PER_PART) -> DataFrame:
+    def documents(self, width: int = project.OBJECTS_PER_PART, part_bytes: int = project.BYTES_PER_PART) -> DataFrame:
         names = self.graphs.select("graph_id", F.col("graph_id").alias("name"))
-        return project.documents(self.objects, names, self.naming, width)
+        return project.documents(self.objects, names, self.naming, width, part_bytes)
 
 
 def projection_of(graph: Graph, papers: DataFrame, naming: Naming, durable: bool = False) -> Projection:

@@ -20,6 +20,7 @@ from claimweave.streaming import deltas, incremental, runs
 ROUTE_LIMIT = 10_000
 CHUNK_BUDGET = 2_000
 MERGE_LIMIT = 34
+READ_BACK_BYTES = 20_000
 IDLE = 12 * 3600
 PROGRESS = 24 * 3600
 STAMP = "2026-01-01T00:00:00.000Z"
@@ -202,7 +203,7 @@ def consolidation_eligibility(c: Corpus) -> DataFrame:
 
 @query
 def consolidation_requests(c: Corpus) -> DataFrame:
-    return requests.consolidation_requests(c.graph.nodes, c.graph.edges, limit=MERGE_LIMIT)
+    return requests.consolidation_requests(c.graph.nodes, c.graph.edges)
 
 
 @query
@@ -275,12 +276,13 @@ def verdict_status(c: Corpus) -> DataFrame:
     parsed = replies.parse_verdicts(c.view("verdict_replies"))
     keyed = parsed.withColumn("graph_id", F.concat_ws("/", "graph_id", F.col("pos").cast("string"))).drop("pos")
     groups = replies.merge_groups(keyed).groupBy("graph_id").agg(F.count(F.lit(1)).alias("merges"))
-    proposals = replies.raw_edges(keyed).groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
+    ends = F.concat_ws(" ", "relation", "subject", "object")
+    proposals = replies.proposed_edges(keyed).groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"), F.max(ends).alias("last_edge"))
     return (
         keyed.select("graph_id", "parse")
         .join(groups, "graph_id", "left")
         .join(proposals, "graph_id", "left")
-        .select("graph_id", "parse", F.coalesce("merges", F.lit(0)).alias("merges"), F.coalesce("edges", F.lit(0)).alias("edges"))
+        .select("graph_id", "parse", F.coalesce("merges", F.lit(0)).alias("merges"), F.coalesce("edges", F.lit(0)).alias("edges"), "last_edge")
     )
 
 
@@ -577,11 +579,10 @@ def conformance(c: Corpus) -> DataFrame:
 
 @query
 def documents_read_back(c: Corpus) -> DataFrame:
-    """Documents written as text, parsed again, with the context address swapped for a local copy."""
-    whole = project.document_text(c.projection.documents()).select("graph_id", "jsonld")
-    objects, contexts = conform.read_documents(whole, PUBLISHED_CONTEXT, LOCAL_CONTEXT)
-    counts = objects.groupBy("graph_id").agg(F.count(F.lit(1)).alias("objects"))
-    return counts.join(contexts, "graph_id")
+    """Documents in parts read back: the objects' ids and classes, with the context address swapped for a local copy."""
+    objects, contexts = conform.read_parts(c.projection.documents(part_bytes=READ_BACK_BYTES), PUBLISHED_CONTEXT, LOCAL_CONTEXT)
+    named = objects.select("graph_id", F.variant_get("obj", '$["@id"]', "string").alias("obj_id"), F.variant_get("obj", "$.title", "string").alias("title"))
+    return named.join(contexts, "graph_id")
 
 
 # ---- review edits ----
@@ -759,17 +760,17 @@ def reassembled(c: Corpus) -> DataFrame:
 
 @query
 def idle_stalls(c: Corpus) -> DataFrame:
-    return deltas.idle_stalls(c.view("deltas"), IDLE)
+    return deltas.idle_stalls(c.view("deltas"), c.view("generation_calls"), IDLE)
 
 
 @query
 def progress_stalls(c: Corpus) -> DataFrame:
-    return deltas.progress_stalls(c.view("deltas"), PROGRESS)
+    return deltas.progress_stalls(c.view("deltas"), c.view("generation_calls"), PROGRESS)
 
 
 @query
 def stall_reasons(c: Corpus) -> DataFrame:
-    return deltas.stall_reasons(c.view("deltas"), IDLE, PROGRESS)
+    return deltas.stall_reasons(c.view("deltas"), c.view("generation_calls"), IDLE, PROGRESS)
 
 
 @query

@@ -12,7 +12,7 @@ import re
 from claimweave.functions.text import ANCHOR_CAP
 from claimweave.plans import catalog
 from claimweave.sources import fixtures
-from claimweave.vocab import MERGEABLE_CLASSES, NODE_CLASSES, RELATIONS, SINGLE_CALL_LIMIT  # noqa: F401
+from claimweave.vocab import CONSOLIDATION_LIMIT, MERGEABLE_CLASSES, NODE_CLASSES, RELATIONS, SINGLE_CALL_LIMIT  # noqa: F401
 
 _CODES = [9, 10, 11, 12, 13, 32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279]
 _SPACES = "(" + "||".join(f"chr({code})" for code in _CODES) + ")"
@@ -149,11 +149,11 @@ STEPS: dict[str, str] = {
     # -- attempts and replies --
     "parsed_attempts": _parsed("attempts", _GRAPH_TEST),
     "judged_attempts": f"""
-        select *, case when status = 0 then 'network error'
+        select *, case when status = 0 then 'no connection'
                        when status not between 200 and 299 then 'HTTP ' || status
-                       when {strip("coalesce(content, '')")} = '' then 'empty streamed content'
+                       when {strip("coalesce(content, '')")} = '' then 'blank reply'
                        when coalesce(model, '') <> '' and split_part(model, ':', 1) <> split_part(asked, ':', 1)
-                       then 'model mismatch: asked for ' || asked || ', answered by ' || model else 'ok' end as outcome
+                       then 'answered by ' || model || ' instead of ' || asked else 'ok' end as outcome
         from parsed_attempts""",
     "retry_attempts": f"""
         select *, outcome <> 'ok' and (status in (0, 408, 429) or status between 500 and 599
@@ -164,9 +164,10 @@ STEPS: dict[str, str] = {
             select *, coalesce(max(cast(stops as int)) over (partition by graph_id order by attempt
                                 rows between unbounded preceding and 1 preceding), 0) = 0 as counts
             from (select *, (outcome = 'ok' and (parse <> 'none' or replies = 3))
-                            or (outcome <> 'ok' and not retry) as stops
-                  from (select *, count(*) filter (where outcome = 'ok') over (partition by graph_id order by attempt) as replies
-                        from retry_attempts) a) b) c
+                            or (outcome <> 'ok' and (not retry or failures = 5)) as stops
+                  from (select *, count(*) filter (where outcome <> 'ok') over (partition by graph_id, replies order by attempt) as failures
+                        from (select *, count(*) filter (where outcome = 'ok') over (partition by graph_id order by attempt) as replies
+                              from retry_attempts) r) a) b) c
         where counts""",
     "call_records": """
         select graph_id || '/' || attempt as graph_id, reply from parsed_attempts where parse <> 'none'""",
@@ -414,9 +415,9 @@ STEPS: dict[str, str] = {
         from stage_edges n""",
     "status_now": """
         select e.*, s.type as subj_type, o.type as obj_type,
-               case when s.id is null and o.id is null then 'both endpoints are missing/dropped'
-                    when s.id is null then 'subject is missing/dropped'
-                    when o.id is null then 'object is missing/dropped'
+               case when s.id is null and o.id is null then 'both ends are gone'
+                    when s.id is null then 'the subject end is gone'
+                    when o.id is null then 'the object end is gone'
                     when r.rule_relation is null then 'unknown relation "' || e.relation || '"'
                     when not (list_contains(r.subj_classes, s.type) and list_contains(r.obj_classes, o.type))
                     then e.relation || ' wants ' || r.wants || ', got ' || s.type || '→' || o.type end as reason
@@ -540,7 +541,9 @@ STEPS: dict[str, str] = {
     "decoded": """
         select gen_id, seq, json_extract_string(j, '$.id') as id, json_extract_string(j, '$.model') as model,
                json_extract_string(j, '$.choices[0].delta.content') as content,
-               json_extract_string(j, '$.choices[0].delta.reasoning') as reasoning, cast(null as varchar) as error,
+               json_extract_string(j, '$.choices[0].delta.reasoning') as reasoning,
+               case when json_extract(j, '$.error') not in ('null', 'false', '0', '""')
+                    then coalesce(json_extract_string(j, '$.error.message'), cast(json_extract(j, '$.error') as varchar)) end as error,
                cast(json_extract(j, '$.usage') as varchar) as usage
         from (select gen_id, seq, substr(line, 7) as j from stream_lines where line like 'data: %') t
         where j <> '[DONE]' and json_valid(j)""",
@@ -562,10 +565,12 @@ _EDITOR_SLUG = (
 
 def _gaps(source: str, seconds: int) -> str:
     return f"""
-    select gen_id, seq, ts, gap_seconds
-    from (select gen_id, seq, ts,
-                 (epoch_us(ts) - epoch_us(lag(ts) over (partition by gen_id order by ts, seq))) / 1000000 as gap_seconds
-          from {source}) t
+    select gen_id, since, gap_seconds
+    from (select gen_id, lag(ts) over (partition by gen_id order by ts) as since,
+                 (epoch_us(ts) - epoch_us(lag(ts) over (partition by gen_id order by ts))) / 1000000 as gap_seconds
+          from (select gen_id, ts from {source}
+                union all select gen_id, started from generation_calls
+                union all select gen_id, ended from generation_calls where ended is not null) p) t
     where gap_seconds > {seconds}"""
 
 
@@ -652,16 +657,18 @@ _DOCUMENTS = f"""
     group by graph_id"""
 
 _CONSOLIDATION = f"""
-    select n.graph_id, 'Review these records; return merges and missing relations as one JSON object.' || chr(10) || chr(10)
+    select n.graph_id, n.part, cast(max(n.part) over (partition by n.graph_id) + 1 as int) as n_parts,
+           'Review these records; return merges and missing relations as one JSON object.' || chr(10) || chr(10)
            || '{{"nodes":[' || n.list || '],"edges":[' || coalesce(e.list, '') || ']}}' as user_message
-    from (select graph_id, count(*) as records,
+    from (select graph_id, cast(ord // {CONSOLIDATION_LIMIT} as int) as part,
                  string_agg({_object(id=_text('id'), type=_text('type'), text=_text('substr(text, 1, 2000)'),
                                      description=_text('substr(description, 1, 2000)'))}, ',' order by ord) as list
-          from nodes group by graph_id) n
-    left join (select graph_id, string_agg({_object(relation=_text('relation'), subject=_text('subject'), object=_text('object'))},
-                                           ',' order by pos) as list
-               from edges group by graph_id) e on e.graph_id = n.graph_id
-    where n.records <= {catalog.MERGE_LIMIT}"""
+          from nodes group by graph_id, 2) n
+    left join (select e.graph_id, cast(s.ord // {CONSOLIDATION_LIMIT} as int) as part,
+                      string_agg({_object(relation=_text('e.relation'), subject=_text('e.subject'), object=_text('e.object'))},
+                                 ',' order by e.pos) as list
+               from edges e join nodes s on s.graph_id = e.graph_id and s.id = e.subject
+               group by e.graph_id, 2) e on e.graph_id = n.graph_id and e.part = n.part"""
 
 _REPLY_VERDICTS = f"""
         select graph_id, pos, id, type, case when id = '' then 'missing id' when text = '' then 'missing text' end as why
@@ -678,12 +685,12 @@ QUERIES: dict[str, str] = {
         select paper_id, name, {_EXT} as ext, {_EXT} in ('.pdf', '.txt', '.md') as accepted,
                {_EXT} in ('.pdf', '.txt', '.md', '') as web_accepted,
                case when {_EXT} not in ('.pdf', '.txt', '.md')
-                    then 'unsupported input ' || coalesce(nullif({_EXT}, ''), '(no extension)') || ' — use .pdf, .txt, or .md' end as refusal,
+                    then 'cannot read ' || coalesce(nullif({_EXT}, ''), '(no extension)') || ' files' end as refusal,
                {_BASE} as slug
         from paper_rows""",
     "route_papers": f"""
         select paper_id, chars, route,
-               case route when 'missing' then 'neither text nor file given' when 'empty' then 'no text to decompose'
+               case route when 'missing' then 'there is no text' when 'empty' then 'the text is blank'
                           when 'too_big' then chars || ' characters, over the limit of {catalog.ROUTE_LIMIT}' end as reason
         from {_ROUTED} r""",
     "quarantine": f"""
@@ -725,7 +732,7 @@ QUERIES: dict[str, str] = {
                                  then cast(json_extract_string(usage, '$.cost') as double) end), 0.0) > 0 as billed
         from calls group by graph_id""",
     "failure_ledger": """
-        select graph_id, case when max_by(outcome, attempt) = 'ok' then 'reply parsed to no {nodes, edges} graph'
+        select graph_id, case when max_by(outcome, attempt) = 'ok' then 'no usable graph in the reply'
                               else max_by(outcome, attempt) end as why
         from calls group by graph_id having count(*) filter (where outcome = 'ok' and parse <> 'none') = 0""",
     "parse_status": "select graph_id, attempt, parse from parsed_attempts",
@@ -757,7 +764,10 @@ QUERIES: dict[str, str] = {
                case when parse <> 'none' and json_type(reply, '$.merges') = 'ARRAY'
                     then cast(json_array_length(reply, '$.merges') as bigint) else 0 end as merges,
                case when parse <> 'none' and json_type(reply, '$.edges') = 'ARRAY'
-                    then cast(json_array_length(reply, '$.edges') as bigint) else 0 end as edges
+                    then cast(json_array_length(reply, '$.edges') as bigint) else 0 end as edges,
+               case when parse <> 'none' and json_array_length(reply, '$.edges') = 1
+                    then concat_ws(' ', json_extract_string(reply, '$.edges[0].relation'), json_extract_string(reply, '$.edges[0].subject'),
+                                   json_extract_string(reply, '$.edges[0].object')) end as last_edge
         from parsed_verdicts""",
     "reply_verdicts": _REPLY_VERDICTS,
     "node_verdicts": "select graph_id, pos, id, type, coalesce(why, 'ok') as verdict from judged_nodes",
@@ -883,9 +893,12 @@ QUERIES: dict[str, str] = {
                     then 'CONFORMS modulo quirks' else 'CONFORMS' end as verdict
         from triple_rows group by graph_id""",
     "documents_read_back": f"""
-        select graph_id, count(*) as objects, '["{catalog.LOCAL_CONTEXT}",{{"x":"{catalog.NAMING.base_prefix}'
-               || {_SLUG.format(x='graph_id')} || ':"}}]' as context
-        from object_ids group by graph_id""",
+        select i.graph_id, i.obj_id, t.title, '["{catalog.LOCAL_CONTEXT}",{{"x":"{catalog.NAMING.base_prefix}'
+               || {_SLUG.format(x='i.graph_id')} || ':"}}]' as context
+        from (select *, row_number() over (partition by graph_id, section, obj_id) as n from object_ids) i
+        left join (select graph_id, 6 as section, iri, title, row_number() over (partition by graph_id, iri) as n from node_objs
+                   union all select graph_id, 7, iri, title, 1 from relation_objs) t
+               on t.graph_id = i.graph_id and t.section = i.section and t.iri = i.obj_id and t.n = i.n""",
     "staged_edges": "select graph_id, ord, 'x' || ord as id, relation, subject, object, anchor from staged",
     "edited_nodes": "select graph_id, id, type, text, description, dropped, added from nodes_now",
     "edited_edges": "select graph_id, id, relation, subject, object, dropped, added from edges_now",
@@ -909,7 +922,7 @@ QUERIES: dict[str, str] = {
               join exported b on b.graph_id = s.graph_id and b.id = s.object where s.reason is null) t""",
     "connect": f"""
         select e.graph_id, e.pos as seq, e.subject, e.object, l.first_legal as relation,
-               case when l.first_legal is null then 'No legal relation from ' || s.type || ' → ' || o.type end as notice
+               case when l.first_legal is null then 'nothing links ' || s.type || ' to ' || o.type end as notice
         from all_edges e
         join nodes s on s.graph_id = e.graph_id and s.id = e.subject
         join nodes o on o.graph_id = e.graph_id and o.id = e.object
@@ -975,7 +988,7 @@ QUERIES: dict[str, str] = {
                              (select case when k.model = '' then k.asked else k.model end as m, min(k.attempt) as first
                               from calls k where k.graph_id = calls.graph_id and k.outcome = 'ok' group by 1) z) as models,
                           case when count(*) filter (where outcome = 'ok' and parse <> 'none') = 0
-                               then case when max_by(outcome, attempt) = 'ok' then 'reply parsed to no {{nodes, edges}} graph'
+                               then case when max_by(outcome, attempt) = 'ok' then 'no usable graph in the reply'
                                          else max_by(outcome, attempt) end end as why
                    from calls group by graph_id) c on c.graph_id = a.graph_id
         left join (select graph_id, count(*) filter (where why is null) as nodes, count(*) filter (where why is not null) as rejected
@@ -990,10 +1003,11 @@ QUERIES: dict[str, str] = {
     "stream_lines": "select gen_id, seq, id, model, content, reasoning, error, usage from decoded",
     "generation_facts": """
         select gen_id, max_by(id, seq) filter (where id is not null) as id, max_by(model, seq) filter (where model is not null) as model,
-               max_by(usage, seq) filter (where usage is not null) as usage, cast(null as varchar) as error,
+               max_by(usage, seq) filter (where usage is not null) as usage, min_by(error, seq) filter (where error is not null) as error,
                cast(coalesce(sum(length(reasoning)), 0) as bigint) as reasoning_chars,
                cast(coalesce(sum(length(content)), 0) as bigint) as content_chars
-        from decoded group by gen_id""",
+        from (select d.*, min(seq) filter (where error is not null) over (partition by gen_id) as failed from decoded d) t
+        where failed is null or seq <= failed group by gen_id""",
     "reassembled": f"""
         select d.gen_id, d.seq // 10000 as block, coalesce(string_agg(delta, '' order by seq) filter (where kind = 'content'), '') as content,
                cast(coalesce(sum(length(delta)) filter (where kind = 'reasoning'), 0) as bigint) as reasoning_chars,
@@ -1006,20 +1020,22 @@ QUERIES: dict[str, str] = {
     "idle_stalls": _gaps("deltas", catalog.IDLE),
     "progress_stalls": _gaps("(select * from deltas where kind <> 'keepalive')", catalog.PROGRESS),
     "stall_reasons": f"""
-        select gen_id, case when min(rank) = 0 then 'progress timeout: no model output for {catalog.PROGRESS}s'
-                            else 'idle timeout: no stream activity for {catalog.IDLE}s' end as reason
-        from (select gen_id, 1 as rank from ({_gaps('deltas', catalog.IDLE)}) a
+        select gen_id, min(due) as stalled_at,
+               case when arg_min(rank, epoch_us(due) * 2 + rank) = 0 then 'silent for {catalog.IDLE}s'
+                    else 'no tokens for {catalog.PROGRESS}s' end as reason
+        from (select gen_id, since + {catalog.IDLE} * interval '1' second as due, 0 as rank from ({_gaps('deltas', catalog.IDLE)}) a
               union all
-              select gen_id, 0 from ({_gaps("(select * from deltas where kind <> 'keepalive')", catalog.PROGRESS)}) b) t
+              select gen_id, since + {catalog.PROGRESS} * interval '1' second, 1
+              from ({_gaps("(select * from deltas where kind <> 'keepalive')", catalog.PROGRESS)}) b) t
         group by gen_id""",
     "latest_status": """
         select run_id, max_by(message, seq) as status from events_json where type = 'status' and message is not null group by run_id""",
     "run_results": f"""
         select run_id, case when e is not null then 'error' when d is not null then 'result' else 'ended early' end as state,
                case when e is not null then e when d is null
-                    then 'The server ended the response before finishing — please try again.' end as error,
+                    then 'the log ends without a result' end as error,
                case when e is null then d end as data
-        from (select run_id, max_by(coalesce(message, 'Extraction failed.'), seq) filter (where type = 'error') as e,
+        from (select run_id, max_by(coalesce(message, 'failed without a message'), seq) filter (where type = 'error') as e,
                      max_by(data, seq) filter (where type = 'result' and data is not null) as d
               from events_json group by run_id) t""",
     "latest_patches": """

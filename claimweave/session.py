@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,25 +35,59 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured (local tests)."""
+    """The cluster's shared checkpoint folder.
+
+    Where none is configured, a local session gets a temporary one, deleted when Python ends; on a cluster that
+    would be a different disk for every executor, so it is an error.
+    """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="claimweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return folder
 
 
+_open = threading.local()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables settled inside when the block ends: for work that writes its results, such as a micro-batch."""
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _open.paths:
+            _delete(spark, path)
+        _open.paths = outer
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this application settled; no DataFrame that reads one can be used afterwards."""
+    _delete(spark, os.path.join(shared_dir(spark), "claimweave", spark.sparkContext.applicationId))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a table feeds several branches or an iteration: the lineage ends at files that outlive a lost
     executor, and as parquet the readers still prune columns and push filters down. Tables lie in one folder per
-    application, which may be deleted when the application has ended.
+    application, deleted by ``release``, or earlier if settled inside ``passing``.
     """
     spark = df.sparkSession
     path = os.path.join(
         shared_dir(spark), "claimweave", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}"
     )
     df.write.parquet(path)
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -64,7 +64,7 @@ select graph_id,
        case when min(pos) % 4 = 0 then min_by(doi, pos) end as doi,
        case when min(pos) % 5 = 0 then 'CC BY 4.0' end as license,
        'Author of ' || graph_id as author_1,
-       case when min(pos) % 2 = 0 then '0000-0002-1825-009' || (min(pos) % 10) end as orcid_1,
+       case when min(pos) % 2 = 0 then '0000-0009-4417-320' || (min(pos) % 10) end as orcid_1,
        case when min(pos) % 3 = 0 then 'Second author of ' || graph_id end as author_2
 from {raw_nodes} where type = 'SourceDocument' and id <> '' and trim(text) <> ''
 group by graph_id
@@ -104,11 +104,14 @@ from {documents}
 """
 
 _ATTEMPTS = """
-select 'p' || cast(floor(doc_id / 3.0) as bigint) as graph_id, doc_id % 3 + 1 as attempt,
+select case when floor(doc_id / 60.0) % 3 = 2 then 'q' || cast(floor(doc_id / 20.0) as bigint)
+            else 'p' || cast(floor(doc_id / 3.0) as bigint) end as graph_id,
+       case when floor(doc_id / 60.0) % 3 = 2 then doc_id % 20 + 7
+            else doc_id % 3 + 1 + 15 * cast(floor(doc_id / 3.0) % 4 as bigint) end as attempt,
        case doc_id % 7
          when 0 then '{{"nodes":[{{"id":"a","type":"Claim","text":"' || plain || '"}}],"edges":[],"paper":{{"title":" On '
                      || doc_id || ' ","doi":"10.1/' || doc_id || '","license":5,"authors":[{{"name":" Ann ' || doc_id
-                     || '","orcid":"https://orcid.org/0000-0002-1825-009x"}},{{"name":""}},{{"name":"Bo","orcid":"0-0"}},7]}}}}'
+                     || '","orcid":"https://orcid.org/0000-0009-4417-320x"}},{{"name":""}},{{"name":"Bo","orcid":"0-0"}},7]}}}}'
          when 1 then '```json' || chr(10) || '{{"nodes":[{{"id":" b ","type":"Evidence","text":"' || plain
                      || '"}},{{"id":"c","type":"Claim","text":5}},7,{{"type":"Claim","text":"x"}}],"edges":[{{"relation":"supports","subject":"b","object":"c"}}]}}'
                      || chr(10) || '```'
@@ -119,7 +122,8 @@ select 'p' || cast(floor(doc_id / 3.0) as bigint) as graph_id, doc_id % 3 + 1 as
          else '' end as content,
        'm1:free' as asked,
        case doc_id % 4 when 0 then 'm1:free' when 3 then 'm2' when 2 then '' else 'm1' end as model,
-       case when doc_id % 7 = 6 then case when doc_id % 2 = 0 then 429 else 401 end
+       case when floor(doc_id / 60.0) % 6 = 5 and doc_id % 20 < 9 then 500 + doc_id % 20
+            when doc_id % 7 = 6 then case when doc_id % 2 = 0 then 429 else 401 end
             when doc_id % 29 = 0 then 0 when doc_id % 31 = 0 then 503 else 200 end as status,
        case doc_id % 5 when 0 then null when 1 then '{{"cost":"0.5"}}'
             else '{{"cost":' || case doc_id % 3 when 0 then '0' when 1 then '0.25' else '0.5' end || '}}' end as usage
@@ -131,7 +135,7 @@ _VERDICT_REPLIES = """
 select source || '-' || cast(floor(doc_id / 1000.0) as bigint) as graph_id, doc_id as pos,
        case doc_id % 6
          when 0 then '{{"merges":[["n1","n2"],["n' || doc_id || '"]],"edges":[]}}'
-         when 1 then '```' || chr(10) || '{{"edges":[{{"relation":"supports","subject":"n1","object":"n2"}}]}}' || chr(10) || '```'
+         when 1 then '```' || chr(10) || '{{"edges":[{{"relation":"supports","subject":' || doc_id || ',"object":"n2"}}]}}' || chr(10) || '```'
          when 2 then 'Sure. {{"merges":[]}} Done.'
          when 3 then '[1]'
          when 4 then '{{"merges":5}}'
@@ -148,11 +152,22 @@ select user_id as gen_id, event_id as seq, ts,
 from {events}
 """
 
+# Calls start some time before their first row; a third ends with the last row, a third some hours after it, and a third
+# is still open where the log ends.
+_GENERATION_CALLS = """
+select user_id as gen_id, min(ts) - (user_id % 30) * interval '1' hour as started,
+       case user_id % 3 when 0 then max(ts) when 1 then max(ts) + interval '20' hour
+            else (select max(ts) from {events}) end as ended
+from {events} group by user_id
+"""
+
 _STREAM_LINES = """
 select user_id as gen_id, event_id as seq,
        case event_type
          when 'click' then 'data: {{"id":"gen-' || user_id || '","model":"m' || (event_id % 3)
-                           || '","choices":[{{"delta":{{"content":"w' || event_id || ' "}}}}]}}'
+                           || '","choices":[{{"delta":{{"content":"w' || event_id || ' "}}}}],"error":'
+                           || case when event_id % 17 = 0 then '{{"message":"lost ' || event_id || '"}}' when event_id % 17 = 1 then '""'
+                                   when event_id % 17 = 2 then 'false' else 'null' end || '}}'
          when 'view' then 'data: {{"choices":[{{"delta":{{"reasoning":"r' || event_id || '"}}}}]}}'
          when 'signup' then 'data: {{"usage":{{"cost":0.25}},"choices":[]}}'
          when 'error' then case when event_id % 2 = 0 then 'data: [DONE]' else 'data: {{"broken"' end
@@ -208,6 +223,7 @@ VIEWS: dict[str, str] = {
     "attempts": _ATTEMPTS,
     "verdict_replies": _VERDICT_REPLIES,
     "deltas": _DELTAS,
+    "generation_calls": _GENERATION_CALLS,
     "stream_lines": _STREAM_LINES,
     "run_log": _RUN_LOG,
     "edits": _EDITS,

@@ -1,7 +1,7 @@
 """Token streams of model generations: decoding, reassembly and stalls.
 
 The batch forms below and the streaming forms share their expressions. Late-data policy of the streaming forms: a
-ten-minute watermark; later deltas are counted out by Spark's state operators.
+ten-minute watermark; ``late_deltas`` finds what came later in the delivered log.
 """
 
 from __future__ import annotations
@@ -41,18 +41,29 @@ def decode_lines(lines: DataFrame) -> DataFrame:
         none_if_empty(raw_string_field(F.col("_json"), "model")).alias("model"),
         none_if_empty(raw_string_field(delta, "content")).alias("content"),
         none_if_empty(raw_string_field(delta, "reasoning")).alias("reasoning"),
-        F.when(kind(error) != "VOID", F.coalesce(raw_string_field(error, "message"), F.to_json(error))).alias("error"),
+        F.when(_truthy(error), F.coalesce(raw_string_field(error, "message"), F.to_json(error))).alias("error"),
         F.when(kind(usage).startswith("OBJECT"), F.to_json(usage)).alias("usage"),
     )
 
 
+def until_error(decoded: DataFrame) -> DataFrame:
+    """Rows up to and with each generation's first error, which ends the call; later rows belong to no reply."""
+    failed = decoded.where(F.col("error").isNotNull()).groupBy("gen_id").agg(F.min("seq").alias("_failed"))
+    return decoded.join(failed, "gen_id", "left").where(F.col("_failed").isNull() | (F.col("seq") <= F.col("_failed"))).drop("_failed")
+
+
+def _truthy(value: Column) -> Column:
+    """Whether a JSON value is there and is not null, false, zero or an empty string."""
+    return (kind(value) != "VOID") & ~F.coalesce(F.to_json(value).isin("false", "0", '""', "0.0"), F.lit(False))
+
+
 def generation_facts(decoded: DataFrame) -> DataFrame:
-    """Last id, model and usage of each generation, the first error, and the output sizes."""
+    """Last id, model and usage of each generation, the first error, and the output sizes; an error ends a generation."""
 
     def last(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
 
-    return decoded.groupBy("gen_id").agg(
+    return until_error(decoded).groupBy("gen_id").agg(
         last("id"),
         last("model"),
         last("usage"),
@@ -79,73 +90,97 @@ def reassembled(deltas: DataFrame, width: int = DELTAS_PER_BLOCK) -> DataFrame:
     return blocks.withColumn("content_chars", F.length("content").cast("bigint")).join(visible, "gen_id")
 
 
-def gaps(deltas: DataFrame, seconds: int) -> DataFrame:
-    """Silences of more than ``seconds`` between consecutive rows: ``(gen_id, seq, ts, gap_seconds)``.
+def _points(deltas: DataFrame, calls: DataFrame, tokens_only: bool) -> DataFrame:
+    """``(gen_id, ts)`` of what ends a silence: the call's start, its rows (or its tokens alone), and its end."""
+    rows = deltas.where(F.col("kind") != "keepalive") if tokens_only else deltas
+    marks = calls.select("gen_id", F.explode(F.array("started", "ended")).alias("ts")).where(F.col("ts").isNotNull())
+    return rows.select("gen_id", "ts").unionByName(marks).withColumn("ts", F.col("ts").cast("timestamp"))
+
 
-    Each row meets the previous one inside its own hour; the first row of an hour meets the last row of the latest
-    earlier hour that has any. A generation that fills the log is so sorted hour by hour instead of in one task.
+def silences(points: DataFrame, seconds: int) -> DataFrame:
+    """Stretches of more than ``seconds`` between consecutive points: ``(gen_id, since, gap_seconds)``.
+
+    Each point meets the previous one inside its own minute; the first of a minute meets the last point of the latest
+    earlier minute that has any. A generation that fills the log is so sorted minute by minute instead of in one task.
     """
-    dated = deltas.select("gen_id", "seq", F.col("ts").cast("timestamp").alias("ts")).withColumn(
-        "_hour", F.floor(F.unix_micros("ts") / 3_600_000_000).cast("bigint")
-    )
-    in_hour = Window.partitionBy("gen_id", "_hour").orderBy("ts", "seq")
-    ends = dated.groupBy("gen_id", "_hour").agg(F.max("ts").alias("_last"))
-    # One row per generation and hour reaches this window.
+    dated = points.withColumn("_minute", F.floor(F.unix_micros("ts") / 60_000_000).cast("bigint"))
+    in_minute = Window.partitionBy("gen_id", "_minute").orderBy("ts")
+    ends = dated.groupBy("gen_id", "_minute").agg(F.max("ts").alias("_last"))
+    # One row per generation and minute reaches this window.
     before = ends.select(
-        "gen_id", "_hour", F.lag("_last").over(Window.partitionBy("gen_id").orderBy("_hour")).alias("_earlier")
+        "gen_id", "_minute", F.lag("_last").over(Window.partitionBy("gen_id").orderBy("_minute")).alias("_earlier")
     )
-    chained = dated.withColumn("_previous", F.lag("ts").over(in_hour)).join(before, ["gen_id", "_hour"])
+    chained = dated.withColumn("_previous", F.lag("ts").over(in_minute)).join(before, ["gen_id", "_minute"])
     previous = F.coalesce("_previous", "_earlier")
     gap = F.unix_micros("ts") - F.unix_micros(previous)
-    return chained.where(gap > seconds * 1_000_000).select(
-        "gen_id", "seq", "ts", (gap / 1_000_000).alias("gap_seconds")
-    )
+    return chained.where(gap > seconds * 1_000_000).select("gen_id", previous.alias("since"), (gap / 1_000_000).alias("gap_seconds"))
 
 
-def idle_stalls(deltas: DataFrame, seconds: int = IDLE_SECONDS) -> DataFrame:
-    """Silences in which nothing at all arrived."""
-    return gaps(deltas, seconds)
+def idle_stalls(deltas: DataFrame, calls: DataFrame, seconds: int = IDLE_SECONDS) -> DataFrame:
+    """Silences in which nothing at all arrived, before the first row and after the last one included.
+
+    ``calls(gen_id, started, ended)``; ``ended`` is when the call was over or, for an open one, up to when the log is known.
+    """
+    return silences(_points(deltas, calls, tokens_only=False), seconds)
 
 
-def progress_stalls(deltas: DataFrame, seconds: int = PROGRESS_SECONDS) -> DataFrame:
+def progress_stalls(deltas: DataFrame, calls: DataFrame, seconds: int = PROGRESS_SECONDS) -> DataFrame:
     """Stretches without real tokens, keep-alives or not."""
-    return gaps(deltas.where(F.col("kind") != "keepalive"), seconds)
+    return silences(_points(deltas, calls, tokens_only=True), seconds)
 
 
-def stall_reasons(deltas: DataFrame, idle: int = IDLE_SECONDS, progress: int = PROGRESS_SECONDS) -> DataFrame:
-    """``(gen_id, reason)`` for generations that stalled; a progress stall is named before an idle one."""
-    marks = idle_stalls(deltas, idle).select("gen_id", F.lit(1).alias("rank")).unionByName(
-        progress_stalls(deltas, progress).select("gen_id", F.lit(0).alias("rank"))
-    )
-    worst = marks.groupBy("gen_id").agg(F.min("rank").alias("_rank"))
-    return worst.select(
-        "gen_id",
-        F.when(F.col("_rank") == 0, f"progress timeout: no model output for {progress}s")
-        .otherwise(f"idle timeout: no stream activity for {idle}s")
-        .alias("reason"),
+def stall_reasons(deltas: DataFrame, calls: DataFrame, idle: int = IDLE_SECONDS, progress: int = PROGRESS_SECONDS) -> DataFrame:
+    """``(gen_id, stalled_at, reason)``: when and why the first of the two watchdogs would have ended the generation."""
+
+    def due(stalls: DataFrame, seconds: int, rank: int) -> DataFrame:
+        at = F.timestamp_micros(F.unix_micros("since") + seconds * 1_000_000)
+        return stalls.select("gen_id", F.struct(at.alias("at"), F.lit(rank).alias("rank")).alias("due"))
+
+    first = (
+        due(idle_stalls(deltas, calls, idle), idle, 0)
+        .unionByName(due(progress_stalls(deltas, calls, progress), progress, 1))
+        .groupBy("gen_id")
+        .agg(F.min("due").alias("due"))
     )
+    reason = F.when(F.col("due.rank") == 0, f"silent for {idle}s").otherwise(f"no tokens for {progress}s")
+    return first.select("gen_id", F.col("due.at").alias("stalled_at"), reason.alias("reason"))
+
 
+def stream_reassembled(deltas: DataFrame, width: int = DELTAS_PER_BLOCK, silence: int = IDLE_SECONDS) -> DataFrame:
+    """Streaming reassembly: ``(gen_id, block, content, reasoning_chars, ended)`` in blocks of ``width`` sequence numbers.
 
-def stream_reassembled(deltas: DataFrame, window: str = "1 hour") -> DataFrame:
-    """Streaming reassembly: content per generation and event-time window, emitted when the watermark passes it."""
+    A block is emitted once nothing more came for ``silence`` seconds, after which the call counts as stalled; so a
+    running generation is never cut by the clock, and state holds open blocks only. ``ended`` tells that the block
+    has the generation's end mark (a row of kind ``end``).
+    """
     said = F.col("kind") == "content"
     return (
         deltas.withWatermark("ts", WATERMARK)
-        .groupBy("gen_id", F.window("ts", window))
+        .groupBy("gen_id", block_of(F.col("seq"), width).alias("block"), F.session_window("ts", f"{silence} seconds"))
         .agg(
             F.array_join(F.array_sort(F.collect_list(F.when(said, F.struct("seq", "delta"))))["delta"], "").alias("content"),
             F.sum(F.when(F.col("kind") == "reasoning", F.length("delta")).otherwise(0)).alias("reasoning_chars"),
+            F.bool_or(F.col("kind") == "end").alias("ended"),
         )
-        .select("gen_id", F.col("window.start").alias("window_start"), "content", "reasoning_chars")
+        .select("gen_id", "block", "content", "reasoning_chars", "ended")
     )
 
 
 def stream_activity(deltas: DataFrame, seconds: int = IDLE_SECONDS, progress_only: bool = False) -> DataFrame:
-    """Streaming stall detection: each session is a stretch of activity that ended in ``seconds`` of silence."""
+    """Streaming stall detection: each stretch of activity that ended in ``seconds`` of silence without an end mark."""
     rows = deltas.where(F.col("kind") != "keepalive") if progress_only else deltas
     return (
         rows.withWatermark("ts", WATERMARK)
         .groupBy("gen_id", F.session_window("ts", f"{seconds} seconds"))
-        .agg(F.count(F.lit(1)).alias("deltas"))
+        .agg(F.count(F.lit(1)).alias("deltas"), F.bool_or(F.col("kind") == "end").alias("_ended"))
+        .where(~F.col("_ended"))
         .select("gen_id", F.col("session_window.start").alias("active_from"), F.col("session_window.end").alias("stalled_at"), "deltas")
     )
+
+
+def late_deltas(deltas: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows of a delivered log that the streaming side had to leave out: those whose ``(gen_id, seq)`` it has not seen.
+
+    Run over a closed stretch of the log, it gives the side table of late deltas.
+    """
+    return deltas.join(seen.select("gen_id", "seq"), ["gen_id", "seq"], "left_anti")

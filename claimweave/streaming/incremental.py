@@ -6,13 +6,13 @@ never doubles rows. Readers see the table as the union of its batches.
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from claimweave.operators import replies
 from claimweave.operators.classify import Graph, classify
+from claimweave.session import passing, settle
 
 WATERMARK = "10 minutes"
 
@@ -30,19 +30,37 @@ def write_batch(table: str, batch_id: int, df: DataFrame) -> None:
 def classify_stream(reply_stream: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
     """Classify replies as they arrive; each reply is a whole graph, so batches never split one.
 
-    ``reply_stream(graph_id, ts, content)``. A reply delivered again within the watermark is dropped.
+    ``reply_stream(graph_id, ts, content)``. The same reply delivered again within the watermark is dropped; a different
+    one, or one delivered later, replaces the graph: each batch lists its graphs, and ``current`` reads every graph
+    from the last batch that has it. Of several replies for a graph in one batch the latest counts. The parsed
+    batch is written once and deleted, with all other intermediate tables, when the batch is done.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        graph = classify_batch(batch, durable=True)
-        write_batch(f"{out}/nodes", batch_id, graph.nodes)
-        write_batch(f"{out}/edges", batch_id, graph.edges)
-        write_batch(f"{out}/rejects", batch_id, graph.rejects)
-
-    fresh = reply_stream.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["graph_id"])
+        with passing(batch.sparkSession):
+            latest = batch.groupBy("graph_id").agg(F.max(F.struct("ts", "content")).alias("_last")).select("graph_id", "_last.content")
+            parsed = settle(replies.parse_graphs(latest).drop("content"), "parsed-batch")
+            graph = classify(replies.raw_nodes(parsed), replies.raw_edges(parsed), durable=True)
+            write_batch(f"{out}/nodes", batch_id, graph.nodes)
+            write_batch(f"{out}/edges", batch_id, graph.edges)
+            write_batch(f"{out}/rejects", batch_id, graph.rejects)
+            write_batch(f"{out}/graphs", batch_id, parsed.select("graph_id"))
+
+    fresh = (
+        reply_stream.withColumn("_digest", F.sha2(F.concat_ws("\u0000", "graph_id", "content"), 256))
+        .withWatermark("ts", WATERMARK)
+        .dropDuplicatesWithinWatermark(["_digest"])
+        .drop("_digest")
+    )
     return fresh.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
+def current(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """The rows of ``table`` (nodes, edges or rejects) that no later batch replaced."""
+    last = spark.read.parquet(f"{out}/graphs").groupBy("graph_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/{table}").join(last, ["graph_id", "batch"], "left_semi").drop("batch")
+
+
 def latest_patches(edit_log: DataFrame) -> DataFrame:
     """Edits folded to the last action per record and field: ``(graph_id, target_id, noun, field, seq, value)``.
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from claimweave.functions.replies import is_object, member, raw_string_field, strict_json
 from claimweave.functions.text import none_if_empty, strip
 
-ENDED_EARLY = "The server ended the response before finishing — please try again."
-FAILED = "Extraction failed."
+ENDED_EARLY = "the log ends without a result"
+FAILED = "failed without a message"
 
 
 def read_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

@@ -34,12 +34,10 @@ UPLOAD_BYTES_LIMIT = 100 * 1024 * 1024
 IDLE_SECONDS = 120
 PROGRESS_SECONDS = 900
 
-# (constraint component, property) pairs that the published shapes trip on by construction
-KNOWN_QUIRKS = [
-    ("InConstraintComponent", "source"),
-    ("InConstraintComponent", "destination"),
-    ("InConstraintComponent", "sourceDocument"),
-]
+# opens every further piece of a section that was cut
+CONTINUED = "(section continued)"
+# the code fence some replies come in
+FENCE = r"(?s)\A```[^\n]*\n(.*?)\n```\z"
 
 # ---- end of fixed values ----
 
@@ -70,9 +68,3 @@ def legal_triples(spark: SparkSession) -> DataFrame:
         """,
         rules=relation_rules(spark),
     )
-
-
-def known_quirks(spark: SparkSession) -> DataFrame:
-    """The tolerated ``(component, path)`` pairs (3 rows)."""
-    rows = ", ".join(f"('{component}', '{path}')" for component, path in KNOWN_QUIRKS)
-    return spark.sql(f"select * from values {rows} as quirks(component, path)")

@@ -7,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from claimweave.session import configure  # noqa: E402
+from claimweave.session import configure, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -24,6 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
+    release(session)
     session.stop()
 
 

@@ -46,9 +46,9 @@ def test_replay_and_status(spark):
     reasons = {row["id"]: row["reason"] for row in status.collect()}
     # Staged order: accepted (x0), dangling (x1), ungrammatical (x2, x3); the shared counter goes on at 5.
     assert reasons == {
-        "x1": "subject is missing/dropped",
-        "x2": "object is missing/dropped",
-        "x3": "object is missing/dropped",
+        "x1": "the subject end is gone",
+        "x2": "the object end is gone",
+        "x3": "the object end is gone",
         "e6": None,
     }
     gate = edits.publishable(nodes, status).first()
@@ -65,7 +65,7 @@ def test_connect_uses_rule_order(spark):
         "graph_id string, seq long, subject string, object string",
     )
     got = {row["seq"]: (row["relation"], row["notice"]) for row in edits.connect(drawn, graph.nodes).collect()}
-    assert got == {1: ("supports", None), 3: (None, "No legal relation from Question → Claim")}
+    assert got == {1: ("supports", None), 3: (None, "nothing links Question to Claim")}
 
 
 def test_folding_batches_equals_folding_the_log(spark):

@@ -9,41 +9,45 @@ from claimweave.operators import classify, conform, project
 from claimweave.plans.build import projection_of
 from tests.conftest import edge_rows, node_rows
 
-STAMP = "2026-01-01T00:00:00.000Z"
-NAMING = project.Naming(generated_at=STAMP, creator="test agent")
+STAMP = "2031-05-17T08:30:00.000Z"
+NAMING = project.Naming(generated_at=STAMP, creator="swift desk")
+OWN, ATLAS = "https://doi.org/10.4321/swift.7", "https://birds.example/atlas"
 
 NODES = [
-    {"id": "q", "type": "Question", "text": "Does shade slow the drying of clay?", "anchor": "we ask whether shade slows drying"},
-    {"id": "c1", "type": "Claim", "text": "Shade halves the drying rate.", "anchor": "drying took twice as long"},
-    {"id": "c2", "type": "Claim", "text": "Slow drying prevents cracks.", "description": "Argued from the crack counts."},
-    {"id": "e1", "type": "Evidence", "text": "Shaded tiles dried in 40 hours.", "anchor": "40 hours on average"},
-    {"id": "e2", "type": "Evidence", "text": "Two of 60 shaded tiles cracked."},
-    {"id": "st", "type": "Study", "text": "A drying trial with 120 tiles.", "anchor": "120 tiles were laid out"},
-    {"id": "p", "type": "Protocol", "text": "Weigh each tile every four hours.", "anchor": "weighed every four hours"},
-    {"id": "s1", "type": "SourceDocument", "text": "Drying of clay tiles in shade", "doi": "10.1234/clay"},
-    {"id": "s2", "type": "SourceDocument", "text": "An older kiln survey", "doi": "doi:10.1234/kiln"},
-    {"id": "r", "type": "Request", "text": "Repeat the trial in winter.", "anchor": "a winter trial is needed"},
+    {"id": "own", "type": "SourceDocument", "text": "Ringing swifts in city towers", "doi": "doi:10.4321/swift.7"},
+    {"id": "atlas", "type": "SourceDocument", "text": "Atlas of urban birds", "url": ATLAS},
+    {"id": "where", "type": "Question", "text": "Which towers should get boxes first?"},
+    {"id": "counts", "type": "Study", "text": "Two summers of counts on nine towers", "anchor": "nine towers, two summers"},
+    {"id": "dusk", "type": "Protocol", "text": "Watch each box for an hour at dusk"},
+    {"id": "broods", "type": "Evidence", "text": "North boxes held twice the broods", "description": "Counted per box.", "anchor": "twice the broods"},
+    {"id": "hot", "type": "Evidence", "text": "South boxes passed 40 degrees"},
+    {"id": "cool", "type": "Claim", "text": "Swifts prefer cool boxes", "anchor": "they prefer the cool side"},
+    {"id": "high", "type": "Claim", "text": "Swifts pick boxes by height", "anchor": "height was thought to decide"},
+    {"id": "noise", "type": "Claim", "text": "Street noise drives swifts off"},
+    {"id": "log", "type": "Request", "text": "Log the temperature of all boxes", "anchor": "loggers are wanted"},
+    {"id": "ring", "type": "Request", "text": "Ring the adults as well"},
 ]
 EDGES = [
-    ("addresses", "c1", "q"),
-    ("supports", "e1", "c1", "which supports the halved rate"),
-    ("supports", "e2", "c2"),
-    ("supports", "c1", "c2"),
-    ("describesActivity", "s1", "st"),
-    ("grounds", "st", "e1"),
-    ("follows", "st", "p"),
-    ("request_target", "r", "c1"),
+    ("request_for", "log", "counts"),
+    ("describesActivity", "atlas", "counts"),
+    ("describesActivity", "own", "counts", "as this paper reports"),
+    ("grounds", "counts", "broods"),
+    ("opposes", "cool", "high", "not height but shade"),
+    ("opposes", "hot", "noise"),
+    ("supports", "broods", "cool", "so they choose the cool side"),
+    ("addresses", "cool", "where"),
+    ("request_target", "ring", "noise"),
+    ("follows", "counts", "dusk"),
+    ("supports", "high", "noise"),
 ]
 PAPERS = "graph_id string, title string, doi string, license string, authors array<struct<name: string, orcid: string>>"
+AUTHORS = [("Nadia Oke", None), ("Tom Vael", "0000-0009-8765-4321"), ("R. Im", None)]
 
 
 @pytest.fixture(scope="module")
 def golden(spark):
     graph = classify.classify(node_rows(spark, NODES), edge_rows(spark, EDGES), durable=True)
-    papers = spark.createDataFrame(
-        [("g", "Drying of clay tiles in shade", "10.1234/CLAY", "CC0", [("Ida Ram", "0000-0002-1825-0097"), ("Bo Lind", None)])],
-        PAPERS,
-    )
+    papers = spark.createDataFrame([("g", "Ringing swifts in city towers", " doi:10.4321/SWIFT.7", "MIT", AUTHORS)], PAPERS)
     return graph, projection_of(graph, papers, NAMING, durable=True)
 
 
@@ -64,14 +68,13 @@ def test_input_classifies_clean(golden):
 def test_object_counts_and_order(document):
     objects = document["@graph"]
     kinds = [o["@type"] if isinstance(o["@type"], str) else o["@type"][-1] for o in objects]
-    assert kinds[:3] == ["UserAccount"] * 3
-    assert kinds.count("NodeSchema") == 7 and kinds.count("AbstractRelationDef") == 6
-    assert kinds.count("Container") == 1 and kinds.count("Item") == 7
-    assert len(objects) == 3 + 7 + 6 + 1 + 7 + 10 + 8
-    assert [o["@id"] for o in objects if o["@id"].startswith("x:r") and o["@type"][-1] == "RelationInstance"] == [
-        f"x:r{i}" for i in range(8)
-    ]
-    assert [o["@id"] for o in objects[1:3]] == ["https://orcid.org/0000-0002-1825-0097", "x:author-1"]
+    anchored = sum("anchor" in n for n in NODES) + sum(len(e) == 4 for e in EDGES)
+    assert kinds == (
+        ["UserAccount"] * 4 + ["NodeSchema"] * 7 + ["AbstractRelationDef"] * 8 + ["Container"] + ["Item"] * anchored
+        + [n["type"] for n in NODES] + ["RelationInstance"] * len(EDGES)
+    )
+    assert [o["@id"] for o in objects[-len(EDGES) :]] == [f"x:r{i}" for i in range(len(EDGES))]
+    assert [o["@id"] for o in objects[1:4]] == ["x:author-0", "https://orcid.org/0000-0009-8765-4321", "x:author-2"]
     assert document["@context"] == [NAMING.context_iri, {"x": NAMING.base_prefix + "g:"}]
 
 
@@ -81,33 +84,44 @@ def by_id(document):
 
 def test_node_objects(document):
     objects = by_id(document)
-    first = objects["x:n0"]
-    assert first == {
-        "@id": "x:n0", "@type": ["x:_schema_Question", "Question"], "title": NODES[0]["text"], "content": NODES[0]["text"],
-        "created": STAMP, "modified": STAMP, "creator": "x:agent", "description": "x:a-n0",
+    assert objects["x:n8"] == {
+        "@id": "x:n8", "@type": ["x:_schema_Claim", "Claim"], "title": NODES[8]["text"], "content": NODES[8]["text"],
+        "created": STAMP, "modified": STAMP, "creator": "x:agent", "description": "x:a-n8",
     }
-    assert objects["x:n2"]["content"].endswith("\n\nArgued from the crack counts.")
-    assert objects["x:n3"]["sourceDocument"] == objects["x:n4"]["sourceDocument"] == "https://doi.org/10.1234/clay"
-    own = objects["https://doi.org/10.1234/clay"]
-    assert own["creator"] == ["https://orcid.org/0000-0002-1825-0097", "x:author-1"] and "description" not in own
-    assert "https://doi.org/10.1234/kiln" in objects
-    assert objects["x:r1"]["title"] == "Shaded tiles dried in 40 hours. -supports-> Shade halves the drying rate."
-    assert objects["x:r1"]["description"] == "x:a-r1"
+    assert objects["x:n5"]["content"] == "North boxes held twice the broods\n\nCounted per box."
+    # The first source of the grounding study; the paper itself where no study grounds the evidence.
+    assert (objects["x:n5"]["sourceDocument"], objects["x:n6"]["sourceDocument"]) == (ATLAS, OWN)
+    assert objects[OWN]["creator"] == ["x:author-0", "https://orcid.org/0000-0009-8765-4321", "x:author-2"]
+    assert objects[ATLAS]["creator"] == "x:agent"
+    assert objects["x:r4"]["title"] == "Swifts prefer cool boxes -opposes-> Swifts pick boxes by height"
+    assert (objects["x:r4"]["description"], "description" in objects["x:r0"]) == ("x:a-r4", False)
 
 
 def test_stamps_and_notes(golden):
     _, projection = golden
     stamps = {row["id"]: row["stamp"] for row in projection.stamps.collect()}
-    assert stamps == {"e1": "spine", "e2": "paper"}
+    assert stamps == {"broods": "spine", "hot": "paper"}
     notes = project.omission_notes(projection.papers, projection.stamps, projection.paper_docs).collect()
-    assert [(n["note"], n["detail"]) for n in notes] == [(project.LICENSE_NOTE, "CC0")]
+    assert [(n["note"], n["detail"]) for n in notes] == [(project.LICENSE_NOTE, "MIT")]
 
 
-def test_parts_in_order_make_the_same_document(golden, document):
+@pytest.mark.parametrize("limits", [{"width": 5}, {"part_bytes": 600}, {"width": 7, "part_bytes": 300}])
+def test_parts_make_the_same_document_and_are_read_back_whole(golden, document, limits):
     _, projection = golden
-    parts = project.document_text(projection.documents(width=5)).orderBy("part").collect()
+    docs = projection.documents(**limits)
+    parts = project.document_text(docs).orderBy("part").collect()
     assert len(parts) > 5
     assert json.loads("".join(row["jsonld"] for row in parts)) == document
+    assert [row["part"] for row in parts] == list(range(len(parts)))
+
+    def read(these):
+        objects, contexts = conform.read_parts(these, NAMING.context_iri, "file:local.jsonld")
+        return sorted(r[0] for r in objects.select(F.to_json("obj")).collect()), [r["context"] for r in contexts.collect()]
+
+    objects, contexts = read(docs)
+    assert (objects, contexts) == read(projection.documents())
+    assert len(objects) == len(document["@graph"])
+    assert json.loads(contexts[0]) == ["file:local.jsonld", {"x": NAMING.base_prefix + "g:"}]
 
 
 def test_emitted_document_conforms(golden):
@@ -115,7 +129,7 @@ def test_emitted_document_conforms(golden):
     rows = conform.with_mixins(conform.triples(conform.objects_of(projection.documents())))
     judged = conform.partition_quirks(conform.violations(rows))
     verdict = conform.conformance(rows, judged).first()
-    assert (verdict["verdict"], verdict["real"], verdict["known"]) == ("CONFORMS modulo quirks", 0, 18)
+    assert (verdict["verdict"], verdict["real"], verdict["known"]) == ("CONFORMS modulo quirks", 0, 2 * len(EDGES) + 2)
 
 
 def test_each_rule_has_a_failing_case(spark):
@@ -142,27 +156,43 @@ def test_each_rule_has_a_failing_case(spark):
     assert conform.shown_violations(judged, limit=2).count() == 2
 
 
-def test_prefixed_paths_count_as_quirks(spark):
+def test_quirks_are_told_by_their_whole_address(spark):
+    spaces = conform.Namespaces(base="http://a/base#", own="http://a/own#")
+    paths = {
+        "base:source": True, "<http://a/base#destination>": True, "source": True, "own:sourceDocument": True,
+        "own:source": False, "<http://a/other#source>": False, "http://a/base#sourceDocument": False, "title": False,
+    }
     rows = spark.createDataFrame(
-        [("g", "InConstraintComponent", path, "f", "v") for path in ("dgb:source", "<http://a/b#destination>", "title")],
+        [("g", "InConstraintComponent", path, "f", "v") for path in paths] + [("g", "ClosedConstraintComponent", "source", "c", "v")],
         "graph_id string, component string, path string, focus string, value string",
     )
-    known = {row["path"]: row["known"] for row in conform.partition_quirks(rows).collect()}
-    assert known == {"dgb:source": True, "<http://a/b#destination>": True, "title": False}
+    known = {(row["path"], row["focus"]): row["known"] for row in conform.partition_quirks(rows, spaces).collect()}
+    assert known == {(path, "f"): value for path, value in paths.items()} | {("source", "c"): False}
 
 
-def test_context_is_swapped_when_read_back(spark, document):
-    texts = spark.createDataFrame([("g", json.dumps(document))], "graph_id string, jsonld string")
-    objects, contexts = conform.read_documents(texts, NAMING.context_iri, "file:local.jsonld")
-    assert objects.count() == len(document["@graph"])
-    assert json.loads(contexts.first()["context"])[0] == "file:local.jsonld"
+def test_contexts_are_swapped_by_whole_members(spark, document):
+    inline = {"p": NAMING.context_iri, "q": [NAMING.context_iri]}
+    cases = {
+        "list": (document["@context"], ["file:l", document["@context"][1]]),
+        "alone": (NAMING.context_iri, "file:l"),
+        "inline": (inline, inline),
+        "mixed": ([inline, NAMING.context_iri], [inline, "file:l"]),
+    }
+    rows = [(name, json.dumps({"@context": given, "@graph": document["@graph"]})) for name, (given, _) in cases.items()]
+    objects, contexts = conform.read_documents(spark.createDataFrame(rows, "graph_id string, jsonld string"), NAMING.context_iri, "file:l")
+    assert objects.count() == len(cases) * len(document["@graph"])
+    assert {r["graph_id"]: json.loads(r["context"]) for r in contexts.collect()} == {name: wanted for name, (_, wanted) in cases.items()}
 
 
-def test_title_match_yields_to_a_later_doi_match(spark, golden):
-    graph, _ = golden
-    papers = spark.createDataFrame([("g", "Drying of clay  tiles IN shade", "doi:10.1234/kiln", None, [])], PAPERS)
+def test_title_match_yields_to_a_later_doi_match(spark):
+    sources = [
+        {"id": "a", "type": "SourceDocument", "text": "Swift  towers"},
+        {"id": "b", "type": "SourceDocument", "text": "Another", "doi": "10.4321/other"},
+    ]
+    graph = classify.classify(node_rows(spark, sources), edge_rows(spark, []), durable=True)
+    papers = spark.createDataFrame([("g", "swift TOWERS", "10.4321/other", None, [])], PAPERS)
     found = project.paper_documents(project.minted_nodes(graph.nodes), papers).first()
-    assert (found["paper_source"], found["matched_by"]) == ("s2", "doi")
+    assert (found["paper_source"], found["matched_by"]) == ("b", "doi")
 
 
 def test_account_names_are_clipped(spark):

@@ -56,5 +56,29 @@ def test_gaps_cross_days(spark):
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "gen_id long, seq long, s long").select(
         "gen_id", "seq", F.timestamp_seconds("s").alias("ts"), F.lit("content").alias("kind")
     )
-    got = {row["seq"]: row["gap_seconds"] for row in deltas.idle_stalls(rows, 120).collect()}
-    assert got == {2: 85_950.0, 3: 3 * 86_400 + 5 - 86_000.0}
+    calls = calls_of(spark, [(1, 0, times[-1] + 200)])
+    got = {row["since"].timestamp(): row["gap_seconds"] for row in deltas.idle_stalls(rows, calls, 120).collect()}
+    assert got == {50: 85_950.0, 86_000: 3 * 86_400 + 5 - 86_000.0, times[-1]: 200.0}
+
+
+def calls_of(spark, rows):
+    return spark.createDataFrame(rows, "gen_id long, s long, e long").select(
+        "gen_id", F.timestamp_seconds("s").alias("started"), F.timestamp_seconds("e").alias("ended")
+    )
+
+
+def test_the_earlier_watchdog_names_the_stall(spark):
+    content, alive = "content", "keepalive"
+    rows = [(1, 10, content), (1, 1210, content)]  # twenty silent minutes: idle ends it first
+    rows += [(2, 100 * i, alive) for i in range(1, 12)]  # signs of life, but no token: progress
+    rows += [(3, 5, content)]  # a normal end
+    rows += [(4, 5, content)]  # trailing silence
+    calls = calls_of(spark, [(1, 0, 1300), (2, 0, 1150), (3, 0, 6), (4, 0, 500), (5, 0, 121), (6, 0, 119)])
+    frame = spark.createDataFrame(rows, "gen_id long, s long, kind string").select("gen_id", F.timestamp_seconds("s").alias("ts"), "kind")
+    got = {r["gen_id"]: (r["stalled_at"].timestamp(), r["reason"]) for r in deltas.stall_reasons(frame, calls, 120, 900).collect()}
+    assert got == {
+        1: (130, "silent for 120s"),
+        2: (900, "no tokens for 900s"),
+        4: (125, "silent for 120s"),
+        5: (120, "silent for 120s"),
+    }

@@ -1,7 +1,9 @@
 """Streaming forms give what their batch forms give."""
 
 import json
+import os
 
+from claimweave import session
 from claimweave.sources import papers
 from claimweave.streaming import deltas, incremental, runs
 
@@ -26,9 +28,27 @@ def test_replies_classified_as_they_arrive(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(source)
     writer = incremental.classify_stream(stream, out, str(tmp_path / "cp"))
     finish(writer.trigger(availableNow=True).start())
-    assert spark.read.parquet(f"{out}/nodes").count() == 4  # the repeated reply is dropped
-    assert spark.read.parquet(f"{out}/edges").count() == 4
-    assert {r["why"] for r in spark.read.parquet(f"{out}/rejects").collect()} == {'duplicate id "a"'}
+    read = lambda table: incremental.current(spark, out, table)
+    assert read("nodes").count() == 4  # the repeated reply is dropped
+    assert read("edges").count() == 4
+    assert {r["why"] for r in read("rejects").collect()} == {'duplicate id "a"'}
+    # A different reply of one graph replaces it.
+    again = spark.createDataFrame(
+        [("g1", "2026-01-01 00:05:00", json.dumps({"nodes": [{"id": "z", "type": "Question", "text": "q"}], "edges": []}))],
+        "graph_id string, t string, content string",
+    )
+    again.selectExpr("graph_id", "timestamp(t) as ts", "content").write.mode("append").parquet(source)
+    finish(incremental.classify_stream(stream, out, str(tmp_path / "cp")).trigger(availableNow=True).start())
+    assert {(r["graph_id"], r["type"]) for r in read("nodes").collect()} == {("g0", "Claim"), ("g1", "Question"), ("g2", "Claim"), ("g3", "Claim")}
+    assert {r["graph_id"] for r in read("edges").collect()} == {"g0", "g2", "g3"}
+
+
+def test_tables_of_a_block_pass(spark):
+    with session.passing(spark):
+        kept = session.settle(spark.range(3).toDF("x"), "three")
+        path = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+        assert kept.count() == 3 and os.path.isdir(path)
+    assert not os.path.exists(path)
 
 
 def test_latest_status_in_update_mode(spark, tmp_path):
@@ -50,6 +70,7 @@ def test_latest_status_in_update_mode(spark, tmp_path):
 
 def test_sessions_end_in_silence(spark, tmp_path):
     rows = [(1, s, "content") for s in (0, 60, 100, 400, 450)] + [(1, 99_999, "content")]
+    rows += [(2, 0, "content"), (2, 50, "end")]  # a normal end is no stall
     frame = spark.createDataFrame(rows, "gen_id long, s long, kind string").selectExpr("gen_id", "timestamp_seconds(s) as ts", "kind")
     source = str(tmp_path / "deltas")
     frame.write.parquet(source)
@@ -76,3 +97,22 @@ def test_text_files_and_documents_round_trip(spark, tmp_path):
     papers.write_documents(docs, str(tmp_path / "docs"))
     parts = papers.read_document_text(spark, str(tmp_path / "docs")).orderBy("part").collect()
     assert json.loads("".join(p["jsonld"] for p in parts)) == {"@context": ["c"], "@graph": [{"@id": "a"}, {"@id": "b"}]}
+
+
+def test_streamed_blocks_keep_a_long_generation_whole(spark, tmp_path):
+    rows = [(1, i, 60 * i, "content", f"{i},") for i in range(150)] + [(1, 150, 9000, "end", ""), (9, 0, 99_999, "content", "x")]
+    frame = spark.createDataFrame(rows, "gen_id long, seq long, s long, kind string, delta string").selectExpr(
+        "gen_id", "seq", "timestamp_seconds(s) as ts", "kind", "delta"
+    )
+    source = str(tmp_path / "in")
+    frame.write.parquet(source)
+    stream = spark.readStream.schema(frame.schema).parquet(source)
+    query = (
+        deltas.stream_reassembled(stream, width=40).writeStream.outputMode("append").format("memory").queryName("blocks")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    finish(query)
+    blocks = [r for r in spark.table("blocks").orderBy("block").collect() if r["gen_id"] == 1]
+    assert [r["block"] for r in blocks] == [0, 1, 2, 3]
+    assert "".join(r["content"] for r in blocks) == "".join(f"{i}," for i in range(150))
+    assert [r["ended"] for r in blocks] == [False, False, False, True]
