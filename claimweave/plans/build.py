@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.operators import project
+from claimweave.functions.ordering import number_rows
+from claimweave.operators import merge, project
 from claimweave.operators.classify import Graph
 from claimweave.operators.project import Naming
 from claimweave.session import settle
@@ -74,3 +75,30 @@ class Projection:
 
 def projection_of(graph: Graph, papers: DataFrame, naming: Naming, durable: bool = False) -> Projection:
     return Projection(graph.nodes, graph.edges, papers, naming, durable)
+
+
+@dataclass
+class Merged:
+    """One graph per paper in the namespace ``g0, g1, …``, records with equal text folded.
+
+    ``nodes`` and ``edges`` are numbered densely anew; ``folds`` says which record went into which.
+    """
+
+    nodes: DataFrame
+    edges: DataFrame
+    folds: DataFrame
+
+
+def merged(graph: Graph) -> Merged:
+    """Renumber and fold a classified corpus whose papers came whole; every build does so before it projects."""
+    joined = merge.joined_pieces(graph.nodes, graph.edges, F.col("graph_id"), F.lit(0).cast("bigint"))
+    placed, edges = settle(joined[0], "merged-records"), joined[1]
+    nodes, edges, folds = merge.fold_exact(placed, edges)
+    numbered = number_rows(nodes.withColumnRenamed("ord", "_ord"), ["graph_id"], "_ord", "ord").drop("_ord", "piece")
+    return Merged(settle(numbered, "merged-nodes"), settle(edges, "merged-edges"), folds)
+
+
+def built(graph: Graph, papers: DataFrame, naming: Naming) -> Projection:
+    """The whole build from a classified corpus: renumber, fold, project."""
+    whole = merged(graph)
+    return Projection(whole.nodes, whole.edges, papers, naming, durable=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import text
 from claimweave.operators import analytics, anchors, attempts, chunking, classify, conform, consolidate, edits, merge
 from claimweave.operators import project, replies, report, requests, routing
-from claimweave.plans.build import Projection, projection_of
+from claimweave.plans.build import Projection, built, projection_of
 from claimweave.session import configure, settle
 from claimweave.sources import fixtures, papers
 from claimweave.streaming import deltas, incremental, runs
@@ -553,6 +553,12 @@ def documents(c: Corpus) -> DataFrame:
     return c.projection.documents()
 
 
+@query
+def build_documents(c: Corpus) -> DataFrame:
+    """Documents of the main build: records renumbered, equal ones folded, then projected."""
+    return built(c.graph, c.papers, NAMING).documents()
+
+
 # ---- conformance ----
 
 

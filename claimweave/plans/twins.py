@@ -1065,9 +1065,41 @@ def _parts() -> dict[str, str]:
     return {**named, **STEPS}
 
 
-def compose(sql: str) -> str:
-    """``sql`` preceded by the named steps it needs, directly or through others, in dependency order."""
+def _merged_parts() -> dict[str, str]:
+    """The steps with nodes and edges renumbered and folded before everything that follows classification."""
     parts = _parts()
+    base = lambda name: re.sub(r"\b(nodes|edges)\b", r"m_base_\1", parts[name])
+    best = lambda name, order: (
+        f"(select m.{name} from m_heads m where m.graph_id = h.graph_id and m.survivor = h.survivor"
+        f" and m.{name} is not null order by {order} limit 1)"
+    )
+    return parts | {
+        "m_base_nodes": parts["nodes"],
+        "judged_edges": base("judged_edges"),
+        "m_base_edges": parts["edges"],
+        "m_heads": f"""
+            select *, first_value('g' || ord) over w as survivor, first_value(ord) over w as head
+            from (select *, {squeeze('lower(text)')} as same from m_base_nodes) t
+            window w as (partition by graph_id, type, same order by ord)""",
+        "nodes": f"""
+            select graph_id, pos, row_number() over (partition by graph_id order by ord) - 1 as ord, survivor as id, type, text,
+                   {best('description', 'length(m.description) desc, m.ord')} as description, doi, url,
+                   {best('anchor', 'm.ord')} as anchor
+            from m_heads h where ord = head""",
+        "edges": """
+            select graph_id, pos, row_number() over (partition by graph_id order by pos) - 1 as ord, relation, subject, object, anchor
+            from (select e.graph_id, e.pos, e.relation, s.survivor as subject, o.survivor as object, e.anchor,
+                         row_number() over (partition by e.graph_id, e.relation, s.survivor, o.survivor order by e.pos) as copy
+                  from m_base_edges e
+                  join m_heads s on s.graph_id = e.graph_id and s.id = e.subject
+                  join m_heads o on o.graph_id = e.graph_id and o.id = e.object) t
+            where copy = 1""",
+    }
+
+
+def compose(sql: str, parts: dict[str, str] | None = None) -> str:
+    """``sql`` preceded by the named steps it needs, directly or through others, in dependency order."""
+    parts = parts or _parts()
     word = re.compile(r"\b(" + "|".join(parts) + r")\b")
     ordered: list[str] = []
 
@@ -1086,4 +1118,4 @@ def compose(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: compose(sql) for name, sql in QUERIES.items()}
+    return {name: compose(sql) for name, sql in QUERIES.items()} | {"build_documents": compose(_DOCUMENTS, _merged_parts())}

@@ -13,10 +13,14 @@ FAILED = "failed without a message"
 
 
 def read_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Log files as ``(run_id, line)``; the run is the file's base name. Lines of one file keep no order of their own."""
+    """Log files as ``(run_id, seq, line)``; the run is the file's base name, ``seq`` the number of the line.
+
+    A file holds one run, which its time cap keeps small, so it is read as a whole and split here.
+    """
     reader = spark.readStream if streaming else spark.read
     run = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]+)?$", 1)
-    return reader.format("text").load(path).select(run.alias("run_id"), F.col("value").alias("line"))
+    files = reader.format("text").option("wholetext", True).load(path).select(run.alias("run_id"), F.split("value", r"\r?\n").alias("_lines"))
+    return files.select("run_id", F.posexplode("_lines").alias("seq", "line")).withColumn("seq", F.col("seq").cast("bigint"))
 
 
 def run_events(log: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave.operators import classify, conform, project
-from claimweave.plans.build import projection_of
+from claimweave.plans.build import merged, projection_of
 from tests.conftest import edge_rows, node_rows
 
 STAMP = "2031-05-17T08:30:00.000Z"
@@ -199,3 +199,18 @@ def test_account_names_are_clipped(spark):
     papers = spark.createDataFrame([("g", None, None, None, [("n" * 300, None)])], PAPERS)
     rows = project.accounts(papers.select("graph_id"), papers, NAMING).where(F.col("ord") == 1).first()
     assert len(rows["account_name"]) == 256
+
+
+def test_the_build_folds_equal_records(spark):
+    nodes = [
+        {"id": "n2", "type": "Claim", "text": "Cool boxes win"},
+        {"id": "x", "type": "Evidence", "text": "Counts"},
+        {"id": "n5", "type": "Claim", "text": "cool  BOXES win", "description": "Said again.", "anchor": "they win"},
+        {"id": "n7", "type": "Question", "text": "Cool boxes win"},
+    ]
+    edges = [("supports", "x", "n5"), ("supports", "x", "n2", "first"), ("addresses", "n5", "n7")]
+    whole = merged(classify.classify(node_rows(spark, nodes), edge_rows(spark, edges), durable=True))
+    got = [tuple(r) for r in whole.nodes.select("ord", "id", "type", "description", "anchor").orderBy("ord").collect()]
+    assert got == [(0, "g0", "Claim", "Said again.", "they win"), (1, "g1", "Evidence", None, None), (2, "g3", "Question", None, None)]
+    links = {(r["relation"], r["subject"], r["object"]) for r in whole.edges.collect()}
+    assert links == {("supports", "g1", "g0"), ("addresses", "g0", "g3")}

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from claimweave import session
 from claimweave.sources import papers
 from claimweave.streaming import deltas, incremental, runs
@@ -116,3 +118,23 @@ def test_streamed_blocks_keep_a_long_generation_whole(spark, tmp_path):
     assert [r["block"] for r in blocks] == [0, 1, 2, 3]
     assert "".join(r["content"] for r in blocks) == "".join(f"{i}," for i in range(150))
     assert [r["ended"] for r in blocks] == [False, False, False, True]
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+def test_logs_are_read_from_files_in_order(spark, tmp_path, streaming):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.ndjson").write_text('{"type":"status","message":"one"}\n\n{"type":"status","message":"two"}\r\n{"type":"result","data":{"x":1}}\n')
+    (folder / "b.ndjson").write_text('{"type":"status","message":"start"}')
+    events = runs.run_events(runs.read_log(spark, str(folder), streaming))
+    latest = runs.latest_status(events)
+    if streaming:
+        query = (
+            latest.writeStream.outputMode("complete").format("memory").queryName("from_files")
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        finish(query)
+        latest = spark.table("from_files")
+    else:
+        assert {r["run_id"]: r["state"] for r in runs.run_results(events).collect()} == {"a": "result", "b": "ended early"}
+    assert {r["run_id"]: r["status"] for r in latest.collect()} == {"a": "two", "b": "start"}
