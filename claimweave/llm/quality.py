@@ -38,7 +38,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 50"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 15 * n_words"),
 )
@@ -168,7 +168,7 @@ with texts as (
     from texts join words using (r) left join repeats using (r) left join lines using (r)
 ), failed as (
     select *, cast(n_words < 50 as bigint) + 2 * cast(100 * n_repeat_words > 50 * n_words as bigint)
-        + 4 * cast(10 * n_symbols > n_words as bigint) + 8 * cast(10 * n_dup_lines > 3 * n_lines as bigint)
+        + 4 * cast(10 * n_symbols > n_words as bigint) + 8 * cast(2 * n_dup_lines > n_lines as bigint)
         + 16 * cast(word_chars < 2 * n_words as bigint) + 32 * cast(word_chars > 15 * n_words as bigint) as fail_bits
     from measures
 )
