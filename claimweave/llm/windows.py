@@ -7,9 +7,9 @@ Steps, each a partitioned job (``blocks.py`` explains blocks and anchors):
    corpus shares costs one row per stretch.
 2. ``compare``: rows are dealt by anchor and read in sorted order. Equal blocks are settled here; where one anchor has
    several different blocks (partial overlaps), one copy of each goes on.
-3. ``contents``: those blocks fetch their bytes from the documents and meet again by anchor. The windows of one anchor
-   are compared there; an anchor with more than ``CLASS_LIMIT`` different blocks is not held in one task: its windows
-   become rows of their own, dealt by the hash of the window.
+3. ``contents``: those blocks fetch their bytes from the documents and meet again by anchor, and ``resolve`` compares the windows
+   of one anchor. An anchor with more than ``CLASS_LIMIT`` different blocks would make one heavy task: its windows become
+   rows of their own instead, combined per stretch like blocks and dealt by the hash of the window.
 4. ``marked_runs``: runs of marked window starts per document.
 
 Rows carry a document as ``(doc, text_hash)``, so that rows sharing an id but not a text stay apart; rows that repeat
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from claimweave.llm import blocks
 from claimweave.llm.common import HELD_BYTES, NO_ID, expand, mapped, settle, squeeze, text_bytes
 
-#: Different blocks of one anchor that a task compares in memory; beyond it windows become rows.
-CLASS_LIMIT = 4096
+#: Different blocks of one anchor that a task compares in memory; beyond it windows become rows. Any value gives the same result.
+CLASS_LIMIT = 1024
 
 # Kinds of rows between the steps.
-ASKS, TWICE, MARK, NEED, WINDOW = 0, 1, 2, 3, 4
+ASKS, TWICE, MARK, NEED = 0, 1, 2, 3
 
 ROW = "kind byte, key long, digest long, doc long, text_hash long, start long, count long"
 _NAMES = [field.split()[0] for field in ROW.split(", ")]
@@ -158,20 +158,26 @@ def outline(texts: DataFrame, units: Units) -> DataFrame:
 # ---- step 2 ----
 
 
-def _compare(all_copies: bool, windows: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Reads rows sorted by key, digest, document and start; holds one batch and the row before it.
+class _Comparison:
+    """Reads rows sorted by key, digest, document and start, and holds one row between calls.
 
     ``windows``: rows are single windows, so different digests of one key are of no further interest.
     """
-    fields = len(_NAMES)
 
-    def settle_rows(rows: np.ndarray, run_before: bool) -> Iterator[pa.RecordBatch]:
+    def __init__(self, all_copies: bool, windows: bool):
+        self.all_copies, self.windows = all_copies, windows
+        self.last = np.empty((len(_NAMES), 0), np.int64)  # the last row so far, not settled yet
+        self.run_before = False
+        self.head = np.empty((len(_NAMES), 0), np.int64)  # first row of the last run so far
+        self.head_mixed = False
+
+    def _settled(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Marks of all rows but the last, which stays for the next call; ``run_before``: row 0 goes on with an earlier run."""
         same = np.zeros(rows.shape[1], bool)
-        same[0] = run_before
+        same[0] = self.run_before
         same[1:] = (rows[1:3, 1:] == rows[1:3, :-1]).all(axis=0)
         marked = same.copy()
-        if all_copies:
+        if self.all_copies:
             marked[:-1] |= same[1:]
             marked |= rows[0] == TWICE
         passed = rows[0] == MARK
@@ -179,89 +185,117 @@ def _compare(all_copies: bool, windows: bool) -> Callable[[Iterator[pa.RecordBat
         if out.any():
             yield _rows(np.full(int(out.sum()), MARK), *rows[1:, :-1][:, out])
 
+    def push(self, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not new.shape[1]:
+            return
+        rows = np.concatenate((self.last, new), axis=1)
+        twin = np.zeros(rows.shape[1], bool)
+        twin[1:] = (rows[1:6, 1:] == rows[1:6, :-1]).all(axis=0) & (rows[0, 1:] != MARK)  # the same document twice
+        if twin.any():
+            rows = rows[:, ~twin]
+        yield from self._settled(rows)
+        if not self.windows:
+            begun = np.ones(rows.shape[1], bool)
+            begun[1:] = (rows[1:3, 1:] != rows[1:3, :-1]).any(axis=0)
+            begun[: self.last.shape[1]] = False  # its run is the held head's
+            heads = np.concatenate((self.head, rows[:, begun & (rows[0] != MARK)]), axis=1)
+            linked = np.zeros(heads.shape[1] + 1, bool)
+            if heads.shape[1]:
+                linked[0] = self.head_mixed
+                linked[1:-1] = heads[1, 1:] == heads[1, :-1]
+                need = linked[:-1] | linked[1:]
+                need[-1] = False
+                if need.any():
+                    yield _rows(np.full(int(need.sum()), NEED), *heads[1:, need])
+                self.head, self.head_mixed = heads[:, -1:], bool(linked[-2])
+        at = rows.shape[1] - 1
+        self.run_before = bool((rows[1:3, at] == rows[1:3, at - 1]).all()) if at else self.run_before
+        self.last = rows[:, at:]
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        if self.last.shape[1]:
+            other = np.bitwise_not(self.last)  # a row that agrees with the last one in nothing
+            yield from self._settled(np.concatenate((self.last, other), axis=1))
+        if self.head.shape[1] and self.head_mixed:
+            yield _rows([NEED], *self.head[1:])
+
+
+def _numbers(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch[name].to_numpy(zero_copy_only=False).astype(np.int64) for name in _NAMES])
+
+
+def _compare(all_copies: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.empty((fields, 0), np.int64)  # the last row so far, not settled yet
-        run_before = False
-        head = np.empty((fields, 0), np.int64)  # first row of the last run so far
-        head_mixed = False
+        rows = _Comparison(all_copies, windows=False)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(fields)])
-            rows = np.concatenate((last, new), axis=1)
-            twin = np.zeros(rows.shape[1], bool)
-            twin[1:] = (rows[1:6, 1:] == rows[1:6, :-1]).all(axis=0) & (rows[0, 1:] != MARK)  # the same document twice
-            if twin.any():
-                rows = rows[:, ~twin]
-            yield from settle_rows(rows, run_before)
-            if not windows:
-                begun = np.ones(rows.shape[1], bool)
-                begun[1:] = (rows[1:3, 1:] != rows[1:3, :-1]).any(axis=0)
-                begun[: last.shape[1]] = False  # its run is the held head's
-                heads = np.concatenate((head, rows[:, begun & (rows[0] != MARK)]), axis=1)
-                linked = np.zeros(heads.shape[1] + 1, bool)
-                if heads.shape[1]:
-                    linked[0] = head_mixed
-                    linked[1:-1] = heads[1, 1:] == heads[1, :-1]
-                    need = linked[:-1] | linked[1:]
-                    need[-1] = False
-                    if need.any():
-                        yield _rows(np.full(int(need.sum()), NEED), *heads[1:, need])
-                    head, head_mixed = heads[:, -1:], bool(linked[-2])
-            at = rows.shape[1] - 1
-            run_before = bool((rows[1:3, at] == rows[1:3, at - 1]).all()) if at else run_before
-            last = rows[:, at:]
-        if last.shape[1]:
-            yield from settle_rows(np.concatenate((last, np.full((fields, 1), -1)), axis=1), run_before)
-        if head.shape[1] and head_mixed:
-            yield _rows([NEED], *head[1:])
+            yield from rows.push(_numbers(batch))
+        yield from rows.finish()
 
     return run
 
 
-def compare(rows: DataFrame, all_copies: bool, windows: bool = False) -> DataFrame:
+def compare(rows: DataFrame, all_copies: bool) -> DataFrame:
     """Marks of equal blocks, and a request for the content of one copy of each block that shares its anchor with others."""
     dealt = rows.repartition("key").sortWithinPartitions("key", "digest", "doc", "text_hash", "start")
-    return dealt.mapInArrow(_compare(all_copies, windows), ROW)
+    return dealt.mapInArrow(_compare(all_copies), ROW)
 
 
 # ---- step 3 ----
 
-CONTENT = "key long, doc long, text_hash long, start long, count long, content binary"
+CONTENT = ROW + ", content binary"
+#: Windows gathered before equal ones are combined.
+_WINDOWS_HELD = 100_000
 
 
-def _contents(units: Units) -> Callable[[pa.RecordBatch], Iterable[dict]]:
-    def step(batch: pa.RecordBatch) -> Iterable[dict]:
-        for doc, text_hash, packed, wanted in zip(*(batch[name] for name in ("doc", "text_hash", "packed", "wanted"))):
-            data, begin, end = units.prepare(expand(packed.as_py()))
-            asked = wanted.values
-            start, count = (asked.field(name).to_numpy() for name in ("start", "count"))
-            low, high = units.span(begin, end, start, count)
-            yield {
-                "key": asked.field("key"),
-                "doc": np.full(len(start), doc.as_py()),
-                "text_hash": np.full(len(start), text_hash.as_py()),
-                "start": start,
-                "count": count,
-                "content": [data[a:b] for a, b in zip(low.tolist(), high.tolist())],
-            }
-
-    return step
-
-
-def contents(texts: DataFrame, needs: DataFrame, units: Units) -> DataFrame:
-    """The bytes of the requested blocks. Requests of one document meet its text once."""
-    wanted = needs.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "count", "key")).alias("wanted"))
-    joined = packed_texts(texts).join(wanted, ["doc", "text_hash"])
-    names = [field.split()[0] for field in CONTENT.split(", ")]
-    step = _contents(units)
+def _contents(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def windows(data: bytes, doc: int, text_hash: int, start: int, count: int) -> tuple[np.ndarray, ...]:
+        slices = units.window_slices(data, count)
+        keys = np.array([xxhash.xxh3_64_intdigest(x) for x in slices], np.uint64).view(np.int64)
+        digests = np.array([xxhash.xxh64_intdigest(x) for x in slices], np.uint64).view(np.int64)
+        return keys, digests, np.full(count, doc), np.full(count, text_hash), start + np.arange(count), np.ones(count, np.int64)
+
+    def combined(held: list) -> Iterator[pa.RecordBatch]:
+        for rows in _combined(held, units.all_copies):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.binary())], [*_NAMES, "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
-            for columns in step(batch):
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.binary() if isinstance(x, list) else pa.int64()) for x in (columns[n] for n in names)], names)
+            for doc, text_hash, packed, wanted in zip(*(batch[name] for name in ("doc", "text_hash", "packed", "wanted"))):
+                doc, text_hash = doc.as_py(), text_hash.as_py()
+                data, begin, end = units.prepare(expand(packed.as_py()))
+                asked = wanted.values
+                key, start, count = (asked.field(name).to_numpy() for name in ("key", "start", "count"))
+                crowded = asked.field("crowded").to_numpy(zero_copy_only=False)
+                low, high = units.span(begin, end, start, count)
+                for i in np.flatnonzero(crowded).tolist():
+                    held.append(windows(data[low[i] : high[i]], doc, text_hash, int(start[i]), int(count[i])))
+                    size += int(count[i])
+                if size >= _WINDOWS_HELD:
+                    yield from combined(held)
+                    held, size = [], 0
+                plain = np.flatnonzero(~crowded)
+                n = len(plain)
+                if n:
+                    numbers = _rows(np.full(n, NEED), key[plain], np.zeros(n), np.full(n, doc), np.full(n, text_hash), start[plain], count[plain])
+                    content = pa.array([data[low[i] : high[i]] for i in plain.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*numbers.columns, content], [*_NAMES, "content"])
+        if held:
+            yield from combined(held)
+
+    return run
 
-    return joined.mapInArrow(run, CONTENT)
+
+def contents(texts: DataFrame, needs: DataFrame, units: Units, limit: int) -> DataFrame:
+    """The bytes of the requested blocks; of anchors with more than ``limit`` requests, rows of single windows instead.
+
+    Requests of one document meet its text once. Equal windows of a stretch are combined like equal blocks.
+    """
+    crowded = needs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key", F.lit(True).alias("crowded"))
+    told = needs.join(crowded, "key", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    wanted = told.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "count", "key", "crowded")).alias("wanted"))
+    return packed_texts(texts).join(wanted, ["doc", "text_hash"]).mapInArrow(_contents(units), CONTENT)
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
@@ -277,7 +311,7 @@ def packed_texts(texts: DataFrame) -> DataFrame:
 Matcher = Callable[[list[tuple[int, int, int, int, bytes]]], Iterable[tuple[int, int]]]
 
 
-def _resolve(units: Units, match: Matcher, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _resolve(units: Units, match: Matcher) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def marks(members: list) -> Iterator[pa.RecordBatch]:
         if len(members) < 2:  # windows of one block differ in where they hold the anchor
             return
@@ -293,47 +327,38 @@ def _resolve(units: Units, match: Matcher, limit: int) -> Callable[[Iterator[pa.
             zero = np.zeros(len(runs), np.int64)
             yield _rows(np.full(len(runs), MARK), zero, zero, *found)
 
-    def windows(members: list) -> Iterator[pa.RecordBatch]:
-        for doc, text_hash, start, count, content in members:
-            slices = units.window_slices(content, count)
-            keys = np.array([xxhash.xxh3_64_intdigest(x) for x in slices], np.uint64).view(np.int64)
-            digests = np.array([xxhash.xxh64_intdigest(x) for x in slices], np.uint64).view(np.int64)
-            yield _rows(np.full(count, WINDOW), keys, digests, np.full(count, doc), np.full(count, text_hash), start + np.arange(count), np.ones(count))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, members, spilling = None, [], False
+        windows = _Comparison(units.all_copies, windows=True)
+        current, members = None, []
         for batch in batches:
-            columns = [batch[name].to_pylist() for name in ("key", "doc", "text_hash", "start", "count", "content")]
-            for key, *member in zip(*columns):
+            numbers = _numbers(batch)
+            blocks_at = np.flatnonzero(numbers[0] == NEED)
+            yield from windows.push(numbers[:, numbers[0] != NEED])
+            content = batch["content"].take(pa.array(blocks_at)).to_pylist()
+            for (key, _, *member), data in zip(numbers[1:, blocks_at].T.tolist(), content):
                 if key != current:
-                    yield from windows(members) if spilling else marks(members)
-                    current, members, spilling = key, [], False
-                if members and members[-1][:3] == tuple(member[:3]):
-                    continue  # the same document twice
-                members.append(tuple(member))
-                if len(members) > limit:
-                    spilling = True
-                    yield from windows(members)
-                    members = []
-        yield from windows(members) if spilling else marks(members)
+                    yield from marks(members)
+                    current, members = key, []
+                if not members or list(members[-1][:3]) != member[:3]:  # else the same document twice
+                    members.append((*member, data))
+        yield from marks(members)
+        yield from windows.finish()
 
     return run
 
 
-def resolve(content: DataFrame, units: Units, match: Matcher, limit: int = CLASS_LIMIT) -> DataFrame:
-    """Marks inside blocks that only partly agree, and window rows of anchors beyond ``limit``."""
-    dealt = content.repartition("key").sortWithinPartitions("key", "doc", "text_hash", "start")
-    return dealt.mapInArrow(_resolve(units, match, limit), ROW)
+def resolve(content: DataFrame, units: Units, match: Matcher) -> DataFrame:
+    """Marks inside blocks that only partly agree."""
+    dealt = content.repartition("key").sortWithinPartitions("key", "digest", "doc", "text_hash", "start")
+    return dealt.mapInArrow(_resolve(units, match), ROW)
 
 
 def marked_runs(docs: DataFrame, units: Units, match: Matcher, limit: int = CLASS_LIMIT) -> DataFrame:
     """``(doc, text_hash, runs)``: per document the marked window starts as an array of ``(start, count)``."""
     texts = docs.select(*keyed_columns())
     compared = settle(compare(outline(texts, units), units.all_copies), "compared-blocks")
-    content = contents(texts, compared.where(F.col("kind") == NEED), units)
-    resolved = settle(resolve(content, units, match, limit), "resolved-windows")
-    single = compare(resolved.where(F.col("kind") == WINDOW), units.all_copies, windows=True)
-    marks = compared.unionByName(resolved).where(F.col("kind") == MARK).unionByName(single.where(F.col("kind") == MARK))
+    content = contents(texts, compared.where(F.col("kind") == NEED), units, limit)
+    marks = compared.unionByName(resolve(content, units, match)).where(F.col("kind") == MARK)
     return marks.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
 
 
