@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.llm.common import settle
+
 SEED = 20260101
 #: Weight of a source by default: its number of documents to this power.
 TEMPERATURE = 0.5
+#: Entries of all sources' distributions up to which their table is sent to every executor (8 MB); a larger one is joined by shuffle.
+SENT_ENTRIES = 1_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -27,7 +31,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, rows: int | None =
     ``weights(source, weight)`` are the targets, relative to each other; sources without a weight get none. By default a
     source weighs its size to the power ``temperature``. ``rows`` is the target size, that of the input by default.
     """
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source-counts")
     if weights is None:
         weighed = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
@@ -40,9 +44,14 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, rows: int | None =
     return weighed.select("source", "n", (F.col("weight") * F.lit(scale) / F.col("n")).alias("rate"))
 
 
+def _last(rate: Column) -> Column:
+    """A number of repetitions so large that the rest of the distribution is below every hashed value's distance to one."""
+    return F.ceil(rate + 10 * F.sqrt(rate) + 40).cast("int")
+
+
 def distribution(rate: Column) -> Column:
-    """Cumulative Poisson probabilities for 0, 1, 2, ... so far that the rest is below every hashed value's distance to one."""
-    last = F.ceil(rate + 10 * F.sqrt(rate) + 40).cast("int")
+    """Cumulative Poisson probabilities for 0, 1, 2, ..."""
+    last = _last(rate)
     # Terms by their logarithm, which stays finite for any rate.
     start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("sums"))
 
@@ -62,7 +71,11 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, rows: int | Non
     alike, a null id is hashed as an empty one, texts are carried whole and untouched. Input columns named ``replica`` or
     ``shuffle_key`` are replaced. No rows in, no rows out.
     """
-    table = rates(docs, weights, rows, temperature).select(F.col("source").alias("_source"), distribution(F.col("rate")).alias("_sums"))
+    mean = rates(docs, weights, rows, temperature)
+    table = mean.select(F.col("source").alias("_source"), distribution(F.col("rate")).alias("_sums"))
+    entries = mean.agg(F.sum(_last(F.col("rate")).cast("double"))).first()[0]
+    if (entries or 0) <= SENT_ENTRIES:  # else a shuffle join, whose large sources adaptive execution splits
+        table = F.broadcast(table)
     seed_text, id_text = F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     joined = docs.drop("replica", "shuffle_key").join(table, docs["source"].eqNullSafe(table["_source"]))
     below = F.size(F.filter("_sums", lambda s: s < F.col("_u")))
