@@ -28,7 +28,7 @@ ORDER = 2
 ALPHA = 0.4
 #: n-grams of two and more words that occur less often are not in the tables.
 CUTOFF = 2
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 _SLICE = 1 << 20
 
 PACK = "pack long, size long, n_words long, rows array<long>, lengths array<long>, packed binary"
