@@ -75,7 +75,7 @@ def explode_variant(df: DataFrame, column: str, *kept: str) -> DataFrame:
     return df.select(*kept, column).lateralJoin(df.sparkSession.tvf.variant_explode(F.col(column).outer())).drop(column)
 
 
-def triples(objects: DataFrame) -> DataFrame:
+def triples(objects: DataFrame, implied: bool = False) -> DataFrame:
     """``(graph_id, s, p, o)``, one row per value; ``objects(graph_id, obj VARIANT)``. Duplicates within a graph merge.
 
     Terms stay in their compact form since the context file is not part of the data.
@@ -86,9 +86,17 @@ def triples(objects: DataFrame) -> DataFrame:
     values = F.when(many, F.try_variant_get("value", "$", "array<string>")).otherwise(
         F.array(F.try_variant_get("value", "$", "string"))
     )
+    if implied:
+        mixes = (F.col("key") == "@type") & F.arrays_overlap(values, F.array(*[F.lit(name) for name in NODE_CLASSES + ["RelationInstance"]]))
+        values = F.when(mixes, F.array_append(values, "NodeSchema")).otherwise(values)
     return pairs.select("graph_id", "s", F.col("key").alias("p"), F.explode(values).alias("o")).distinct()
 
 
+def typed_triples(objects: DataFrame) -> DataFrame:
+    """``with_mixins(triples(objects))`` in one pass: a class implies the schema type where the types are read."""
+    return triples(objects, implied=True)
+
+
 def with_mixins(triple_rows: DataFrame) -> DataFrame:
     """Add the schema type to every node and relation instance, and to nothing else."""
     typed = triple_rows.where((F.col("p") == "@type") & F.col("o").isin(NODE_CLASSES + ["RelationInstance"]))

@@ -563,7 +563,9 @@ def build_documents(c: Corpus) -> DataFrame:
 
 
 def _triples(c: Corpus) -> DataFrame:
-    return settle(conform.with_mixins(conform.triples(conform.objects_of(c.projection.documents()))), "triples")
+    """Triples of the emitted objects and of some from elsewhere that break rules."""
+    emitted = c.projection.objects.unionByName(c.view("foreign_objects"), allowMissingColumns=True)
+    return settle(conform.typed_triples(emitted.select("graph_id", F.try_parse_json("obj_json").alias("obj"))), "triples")
 
 
 @query
@@ -577,6 +579,13 @@ def violations(c: Corpus) -> DataFrame:
     return judged.groupBy("graph_id", "component", "path", "known").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def violations_top20(c: Corpus) -> DataFrame:
+    """The first twenty real violations per graph."""
+    shown = conform.shown_violations(conform.partition_quirks(conform.violations(_triples(c))))
+    return shown.select("graph_id", F.col("rank").cast("bigint").alias("rank"), "component", "path", "focus", "value")
+
+
 @query
 def conformance(c: Corpus) -> DataFrame:
     rows = _triples(c)

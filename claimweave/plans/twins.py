@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from claimweave.functions.text import ANCHOR_CAP
+from claimweave.operators import conform
 from claimweave.plans import catalog
 from claimweave.sources import fixtures
 from claimweave.vocab import CONSOLIDATION_LIMIT, MERGEABLE_CLASSES, NODE_CLASSES, RELATIONS, SINGLE_CALL_LIMIT  # noqa: F401
@@ -369,6 +370,36 @@ STEPS: dict[str, str] = {
                            '{catalog.STAMP}', '{catalog.STAMP}', 'x:agent', item])
             from relation_objs) t
         where o is not null""",
+    "foreign_json": "select graph_id, json(obj_json) as j from foreign_objects",
+    "all_triples": f"""
+        select graph_id, s, p, o from triple_rows
+        union
+        select graph_id, s, p, unnest(case when json_type(v) = 'ARRAY' then from_json(v, '["VARCHAR"]') else [v ->> '$'] end) as o
+        from (select graph_id, j ->> '$."@id"' as s, unnest(json_keys(j)) as p, json_extract(j, '$."' || unnest(json_keys(j)) || '"') as v
+              from foreign_json) t
+        where p <> '@id'
+        union
+        select graph_id, j ->> '$."@id"', '@type', 'NodeSchema' from foreign_json
+        where list_has_any(case when json_type(j, '$."@type"') = 'ARRAY' then from_json(j -> '$."@type"', '["VARCHAR"]')
+                                else [j ->> '$."@type"'] end, [{_list(NODE_CLASSES)}, 'RelationInstance'])""",
+    "node_kinds": "select graph_id, s as node, o as kind from all_triples where p = '@type'",
+    "key_rules": "select * from (values "
+    + ", ".join(f"('{kind}', '{key}')" for kind, keys in conform.ALLOWED_KEYS.items() for key in keys)
+    + ") k(kind, p)",
+    "end_rules": """
+        select * from (values ('source', 'NodeSchema'), ('destination', 'NodeSchema'), ('description', 'Item'),
+                              ('has_container', 'Container')) e(p, kind)""",
+    "judged_violations": """
+        select graph_id, 'ClassConstraintComponent' as component, t.p as path, s as focus, o as value, false as known
+        from all_triples t join end_rules e on e.p = t.p
+        where not exists (select 1 from node_kinds k where k.graph_id = t.graph_id and k.node = t.o and k.kind = e.kind)
+        union all
+        select t.graph_id, 'ClosedConstraintComponent', t.p, t.s, t.o, false
+        from all_triples t join node_kinds k on k.graph_id = t.graph_id and k.node = t.s
+        where k.kind in (select kind from key_rules) and not (k.kind = 'NodeSchema' and k.node not like 'x:\\_schema\\_%' escape '\\')
+          and not exists (select 1 from key_rules r where r.kind = k.kind and r.p = t.p)
+        union all
+        select graph_id, 'InConstraintComponent', p, s, o, true from all_triples where p in ('source', 'destination', 'sourceDocument')""",
     # -- edits --
     "staged": """
         select graph_id, row_number() over (partition by graph_id order by branch, pos) - 1 as ord, relation, subject, object, anchor
@@ -882,16 +913,20 @@ QUERIES: dict[str, str] = {
     "linked_objects": """
         select graph_id, cast(section as bigint) as section, count(*) as objects, min(obj_id) as first_id, max(obj_id) as last_id
         from object_ids group by graph_id, section""",
-    "triple_counts": "select graph_id, p, count(*) as n from triple_rows group by graph_id, p",
+    "triple_counts": "select graph_id, p, count(*) as n from all_triples group by graph_id, p",
     "violations": """
-        select graph_id, 'InConstraintComponent' as component, p as path, true as known, count(*) as n
-        from triple_rows where p in ('source', 'destination', 'sourceDocument') group by graph_id, p""",
+        select graph_id, component, path, known, count(*) as n from judged_violations group by graph_id, component, path, known""",
+    "violations_top20": """
+        select graph_id, rank, component, path, focus, value
+        from (select *, row_number() over (partition by graph_id order by component, path, focus, value) as rank
+              from judged_violations where not known) t
+        where rank <= 20""",
     "conformance": """
-        select graph_id, count(*) as triples, count(*) filter (where p in ('source', 'destination', 'sourceDocument')) as known,
-               cast(0 as bigint) as real,
-               case when count(*) filter (where p in ('source', 'destination', 'sourceDocument')) > 0
-                    then 'CONFORMS modulo quirks' else 'CONFORMS' end as verdict
-        from triple_rows group by graph_id""",
+        select t.graph_id, t.triples, coalesce(v.known, 0) as known, coalesce(v.real, 0) as real,
+               case when v.real > 0 then 'DOES NOT CONFORM' when v.known > 0 then 'CONFORMS modulo quirks' else 'CONFORMS' end as verdict
+        from (select graph_id, count(*) as triples from all_triples group by graph_id) t
+        left join (select graph_id, count(*) filter (where known) as known, count(*) filter (where not known) as real
+                   from judged_violations group by graph_id) v on v.graph_id = t.graph_id""",
     "documents_read_back": f"""
         select i.graph_id, i.obj_id, t.title, '["{catalog.LOCAL_CONTEXT}",{{"x":"{catalog.NAMING.base_prefix}'
                || {_SLUG.format(x='i.graph_id')} || ':"}}]' as context

@@ -210,7 +210,21 @@ select 'src' || (user_id % 20) || '-0' as graph_id, event_id as seq, ts,
 from {events}
 """
 
+# Objects that break one rule each: a stray key, a container that is none, a description that is missing, an end that is no
+# node, a source stamp on a claim.
+_FOREIGN_OBJECTS = """
+select source || '-' || cast(floor(doc_id / 1000.0) as bigint) as graph_id,
+       case cast(floor(doc_id / 20.0) as bigint) % 5
+         when 0 then '{{"@id":"x:odd' || doc_id || '","@type":["x:_schema_Claim","Claim"],"mood":"odd"}}'
+         when 1 then '{{"@id":"x:box' || doc_id || '","@type":"Item","has_container":"x:n0"}}'
+         when 2 then '{{"@id":"x:void' || doc_id || '","@type":["x:_schema_Study","Study"],"description":"x:none"}}'
+         when 3 then '{{"@id":"x:tie' || doc_id || '","@type":["x:_rel_supports","supports","RelationInstance"],"source":"x:agent","destination":"x:gone"}}'
+         else '{{"@id":"x:own' || doc_id || '","@type":["x:_schema_Claim","Claim"],"sourceDocument":"x:n0","title":["a","b"]}}' end as obj_json
+from {documents} where doc_id % 20 in (3, 7, 11)
+"""
+
 VIEWS: dict[str, str] = {
+    "foreign_objects": _FOREIGN_OBJECTS,
     "paper_rows": _PAPER_ROWS,
     "marked_up": _MARKED_UP,
     "raw_nodes": _RAW_NODES,
