@@ -53,9 +53,16 @@ def staged_edges(graph: Graph) -> DataFrame:
     )
 
 
-def added_records(edit_log: DataFrame, edges: DataFrame) -> DataFrame:
-    """New nodes and edges with their ids: one counter per graph, starting after the staged edges."""
-    starts = edges.groupBy("graph_id").agg((F.count(F.lit(1)) + 1).alias("_start"))
+def added_records(edit_log: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """New nodes and edges with their ids: one counter per graph.
+
+    It starts after the number of staged edges and after the highest number of any record named like a new one (``n7``), so that
+    no new id meets a record's.
+    """
+    named = F.regexp_extract("id", r"^n(\d{1,15})$", 1)
+    taken = nodes.where(named != "").select("graph_id", named.cast("bigint").alias("_n"))
+    counts = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
+    starts = taken.unionByName(counts).groupBy("graph_id").agg((F.max("_n") + 1).alias("_start"))
     adds = edit_log.where(F.col("op").isin("addNode", "addEdge"))
     letter = F.when(F.col("op") == "addNode", "n").otherwise("e")
     counter = F.col("_k") + F.coalesce("_start", F.lit(1))
@@ -123,7 +130,7 @@ def edited_graph(graph: Graph, edit_log: DataFrame) -> tuple[DataFrame, DataFram
     The staged edges and the added records are numbered tables read several times below, so both are written once.
     """
     edges = settle(staged_edges(graph), "staged-edges")
-    adds = settle(added_records(edit_log, edges), "added-records")
+    adds = settle(added_records(edit_log, edges, graph.nodes), "added-records")
     nodes_now = replay(with_added(staged_nodes(graph.nodes), adds, "addNode", NODE_FIELDS), edit_log, "Node", NODE_FIELDS)
     edges_now = replay(with_added(edges, adds, "addEdge", EDGE_FIELDS), edit_log, "Edge", EDGE_FIELDS)
     return nodes_now, edges_now

@@ -25,6 +25,7 @@ IDLE = 12 * 3600
 PROGRESS = 24 * 3600
 STAMP = "2026-01-01T00:00:00.000Z"
 NAMING = project.Naming(generated_at=STAMP)
+EDITOR_NAMING = project.Naming(generated_at=STAMP, creator="discourse-review")
 PUBLISHED_CONTEXT = NAMING.context_iri
 LOCAL_CONTEXT = "file:context.jsonld"
 
@@ -647,6 +648,14 @@ def export_edges(c: Corpus) -> DataFrame:
     return edges.select("graph_id", "ord", "relation", "subject", "object", "anchor")
 
 
+@query
+def edited_documents(c: Corpus) -> DataFrame:
+    """Documents of the reviewed graph, with the edited attribution and the editor as their creator."""
+    nodes, edges = edits.export_selection(c.edited[0], c.edited_status)
+    attribution = edits.edited_papers(c.papers, c.edit_log)
+    return Projection(settle(nodes, "export-nodes"), settle(edges, "export-edges"), attribution, EDITOR_NAMING, durable=True).documents()
+
+
 @query
 def connect(c: Corpus) -> DataFrame:
     drawn = c.view("raw_edges").select("graph_id", F.col("pos").alias("seq"), "subject", "object")

@@ -410,7 +410,12 @@ STEPS: dict[str, str] = {
     "adds": """
         select e.*, case when op = 'addNode' then 'n' else 'e' end
                     || (row_number() over (partition by e.graph_id order by seq) - 1 + coalesce(s.n, 0) + 1) as id
-        from edits e left join (select graph_id, count(*) as n from staged group by graph_id) s on s.graph_id = e.graph_id
+        from edits e
+        left join (select graph_id, max(n) as n
+                   from (select graph_id, count(*) as n from staged group by graph_id
+                         union all
+                         select graph_id, cast(substr(id, 2) as bigint) from nodes where regexp_full_match(id, 'n[0-9]{1,15}')) t
+                   group by graph_id) s on s.graph_id = e.graph_id
         where op in ('addNode', 'addEdge')""",
     "stage_nodes": """
         select graph_id, ord, id, type, text, description, doi, url, anchor, false as added, -1 as born from nodes
@@ -1132,6 +1137,28 @@ def _merged_parts() -> dict[str, str]:
     }
 
 
+def _edited_parts() -> dict[str, str]:
+    """The steps with the exported records, relations and attribution in place of the classified ones."""
+    parts = _parts()
+    moved = {"nodes": "x_nodes", "edges": "x_edges", "paper_info": "x_paper_info"}
+    word = re.compile(r"\b(nodes|edges|paper_info)\b")
+    chain = ["judged_edges", "staged", "adds", "stage_nodes", "edges", "nodes", "paper_info"]
+    base = {name: word.sub(lambda m: moved[m.group(1)], parts[name]) for name in chain}
+    return parts | base | {
+        "x_nodes": base["nodes"],
+        "x_edges": base["edges"],
+        "x_paper_info": base["paper_info"],
+        "nodes": "select *, ord as pos from exported",
+        "edges": f"select *, ord as pos from ({QUERIES['export_edges']})",
+        "paper_info": """
+            select coalesce(p.graph_id, e.graph_id) as graph_id, coalesce(e.title, p.title) as title, p.* exclude (graph_id, title)
+            from x_paper_info p
+            full join (select graph_id, max_by(new_title, seq) as title from edits where op = 'editPaper' group by graph_id) e
+                   on e.graph_id = p.graph_id""",
+        "account_rows": parts["account_rows"].replace(catalog.NAMING.creator, catalog.EDITOR_NAMING.creator),
+    }
+
+
 def compose(sql: str, parts: dict[str, str] | None = None) -> str:
     """``sql`` preceded by the named steps it needs, directly or through others, in dependency order."""
     parts = parts or _parts()
@@ -1153,4 +1180,7 @@ def compose(sql: str, parts: dict[str, str] | None = None) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: compose(sql) for name, sql in QUERIES.items()} | {"build_documents": compose(_DOCUMENTS, _merged_parts())}
+    return {name: compose(sql) for name, sql in QUERIES.items()} | {
+        "build_documents": compose(_DOCUMENTS, _merged_parts()),
+        "edited_documents": compose(_DOCUMENTS, _edited_parts()),
+    }
