@@ -101,3 +101,14 @@ def test_components_against_union_find(spark):
     edges = spark.createDataFrame([("g", a, b) for a, b in pairs], "graph_id string, subject string, object string")
     labels = analytics.component_labels(nodes, edges)
     assert {row["id"]: row["component"] for row in labels.collect()} == {name: lowest[root(name)] for name in ids}
+
+
+def test_new_ids_keep_clear_of_records(spark):
+    nodes = node_rows(spark, [{"id": "n2", "type": "Claim", "text": "two"}, {"id": "n40", "type": "Claim", "text": "forty"}, {"id": "q", "type": "Question", "text": "q"}])
+    graph = classify.classify(nodes, edge_rows(spark, [("addresses", "n2", "q")]), durable=True)
+    log = spark.createDataFrame([("g", 1, "addNode", None, {"type": "Claim", "text": "new"}), ("g", 2, "addEdge", None, {"relation": "supports", "subject": "n41", "object": "n2"})], LOG)
+    now, edges = edits.edited_graph(graph, log)
+    ids = [row["id"] for row in now.collect()]
+    assert sorted(ids) == ["n2", "n40", "n41", "q"]
+    status = edits.edge_status(now, edges).collect()
+    assert {(row["id"], row["valid"]) for row in status} == {("x0", True), ("e42", True)} and len(status) == 2
