@@ -41,9 +41,3 @@ def number_rows(df: DataFrame, keys: Sequence[str], pos: str, out: str, width: i
         .withColumn(out, (F.col("_rank") + F.coalesce("_shift", F.lit(0))).cast("bigint"))
         .drop("_block", "_rank", "_shift")
     )
-
-
-def first_by(df: DataFrame, keys: Sequence[str], pos: str, **values: str | Column) -> DataFrame:
-    """Per ``keys``, the given columns of the row with the lowest ``pos``; combined map-side before the shuffle."""
-    picks = [F.min_by(column, F.col(pos)).alias(name) for name, column in values.items()]
-    return df.groupBy(*keys).agg(F.min(pos).alias(pos), *picks)

@@ -46,11 +46,12 @@ def kind(value: Column) -> Column:
 
 
 def is_array(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("ARRAY"), F.lit(False))
+    """Whether a variant is an array; the cast stops at its elements, where a schema would go through all they hold."""
+    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def string_field(value: Column, name: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.plans import pinned
-from claimweave.functions.replies import is_array, is_object, kind, member, outer_span, raw_string_field, strict_json, string_field, unfence
+from claimweave.functions.replies import is_array, is_object, member, outer_span, raw_string_field, strict_json, string_field, unfence
 from claimweave.functions.text import AUTHOR_CAP, FIELD_CAP, TITLE_CAP, none_if_empty, orcid
 from claimweave.operators.conform import explode_variant
 
