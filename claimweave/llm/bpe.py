@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from claimweave.llm.common import mapped, text_bytes
 
-#: Pieces and token pairs whose encoding a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Pieces and token pairs whose encoding a task remembers; beyond it the memory starts anew.
+REMEMBERED = 200_000
 NONE = 1 << 60
 
 
@@ -214,6 +214,12 @@ class Encoder:
             out += known(match) or piece(match)
         return out
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts, so that an idle worker holds the vocabulary alone."""
+        self._known.clear()
+        self._older = {}
+        self.vocabulary._pairs.clear()
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, ids))
 
@@ -257,4 +263,4 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[st
         yield columns
 
     kept = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in keep)
-    return mapped(rows, step, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if ids else ''}")
+    return mapped(rows, step, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if ids else ''}", lambda: encoder(*shared.value).forget())

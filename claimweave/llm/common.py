@@ -49,14 +49,16 @@ def text_bytes() -> Column:
     return F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
 
 
-def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a step from one batch to column dictionaries."""
+def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` with a step from one batch to column dictionaries; ``done`` is called at the end of each task."""
     names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for columns in step(batch):
                 yield record_batch(columns, names)
+        if done is not None:
+            done()
 
     return df.mapInArrow(run, schema)
 

@@ -25,8 +25,8 @@ SAMPLE_ROWS = 12_000
 #: Features are hashed into so many slots.
 SLOTS = 1 << 20
 THRESHOLD = 0.3
-#: Words whose slots a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+#: Words whose slots a task remembers; beyond it the memory starts anew.
+REMEMBERED = 100_000
 
 # Names of groups that may stand for each other, each list ending in a neutral word.
 IDENTITY_TERMS = (
@@ -65,6 +65,11 @@ class Memory(dict):
 _memory = Memory()
 
 
+def forget() -> None:
+    """Drop what a task remembered, so that an idle worker holds nothing of it."""
+    _memory.clear()
+
+
 def features(text: str) -> set[int]:
     out: set[int] = set()
     for word in words_of(text):
@@ -93,26 +98,33 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
-def fit(rows: list[tuple[list[int], list[list[int]], int]], penalty: float = 4.0, ridge: float = 0.02, steps: int = 300, least: int = 3, excess: float = 3.5) -> Model:
-    """Fit to ``(slots, slots of each counterfactual, label)`` rows.
+def fit(rows: list[tuple[list[int], list[list[int]], int]], **options) -> Model:
+    """Fit to ``(slots, slots of each counterfactual, label)`` rows; options as in ``fit_arrays``."""
+    lengths = np.array([len(slots) for slots, _, _ in rows], np.int64)
+    flat = np.fromiter((slot for slots, _, _ in rows for slot in slots), np.int32, int(lengths.sum()))
+    swapped = [(slots, other) for slots, others, _ in rows for other in others]
+    return fit_arrays(flat, lengths, np.array([label for *_, label in rows], float), swapped, **options)
+
+
+def fit_arrays(
+    flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, swapped: list[tuple[list[int], list[int]]],
+    penalty: float = 4.0, ridge: float = 0.02, steps: int = 300, least: int = 3, excess: float = 3.5,
+) -> Model:
+    """Fit to texts given by their slots one after the other, and to pairs of a text and its counterfactual.
 
-    Slots on fewer than ``least`` rows, or less than ``excess`` standard deviations more frequent among toxic rows than chance
-    would have it, are left out first: rare words of long texts would only add noise to their scores. With no rows, or one
+    Slots on fewer than ``least`` texts, or less than ``excess`` standard deviations more frequent among toxic ones than chance
+    would have it, are left out first: rare words of long texts would only add noise to their scores. With no texts, or one
     label only, the model is a constant.
     """
-    labels = np.array([label for *_, label in rows], float)
-    n, positive = len(rows), float(labels.sum())
+    n, positive = len(labels), float(labels.sum())
     bias = math.log((positive + 0.5) / (n - positive + 0.5))
     if not positive or positive == n:
         return Model(bias)
-    texts = [slots for slots, _, _ in rows]
-    flat = np.concatenate([np.asarray(s, np.int64) for s in texts])
-    owner = np.repeat(np.arange(n), [len(s) for s in texts])
+    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
     total = np.bincount(flat, minlength=SLOTS)
-    hits = np.bincount(flat, weights=labels[owner], minlength=SLOTS)
+    hits = np.bincount(flat[np.repeat(labels > 0, lengths)], minlength=SLOTS)
     share = positive / n
     z = (hits - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
-    swapped = [(slots, other) for slots, others, _ in rows for other in others]
     used = (total >= least) & (z >= excess)
     changed = sorted({slot for slots, other in swapped for slot in set(slots) ^ set(other)})
     used[changed] |= total[changed] > 0
@@ -177,14 +189,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pe
         }
 
     found = mapped(rows, step, "doc_id long, toxic int, slots array<int>, others array<array<int>>").toArrow()
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")[: 2 * sample_rows]  # repeated rows of one id count once
-    ids, toxic, slots, others = (found[name].combine_chunks() for name in ("doc_id", "toxic", "slots", "others"))
-    rows, before = [], None
-    for i in order.tolist():
-        if ids[i].as_py() != before:
-            before = ids[i].as_py()
-            rows.append((slots[i].values.to_numpy(), [x.values.to_numpy() for x in others[i]], toxic[i].as_py()))
-    return fit([(s.tolist() if o else s, [x.tolist() for x in o], t) for s, o, t in rows], penalty)
+    ids = found["doc_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = ids[order][1:] != ids[order][:-1]
+    once = order[new]  # repeated rows of one id count once
+    rows = found.take(pa.array(once)).combine_chunks()
+    del found
+    slots, others = (rows[name].combine_chunks() for name in ("slots", "others"))
+    lengths = np.diff(slots.offsets.to_numpy())
+    swapped = []
+    for i in np.flatnonzero(np.diff(others.offsets.to_numpy())).tolist():
+        text = slots[i].as_py()
+        swapped += [(text, other) for other in others[i].as_py()]
+    return fit_arrays(slots.flatten().to_numpy(), lengths, rows["toxic"].to_numpy().astype(float), swapped, penalty=penalty)
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
@@ -202,4 +220,4 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
         yield {name: batch[name] for name in keep} | {"score": pa.array(scores, pa.float64())}
 
     kept = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in keep)
-    return mapped(rows, step, f"{kept}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return mapped(rows, step, f"{kept}, score double", forget).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
