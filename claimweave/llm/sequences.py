@@ -1,19 +1,18 @@
 """Interleaved document sequences: text and media references in reading order, payloads resolved by digest.
 
-``parse`` turns HTML into an ordered array of text and media-reference structs. ``store_media`` writes each different
-payload once, as a picture under its digest, where the rows are read, so payloads are never shuffled. ``resolve`` joins
+``parse`` turns HTML into an ordered array of text and media-reference structs. ``store_media`` writes payloads
+as pictures under their digests where the rows are read, each once per task, so payloads are never shuffled. ``resolve`` joins
 references to what was computed from the store by digest; a reference keeps its position and caption, and one whose
 payload is missing stays in its place unresolved.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -201,29 +200,37 @@ def from_picture(picture: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
+#: Digests that a task remembers while it writes; beyond it the memory starts anew.
+REMEMBERED = 200_000
+
+
 def store_media(payloads: DataFrame) -> DataFrame:
-    """Write the payloads of ``(owner, digest, payload)`` as pictures ``(digest, media)``, one row per digest, and read them back.
+    """Write the payloads of ``(digest, payload)`` as pictures ``(digest, media)`` and read them back.
 
-    Owners decide on narrow rows which of several equal payloads is stored (the smallest owner, so repeated rows
-    of one owner are stored again; readers take either). Payloads stay where they are read.
+    A task writes each payload it meets once, so a payload that a third of the rows share is stored once per task, not per row,
+    and payloads are never shuffled. Readers take any of the equal copies.
     """
-    owners = payloads.select("digest", "owner").groupBy("digest").agg(F.min("owner").alias("owner"), F.count(F.lit(1)).alias("n"))
-    others = (
-        payloads.select("digest", "owner")
-        .join(owners.where(F.col("n") > 1).select("digest", F.col("owner").alias("first")), "digest")
-        .where(F.col("owner") != F.col("first"))
-        .select(F.col("owner").alias("_copy"))
-    )
-    return settle(_pictures(payloads.join(others, payloads["owner"] == F.col("_copy"), "left_anti")), "media")
+    return settle(_pictures(payloads), "media")
 
 
 def _pictures(payloads: DataFrame) -> DataFrame:
-    def step(batch: pa.RecordBatch) -> Iterable[dict]:
-        for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
-            yield {"digest": part["digest"], "media": pa.array([to_picture(x.as_py()) for x in part["payload"]], pa.binary())}
-
-    return mapped(payloads.select("digest", "payload"), step, "digest string, media binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                digests, pictures = [], []
+                for digest, payload in zip(part["digest"].to_pylist(), part["payload"]):
+                    if digest in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(digest)
+                    digests.append(digest)
+                    pictures.append(to_picture(payload.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(pictures, pa.binary())], ["digest", "media"])
+
+    return payloads.select("digest", "payload").mapInArrow(run, "digest string, media binary")
 
 
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -287,19 +294,8 @@ def document_media(docs: DataFrame) -> DataFrame:
     in, no rows out.
     """
     payload = padded(F.col("text"))
-    payloads = docs.select(F.xxhash64("doc_id", "text").alias("owner"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+    payloads = docs.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
     store = store_media(payloads)
     keep = ("doc_id", "n_bytes")
     found = references(parse(document_pages(docs), keep=keep), keep)
     return resolve(found, media_features(store)).drop("digest", "media")
-
-
-def inline_payload(address: str) -> bytes | None:
-    """Bytes of a base64 ``data:`` address, None for any other."""
-    head, comma, body = address.partition(",")
-    if not comma or not head.startswith("data:") or not head.endswith(";base64"):
-        return None
-    try:
-        return base64.b64decode(body, validate=True)
-    except binascii.Error:
-        return None

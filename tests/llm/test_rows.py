@@ -1,6 +1,5 @@
 """Ledger, toxicity and media sequences."""
 
-import base64
 import binascii
 import hashlib
 import io
@@ -165,8 +164,6 @@ def test_pictures():
         assert len(sequences.feature_of(payload)) == 16
     with pytest.raises(ValueError):
         sequences.to_picture(b"x")
-    assert sequences.inline_payload("data:image/png;base64," + base64.b64encode(b"ab").decode()) == b"ab"
-    assert sequences.inline_payload("http://a,b") is None and sequences.inline_payload("data:;base64,?") is None
 
 
 def test_documents(spark):
