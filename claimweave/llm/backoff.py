@@ -6,6 +6,9 @@
    the packs that asked.
 3. Each pack explodes its texts into n-grams again, meets their totals, and sums the scores per document.
 
+Steps 1 and 2 run once per length. A pack lists an n-gram only where both (n-1)-grams in it reach the cutoff; any other occurs
+less often than the cutoff itself, so no score needs its count.
+
 Entries travel as sorted columns of hashes, not as a row each.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from claimweave.llm import blocks
 from claimweave.llm.common import expand, settle, squeeze, text_bytes
 
-ORDER = 2
+ORDER = 5
 #: Factor of each step to a shorter history.
 ALPHA = 0.4
 #: n-grams of two and more words that occur less often are not in the tables.
@@ -112,10 +115,17 @@ class Grams:
             found = blocks.word_hashes(spaced[:-1], starts, ends)[full]
         return np.asarray(found, np.uint64), np.asarray(counts, np.int64)
 
-    def listed(self) -> tuple[np.ndarray, np.ndarray]:
-        """The different n-grams of the pack in ascending order, with their counts."""
-        every = np.concatenate([keys[self.place >= n] for n, keys in enumerate(self.keys)])
-        return np.unique(every, return_counts=True)
+    def resolved(self, totals: list[np.ndarray], cutoff: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Counts over all packs by order, as far as ``totals`` go (0 where not asked), and where the next order asks."""
+        counts, asks = [], np.ones(len(self.place), bool)
+        for n, found in enumerate(totals):
+            count = np.zeros(len(asks), np.uint64)
+            _, where = np.unique(self.keys[n][asks], return_inverse=True)
+            count[asks] = found[where]
+            counts.append(count)
+            often, asks = count >= cutoff, self.place >= n + 1
+            asks[1:] &= often[1:] & often[:-1]
+        return counts, asks
 
 
 def _bucket_bounds(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +147,23 @@ def _from_bytes(data: bytes) -> np.ndarray:
 ENTRIES = "range long, pack long, keys binary, counts binary"
 
 
-def _entries(order: int, bits: int):
+def _by_order(found: pa.Scalar, order: int) -> list[np.ndarray]:
+    """The totals of a pack by order, each in the order of the pack's keys."""
+    parts = sorted((x["level"].as_py(), x["range"].as_py(), x["totals"].as_py()) for x in found) if found.is_valid else []
+    none = [np.empty(0, np.uint64)]
+    return [np.concatenate(none + [_from_bytes(t) for level, _, t in parts if level == n]) for n in range(order)]
+
+
+def _entries(n: int, bits: int, cutoff: int):
+    """Entries of the n-grams of ``n`` + 1 words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack, lengths, packed in zip(batch["pack"], batch["lengths"], batch["packed"]):
-                keys, counts = Grams(packed.as_py(), lengths.values.to_numpy(), order).listed()
+            for pack, lengths, packed, found in zip(batch["pack"], batch["lengths"], batch["packed"], batch["found"]):
+                grams = Grams(packed.as_py(), lengths.values.to_numpy(), n + 1)
+                _, asks = grams.resolved(_by_order(found, n), cutoff)
+                keys, counts = np.unique(grams.keys[n][asks], return_counts=True)
+                del grams, asks
                 ranges, bounds = _bucket_bounds(keys, bits)
                 for begin in range(0, len(ranges), 64):
                     some = list(zip(ranges[begin : begin + 64].tolist(), bounds[begin:].tolist(), bounds[begin + 1 :].tolist()))
@@ -180,10 +202,7 @@ def _scores(order: int, words: int, alpha: float, cutoff: int):
         for batch in batches:
             for rows, lengths, packed, found in zip(batch["rows"], batch["lengths"], batch["packed"], batch["found"]):
                 grams = Grams(packed.as_py(), lengths.values.to_numpy(), order)
-                keys, _ = grams.listed()
-                parts = sorted((x["range"].as_py(), x["totals"].as_py()) for x in found) if found.is_valid else []
-                totals = np.concatenate([_from_bytes(t) for _, t in parts]) if parts else np.empty(0, np.uint64)
-                counts = [np.where(grams.place >= n, totals[np.minimum(np.searchsorted(keys, k), len(keys) - 1)], 0) if len(keys) else np.empty(0) for n, k in enumerate(grams.keys)]
+                counts, _ = grams.resolved(_by_order(found, order), cutoff)
                 score = np.log(counts[0] / words) if words else np.empty(0)
                 backed = np.zeros(len(score), bool)
                 for n in range(1, order):
@@ -202,6 +221,14 @@ def _scores(order: int, words: int, alpha: float, cutoff: int):
     return run
 
 
+def _answered(packs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The packs and ``found``, what is known of their n-grams."""
+    texts = packs.select("pack", "rows", "lengths", "packed")
+    if known is None:
+        return texts.withColumn("found", F.lit(None).cast("array<struct<level: int, range: bigint, totals: binary>>"))
+    return texts.join(known.groupBy("pack").agg(F.collect_list(F.struct("level", "range", "totals")).alias("found")), "pack", "left")
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cutoff: int = CUTOFF, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """``doc_id, n_words, n_backed_off, log_score`` for every row, with counts over the words of all rows.
 
@@ -220,10 +247,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, c
     stats = packs.agg(F.count(F.lit(1)).alias("packs"), F.sum("n_words").alias("words")).first()
     # As many hash ranges as packs, so a range's entries are about as large as a pack's.
     bits = max(0, math.ceil(math.log2(max(1, stats["packs"]))))
-    entries = packs.select("pack", "lengths", "packed").mapInArrow(_entries(order, bits), ENTRIES)
-    totals = entries.groupBy("range").applyInArrow(_totals, TOTALS)
-    answers = totals.groupBy("pack").agg(F.collect_list(F.struct("range", "totals")).alias("found"))
-    joined = packs.select("pack", "rows", "lengths", "packed").join(answers, "pack", "left")
+    known = None
+    for n in range(order):
+        entries = _answered(packs, known).mapInArrow(_entries(n, bits, cutoff), ENTRIES)
+        totals = entries.groupBy("range").applyInArrow(_totals, TOTALS).withColumn("level", F.lit(n))
+        totals = settle(totals, f"totals-{n + 1}")
+        known = totals if known is None else known.unionByName(totals)
+    joined = _answered(packs, known)
     return joined.mapInArrow(_scores(order, stats["words"] or 0, alpha, cutoff), SCORES)
 
 
@@ -251,3 +281,34 @@ with texts as (
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(b, 0) as n_backed_off, round(coalesce(s, 0.0), 4) as log_score
 from texts left join sums using (r)
 """
+
+
+def oracle(order: int) -> str:
+    """The twin for histories of up to ``order`` - 1 words; ``ORACLE`` is that of bigrams."""
+    each = range(1, order + 1)
+    grams = ", ".join(" || ' ' || ".join([f"lag(w, {k}) over p" for k in range(n - 1, 0, -1)] + ["w"]) + f" as g{n}" for n in each)
+    tables = ", ".join(f"c{n} as (select g{n}, count(*) as t{n} from grams where g{n} is not null group by g{n})" for n in each)
+    joins = " ".join(f"left join c{n} using (g{n})" for n in each)
+    before = ", ".join(f"lag(t{n}) over p as h{n}" for n in each)
+    cases = " ".join(f"when t{n} >= {CUTOFF} then ln(t{n} / cast(h{n - 1} as double)) + (least(i, {order}) - {n}) * ln({ALPHA})" for n in reversed(each[1:]))
+    least = f"ln(t1 / (select cast(count(*) as double) from words)) + (least(i, {order}) - 1) * ln({ALPHA})"
+    longest = " ".join(f"when {n} then coalesce(t{n} < {CUTOFF}, true)" for n in each[1:])
+    return rf"""
+with texts as (
+    select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), words as (
+    select r, unnest(w) as w, generate_subscripts(w, 1) as i from texts
+), grams as (
+    select r, i, {grams} from words window p as (partition by r order by i)
+), {tables}, counted as (
+    select * from grams {joins}
+), placed as (
+    select *, {before} from counted window p as (partition by r order by i)
+), scored as (
+    select r, case {cases} else {least} end as s, case least(i, {order}) {longest} else false end as backed from placed
+), sums as (
+    select r, sum(s) as s, count(*) filter (where backed) as b from scored group by r
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(b, 0) as n_backed_off, round(coalesce(s, 0.0), 4) as log_score
+from texts left join sums using (r)
+"""

@@ -88,4 +88,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can express over whole tables."""
-    return {"op1_quality_ledger": quality.ORACLE, "op5_poisson_mixing": mixing.ORACLE, "op8_stupid_backoff": backoff.ORACLE}
+    return {"op1_quality_ledger": quality.ORACLE, "op5_poisson_mixing": mixing.ORACLE, "op8_stupid_backoff": backoff.oracle(backoff.ORDER)}
