@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import backoff, bpe, mixing, quality, sequences, simhash, substring, suffix, toxicity, warc
+from claimweave.llm import backoff, bpe, mixing, quality, ranking, sequences, simhash, substring, suffix, toxicity, warc
 from claimweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,13 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ranking.train(docs, table(spark, sf_dir, "labels"))
+    found = ranking.scored(docs, model)
+    return found.select("doc_id", ranking.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def vocabulary() -> tuple[bytes, str]:
     """The public vocabulary of the encoding query and its pattern, read where the query is built."""
     import public_tokenizers
@@ -79,6 +86,7 @@ _QUERIES: list[Query] = [
     op8_stupid_backoff,
     op9_prefix_bpe,
     op10_warc_salvage,
+    op11_pairwise_ranking,
 ]
 
 
