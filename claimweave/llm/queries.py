@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import backoff, bpe, mixing, negatives, quality, ranking, sequences, simhash, substring, suffix, toxicity, warc
+from claimweave.llm import backoff, bpe, mixing, negatives, prefixes, quality, ranking, sequences, simhash, substring, suffix, toxicity, warc
 from claimweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op11_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", ranking.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_secondary_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -91,6 +95,7 @@ _QUERIES: list[Query] = [
     op9_prefix_bpe,
     op10_warc_salvage,
     op11_pairwise_ranking,
+    op12_prefix_trie,
     op13_secondary_sort_negatives,
 ]
 
@@ -105,5 +110,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_ledger": quality.ORACLE,
         "op5_poisson_mixing": mixing.ORACLE,
         "op8_stupid_backoff": backoff.oracle(backoff.ORDER),
+        "op12_prefix_trie": prefixes.ORACLE,
         "op13_secondary_sort_negatives": negatives.ORACLE,
     }
