@@ -1,20 +1,19 @@
 """Incremental forms of classification and edit replay.
 
-Both write one folder per micro-batch under a table path, replacing that folder when a batch is retried, so a restart
-never doubles rows. Readers see the table as the union of its batches.
+Both append micro-batches to a ``Store``: a batch becomes visible with its marker, and one that is retried after its marker is
+there changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from claimweave.operators import replies
 from claimweave.operators.classify import Graph, classify
 from claimweave.session import passing, settle
-
-WATERMARK = "10 minutes"
+from claimweave.sources.commits import Store
 
 
 def classify_batch(batch: DataFrame, durable: bool = False) -> Graph:
@@ -23,42 +22,61 @@ def classify_batch(batch: DataFrame, durable: bool = False) -> Graph:
     return classify(replies.raw_nodes(parsed), replies.raw_edges(parsed), durable)
 
 
-def write_batch(table: str, batch_id: int, df: DataFrame) -> None:
-    df.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+def _version() -> Column:
+    """What orders the replies for a graph: their time, and the digest of their text where times are equal."""
+    return F.struct("ts", "digest")
+
+
+def newest_replies(batch: DataFrame, heads: DataFrame | None) -> DataFrame:
+    """``(graph_id, ts, digest, content)``: of each graph the newest reply, if it is newer than the one in ``heads``.
+
+    A reply delivered again, and one older than what the graph already has, are so left out, however late they come.
+    """
+    dated = batch.where(F.col("graph_id").isNotNull()).withColumn("digest", F.sha2(F.coalesce("content", F.lit("")), 256))
+    newest = dated.groupBy("graph_id").agg(F.max(_version()).alias("_new"))
+    if heads is not None:
+        known = heads.select("graph_id", F.struct("ts", "digest").alias("_known"))
+        newest = newest.join(known, "graph_id", "left").where(F.col("_known").isNull() | (F.col("_new") > F.col("_known")))
+    chosen = newest.select("graph_id", "_new.ts", "_new.digest")
+    same = [dated["graph_id"] == chosen["graph_id"], dated["ts"].eqNullSafe(chosen["ts"]), dated["digest"] == chosen["digest"]]
+    return dated.join(chosen, same, "left_semi").dropDuplicates(["graph_id"]).select("graph_id", "ts", "digest", "content")
+
+
+def heads(store: Store) -> DataFrame:
+    """``(graph_id, ts, digest, batch)``: the newest committed reply of each graph."""
+    last = F.max(F.struct("ts", "digest", "batch")).alias("_last")
+    return store.read("graphs").groupBy("graph_id").agg(last).select("graph_id", "_last.ts", "_last.digest", "_last.batch")
 
 
 def classify_stream(reply_stream: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
     """Classify replies as they arrive; each reply is a whole graph, so batches never split one.
 
-    ``reply_stream(graph_id, ts, content)``. The same reply delivered again within the watermark is dropped; a different
-    one, or one delivered later, replaces the graph: each batch lists its graphs, and ``current`` reads every graph
-    from the last batch that has it. Of several replies for a graph in one batch the latest counts. The parsed
-    batch is written once and deleted, with all other intermediate tables, when the batch is done.
+    ``reply_stream(graph_id, ts, content)``. A graph is upserted by event time: ``current`` shows it as its newest reply left it,
+    whatever the order and the batches of delivery. Replies without ``graph_id`` are ignored; one without ``ts`` is older than
+    any other. Only the heads of the batch's own graphs are compared, and the parsed batch is written once and deleted, with all
+    other intermediate tables, when the batch is done.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        store = Store(batch.sparkSession, out)
+        if store.committed(batch_id):
+            return
         with passing(batch.sparkSession):
-            latest = batch.groupBy("graph_id").agg(F.max(F.struct("ts", "content")).alias("_last")).select("graph_id", "_last.content")
-            parsed = settle(replies.parse_graphs(latest).drop("content"), "parsed-batch")
+            known = None
+            if not store.is_empty():
+                known = heads(store).join(batch.select("graph_id").distinct(), "graph_id", "left_semi")
+            parsed = settle(replies.parse_graphs(newest_replies(batch, known)).drop("content"), "parsed-batch")
             graph = classify(replies.raw_nodes(parsed), replies.raw_edges(parsed), durable=True)
-            write_batch(f"{out}/nodes", batch_id, graph.nodes)
-            write_batch(f"{out}/edges", batch_id, graph.edges)
-            write_batch(f"{out}/rejects", batch_id, graph.rejects)
-            write_batch(f"{out}/graphs", batch_id, parsed.select("graph_id"))
-
-    fresh = (
-        reply_stream.withColumn("_digest", F.sha2(F.concat_ws("\u0000", "graph_id", "content"), 256))
-        .withWatermark("ts", WATERMARK)
-        .dropDuplicatesWithinWatermark(["_digest"])
-        .drop("_digest")
-    )
-    return fresh.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+            tables = {"nodes": graph.nodes, "edges": graph.edges, "rejects": graph.rejects, "graphs": parsed.select("graph_id", "ts", "digest")}
+            store.write(batch_id, tables)
+
+    return reply_stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
 def current(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """The rows of ``table`` (nodes, edges or rejects) that no later batch replaced."""
-    last = spark.read.parquet(f"{out}/graphs").groupBy("graph_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{out}/{table}").join(last, ["graph_id", "batch"], "left_semi").drop("batch")
+    """The rows of ``table`` (nodes, edges or rejects) that belong to the newest reply of their graph."""
+    store = Store(spark, out)
+    return store.read(table).join(heads(store), ["graph_id", "batch"], "left_semi").drop("batch")
 
 
 def latest_patches(edit_log: DataFrame) -> DataFrame:
@@ -98,6 +116,6 @@ def edit_stream(edits: DataFrame, out: str, checkpoint: str) -> DataStreamWriter
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(out, batch_id, latest_patches(batch))
+        Store(batch.sparkSession, out).write(batch_id, {"patches": latest_patches(batch)})
 
     return edits.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
