@@ -1,20 +1,24 @@
 """Token streams of model generations: decoding, reassembly and stalls.
 
 The batch forms below and the streaming forms share their expressions. Late-data policy of the streaming forms: a
-ten-minute watermark; ``late_deltas`` finds what came later in the delivered log.
+ten-minute watermark; ``store_stream`` keeps what comes later in a side table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from claimweave.functions.ordering import block_of
 from claimweave.functions.replies import kind, member, raw_string_field, strict_json
 from claimweave.functions.text import none_if_empty, strip
+from claimweave.session import passing, settle
+from claimweave.sources.commits import Store
 from claimweave.vocab import IDLE_SECONDS, PROGRESS_SECONDS
 
-WATERMARK = "10 minutes"
+DELAY_SECONDS = 600
+WATERMARK = f"{DELAY_SECONDS} seconds"
 #: Deltas joined per block when a generation is reassembled.
 DELTAS_PER_BLOCK = 10_000
 
@@ -178,9 +182,32 @@ def stream_activity(deltas: DataFrame, seconds: int = IDLE_SECONDS, progress_onl
     )
 
 
-def late_deltas(deltas: DataFrame, seen: DataFrame) -> DataFrame:
-    """Rows of a delivered log that the streaming side had to leave out: those whose ``(gen_id, seq)`` it has not seen.
+def watermark(store: Store, delay_seconds: int) -> int | None:
+    """Microseconds up to which rows count as late: ``delay_seconds`` before the latest time of all committed batches."""
+    if store.is_empty():
+        return None
+    high = store.batches().agg(F.max(F.get_json_object("manifest", "$.high").cast("long"))).first()[0]
+    return None if high is None else high - delay_seconds * 1_000_000
 
-    Run over a closed stretch of the log, it gives the side table of late deltas.
+
+def store_stream(deltas: DataFrame, out: str, checkpoint: str, delay_seconds: int = DELAY_SECONDS) -> DataStreamWriter:
+    """Append delivered rows to the tables ``deltas`` and ``late`` of a ``Store``.
+
+    A row older than the watermark of the batches committed before its own is late; it, and a row without a time, goes to the side
+    table and nowhere else. The watermark is read from the batches' markers, so a retried batch is split as it was before, and
+    one whose marker exists is not written again.
     """
-    return deltas.join(seen.select("gen_id", "seq"), ["gen_id", "seq"], "left_anti")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        store = Store(batch.sparkSession, out)
+        if store.committed(batch_id):
+            return
+        with passing(batch.sparkSession):
+            rows = settle(batch, "delivered")
+            mark = watermark(store, delay_seconds)
+            us = F.unix_micros(F.col("ts").cast("timestamp"))
+            late = us.isNull() | (us < mark if mark is not None else F.lit(False))
+            high = rows.agg(F.max(us)).first()[0]
+            store.write(batch_id, {"deltas": rows.where(~late), "late": rows.where(late)}, high=high)
+
+    return deltas.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
