@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.ordering import number_rows
+from claimweave.operators.analytics import component_labels
 from claimweave.operators.classify import with_end_types, with_rule
 from claimweave.operators.merge import first_triples, fold_nodes, repoint
 from claimweave.session import settle
 from claimweave.vocab import MERGEABLE_CLASSES
 
+#: Members of groups that are folded as one row.
+FOLD_ROWS = 1024
+
 
 def well_formed_groups(merge_groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(graph_id, group_no, id)`` of groups that pass the checks which need no other group.
@@ -43,22 +47,69 @@ def well_formed_groups(merge_groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.join(good.select("graph_id", "group_no"), ["graph_id", "group_no"], "left_semi")
 
 
-def applied_groups(merge_groups: DataFrame, nodes: DataFrame) -> DataFrame:
+def applied_groups(merge_groups: DataFrame, nodes: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """``(graph_id, group_no, id)`` of the groups that apply.
 
-    Groups claim ids in proposal order and a rejected group claims nothing, so a group's fate depends on the fate of
-    every earlier overlapping group. Instead of folding a graph's groups in one task, each round settles all graphs at
-    once: a group that is the earliest open one for every one of its ids applies, and open groups that share an id
-    with it are rejected. The earliest open group of a graph always settles, so the rounds end; their number is the
-    longest chain of overlaps, not the number of groups.
+    Groups claim ids in proposal order and a rejected group claims nothing, so a group's fate depends on that of every earlier
+    group it overlaps with, and on no other. Groups that meet are folded in order as one row: all groups of a graph with at most
+    ``fold_rows`` members in one row, and those of a larger graph by overlap component, which takes rounds by the logarithm of
+    the largest one. Only components that are larger themselves are settled in rounds along their chains, all at once.
+    """
+    members = settle(well_formed_groups(merge_groups, nodes), "open-groups")
+    sized = members.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_rows"))
+    large = settle(sized.where(F.col("_rows") > fold_rows).select("graph_id"), "large-graphs")
+    if large.isEmpty():
+        return members.join(_folded(members, []), ["graph_id", "group_no"], "left_semi")
+    small = members.join(large, "graph_id", "left_anti")
+    parts = settle(overlap_components(members.join(large, "graph_id", "left_semi")), "overlap-components")
+    weighed = parts.groupBy("graph_id", "part").agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = weighed.where(F.col("_rows") > fold_rows).select("graph_id", "part")
+    light = parts.join(heavy, ["graph_id", "part"], "left_anti")
+    won = _folded(small, []).unionByName(_folded(light, ["part"]))
+    won = won.unionByName(_settled_in_rounds(parts.join(heavy, ["graph_id", "part"], "left_semi").drop("part")))
+    return members.join(won, ["graph_id", "group_no"], "left_semi")
+
+
+def overlap_components(members: DataFrame) -> DataFrame:
+    """``members`` with ``part``: the smallest number of the groups that reach each other over shared ids."""
+    first = members.groupBy("graph_id", "id").agg(F.min("group_no").alias("_first"))
+    links = members.join(first, ["graph_id", "id"]).where(F.col("group_no") != F.col("_first"))
+    groups = members.select("graph_id", F.col("group_no").alias("id")).distinct().withColumn("ord", F.col("id"))
+    edges = links.select("graph_id", F.col("group_no").alias("subject"), F.col("_first").alias("object"))
+    labels = component_labels(settle(groups, "groups"), edges)
+    parts = labels.select("graph_id", F.col("id").alias("group_no"), F.col("component").alias("part"))
+    return members.join(parts, ["graph_id", "group_no"])
+
+
+def _folded(members: DataFrame, keys: list[str]) -> DataFrame:
+    """``(graph_id, group_no)`` of the groups that apply, by one ordered fold for each graph (and ``keys``)."""
+    groups = members.groupBy("graph_id", *keys, "group_no").agg(F.collect_list("id").alias("ids"))
+    listed = groups.groupBy("graph_id", *keys).agg(F.array_sort(F.collect_list(F.struct("group_no", "ids"))).alias("groups"))
+    state = "struct<taken: array<string>, won: array<bigint>>"
+    begin = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<bigint>").alias("won")).cast(state)
+
+    def claim(acc: Column, group: Column) -> Column:
+        claimed = F.struct(F.concat(acc["taken"], group["ids"]).alias("taken"), F.array_append(acc["won"], group["group_no"]).alias("won"))
+        return F.when(F.arrays_overlap(acc["taken"], group["ids"]), acc).otherwise(claimed.cast(state))
+
+    won = F.aggregate("groups", begin, claim, lambda acc: acc["won"])
+    return listed.select("graph_id", F.explode(won).alias("group_no"))
+
+
+def _settled_in_rounds(open_groups: DataFrame) -> DataFrame:
+    """``(graph_id, group_no)`` of the groups that apply, by rounds.
+
+    A group that is the earliest open one for every one of its ids applies, and open groups that share an id with it are
+    rejected. The earliest open group of a graph always settles, so the rounds end, after as many as the longest chain of
+    overlaps has groups.
     """
-    open_groups = settle(well_formed_groups(merge_groups, nodes), "open-groups")
+    open_groups = settle(open_groups, "open-groups")
     won = []
     while not open_groups.isEmpty():
         state = settle(_claim_round(open_groups), "claim-round")
-        won.append(state.where("won").drop("won"))
+        won.append(state.where("won").select("graph_id", "group_no"))
         open_groups = state.where("not won").drop("won")
-    return reduce(DataFrame.unionByName, won, open_groups)
+    return reduce(DataFrame.unionByName, won, open_groups.select("graph_id", "group_no"))
 
 
 def _claim_round(open_groups: DataFrame) -> DataFrame:
@@ -87,10 +138,13 @@ def _claim_round(open_groups: DataFrame) -> DataFrame:
 def fold_map(applied: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(graph_id, id, survivor)``: each applied group folds into its earliest record in graph order."""
     placed = applied.join(nodes.select("graph_id", "id", "ord"), ["graph_id", "id"])
-    heads = placed.groupBy("graph_id", "group_no").agg(F.min_by("id", "ord").alias("survivor"))
+    # Only numbers are aggregated; the survivor's id is fetched by its unique position.
+    heads = placed.groupBy("graph_id", "group_no").agg(F.min("ord").alias("_head"))
+    headed = placed.join(heads, ["graph_id", "group_no"])
+    survivors = headed.where(F.col("ord") == F.col("_head")).select("graph_id", "group_no", F.col("id").alias("survivor"))
     return (
-        placed.join(heads, ["graph_id", "group_no"])
-        .where(F.col("id") != F.col("survivor"))
+        headed.where(F.col("ord") != F.col("_head"))
+        .join(survivors, ["graph_id", "group_no"])
         .select("graph_id", "id", "survivor")
     )
 

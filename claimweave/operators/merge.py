@@ -54,13 +54,14 @@ def joined_pieces(nodes: DataFrame, edges: DataFrame, paper: Column, piece: Colu
 
 def text_folds(nodes: DataFrame, key: Callable[[], Column] = same_text) -> DataFrame:
     """``(graph_id, id, survivor)`` for every record folded into an earlier one with the same key."""
-    keyed = nodes.select("graph_id", "id", "ord", key().alias("_key"))
-    heads = keyed.groupBy("graph_id", "_key").agg(
-        F.min("ord").alias("_head"), F.count(F.lit(1)).alias("_uses"), F.min_by("id", "ord").alias("survivor")
-    )
+    # Texts are compared once and not moved: keys, ids and positions go on, and only positions are aggregated.
+    keyed = settle(nodes.select("graph_id", "id", "ord", key().alias("_key")), "text-keys")
+    heads = keyed.groupBy("graph_id", "_key").agg(F.min("ord").alias("_head"), F.count(F.lit(1)).alias("_uses"))
+    headed = keyed.join(heads.where(F.col("_uses") > 1), ["graph_id", "_key"]).drop("_key")
+    survivors = headed.where(F.col("ord") == F.col("_head")).select("graph_id", "_head", F.col("id").alias("survivor"))
     return (
-        keyed.join(heads.where(F.col("_uses") > 1), ["graph_id", "_key"])
-        .where(F.col("ord") != F.col("_head"))
+        headed.where(F.col("ord") != F.col("_head"))
+        .join(survivors, ["graph_id", "_head"])
         .select("graph_id", "id", "survivor")
     )
 
@@ -104,14 +105,14 @@ def repoint(edges: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def first_triples(edges: DataFrame, *carried: str) -> DataFrame:
-    """One row per (relation, subject, object): the earliest by ``ord``, with the ``carried`` columns of that row."""
-    first = F.min(F.struct("ord", *carried))
-    picked = [F.col(f"_first.{name}").alias(name) for name in ("ord", *carried)]
-    return (
-        edges.groupBy("graph_id", "relation", "subject", "object")
-        .agg(first.alias("_first"))
-        .select("graph_id", "relation", "subject", "object", *picked)
-    )
+    """One row per (relation, subject, object): the earliest by ``ord``, with the ``carried`` columns of that row.
+
+    Only positions are aggregated; the carried columns are fetched by the position, which is unique in a graph.
+    """
+    triple = ["graph_id", "relation", "subject", "object"]
+    edges = settle(edges.select(*triple, "ord", *carried), "triples")
+    first = edges.groupBy(*triple).agg(F.min("ord").alias("ord")).select("graph_id", "ord")
+    return edges.join(first, ["graph_id", "ord"], "left_semi").select(*triple, "ord", *carried)
 
 
 def fold_exact(

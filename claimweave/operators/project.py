@@ -79,17 +79,15 @@ def paper_documents(minted: DataFrame, papers: DataFrame) -> DataFrame:
     sources = minted.where(F.col("type") == "SourceDocument").join(wanted, "graph_id")
     by_doi = (F.col("_doi") != "") & (F.lower(F.coalesce(strip(F.col("doi")), F.lit(""))) == F.col("_doi"))
     by_title = (F.col("_title") != "") & (comparable(F.col("text")) == F.col("_title"))
-    best = F.min(F.struct(F.when(by_doi, 0).otherwise(1).alias("rank"), "ord", "id", "iri"))
-    return (
-        sources.where(by_doi | by_title)
-        .groupBy("graph_id")
-        .agg(best.alias("_best"))
-        .select(
-            "graph_id",
-            F.col("_best.id").alias("paper_source"),
-            F.col("_best.iri").alias("paper_iri"),
-            F.when(F.col("_best.rank") == 0, "doi").otherwise("title").alias("matched_by"),
-        )
+    # A title match comes after every DOI match; the best one is fetched by its position.
+    after = F.lit(1 << 62)
+    placed = sources.where(by_doi | by_title).select("graph_id", "id", "iri", (F.when(by_doi, F.col("ord")).otherwise(F.col("ord") + after)).alias("_place"))
+    best = placed.groupBy("graph_id").agg(F.min("_place").alias("_place"))
+    return placed.join(best, ["graph_id", "_place"]).select(
+        "graph_id",
+        F.col("id").alias("paper_source"),
+        F.col("iri").alias("paper_iri"),
+        F.when(F.col("_place") < after, "doi").otherwise("title").alias("matched_by"),
     )
 
 

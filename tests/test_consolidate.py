@@ -98,3 +98,48 @@ def test_pieces_share_one_namespace_and_fold_by_text(spark):
     assert [(r["id"], r["survivor"]) for r in folds.collect()] == [("g2", "g0")]
     assert {r["id"]: r["description"] for r in kept.collect()} == {"g0": "d", "g1": None, "g3": None}
     assert sorted((r["subject"], r["object"]) for r in repointed.collect()) == [("g0", "g0"), ("g0", "g1"), ("g3", "g0")]
+
+
+def jobs_of(spark, work):
+    tracker, group = spark.sparkContext.statusTracker(), "counted-jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+        return len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def sequential(groups):
+    taken, won = set(), []
+    for _, k, members in sorted(groups, key=lambda g: g[1]):
+        if not taken & set(members):
+            taken |= set(members)
+            won.append(k)
+    return won
+
+
+def test_a_long_chain_takes_a_bounded_number_of_jobs(spark):
+    def applied(n):
+        ids = [f"n{i}" for i in range(n + 1)]
+        nodes = graph_of(spark, claims(spark, dict.fromkeys(ids, "t"))).nodes
+        groups = [("g", k, [ids[k], ids[k + 1]]) for k in range(n)]
+        out = []
+        jobs = jobs_of(spark, lambda: out.extend(consolidate.applied_groups(spark.createDataFrame(groups, GROUPS), nodes).select("group_no").distinct().collect()))
+        assert sorted(row[0] for row in out) == sequential(groups)
+        return jobs
+
+    assert applied(200) <= applied(4) + 2
+
+
+def test_large_graphs_by_component_and_in_rounds(spark):
+    """The same groups folded as one graph, by component, and with a component above the size."""
+    rng = random.Random(6)
+    ids = [f"n{i}" for i in range(120)]
+    nodes = graph_of(spark, claims(spark, dict.fromkeys(ids, "t"))).nodes
+    groups = [("g", k, rng.sample(ids[: 40 if k % 3 else 120], 2)) for k in range(70)]
+    frame = spark.createDataFrame(groups, GROUPS)
+    expected = sequential(groups)
+    for rows in (1024, 100, 3):
+        found = consolidate.applied_groups(frame, nodes, rows).select("group_no").distinct().collect()
+        assert sorted(row[0] for row in found) == expected
