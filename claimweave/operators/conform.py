@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.replies import is_array, member, strict_json
+from claimweave.session import settle
 from claimweave.vocab import NODE_CLASSES, RELATIONS
 
 # ---- fixed values: keys allowed on each kind of object ----
@@ -42,6 +43,9 @@ KNOWN_QUIRKS = [
 
 # ---- end of fixed values ----
 
+#: Ids of the objects that stand for the schema itself.
+SCHEMA_PREFIX = "x:_schema_"
+
 
 @dataclass(frozen=True)
 class Namespaces:
@@ -75,10 +79,28 @@ def explode_variant(df: DataFrame, column: str, *kept: str) -> DataFrame:
     return df.select(*kept, column).lateralJoin(df.sparkSession.tvf.variant_explode(F.col(column).outer())).drop(column)
 
 
-def triples(objects: DataFrame, implied: bool = False) -> DataFrame:
-    """``(graph_id, s, p, o)``, one row per value; ``objects(graph_id, obj VARIANT)``. Duplicates within a graph merge.
+@dataclass(frozen=True)
+class Triples:
+    """Triples of dictionary-encoded terms.
 
-    Terms stay in their compact form since the context file is not part of the data.
+    ``rows(graph_id, s, p, o, of_schema)``, each once in its graph; ``s`` and ``o`` are 64-bit digests, compared within a graph,
+    and ``of_schema`` tells subjects of the schema itself. ``terms(term, text)`` has the texts as often as they occur, from
+    the stored occurrences: no text is moved to tell triples apart.
+    """
+
+    rows: DataFrame
+    terms: DataFrame
+
+
+def term(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
+def occurrences(objects: DataFrame, mixins: bool = True) -> DataFrame:
+    """``(graph_id, s, p, o)`` texts, one row per value as it stands; ``objects(graph_id, obj VARIANT)``.
+
+    Terms stay in their compact form since the context file is not part of the data. With ``mixins`` a class implies the
+    schema type for every node and relation instance, and for nothing else.
     """
     keyed = objects.select("graph_id", F.variant_get("obj", '$["@id"]', "string").alias("s"), "obj")
     pairs = explode_variant(keyed, "obj", "graph_id", "s").where(F.col("key") != "@id")
@@ -86,40 +108,53 @@ def triples(objects: DataFrame, implied: bool = False) -> DataFrame:
     values = F.when(many, F.try_variant_get("value", "$", "array<string>")).otherwise(
         F.array(F.try_variant_get("value", "$", "string"))
     )
-    if implied:
+    if mixins:
         mixes = (F.col("key") == "@type") & F.arrays_overlap(values, F.array(*[F.lit(name) for name in NODE_CLASSES + ["RelationInstance"]]))
         values = F.when(mixes, F.array_append(values, "NodeSchema")).otherwise(values)
-    return pairs.select("graph_id", "s", F.col("key").alias("p"), F.explode(values).alias("o")).distinct()
+    return pairs.select("graph_id", "s", F.col("key").alias("p"), F.explode(values).alias("o"))
+
+
+def encoded(texts: DataFrame) -> Triples:
+    """Occurrences ``(graph_id, s, p, o)`` as encoded triples; the occurrences are written once, texts beside digests."""
+    stored = settle(
+        texts.select(
+            "graph_id", term(F.col("s")).alias("s"), "p", term(F.col("o")).alias("o"),
+            F.coalesce(F.col("s").startswith(SCHEMA_PREFIX), F.lit(False)).alias("of_schema"),
+            F.col("s").alias("subject"), F.col("o").alias("value"),
+        ),
+        "triple-occurrences",
+    )
+    terms = stored.select(F.col("s").alias("term"), F.col("subject").alias("text")).unionByName(
+        stored.select(F.col("o").alias("term"), F.col("value").alias("text"))
+    )
+    return Triples(settle(once(stored), "triples"), terms.where(F.col("term").isNotNull()))
 
 
-def typed_triples(objects: DataFrame) -> DataFrame:
-    """``with_mixins(triples(objects))`` in one pass: a class implies the schema type where the types are read."""
-    return triples(objects, implied=True)
+def once(stored: DataFrame) -> DataFrame:
+    """Each triple once in its graph; only digests are moved."""
+    return stored.select("graph_id", "s", "p", "o", "of_schema").distinct()
 
 
-def with_mixins(triple_rows: DataFrame) -> DataFrame:
-    """Add the schema type to every node and relation instance, and to nothing else."""
-    typed = triple_rows.where((F.col("p") == "@type") & F.col("o").isin(NODE_CLASSES + ["RelationInstance"]))
-    added = typed.select("graph_id", "s", "p", F.lit("NodeSchema").alias("o")).distinct()
-    return triple_rows.unionByName(added).distinct()
+def triples_of(objects: DataFrame) -> Triples:
+    return encoded(occurrences(objects))
 
 
 def allowed_pairs(spark: SparkSession) -> DataFrame:
-    """``(kind, p)`` pairs of the closed key sets (under a hundred rows)."""
+    """``(kind, p)`` pairs of the closed key sets (under a hundred rows), the kind as a term."""
     rows = ", ".join(f"('{kind}', '{key}')" for kind, keys in ALLOWED_KEYS.items() for key in keys)
-    return F.broadcast(spark.sql(f"select * from values {rows} as allowed(kind, p)"))
+    return F.broadcast(spark.sql(f"select * from values {rows} as allowed(kind, p)").withColumn("kind", term(F.col("kind"))))
 
 
-def violations(triple_rows: DataFrame) -> DataFrame:
-    """``(graph_id, component, path, focus, value)`` for each broken rule, over triples with mixin types."""
-    spark = triple_rows.sparkSession
-    types = triple_rows.where(F.col("p") == "@type").select("graph_id", F.col("s").alias("node"), F.col("o").alias("kind"))
+def violations(triples: Triples) -> DataFrame:
+    """``(graph_id, component, path, focus, value)`` for each broken rule; focus and value are terms."""
+    rows = triples.rows
+    types = rows.where(F.col("p") == "@type").select("graph_id", F.col("s").alias("node"), F.col("o").alias("kind"), "of_schema")
 
     def points_to(path: str, kind: str) -> DataFrame:
         """Values of ``path`` that are not an object of class ``kind`` in the same graph."""
-        targets = types.where(F.col("kind") == kind).select("graph_id", F.col("node").alias("o"))
+        targets = types.where(F.col("kind") == term(F.lit(kind))).select("graph_id", F.col("node").alias("o"))
         return broken(
-            triple_rows.where(F.col("p") == path).join(targets, ["graph_id", "o"], "left_anti"),
+            rows.where(F.col("p") == path).join(targets, ["graph_id", "o"], "left_anti"),
             "ClassConstraintComponent",
         )
 
@@ -133,15 +168,14 @@ def violations(triple_rows: DataFrame) -> DataFrame:
         )
 
     # Closed key sets: a subject is judged by its own kinds, where the schema type added by the mixin says nothing.
-    kinds = types.where(F.col("kind").isin(list(ALLOWED_KEYS))).where(
-        ~((F.col("kind") == "NodeSchema") & ~F.col("node").startswith("x:_schema_"))
-    )
+    known = [term(F.lit(kind)) for kind in ALLOWED_KEYS]
+    kinds = types.where(F.col("kind").isin(*known) & ((F.col("kind") != term(F.lit("NodeSchema"))) | F.col("of_schema")))
     stray = (
-        triple_rows.join(kinds.withColumnRenamed("node", "s"), ["graph_id", "s"])
-        .join(allowed_pairs(spark), ["kind", "p"], "left_anti")
+        rows.join(kinds.select("graph_id", F.col("node").alias("s"), "kind"), ["graph_id", "s"])
+        .join(allowed_pairs(rows.sparkSession), ["kind", "p"], "left_anti")
     )
     always = ["source", "destination", "sourceDocument"]
-    in_lists = broken(triple_rows.where(F.col("p").isin(always)), "InConstraintComponent")
+    in_lists = broken(rows.where(F.col("p").isin(always)), "InConstraintComponent")
     return (
         points_to("source", "NodeSchema")
         .unionByName(points_to("destination", "NodeSchema"))
@@ -152,6 +186,17 @@ def violations(triple_rows: DataFrame) -> DataFrame:
     )
 
 
+def spelled_out(judged: DataFrame, triples: Triples) -> DataFrame:
+    """Violations with the texts of focus and value; only the texts of their terms are fetched."""
+    wanted = judged.select(F.explode(F.array("focus", "value")).alias("term")).where(F.col("term").isNotNull()).distinct()
+    texts = settle(triples.terms.join(wanted, "term", "left_semi").dropDuplicates(["term"]), "violation-terms")
+    out = judged
+    for name in ("focus", "value"):
+        own = texts.select(F.col("term").alias(name), F.col("text").alias(f"_{name}"))
+        out = out.join(own, name, "left").drop(name).withColumnRenamed(f"_{name}", name)
+    return out
+
+
 def partition_quirks(violation_rows: DataFrame, namespaces: Namespaces = Namespaces()) -> DataFrame:
     """Add ``known``: the violation is one of the published shapes' own artefacts. Whole addresses are compared."""
     full = namespaces.full(F.col("path"))
@@ -161,9 +206,9 @@ def partition_quirks(violation_rows: DataFrame, namespaces: Namespaces = Namespa
     return violation_rows.withColumn("known", F.coalesce(known, F.lit(False)))
 
 
-def conformance(triple_rows: DataFrame, judged: DataFrame) -> DataFrame:
+def conformance(triples: Triples, judged: DataFrame) -> DataFrame:
     """One verdict per graph: CONFORMS, CONFORMS modulo quirks, or DOES NOT CONFORM, with the counts."""
-    sizes = triple_rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("triples"))
+    sizes = triples.rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("triples"))
     counts = judged.groupBy("graph_id").agg(
         F.count_if("known").alias("known"), F.count_if(~F.col("known")).alias("real")
     )
@@ -176,10 +221,10 @@ def conformance(triple_rows: DataFrame, judged: DataFrame) -> DataFrame:
     )
 
 
-def shown_violations(judged: DataFrame, limit: int = 20) -> DataFrame:
-    """The first ``limit`` real violations per graph; the rank is limited map-side."""
+def shown_violations(judged: DataFrame, triples: Triples, limit: int = 20) -> DataFrame:
+    """The first ``limit`` real violations per graph, spelled out; the rank is limited map-side."""
     order = Window.partitionBy("graph_id").orderBy("component", "path", "focus", "value")
-    return judged.where(~F.col("known")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return spelled_out(judged.where(~F.col("known")), triples).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def _local_context(context: Column, published: str, local: str) -> Column:

@@ -563,15 +563,15 @@ def build_documents(c: Corpus) -> DataFrame:
 # ---- conformance ----
 
 
-def _triples(c: Corpus) -> DataFrame:
+def _triples(c: Corpus) -> conform.Triples:
     """Triples of the emitted objects and of some from elsewhere that break rules."""
     emitted = c.projection.objects.unionByName(c.view("foreign_objects"), allowMissingColumns=True)
-    return settle(conform.typed_triples(emitted.select("graph_id", F.try_parse_json("obj_json").alias("obj"))), "triples")
+    return conform.triples_of(emitted.select("graph_id", F.try_parse_json("obj_json").alias("obj")))
 
 
 @query
 def triple_counts(c: Corpus) -> DataFrame:
-    return _triples(c).groupBy("graph_id", "p").agg(F.count(F.lit(1)).alias("n"))
+    return _triples(c).rows.groupBy("graph_id", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -583,7 +583,8 @@ def violations(c: Corpus) -> DataFrame:
 @query
 def violations_top20(c: Corpus) -> DataFrame:
     """The first twenty real violations per graph."""
-    shown = conform.shown_violations(conform.partition_quirks(conform.violations(_triples(c))))
+    rows = _triples(c)
+    shown = conform.shown_violations(conform.partition_quirks(conform.violations(rows)), rows)
     return shown.select("graph_id", F.col("rank").cast("bigint").alias("rank"), "component", "path", "focus", "value")
 
 
