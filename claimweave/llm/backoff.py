@@ -15,7 +15,7 @@ Entries travel as sorted columns of hashes, not as a row each.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm import blocks
-from claimweave.llm.common import expand, settle, squeeze, text_bytes
+from claimweave.llm.common import expand, settle, small_batches, squeeze, text_bytes
 
 ORDER = 5
 #: Factor of each step to a shorter history.
@@ -73,9 +73,9 @@ def _n_words(data: bytes) -> int:
 
 
 class Grams:
-    """n-gram hashes of a pack: per order one array with an entry per word, its value unset (0) near a text's begin."""
+    """The word hashes of a pack, and n-gram hashes length by length: an entry per word, unset (0) near a text's begin."""
 
-    def __init__(self, packed: bytes, lengths: np.ndarray, order: int):
+    def __init__(self, packed: bytes, lengths: np.ndarray):
         raw = np.frombuffer(expand(packed), np.uint8)
         hashes, counts = [], []
         begin = 0
@@ -88,17 +88,12 @@ class Grams:
                 counts.append(c)
                 begin += sum(group)
                 group = []
-        words = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.words = self.keys = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         self.n_words = np.concatenate(counts) if counts else np.empty(0, np.int64)
         first = np.cumsum(self.n_words) - self.n_words
-        self.place = np.arange(len(words)) - np.repeat(first, self.n_words)
-        self.keys = [words]
-        for n in range(2, order + 1):
-            shorter = self.keys[-1]
-            longer = np.zeros(len(words), np.uint64)
-            longer[1:] = blocks.mix(blocks.mix(shorter[:-1] + np.uint64(n)) * blocks._B + words[1:])
-            longer[self.place < n - 1] = 0
-            self.keys.append(longer)
+        self.place = (np.arange(len(self.keys)) - np.repeat(first, self.n_words)).astype(np.int32)
+        #: Where the current length is asked for.
+        self.asks = np.ones(len(self.keys), bool)
 
     @staticmethod
     def _hash_texts(raw: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,17 +110,24 @@ class Grams:
             found = blocks.word_hashes(spaced[:-1], starts, ends)[full]
         return np.asarray(found, np.uint64), np.asarray(counts, np.int64)
 
-    def resolved(self, totals: list[np.ndarray], cutoff: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """Counts over all packs by order, as far as ``totals`` go (0 where not asked), and where the next order asks."""
-        counts, asks = [], np.ones(len(self.place), bool)
-        for n, found in enumerate(totals):
-            count = np.zeros(len(asks), np.uint64)
-            _, where = np.unique(self.keys[n][asks], return_inverse=True)
-            count[asks] = found[where]
-            counts.append(count)
-            often, asks = count >= cutoff, self.place >= n + 1
-            asks[1:] &= often[1:] & often[:-1]
-        return counts, asks
+    def counted(self, totals: Iterable[np.ndarray], cutoff: int) -> Iterator[np.ndarray]:
+        """Counts over all packs, length by length as far as ``totals`` go; 0 where a length is not asked for.
+
+        One length is held at a time: afterwards ``keys`` and ``asks`` are those of the next one.
+        """
+        for n, found in enumerate(totals, 1):
+            count = np.zeros(len(self.asks), np.uint64)
+            _, where = np.unique(self.keys[self.asks], return_inverse=True)
+            count[self.asks] = found[where]
+            del where
+            yield count
+            often = count >= cutoff
+            self.asks = self.place >= n
+            self.asks[1:] &= often[1:] & often[:-1]
+            longer = np.zeros(len(self.words), np.uint64)
+            longer[1:] = blocks.mix(blocks.mix(self.keys[:-1] + np.uint64(n + 1)) * blocks._B + self.words[1:])
+            longer[self.place < n] = 0
+            self.keys = longer
 
 
 def _bucket_bounds(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,11 +149,12 @@ def _from_bytes(data: bytes) -> np.ndarray:
 ENTRIES = "range long, pack long, keys binary, counts binary"
 
 
-def _by_order(found: pa.Scalar, order: int) -> list[np.ndarray]:
-    """The totals of a pack by order, each in the order of the pack's keys."""
-    parts = sorted((x["level"].as_py(), x["range"].as_py(), x["totals"].as_py()) for x in found) if found.is_valid else []
-    none = [np.empty(0, np.uint64)]
-    return [np.concatenate(none + [_from_bytes(t) for level, _, t in parts if level == n]) for n in range(order)]
+def _by_order(found: pa.Scalar, order: int) -> Iterator[np.ndarray]:
+    """The totals of a pack by order, each in the order of the pack's keys, unpacked when they are wanted."""
+    parts = sorted((x["level"].as_py(), x["range"].as_py(), i) for i, x in enumerate(found)) if found.is_valid else []
+    for n in range(order):
+        own = [_from_bytes(found[i]["totals"].as_py()) for level, _, i in parts if level == n]
+        yield np.concatenate([np.empty(0, np.uint64), *own])
 
 
 def _entries(n: int, bits: int, cutoff: int):
@@ -160,10 +163,11 @@ def _entries(n: int, bits: int, cutoff: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, lengths, packed, found in zip(batch["pack"], batch["lengths"], batch["packed"], batch["found"]):
-                grams = Grams(packed.as_py(), lengths.values.to_numpy(), n + 1)
-                _, asks = grams.resolved(_by_order(found, n), cutoff)
-                keys, counts = np.unique(grams.keys[n][asks], return_counts=True)
-                del grams, asks
+                grams = Grams(packed.as_py(), lengths.values.to_numpy())
+                for _ in grams.counted(_by_order(found, n), cutoff):
+                    pass
+                keys, counts = np.unique(grams.keys[grams.asks], return_counts=True)
+                del grams
                 ranges, bounds = _bucket_bounds(keys, bits)
                 for begin in range(0, len(ranges), 64):
                     some = list(zip(ranges[begin : begin + 64].tolist(), bounds[begin:].tolist(), bounds[begin + 1 :].tolist()))
@@ -201,17 +205,20 @@ def _scores(order: int, words: int, alpha: float, cutoff: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, lengths, packed, found in zip(batch["rows"], batch["lengths"], batch["packed"], batch["found"]):
-                grams = Grams(packed.as_py(), lengths.values.to_numpy(), order)
-                counts, _ = grams.resolved(_by_order(found, order), cutoff)
-                score = np.log(counts[0] / words) if words else np.empty(0)
-                backed = np.zeros(len(score), bool)
-                for n in range(1, order):
-                    history = np.ones(len(score))
-                    history[1:] = np.where(grams.place[1:] >= n, counts[n - 1][:-1], 1)
-                    has = grams.place >= n
-                    seen = has & (counts[n] >= cutoff)
-                    score = np.where(seen, np.log(np.maximum(counts[n], 1) / history), score + np.where(has, math.log(alpha), 0.0))
-                    backed = np.where(has, ~seen, backed)
+                grams = Grams(packed.as_py(), lengths.values.to_numpy())
+                place, score, backed, before = grams.place, np.empty(0), np.empty(0, bool), None
+                for n, count in enumerate(grams.counted(_by_order(found, order), cutoff)):
+                    if n == 0:
+                        score = np.log(count / words) if words else score
+                        backed = np.zeros(len(score), bool)
+                    else:
+                        has = place >= n
+                        seen = np.flatnonzero(has & (count >= cutoff))
+                        score[has] += math.log(alpha)
+                        score[seen] = np.log(count[seen] / before[seen - 1])
+                        backed[has] = True
+                        backed[seen] = False
+                    before = count
                 first = np.cumsum(grams.n_words) - grams.n_words
                 sums = [float(score[a : a + n].sum()) for a, n in zip(first.tolist(), grams.n_words.tolist())]
                 offs = [int(backed[a : a + n].sum()) for a, n in zip(first.tolist(), grams.n_words.tolist())]
@@ -248,13 +255,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, c
     # As many hash ranges as packs, so a range's entries are about as large as a pack's.
     bits = max(0, math.ceil(math.log2(max(1, stats["packs"]))))
     known = None
-    for n in range(order):
-        entries = _answered(packs, known).mapInArrow(_entries(n, bits, cutoff), ENTRIES)
-        totals = entries.groupBy("range").applyInArrow(_totals, TOTALS).withColumn("level", F.lit(n))
-        totals = settle(totals, f"totals-{n + 1}")
-        known = totals if known is None else known.unionByName(totals)
-    joined = _answered(packs, known)
-    return joined.mapInArrow(_scores(order, stats["words"] or 0, alpha, cutoff), SCORES)
+    # A row is megabytes here: a batch of several would hold a task's packs at once.
+    with small_batches(docs.sparkSession, 1):
+        for n in range(order):
+            entries = _answered(packs, known).mapInArrow(_entries(n, bits, cutoff), ENTRIES)
+            totals = entries.groupBy("range").applyInArrow(_totals, TOTALS).withColumn("level", F.lit(n))
+            totals = settle(totals, f"totals-{n + 1}")
+            known = totals if known is None else known.unionByName(totals)
+        scores = _answered(packs, known).mapInArrow(_scores(order, stats["words"] or 0, alpha, cutoff), SCORES)
+        return settle(scores, "scores")
 
 
 ORACLE = rf"""

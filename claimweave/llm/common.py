@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import zstandard
@@ -67,6 +68,18 @@ def record_batch(columns: dict, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[name]) if not isinstance(columns[name], pa.Array) else columns[name] for name in names], names)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Send at most ``rows`` rows at once to Python workers in what runs inside: for rows that are large themselves."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def squeeze(data: bytes) -> bytes:
     """Compressed bytes; texts cross a shuffle in this form."""
     return zstandard.ZstdCompressor(level=1).compress(data)
@@ -76,4 +89,4 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-__all__ = ["HELD_BYTES", "NO_ID", "expand", "mapped", "ready", "record_batch", "settle", "squeeze", "table", "text_bytes"]
+__all__ = ["HELD_BYTES", "NO_ID", "expand", "mapped", "ready", "record_batch", "settle", "small_batches", "squeeze", "table", "text_bytes"]
