@@ -7,6 +7,8 @@ of times is one row after the first shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,20 +30,28 @@ def staged_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
-def staged_edges(graph: Graph) -> DataFrame:
-    """Accepted, then dangling, then ungrammatical edges, as editable records ``x0, x1, …`` per graph."""
-    accepted = graph.edges.select("graph_id", F.col("ord").alias("pos"), *EDGE_FIELDS, F.lit(0).alias("_branch"))
-    refused = graph.judged_edges.where(F.col("verdict") != "ok").select(
+def refused_edges(graph: Graph) -> DataFrame:
+    """``(graph_id, pos, relation, subject, object, verdict)`` of the edges that admission refused."""
+    return graph.judged_edges.where(F.col("verdict") != "ok").select("graph_id", "pos", "relation", "subject", "object", "verdict")
+
+
+def numbered_edges(accepted: DataFrame, refused: DataFrame) -> DataFrame:
+    """Accepted, then dangling, then ungrammatical edges as editable records ``x0, x1, …`` per graph.
+
+    ``branch`` and ``pos`` tell where a record comes from: 0 and the edge's ``ord``, or 1 or 2 and the refused edge's ``pos``.
+    """
+    first = accepted.select("graph_id", F.col("ord").alias("pos"), *EDGE_FIELDS, F.lit(0).alias("branch"))
+    rest = refused.select(
         "graph_id",
         "pos",
         "relation",
         "subject",
         "object",
         F.lit(None).cast("string").alias("anchor"),
-        F.when(F.col("verdict") == "dangling", 1).otherwise(2).alias("_branch"),
+        F.when(F.col("verdict") == "dangling", 1).otherwise(2).alias("branch"),
     )
-    placed = accepted.unionByName(refused).withColumn(
-        "_seq", F.col("_branch").cast("bigint") * F.lit(_BRANCH) + F.col("pos")
+    placed = first.unionByName(rest).withColumn(
+        "_seq", F.col("branch").cast("bigint") * F.lit(_BRANCH) + F.col("pos")
     )
     return number_rows(placed, ["graph_id"], "_seq", "ord").select(
         "graph_id",
@@ -50,7 +60,45 @@ def staged_edges(graph: Graph) -> DataFrame:
         *EDGE_FIELDS,
         F.lit(False).alias("dropped"),
         F.lit(False).alias("added"),
+        "branch",
+        "pos",
+    )
+
+
+def staged_edges(graph: Graph) -> DataFrame:
+    """The edges of a classified graph as editable records."""
+    return numbered_edges(graph.edges, refused_edges(graph)).drop("branch", "pos")
+
+
+def renamed(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with the ids in ``columns`` mapped by ``ids(graph_id, old_id, id)``.
+
+    An id that names no record stays; one that looks like a record's of the new graph gets a question mark, so that it does
+    not come to name one.
+    """
+    for column in columns:
+        known = ids.select("graph_id", F.col("old_id").alias(column), F.col("id").alias("_new"))
+        stranger = F.when(F.col(column).rlike(r"^[gn]\d+$"), F.concat(F.lit("?"), column)).otherwise(F.col(column))
+        rows = rows.join(known, ["graph_id", column], "left").withColumn(column, F.coalesce("_new", stranger)).drop("_new")
+    return rows
+
+
+def rebased(edit_log: DataFrame, node_ids: DataFrame, edge_ids: DataFrame) -> DataFrame:
+    """The log in the names of another staging; both maps are ``(graph_id, old_id, id)``.
+
+    Targets and the ends that patches set are mapped. An edit whose target is not in the map loses it and so changes nothing,
+    as before.
+    """
+    tagged = lambda ids, noun: ids.select("graph_id", F.lit(noun).alias("_noun"), F.col("old_id").alias("target_id"), F.col("id").alias("_target"))
+    targets = tagged(node_ids, "Node").unionByName(tagged(edge_ids, "Edge"))
+    noun = F.regexp_extract("op", "(Node|Edge)$", 1)
+    log = edit_log.withColumn("_noun", noun).join(targets, ["graph_id", "_noun", "target_id"], "left")
+    log = log.withColumns({"_subject": F.col("patch")["subject"], "_object": F.col("patch")["object"]})
+    log = renamed(log, node_ids, ["_subject", "_object"])
+    patch = F.transform_values(
+        "patch", lambda key, value: F.when(key == "subject", F.col("_subject")).when(key == "object", F.col("_object")).otherwise(value)
     )
+    return log.select("graph_id", "seq", "ts", "op", F.col("_target").alias("target_id"), patch.alias("patch"))
 
 
 def added_records(edit_log: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -129,9 +177,14 @@ def edited_graph(graph: Graph, edit_log: DataFrame) -> tuple[DataFrame, DataFram
 
     The staged edges and the added records are numbered tables read several times below, so both are written once.
     """
-    edges = settle(staged_edges(graph), "staged-edges")
-    adds = settle(added_records(edit_log, edges, graph.nodes), "added-records")
-    nodes_now = replay(with_added(staged_nodes(graph.nodes), adds, "addNode", NODE_FIELDS), edit_log, "Node", NODE_FIELDS)
+    return replayed(graph.nodes, settle(staged_edges(graph), "staged-edges"), edit_log)
+
+
+def replayed(nodes: DataFrame, staged: DataFrame, edit_log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after the edits of a log in their names; ``staged`` as from ``staged_edges`` or ``numbered_edges``."""
+    edges = staged.drop("branch", "pos")
+    adds = settle(added_records(edit_log, edges, nodes), "added-records")
+    nodes_now = replay(with_added(staged_nodes(nodes), adds, "addNode", NODE_FIELDS), edit_log, "Node", NODE_FIELDS)
     edges_now = replay(with_added(edges, adds, "addEdge", EDGE_FIELDS), edit_log, "Edge", EDGE_FIELDS)
     return nodes_now, edges_now
 
@@ -274,13 +327,29 @@ def incident_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def rail_summary(nodes: DataFrame, edges: DataFrame, status: DataFrame) -> DataFrame:
-    """Long-form counts ``(graph_id, item, n)``: live by class, dropped, added and invalid records."""
+def rail_summary(
+    nodes: DataFrame, edges: DataFrame, status: DataFrame, folds: DataFrame | None = None, rejects: DataFrame | None = None,
+    proposed: DataFrame | None = None,
+) -> DataFrame:
+    """Long-form counts ``(graph_id, item, n)``: live by class, dropped, added and invalid records.
+
+    And what happened before staging, as far as it is given: records folded into others, nodes refused, and relations across
+    pieces that consolidation added (``proposed``, with ``accepted``).
+    """
 
     def tally(df: DataFrame, item: Column) -> DataFrame:
         return df.groupBy("graph_id", item.alias("item")).agg(F.count(F.lit(1)).alias("n"))
 
-    return (
+    earlier = [
+        tally(df, F.lit(item))
+        for df, item in (
+            (folds, "folded records"),
+            (None if rejects is None else rejects.where(F.col("kind") == "node"), "refused nodes"),
+            (None if proposed is None else proposed.where("accepted"), "relations across pieces"),
+        )
+        if df is not None
+    ]
+    now = (
         tally(nodes.where(~F.col("dropped")), F.concat(F.lit("live "), "type"))
         .unionByName(tally(nodes.where("dropped"), F.lit("dropped nodes")))
         .unionByName(tally(nodes.where("added"), F.lit("added nodes")))
@@ -288,3 +357,4 @@ def rail_summary(nodes: DataFrame, edges: DataFrame, status: DataFrame) -> DataF
         .unionByName(tally(edges.where("added"), F.lit("added edges")))
         .unionByName(tally(status.where(~F.col("valid")), F.lit("invalid edges")))
     )
+    return reduce(DataFrame.unionByName, earlier, now)

@@ -27,7 +27,8 @@ def joined_pieces(nodes: DataFrame, edges: DataFrame, paper: Column, piece: Colu
     """Renumber piece graphs into one namespace per paper.
 
     ``paper`` and ``piece`` are expressions over the piece graph's ``graph_id``. Nodes become ``g0, g1, …`` in piece
-    order and then record order; edges follow, and keep their piece.
+    order and then record order; edges follow. Both keep their piece and, as ``piece_id`` and ``piece_ord``, what they were
+    called in it.
     """
     placed = nodes.withColumns({"piece": piece, "_paper": paper}).withColumn(
         "_seq", F.col("piece") * F.lit(PIECE_STRIDE) + F.col("ord")
@@ -44,12 +45,31 @@ def joined_pieces(nodes: DataFrame, edges: DataFrame, paper: Column, piece: Colu
         .join(ids.withColumnsRenamed({"piece_id": "subject", "id": "_subject"}), ["_paper", "piece", "subject"])
         .join(ids.withColumnsRenamed({"piece_id": "object", "id": "_object"}), ["_paper", "piece", "object"])
         .withColumn("_seq", F.col("piece") * F.lit(PIECE_STRIDE) + F.col("ord"))
+        .withColumnRenamed("ord", "piece_ord")
     )
     followed = number_rows(followed, ["_paper"], "_seq", "_n").select(
         F.col("_paper").alias("graph_id"), "piece", F.col("_n").alias("ord"), "relation",
-        F.col("_subject").alias("subject"), F.col("_object").alias("object"), "anchor", "consolidated",
+        F.col("_subject").alias("subject"), F.col("_object").alias("object"), "anchor", "consolidated", "piece_ord",
     )
-    return joined.drop("piece_id"), followed
+    return joined, followed
+
+
+def record_ids(nodes: DataFrame, folds: DataFrame) -> DataFrame:
+    """``(graph_id, piece, piece_id, id)``: under which id each record of the joined pieces lives on after the fold."""
+    named = nodes.select("graph_id", "piece", "piece_id", "id")
+    return named.join(folds, ["graph_id", "id"], "left").select("graph_id", "piece", "piece_id", F.coalesce("survivor", "id").alias("id"))
+
+
+def edge_ords(joined_edges: DataFrame, folds: DataFrame, kept: DataFrame) -> DataFrame:
+    """``(graph_id, piece, piece_ord, ord)``: the edge that each edge of the joined pieces lives on in."""
+    triple = ["graph_id", "relation", "subject", "object"]
+    moved = repoint(joined_edges.select(*triple, "piece", "piece_ord"), folds)
+    return moved.join(kept.select(*triple, "ord"), triple).select("graph_id", "piece", "piece_ord", "ord")
+
+
+def piece_lineage(nodes: DataFrame, folds: DataFrame) -> DataFrame:
+    """``(graph_id, id, piece, records)``: how many records of which piece each surviving record stands for."""
+    return record_ids(nodes, folds).groupBy("graph_id", "id", "piece").agg(F.count(F.lit(1)).alias("records"))
 
 
 def text_folds(nodes: DataFrame, key: Callable[[], Column] = same_text) -> DataFrame:

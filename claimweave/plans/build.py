@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.ordering import number_rows
-from claimweave.operators import merge, project
+from claimweave.operators import edits, merge, project
 from claimweave.operators.classify import Graph
 from claimweave.operators.project import Naming
 from claimweave.session import settle
@@ -81,21 +81,70 @@ def projection_of(graph: Graph, papers: DataFrame, naming: Naming, durable: bool
 class Merged:
     """One graph per paper in the namespace ``g0, g1, …``, records with equal text folded.
 
-    ``nodes`` and ``edges`` are numbered densely anew; ``folds`` says which record went into which.
+    ``nodes`` are numbered densely anew; ``folds`` says which record went into which. ``ids(graph_id, old_id, id)`` and
+    ``ords(graph_id, old_ord, ord)`` lead from the records and edges of the classified graph to what became of them.
     """
 
     nodes: DataFrame
     edges: DataFrame
     folds: DataFrame
+    ids: DataFrame
+    ords: DataFrame
 
 
 def merged(graph: Graph) -> Merged:
     """Renumber and fold a classified corpus whose papers came whole; every build does so before it projects."""
     joined = merge.joined_pieces(graph.nodes, graph.edges, F.col("graph_id"), F.lit(0).cast("bigint"))
-    placed, edges = settle(joined[0], "merged-records"), joined[1]
-    nodes, edges, folds = merge.fold_exact(placed, edges)
+    placed, moved = settle(joined[0], "merged-records"), settle(joined[1], "merged-relations")
+    nodes, edges, folds = merge.fold_exact(placed.drop("piece_id"), moved)
     numbered = number_rows(nodes.withColumnRenamed("ord", "_ord"), ["graph_id"], "_ord", "ord").drop("_ord", "piece")
-    return Merged(settle(numbered, "merged-nodes"), settle(edges, "merged-edges"), folds)
+    kept = settle(edges, "merged-edges")
+    ids = merge.record_ids(placed, folds).select("graph_id", F.col("piece_id").alias("old_id"), "id")
+    ords = merge.edge_ords(moved, folds, kept).select("graph_id", F.col("piece_ord").alias("old_ord"), "ord")
+    return Merged(settle(numbered, "merged-nodes"), kept, folds, ids, ords)
+
+
+@dataclass
+class MergedStage:
+    """The merged graph staged for review, and edits recorded against the classified graph carried over to it."""
+
+    graph: Graph
+    whole: Merged
+    log: DataFrame
+
+    @cached_property
+    def _old_edges(self) -> DataFrame:
+        return settle(edits.numbered_edges(self.graph.edges, edits.refused_edges(self.graph)), "old-stage")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Staged edges of the merged graph: its relations, then the refused ones with their ends carried over."""
+        refused = edits.renamed(edits.refused_edges(self.graph), self.whole.ids, ["subject", "object"])
+        return settle(edits.numbered_edges(self.whole.edges, refused), "merged-stage")
+
+    @cached_property
+    def edge_ids(self) -> DataFrame:
+        """``(graph_id, old_id, id)`` of staged edges."""
+        old = self._old_edges.select("graph_id", F.col("id").alias("old_id"), "branch", "pos")
+        new = self.edges.select("graph_id", "id", "branch", "pos")
+        ords = self.whole.ords.select("graph_id", F.col("old_ord").alias("pos"), F.col("ord").alias("_pos"))
+        accepted = old.where("branch = 0").join(ords, ["graph_id", "pos"]).drop("pos").withColumnRenamed("_pos", "pos")
+        return accepted.unionByName(old.where("branch > 0")).join(new, ["graph_id", "branch", "pos"]).select("graph_id", "old_id", "id")
+
+    @cached_property
+    def rebased(self) -> DataFrame:
+        """The edit log in the names of the merged graph."""
+        before = edits.added_records(self.log, self._old_edges, self.graph.nodes)
+        after = edits.added_records(self.log, self.edges, self.whole.nodes)
+        added = before.select("graph_id", "seq", "op", F.col("id").alias("old_id")).join(after.select("graph_id", "seq", "id"), ["graph_id", "seq"])
+        own = lambda op: added.where(F.col("op") == op).select("graph_id", "old_id", "id")
+        nodes = settle(self.whole.ids.unionByName(own("addNode")), "record-names")
+        return settle(edits.rebased(self.log, nodes, self.edge_ids.unionByName(own("addEdge"))), "rebased-log")
+
+    @cached_property
+    def edited(self) -> tuple[DataFrame, DataFrame]:
+        nodes, edges = edits.replayed(self.whole.nodes, self.edges, self.rebased)
+        return settle(nodes, "merged-edited-nodes"), settle(edges, "merged-edited-edges")
 
 
 def built(graph: Graph, papers: DataFrame, naming: Naming) -> Projection:

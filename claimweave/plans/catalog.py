@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import text
 from claimweave.operators import analytics, anchors, attempts, chunking, classify, conform, consolidate, edits, merge
 from claimweave.operators import project, replies, report, requests, routing
-from claimweave.plans.build import Projection, built, projection_of
+from claimweave.plans.build import Merged, MergedStage, Projection, built, merged, projection_of
 from claimweave.session import configure, settle
 from claimweave.sources import fixtures, papers
 from claimweave.streaming import deltas, incremental, runs
@@ -91,6 +91,14 @@ class Corpus:
         nodes, edges = edits.edited_graph(self.graph, self.edit_log)
         return settle(nodes, "edited-nodes"), settle(edges, "edited-edges")
 
+    @cached_property
+    def merged(self) -> Merged:
+        return merged(self.graph)
+
+    @cached_property
+    def merged_stage(self) -> MergedStage:
+        return MergedStage(self.graph, self.merged, self.edit_log)
+
     @cached_property
     def edited_status(self) -> DataFrame:
         return edits.edge_status(*self.edited)
@@ -379,7 +387,7 @@ def joined_edges(c: Corpus) -> DataFrame:
 
 @query
 def merge_exact(c: Corpus) -> DataFrame:
-    nodes, edges, _ = merge.fold_exact(*c.pieces)
+    nodes, _, _ = merge.fold_exact(*c.pieces)
     return nodes.select("graph_id", "id", "type", "description", "anchor")
 
 
@@ -395,6 +403,13 @@ def merge_stats(c: Corpus) -> DataFrame:
     return merge.collapsed_counts(nodes, merge.text_folds(nodes))
 
 
+@query
+def piece_lineage(c: Corpus) -> DataFrame:
+    """From which pieces the records of each merged record come."""
+    nodes, _ = c.pieces
+    return merge.piece_lineage(nodes, merge.text_folds(nodes))
+
+
 @query
 def merge_groups(c: Corpus) -> DataFrame:
     applied = consolidate.applied_groups(c.merge_groups, c.graph.nodes).select("graph_id", "group_no").distinct()
@@ -676,7 +691,21 @@ def incident_edges(c: Corpus) -> DataFrame:
 
 @query
 def rail_summary(c: Corpus) -> DataFrame:
-    return edits.rail_summary(*c.edited, c.edited_status)
+    folds = c.merged.folds.unionByName(c.consolidated["folds"])
+    return edits.rail_summary(*c.edited, c.edited_status, folds, c.graph.rejects, c.consolidated["proposals"])
+
+
+@query
+def merged_edited_nodes(c: Corpus) -> DataFrame:
+    """The review edits replayed on the merged graph: an edit of a folded record changes the one it was folded into."""
+    nodes, _ = c.merged_stage.edited
+    return nodes.select("graph_id", "id", "type", "text", "description", "dropped", "added")
+
+
+@query
+def merged_edited_edges(c: Corpus) -> DataFrame:
+    _, edges = c.merged_stage.edited
+    return edges.select("graph_id", "id", "relation", "subject", "object", "dropped", "added")
 
 
 # ---- graph facts ----

@@ -202,6 +202,11 @@ STEPS: dict[str, str] = {
         select *, first_value(id) over w as survivor, first_value(ord) over w as head
         from (select *, {squeeze('lower(text)')} as same from joined_nodes_) t
         window w as (partition by graph_id, type, same order by ord)""",
+    "whole_folds": f"""
+        select graph_id, id
+        from (select graph_id, id, row_number() over (partition by graph_id, type, {squeeze('lower(text)')} order by ord) as copy
+              from nodes) t
+        where copy > 1""",
     # -- consolidation --
     "group_members": """
         select graph_id, group_no, unnest(list_distinct([id_a, id_b])) as id from merges""",
@@ -845,6 +850,8 @@ QUERIES: dict[str, str] = {
         where copy = 1""",
     "merge_stats": """
         select graph_id, count(*) as records, count(*) filter (where ord <> head) as collapsed from folded_heads group by graph_id""",
+    "piece_lineage": """
+        select graph_id, survivor as id, piece, count(*) as records from folded_heads group by graph_id, survivor, piece""",
     "merge_groups": """
         select m.graph_id, m.group_no, a.group_no is not null as applied
         from merges m left join applied a on a.graph_id = m.graph_id and a.group_no = m.group_no""",
@@ -990,7 +997,11 @@ QUERIES: dict[str, str] = {
               union all select graph_id, 'added nodes' from nodes_now where added
               union all select graph_id, 'dropped edges' from edges_now where dropped
               union all select graph_id, 'added edges' from edges_now where added
-              union all select graph_id, 'invalid edges' from status_now where reason is not null) t
+              union all select graph_id, 'invalid edges' from status_now where reason is not null
+              union all select graph_id, 'folded records' from whole_folds
+              union all select graph_id, 'folded records' from folds
+              union all select graph_id, 'refused nodes' from rejects where kind = 'node'
+              union all select graph_id, 'relations across pieces' from judged_proposed where accepted) t
         group by graph_id, item""",
     "drawable_edges": "select graph_id, id, subject, object from status_now where reason is null",
     "degrees": """
@@ -1137,6 +1148,54 @@ def _merged_parts() -> dict[str, str]:
     }
 
 
+def _merged_stage_parts() -> dict[str, str]:
+    """The steps of the merged graph with the edit log carried over to its records."""
+    parts = _merged_parts()
+    refused = "select graph_id, pos, case when verdict = 'dangling' then 1 else 2 end as branch, relation, subject, object from judged_edges where verdict in ('dangling', 'ungrammatical')"
+    stranger = lambda x: f"case when regexp_full_match({x}, '[gn][0-9]+') then '?' || {x} else {x} end"
+    numbered = "row_number() over (partition by graph_id order by branch, pos) - 1"
+    adds = parts["adds"].replace("edits", "own_edits")
+    return parts | {
+        "own_edits": parts["edits"],
+        "refused": refused,
+        "old_staged": f"select graph_id, branch, pos, {numbered} as ord from (select graph_id, pos, 0 as branch from m_base_edges union all select graph_id, pos, branch from refused) t",
+        "staged": f"""
+            select graph_id, branch, pos, {numbered} as ord, relation, subject, object, anchor
+            from (select graph_id, pos, 0 as branch, relation, subject, object, anchor from edges
+                  union all
+                  select r.graph_id, r.pos, r.branch, r.relation, coalesce(s.survivor, {stranger('r.subject')}),
+                         coalesce(o.survivor, {stranger('r.object')}), null
+                  from refused r
+                  left join m_heads s on s.graph_id = r.graph_id and s.id = r.subject
+                  left join m_heads o on o.graph_id = r.graph_id and o.id = r.object) t""",
+        "edge_names": """
+            select b.graph_id, 'x' || b.ord as old_id, 'x' || t.ord as id
+            from old_staged b
+            join m_base_edges e on b.branch = 0 and e.graph_id = b.graph_id and e.pos = b.pos
+            join m_heads s on s.graph_id = e.graph_id and s.id = e.subject
+            join m_heads o on o.graph_id = e.graph_id and o.id = e.object
+            join staged t on t.branch = 0 and t.graph_id = e.graph_id and t.relation = e.relation and t.subject = s.survivor
+                             and t.object = o.survivor
+            union all
+            select b.graph_id, 'x' || b.ord, 'x' || t.ord
+            from old_staged b join staged t on b.branch > 0 and t.graph_id = b.graph_id and t.branch = b.branch and t.pos = b.pos""",
+        "old_adds": re.sub(r"\bstaged\b", "old_staged", re.sub(r"\bnodes\b", "m_base_nodes", adds)),
+        "new_adds": adds,
+        "names": """
+            select graph_id, 'Node' as noun, id as old_id, survivor as id from m_heads
+            union all select graph_id, 'Edge', old_id, id from edge_names
+            union all select a.graph_id, case when a.op = 'addNode' then 'Node' else 'Edge' end, a.id, b.id
+            from old_adds a join new_adds b on b.graph_id = a.graph_id and b.seq = a.seq""",
+        "edits": f"""
+            select e.* exclude (target_id, new_subject, new_object), t.id as target_id,
+                   coalesce(s.id, {stranger('e.new_subject')}) as new_subject, coalesce(o.id, {stranger('e.new_object')}) as new_object
+            from own_edits e
+            left join names t on t.graph_id = e.graph_id and t.noun = regexp_extract(e.op, '(Node|Edge)$', 1) and t.old_id = e.target_id
+            left join names s on s.graph_id = e.graph_id and s.noun = 'Node' and s.old_id = e.new_subject
+            left join names o on o.graph_id = e.graph_id and o.noun = 'Node' and o.old_id = e.new_object""",
+    }
+
+
 def _edited_parts() -> dict[str, str]:
     """The steps with the exported records, relations and attribution in place of the classified ones."""
     parts = _parts()
@@ -1183,4 +1242,6 @@ def oracle_sql() -> dict[str, str]:
     return {name: compose(sql) for name, sql in QUERIES.items()} | {
         "build_documents": compose(_DOCUMENTS, _merged_parts()),
         "edited_documents": compose(_DOCUMENTS, _edited_parts()),
+        "merged_edited_nodes": compose(QUERIES["edited_nodes"], _merged_stage_parts()),
+        "merged_edited_edges": compose(QUERIES["edited_edges"], _merged_stage_parts()),
     }
