@@ -101,16 +101,21 @@ def rebased(edit_log: DataFrame, node_ids: DataFrame, edge_ids: DataFrame) -> Da
     return log.select("graph_id", "seq", "ts", "op", F.col("_target").alias("target_id"), patch.alias("patch"))
 
 
-def added_records(edit_log: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """New nodes and edges with their ids: one counter per graph.
+def counter_starts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(graph_id, _start)``: the first number of a graph's new records.
 
-    It starts after the number of staged edges and after the highest number of any record named like a new one (``n7``), so that
+    It comes after the number of staged edges and after the highest number of any record named like a new one (``n7``), so that
     no new id meets a record's.
     """
     named = F.regexp_extract("id", r"^n(\d{1,15})$", 1)
     taken = nodes.where(named != "").select("graph_id", named.cast("bigint").alias("_n"))
     counts = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
-    starts = taken.unionByName(counts).groupBy("graph_id").agg((F.max("_n") + 1).alias("_start"))
+    return taken.unionByName(counts).groupBy("graph_id").agg((F.max("_n") + 1).alias("_start"))
+
+
+def added_records(edit_log: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """New nodes and edges with their ids: one counter per graph, from ``counter_starts`` on."""
+    starts = counter_starts(edges, nodes)
     adds = edit_log.where(F.col("op").isin("addNode", "addEdge"))
     letter = F.when(F.col("op") == "addNode", "n").otherwise("e")
     counter = F.col("_k") + F.coalesce("_start", F.lit(1))

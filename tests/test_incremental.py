@@ -60,3 +60,47 @@ def test_batches_are_committed_once_and_whole(spark, tmp_path):
     for name in ("", "a/b", "_x", ".x", "a=b"):
         with pytest.raises(ValueError):
             store.write(name, {"rows": frame})
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_edits_merged_into_a_base_equal_the_whole_log(spark, tmp_path):
+    from claimweave.operators import edits
+    from claimweave.plans.catalog import Corpus
+    from claimweave.streaming import base
+
+    corpus = Corpus(spark, SF)
+    out, source = str(tmp_path / "base"), str(tmp_path / "log")
+    base.create_base(corpus.graph.nodes, edits.staged_edges(corpus.graph), out, 8)
+    log = corpus.edit_log.toPandas()
+    seqs = sorted(log.seq)
+    cuts = [seqs[0], seqs[len(seqs) // 3], seqs[len(seqs) // 2], seqs[-1] + 1]
+    schema = corpus.edit_log.schema
+    for low, high in zip(cuts, cuts[1:]):
+        corpus.edit_log.where(f"seq >= {low} and seq < {high}").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        assert base.edit_base_stream(stream, out, str(tmp_path / "cp"), 8).trigger(availableNow=True).start().awaitTermination(300)
+
+    def rows(df, names):
+        return sorted((tuple(row) for row in df.select(*names).collect()), key=str)
+
+    whole = edits.edited_graph(corpus.graph, corpus.edit_log)
+    nodes = ["graph_id", "ord", "id", "type", "text", "description", "dropped", "added"]
+    edges = ["graph_id", "ord", "id", "relation", "subject", "object", "dropped", "added"]
+
+    def equal():
+        return rows(base.base_table(spark, out, "nodes"), nodes) == rows(whole[0], nodes) and rows(
+            base.base_table(spark, out, "edges"), edges
+        ) == rows(whole[1], edges)
+
+    assert equal()
+    # A batch merged again changes nothing, and only its own buckets are written.
+    graph = log.graph_id.iloc[0]
+    files = lambda: {f for t in ("nodes", "edges") for f in base._read(spark, out, t).inputFiles()}
+    before = files()
+    (touched,) = base.merge_edits(spark, out, corpus.edit_log.where(f"graph_id = '{graph}'"), 8)
+    gone = before - files()
+    assert gone and all(f"/bucket={touched}/" in f for f in gone)
+    assert equal()
+    assert base.merge_edits(spark, out, corpus.edit_log.limit(0), 8) == []
