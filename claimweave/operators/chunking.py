@@ -2,7 +2,7 @@
 
 Everything here is row-local: a paper's text is never exploded into lines and never shuffled. Sections come from
 regular-expression splits, and the two greedy folds (packing sections, windowing paragraphs) carry only lengths and
-offsets, not text.
+offsets, not text; pieces are then slices of the sections, and windows slices of a body.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.plans import pinned
+from claimweave.functions.plans import cut_up, emitted, from_pieces, pinned, runs
 from claimweave.functions.text import SPACE_CLASS, bind, strip
 from claimweave.vocab import CONTINUED, PIECE_BUDGET, PIECE_OVERLAP
 
@@ -21,6 +21,10 @@ _REST = r"[^\n\r\u2028\u2029]*"
 _TITLE_LINE = rf"(?dm)^#{_SPACE}+({_WORD}{_REST})$\n?"
 _BLANK_TITLE_LINE = rf"(?dm)^#{_SPACE}+$\n?"
 _SECTION_LINE = rf"#{{2,3}}{_SPACE}+{_REST}$"
+#: Where a window begins and ends.
+_SPAN = "struct<start: int, end: int>"
+#: Characters in the pieces that long bodies are read from.
+_CUT = 1 << 15
 _SECTION_START = rf"(?dm)(?=^{_SECTION_LINE})"
 
 
@@ -78,33 +82,22 @@ def _windows(section: Column, room: Column, overlap: int) -> Column:
 
 def _body_windows(section: Column, body: Column, room: Column, overlap: int) -> Column:
     lengths = F.transform(F.split(body, "\n\n"), lambda p: F.length(p))
-    spot = "struct<start: int, end: int, done: array<struct<start: int, end: int>>>"
-    begin = F.struct(
-        F.lit(0).alias("start"),
-        F.lit(-2).alias("end"),  # the first paragraph has no break before it
-        F.array().cast("array<struct<start: int, end: int>>").alias("done"),
-    ).cast(spot)
-
-    def step(state: Column, length: Column) -> Column:
+    # The first paragraph has no break before it.
+    begin = F.struct(F.lit(0).alias("start"), F.lit(-2).alias("end"))
+
+    def step(state: Column, length: Column) -> tuple[Column, Column]:
         filled = state["end"] > state["start"]
         cut = filled & (state["end"] - state["start"] + 2 + length > room)
-        closed = F.struct(state["start"].alias("start"), state["end"].alias("end"))
-        return F.struct(
+        after = F.struct(
             F.when(cut, F.greatest(state["start"], state["end"] - overlap)).otherwise(state["start"]).alias("start"),
             (state["end"] + 2 + length).alias("end"),
-            F.when(cut, F.concat(state["done"], F.array(closed))).otherwise(state["done"]).alias("done"),
-        ).cast(spot)
-
-    spans = F.aggregate(
-        lengths,
-        begin,
-        step,
-        lambda s: F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))),
-    )
-    texts = F.filter(
-        F.transform(spans, lambda w: strip(F.substring(body, w["start"] + 1, w["end"] - w["start"]))),
-        lambda t: t != "",
-    )
+        )
+        return after, F.when(cut, F.array(state)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+    spans = emitted(lengths, begin, _SPAN, _SPAN, step, lambda state: F.array(state))
+    sliced = lambda parts: F.transform(spans, lambda w: strip(from_pieces(parts, _CUT, w["start"], w["end"] - w["start"])))
+    whole = F.transform(spans, lambda w: strip(F.substring(body, w["start"] + 1, w["end"] - w["start"])))
+    texts = F.filter(F.when(F.length(body) > 2 * _CUT, bind(cut_up(body, _CUT), sliced)).otherwise(whole), lambda t: t != "")
     head = F.when(section["heading"] == "", "").otherwise(F.concat(section["heading"], F.lit("\n\n")))
     return F.transform(
         texts,
@@ -122,32 +115,27 @@ def chunked(papers: DataFrame, budget: int = PIECE_BUDGET, overlap: int = PIECE_
         "_title_line", F.when(F.col("title") == "", "").otherwise(F.concat(F.lit("# "), "title", F.lit("\n\n")))
     )
     room = F.lit(budget) - F.length("_title_line")
-    state = "struct<group: int, held: int, groups: array<int>>"
-    begin = F.struct(
-        F.lit(0).alias("group"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("groups")
-    ).cast(state)
+    begin = F.struct(F.lit(0).alias("group"), F.lit(0).alias("held"))
 
-    def place(acc: Column, length: Column) -> Column:
+    def place(state: Column, length: Column) -> tuple[Column, Column]:
         alone = length > room
-        flush = (acc["held"] > 0) & (alone | (acc["held"] + length + 2 > room))
-        group = F.when(flush, acc["group"] + 1).otherwise(acc["group"])
-        return F.struct(
+        flush = (state["held"] > 0) & (alone | (state["held"] + length + 2 > room))
+        group = F.when(flush, state["group"] + 1).otherwise(state["group"])
+        after = F.struct(
             F.when(alone, group + 1).otherwise(group).alias("group"),
-            F.when(alone, 0).when(flush, length + 2).otherwise(acc["held"] + length + 2).alias("held"),
-            F.concat(acc["groups"], F.array(group)).alias("groups"),
-        ).cast(state)
+            F.when(alone, 0).when(flush, length + 2).otherwise(state["held"] + length + 2).alias("held"),
+        )
+        return after, F.array(group)
 
     lengths = F.transform("sections", lambda s: F.length(s["text"]))
-    grouped = pinned(split, _groups=F.aggregate(lengths, begin, place, lambda a: a["groups"]))
-    grouped = pinned(
-        grouped, _placed=F.zip_with("sections", "_groups", lambda s, g: F.struct(s.alias("s"), g.alias("g")))
-    )
+    packed = emitted(lengths, begin, "struct<group: int, held: int>", "int", place)
+    grouped = pinned(split, _runs=runs(packed))
 
     def label(section: Column) -> Column:
         return F.when(section["heading"] == "", "(preamble)").otherwise(section["heading"])
 
-    def pieces_of(group: Column) -> Column:
-        return bind(F.transform(F.filter("_placed", lambda p: p["g"] == group), lambda p: p["s"]), pieces_from)
+    def pieces_of(run: Column) -> Column:
+        return bind(F.slice("sections", run["start"] + 1, run["count"]), pieces_from)
 
     def pieces_from(members: Column) -> Column:
         only = members[0]
@@ -168,10 +156,7 @@ def chunked(papers: DataFrame, budget: int = PIECE_BUDGET, overlap: int = PIECE_
         )
         return F.when((F.size(members) == 1) & (F.length(only["text"]) > room), windows).otherwise(together)
 
-    pieces = F.when(
-        F.size("_groups") > 0,
-        F.flatten(F.transform(F.sequence(F.lit(0), F.array_max("_groups")), pieces_of)),
-    )
+    pieces = F.flatten(F.transform("_runs", pieces_of))
     return grouped.select("paper_id", "title", "_title_line", F.posexplode(pieces).alias("index", "_piece")).select(
         "paper_id",
         "title",

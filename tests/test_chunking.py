@@ -109,3 +109,32 @@ def test_title_alone_is_reported_uncovered(spark):
 def test_paragraph_over_the_budget_is_kept_whole(spark):
     df = spark.createDataFrame([(1, "y" * 500)], "paper_id long, text string")
     assert [row["text"] for row in chunking.chunked(df, budget=100).collect()] == ["y" * 500]
+
+
+def test_cost_of_many_sections_and_windows(spark):
+    """Twenty times the sections, or paragraphs of one section, cost about twenty times as much."""
+    import time
+
+    def seconds(text):
+        frame = spark.createDataFrame([(1, text)], "paper_id long, text string")
+        best = None
+        for _ in range(2):
+            begun = time.perf_counter()
+            pieces = chunking.chunked(frame, budget=400, overlap=40).count()
+            taken = time.perf_counter() - begun
+            best = taken if best is None else min(best, taken)
+        return best, pieces
+
+    for make in (lambda n: "".join(f"## S{i}\nsome words of section {i}\n" for i in range(n)), lambda n: "## One\n" + "\n\n".join(f"paragraph {i} " + "x" * 60 for i in range(n))):
+        (few, small), (many, large) = seconds(make(1000)), seconds(make(20_000))
+        assert large > 15 * small
+        assert many < 20 * few + 2
+
+
+def test_long_bodies_are_cut_as_short_ones(spark, monkeypatch):
+    rng = random.Random(11)
+    text = "## Long\n" + "\n\n".join(rng.choice(["é", "word ", "𝔘 "]) * rng.randint(1, 30) for _ in range(300))
+    frame = spark.createDataFrame([(1, text)], "paper_id long, text string")
+    whole = [r["text"] for r in chunking.chunked(frame, budget=200, overlap=30).orderBy("index").collect()]
+    monkeypatch.setattr(chunking, "_CUT", 17)
+    assert [r["text"] for r in chunking.chunked(frame, budget=200, overlap=30).orderBy("index").collect()] == whole
