@@ -787,6 +787,28 @@ def reply_report(c: Corpus) -> DataFrame:
     )
 
 
+@query
+def paper_report(c: Corpus) -> DataFrame:
+    """Everything about each requested paper of the reply log in one row."""
+    calls = settle(c.calls, "calls")
+    won = settle(attempts.winners(calls).select("graph_id", "parsed"), "won-replies")
+    graph = classify.classify(replies.raw_nodes(won), replies.raw_edges(won), durable=True)
+    papers_ = settle(replies.paper_info(won), "reply-papers")
+    shown = projection_of(graph, papers_, NAMING)
+    counted = report.measured(graph.nodes, graph.edges, shown.stamps, graph.rejects, graph.judged_edges)
+    return report.paper_report(
+        c.view("attempts"), counted, papers_, project.omission_notes(papers_, shown.stamps, shown.paper_docs),
+        attempts.cost_receipts(calls), attempts.models_by_first_use(calls), attempts.failures(c.view("attempts"), calls),
+    )
+
+
+@query
+def piece_failures(c: Corpus) -> DataFrame:
+    """Failures by paper and piece; here the letter of a call's graph stands for the paper and its number for the piece."""
+    failures = attempts.failures(c.view("attempts"), c.calls)
+    return report.piece_failures(failures, F.substring("graph_id", 1, 1), F.substring("graph_id", 2, 20))
+
+
 @query
 def working_graphs(c: Corpus) -> DataFrame:
     """Rows of the working-graph artifact by part."""

@@ -1148,6 +1148,48 @@ def _merged_parts() -> dict[str, str]:
     }
 
 
+def _reply_parts() -> dict[str, str]:
+    """The steps over the records and attributions of the winning replies."""
+    text = lambda name: f"{_string('rec', '$.' + name)} as {name}"
+    entries = lambda kind: f"""
+        (select graph_id, cast(i as bigint) as pos, json_extract(reply, '$.{kind}[' || i || ']') as rec
+         from (select graph_id, reply, unnest(range(cast(json_array_length(reply, '$.{kind}') as bigint))) as i
+               from calls where outcome = 'ok' and parse <> 'none') t) u"""
+    nodes = ", ".join(map(text, ("id", "type", "text", "description", "doi", "url", "anchor")))
+    edges = ", ".join(map(text, ("relation", "subject", "object", "anchor")))
+    parts = _parts() | {
+        "raw_nodes": f"select graph_id, pos, {nodes} from {entries('nodes')}",
+        "raw_edges": f"select graph_id, pos, {edges} from {entries('edges')}",
+        "call_records": "select graph_id, reply from calls where outcome = 'ok' and parse <> 'none'",
+        "paper_info": QUERIES["authors_clean"],
+        "counted": _report_sql(),
+    }
+    # Keys of the replies are written in two pieces, as steps of these names would be taken for needed.
+    apart = lambda sql: re.sub(r"""(\$\.|")(no|ed)(des|ges)\b""", r"\1\2' || '\3", sql)
+    return {name: apart(sql) for name, sql in parts.items()}
+
+
+def _paper_report_sql() -> str:
+    plain = ["nodes", "edges", "node_anchors", "edge_anchors", "stamp_spine", "stamp_paper", "stamp_none", "reject_node", "reject_dangling",
+             "reject_ungrammatical", "folded_edges"]
+    listing = lambda kind, names: ", ".join(f"case when c.{kind}_{n.lower()} > 0 then '{n}=' || c.{kind}_{n.lower()} end" for n in names)
+    return f"""
+        select a.graph_id, p.title, nullif(p.authors, '') as authors, p.doi, p.license,
+               {', '.join(f'coalesce(c.{name}, 0) as {name}' for name in plain)},
+               concat_ws(', ', {listing('class', NODE_CLASSES)}) as classes,
+               concat_ws(', ', {listing('relation', [name for name, _, _ in RELATIONS])}) as relations,
+               f.why as failure, n.notes, m.models, coalesce(r.calls, 0) as calls, coalesce(r.cost, 0.0) as cost
+        from (select distinct graph_id from attempts) a
+        left join counted c on c.graph_id = a.graph_id
+        left join paper_info p on p.graph_id = a.graph_id
+        left join ({QUERIES['failure_ledger']}) f on f.graph_id = a.graph_id
+        left join (select graph_id, string_agg(concat_ws(': ', note, detail), ' | ' order by note) as notes
+                   from ({QUERIES['omission_notes']}) x group by graph_id) n on n.graph_id = a.graph_id
+        left join (select graph_id, string_agg(model, ' + ' order by use_no) as models
+                   from ({QUERIES['models_first_use']}) x group by graph_id) m on m.graph_id = a.graph_id
+        left join ({QUERIES['cost_receipt']}) r on r.graph_id = a.graph_id"""
+
+
 def _merged_stage_parts() -> dict[str, str]:
     """The steps of the merged graph with the edit log carried over to its records."""
     parts = _merged_parts()
@@ -1242,6 +1284,10 @@ def oracle_sql() -> dict[str, str]:
     return {name: compose(sql) for name, sql in QUERIES.items()} | {
         "build_documents": compose(_DOCUMENTS, _merged_parts()),
         "edited_documents": compose(_DOCUMENTS, _edited_parts()),
+        "paper_report": compose(_paper_report_sql(), _reply_parts()),
+        "piece_failures": compose(
+            f"select substr(graph_id, 1, 1) as graph_id, cast(substr(graph_id, 2) as bigint) as piece, why from ({QUERIES['failure_ledger']}) f"
+        ),
         "merged_edited_nodes": compose(QUERIES["edited_nodes"], _merged_stage_parts()),
         "merged_edited_edges": compose(QUERIES["edited_edges"], _merged_stage_parts()),
     }
