@@ -100,6 +100,28 @@ def _small_star(links: DataFrame) -> DataFrame:
     return own.unionByName(moved).distinct()
 
 
+def corpus_components(graphs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(graph_id, component, graphs, sources)``: graphs that are connected through sources they share.
+
+    ``sources(graph_id, iri)`` says which graph has which source; ``component`` is the smallest graph of the component, ``graphs``
+    and ``sources`` count its graphs and the sources in it. Each source links its graphs to one of them, so the links are no
+    more than the rows of ``sources`` however many graphs share one. Graphs are told apart by 64-bit hashes.
+    """
+    known = graphs.select("graph_id").distinct().withColumn("ord", F.xxhash64("graph_id"))
+    cited = settle(sources.select("graph_id", "iri").where("iri is not null").distinct().join(known, "graph_id"), "corpus-sources")
+    head = cited.groupBy("iri").agg(F.min("ord").alias("head"))
+    links = cited.join(head, "iri").where(F.col("ord") != F.col("head")).select("ord", "head").distinct()
+    whole = F.lit("").alias("graph_id")
+    vertices = settle(known.select(whole, F.col("ord").alias("id"), "ord"), "corpus-graphs")
+    labels = component_labels(vertices, links.select(whole, F.col("ord").alias("subject"), F.col("head").alias("object")))
+    named = settle(known.join(labels.select("ord", F.col("component").alias("_root")), "ord"), "corpus-labels")
+    sizes = named.groupBy("_root").agg(F.min("graph_id").alias("component"), F.count(F.lit(1)).alias("graphs"))
+    shared = head.join(named.select(F.col("ord").alias("head"), "_root"), "head").groupBy("_root").agg(F.count(F.lit(1)).alias("sources"))
+    return named.join(sizes, "_root").join(shared, "_root", "left").select(
+        "graph_id", "component", "graphs", F.coalesce("sources", F.lit(0)).alias("sources")
+    )
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     """Size per component, and the main one per graph: the largest, the first in node order on ties."""
     sizes = labels.groupBy("graph_id", "component").agg(F.count(F.lit(1)).alias("size"))

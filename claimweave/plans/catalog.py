@@ -732,6 +732,20 @@ def components(c: Corpus) -> DataFrame:
     return analytics.component_labels(c.graph.nodes, c.graph.edges).select("graph_id", "id", "component")
 
 
+@query
+def drawable_components(c: Corpus) -> DataFrame:
+    """Connected parts of the reviewed graphs, over the edges that can be drawn."""
+    nodes, edges = _drawable(c)
+    return analytics.component_labels(settle(nodes, "live-nodes"), edges).select("graph_id", "id", "component")
+
+
+@query
+def corpus_components(c: Corpus) -> DataFrame:
+    """Graphs connected through the sources they share: their own source records and the works they cite."""
+    own = project.minted_nodes(c.graph.nodes).where((F.col("type") == "SourceDocument") & ~F.col("iri").startswith("x:"))
+    return analytics.corpus_components(c.graph.nodes, own.select("graph_id", "iri").unionByName(c.view("cited_works")))
+
+
 @query
 def component_sizes(c: Corpus) -> DataFrame:
     return analytics.component_sizes(analytics.component_labels(c.graph.nodes, c.graph.edges))
@@ -811,9 +825,8 @@ def piece_failures(c: Corpus) -> DataFrame:
 
 @query
 def working_graphs(c: Corpus) -> DataFrame:
-    """Rows of the working-graph artifact by part."""
-    rows = papers.working_graph_rows({"nodes": c.graph.nodes, "edges": c.graph.edges, "rejects": c.graph.rejects})
-    return rows.groupBy("graph_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    """The working-graph artifact: every part of every graph, row by row."""
+    return papers.working_graph_rows(papers.working_graph_parts(c.graph, c.papers, _report(c)))
 
 
 # ---- streams, as batch ----

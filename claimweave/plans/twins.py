@@ -483,6 +483,24 @@ STEPS: dict[str, str] = {
                            join nodes s on s.graph_id = e.graph_id and s.id = e.subject
                            join nodes o on o.graph_id = e.graph_id and o.id = e.object) p
              on p.graph_id = r.graph_id and (p.x = r.b or p.y = r.b)""",
+    "drawn_reach": """
+        select graph_id, ord as a, ord as b from nodes_now where not dropped
+        union
+        select r.graph_id, r.a, case when p.x = r.b then p.y else p.x end
+        from drawn_reach r join (select e.graph_id, s.ord as x, o.ord as y from status_now e
+                                 join nodes_now s on s.graph_id = e.graph_id and s.id = e.subject and not s.dropped
+                                 join nodes_now o on o.graph_id = e.graph_id and o.id = e.object and not o.dropped
+                                 where e.reason is null) p
+             on p.graph_id = r.graph_id and (p.x = r.b or p.y = r.b)""",
+    "corpus_works": """
+        select c.graph_id, c.iri from cited_works c where c.graph_id in (select graph_id from nodes)
+        union select graph_id, iri from minted where type = 'SourceDocument' and iri not like 'x:%'""",
+    "corpus_reach": """
+        select distinct graph_id as a, graph_id as b from nodes
+        union
+        select r.a, k.graph_id
+        from corpus_reach r join corpus_works c on c.graph_id = r.b join corpus_works k on k.iri = c.iri""",
+    "corpus_labels": "select a as graph_id, min(b) as component from corpus_reach group by a",
     "labels": "select graph_id, a as ord, min(b) as component from reach group by graph_id, a",
     "signatures_before": """
         select g.graph_id, sha256(coalesce(max(n.d), sha256('')) || '|' || coalesce(max(p.d), sha256(''))) as signature
@@ -646,6 +664,12 @@ def _report_sql() -> str:
 
 
 
+def _report_fields() -> str:
+    from claimweave.operators.report import COUNTS
+
+    return ", ".join(f"'{name}': {name}" for name in (m.replace(" ", "_").lower() for m in COUNTS))
+
+
 def _object(**fields: str) -> str:
     """SQL for a JSON object text; ``fields`` are SQL expressions of JSON text, left out when NULL."""
     parts = [f"""coalesce(',"{key.replace('at_', '@')}":' || {value}, '')""" for key, value in fields.items()]
@@ -1003,6 +1027,17 @@ QUERIES: dict[str, str] = {
               union all select graph_id, 'refused nodes' from rejects where kind = 'node'
               union all select graph_id, 'relations across pieces' from judged_proposed where accepted) t
         group by graph_id, item""",
+    "drawable_components": """
+        select n.graph_id, n.id, l.component from nodes_now n
+        join (select graph_id, a as ord, min(b) as component from drawn_reach group by graph_id, a) l
+             on l.graph_id = n.graph_id and l.ord = n.ord
+        where not n.dropped""",
+    "corpus_components": """
+        select l.graph_id, l.component, s.graphs, coalesce(w.works, 0) as sources
+        from corpus_labels l
+        join (select component, count(*) as graphs from corpus_labels group by component) s on s.component = l.component
+        left join (select k.component, count(distinct c.iri) as works
+                   from corpus_works c join corpus_labels k on k.graph_id = c.graph_id group by k.component) w on w.component = l.component""",
     "drawable_edges": "select graph_id, id, subject, object from status_now where reason is null",
     "degrees": """
         select n.graph_id, n.id, n.type, count(d.id) as degree,
@@ -1047,10 +1082,27 @@ QUERIES: dict[str, str] = {
         left join (select graph_id, nullif({strip(_string('reply', '$.paper.title'))}, '') as title from calls
                    where outcome = 'ok' and parse <> 'none') p on p.graph_id = a.graph_id
         group by a.graph_id""",
-    "working_graphs": """
-        select graph_id, part, count(*) as n
-        from (select graph_id, 'nodes' as part from nodes union all select graph_id, 'edges' from edges
-              union all select graph_id, 'rejects' from rejects) t group by graph_id, part""",
+    "working_graphs": f"""
+        select graph_id, 'source' as part,
+               cast(to_json({{'source': graph_id, 'slug': graph_id}}) as varchar) as row_json
+        from (select distinct graph_id from nodes) t
+        union all
+        select graph_id, 'paper', cast(to_json({{'title': title, 'doi': doi, 'license': license, 'authors':
+                   case when author_2 is null then [{{'name': author_1, 'orcid': orcid_1}}]
+                        else [{{'name': author_1, 'orcid': orcid_1}}, {{'name': author_2, 'orcid': null}}] end}}) as varchar)
+        from paper_info
+        union all
+        select graph_id, 'nodes', cast(to_json({{'ord': ord, 'id': id, 'type': type, 'text': text, 'description': description, 'doi': doi,
+                                                'url': url, 'anchor': anchor}}) as varchar)
+        from nodes
+        union all
+        select graph_id, 'edges', cast(to_json({{'ord': pos, 'relation': relation, 'subject': subject, 'object': object, 'anchor': anchor,
+                                                'consolidated': false}}) as varchar)
+        from edges
+        union all
+        select graph_id, 'dropped', cast(to_json({{'kind': kind, 'pos': pos, 'why': why, 'payload': payload}}) as varchar) from rejects
+        union all
+        select graph_id, 'report', cast(to_json({{{_report_fields()}}}) as varchar) from ({_report_sql()}) t""",
     "stream_lines": "select gen_id, seq, id, model, content, reasoning, error, usage from decoded",
     "generation_facts": """
         select gen_id, max_by(id, seq) filter (where id is not null) as id, max_by(model, seq) filter (where model is not null) as model,

@@ -223,7 +223,15 @@ select source || '-' || cast(floor(doc_id / 1000.0) as bigint) as graph_id,
 from {documents} where doc_id % 20 in (3, 7, 11)
 """
 
+# Works that several graphs cite: few enough that the graphs fall into a handful of connected parts.
+_CITED_WORKS = """
+select 'src' || (o_orderkey % 20) || '-' || cast(floor(o_orderkey / 15000.0) as bigint) as graph_id,
+       'https://doi.org/10.5555/w' || (o_custkey % 97) as iri
+from {orders} where o_orderkey % 1009 = 0 and o_orderkey % 20 <> 7
+"""
+
 VIEWS: dict[str, str] = {
+    "cited_works": _CITED_WORKS,
     "foreign_objects": _FOREIGN_OBJECTS,
     "paper_rows": _PAPER_ROWS,
     "marked_up": _MARKED_UP,

@@ -65,6 +65,27 @@ def test_batches_are_committed_once_and_whole(spark, tmp_path):
 SF = "/root/testdata/sf0.001"
 
 
+def test_sinks_append_a_run_once(spark, tmp_path):
+    from claimweave.operators import routing
+    from claimweave.plans.catalog import Corpus, _report
+    from claimweave.sources import papers
+    from pyspark.sql import functions as F
+
+    corpus, store = Corpus(spark, SF), Store(spark, str(tmp_path / "sinks"))
+    refused = routing.quarantine(routing.route(corpus.view("paper_rows"), 2000), F.lit("2026-01-01T00:00:00.000Z"), F.lit(" me "))
+    n = refused.count()
+    assert n and papers.append_quarantine(store, "monday", refused) and not papers.append_quarantine(store, "monday", refused)
+    assert store.read("quarantine").count() == n
+    assert papers.append_quarantine(store, "tuesday", refused) and store.read("quarantine").count() == 2 * n
+    parts = papers.working_graph_parts(corpus.graph, corpus.papers, _report(corpus))
+    assert papers.append_working_graphs(store, "graphs-1", parts) and not papers.append_working_graphs(store, "graphs-1", parts)
+    back = {name: store.read(name).where("batch = 'graphs-1'").drop("batch") for name in parts}
+    text = lambda tables: sorted(tuple(row) for row in papers.working_graph_rows(tables).collect())
+    assert text(back) == text(parts)
+    manifest = json.loads(store.batches().where("batch = 'graphs-1'").first()["manifest"])
+    assert manifest["kind"] == "working graphs" and manifest["rows"]["nodes"] == corpus.graph.nodes.count()
+
+
 def test_edits_merged_into_a_base_equal_the_whole_log(spark, tmp_path):
     from claimweave.operators import edits
     from claimweave.plans.catalog import Corpus

@@ -39,3 +39,37 @@ def test_listing_is_limited_before_the_shuffle(spark):
 def test_verdicts_need_no_window(spark):
     """First occurrences are combined aggregates, so no task sorts a whole graph or a reused id."""
     assert "Window [" not in plan(spark, "node_verdicts") + plan(spark, "edge_verdicts")
+
+
+def test_the_report_reads_its_tables_once(spark, tmp_path):
+    """Nodes and edges are counted under all their measures in one scan each."""
+    from claimweave.operators import report
+
+    tables = {}
+    for name, schema in {"nodes": "graph_id string, type string, anchor string", "edges": "graph_id string, relation string, anchor string",
+                         "stamps": "graph_id string, stamp string", "rejects": "graph_id string, kind string",
+                         "judged": "graph_id string, copies bigint"}.items():
+        path = str(tmp_path / name)
+        spark.createDataFrame([], schema).write.parquet(path)
+        tables[name] = spark.read.schema(schema).parquet(path)
+    counted = report.measured(*tables.values()).groupBy("graph_id", "measure").sum("amount")
+    text = counted._jdf.queryExecution().executedPlan().toString()
+    for column in ("type:string", "relation:string", "stamp:string", "kind:string", "copies:bigint"):
+        assert len(re.findall(rf"ReadSchema: struct<[^>]*{column}", text)) == 1
+
+
+def test_folds_aggregate_positions_only(spark):
+    """Whole rows and strings are not aggregated, which would sort them."""
+    from claimweave.operators import consolidate, merge, project
+    from tests.conftest import NODE_SCHEMA
+
+    node = spark.createDataFrame([], NODE_SCHEMA + ", ord bigint, iri string, piece bigint")
+    edge = spark.createDataFrame([], "graph_id string, ord bigint, relation string, subject string, object string, anchor string, consolidated boolean")
+    members = spark.createDataFrame([], "graph_id string, group_no bigint, id string")
+    info = spark.createDataFrame([], "graph_id string, title string, doi string")
+    plans = {
+        "M2": merge.text_folds(node), "Co3": consolidate.fold_map(members, node), "triples": merge.first_triples(edge, "anchor", "consolidated"),
+        "J6": project.paper_documents(node, info), "J8": project.evidence_stamps(node, edge, project.paper_documents(node, info)),
+    }
+    for name, df in plans.items():
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString(), name
