@@ -194,8 +194,12 @@ def replayed(nodes: DataFrame, staged: DataFrame, edit_log: DataFrame) -> tuple[
     return nodes_now, edges_now
 
 
-def edited_papers(papers: DataFrame, edit_log: DataFrame, fields: tuple[str, ...] = ("title", "doi", "license")) -> DataFrame:
-    """Paper attribution after ``editPaper`` patches; a graph without attribution gains a row."""
+def edited_papers(papers: DataFrame, edit_log: DataFrame, fields: tuple[str, ...] = ("title", "doi", "license", "authors")) -> DataFrame:
+    """Paper attribution after ``editPaper`` patches; a graph without attribution gains a row.
+
+    A patch of ``authors`` is the whole new list as JSON, objects with ``name`` and ``orcid``; one that is not such a list, or
+    NULL, leaves no authors.
+    """
     patches = edit_log.where(F.col("op") == "editPaper")
     latest = patches.groupBy("graph_id").agg(
         *[
@@ -206,10 +210,12 @@ def edited_papers(papers: DataFrame, edit_log: DataFrame, fields: tuple[str, ...
         ]
     )
     merged = papers.join(latest, "graph_id", "full")
+    kinds = dict(papers.dtypes)
     for field in fields:
-        merged = merged.withColumn(
-            field, F.when(F.col(f"_{field}").isNotNull(), F.col(f"_{field}")["value"]).otherwise(F.col(field))
-        )
+        value = F.col(f"_{field}")["value"]
+        if field == "authors":
+            value = F.coalesce(F.from_json(value, kinds[field]), F.array().cast(kinds[field]))
+        merged = merged.withColumn(field, F.when(F.col(f"_{field}").isNotNull(), value).otherwise(F.col(field)))
     return merged.drop(*[f"_{field}" for field in fields])
 
 

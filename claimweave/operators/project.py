@@ -182,9 +182,7 @@ def node_objects(minted: DataFrame, stamps: DataFrame, papers: DataFrame, paper_
 
 
 def relation_objects(edges: DataFrame, minted: DataFrame) -> DataFrame:
-    """The columns of each reified relation, numbered over the edges whose two ends have an IRI.
-
-    """
+    """The columns of each reified relation, numbered over the edges whose two ends have an IRI."""
     ends = minted.select("graph_id", "id", "iri", clip(F.col("text"), 80).alias("snip"))
     subjects = ends.withColumnsRenamed({"id": "subject", "iri": "source", "snip": "_from"})
     objects = ends.withColumnsRenamed({"id": "object", "iri": "destination", "snip": "_to"})
@@ -240,6 +238,11 @@ def projection_report(
             "graph_id", F.lit(section).alias("section"), "item", "n"
         )
 
+    # Edges with an end that has no IRI have no object; admission leaves none, so the count says that nothing got lost.
+    counted = edges.select("graph_id", F.lit(1).alias("n")).unionByName(relation_objs.select("graph_id", F.lit(-1).alias("n")))
+    lost = counted.groupBy("graph_id").agg(F.sum("n").alias("n")).select(
+        "graph_id", F.lit("edges").alias("section"), F.lit("dropped").alias("item"), "n"
+    )
     anchored = F.col("anchor").isNotNull()
     parts = [
         tally(nodes, "nodes", F.lit("total")),
@@ -247,6 +250,7 @@ def projection_report(
         tally(node_objs, "class", F.col("type")),
         tally(edges, "edges", F.lit("total")),
         tally(relation_objs, "edges", F.lit("mapped")),
+        lost,
         tally(relation_objs, "relation", F.col("relation")),
         tally(node_objs.where(anchored), "anchors", F.lit("nodes")),
         tally(relation_objs.where(anchored), "anchors", F.lit("edges")),

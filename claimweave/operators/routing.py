@@ -31,6 +31,12 @@ def run_slug(option: Column, name: Column, title: Column) -> Column:
     return F.coalesce(none_if_empty(option), none_if_empty(base), none_if_empty(title), F.lit("extraction"))
 
 
+def run_names(runs: DataFrame, papers: DataFrame) -> DataFrame:
+    """``(graph_id, name)`` for base addresses: by ``run_slug`` from ``runs(graph_id, option, file)`` and the papers' titles."""
+    titled = runs.join(papers.select("graph_id", "title"), "graph_id", "left")
+    return titled.select("graph_id", run_slug(F.col("option"), F.col("file"), F.col("title")).alias("name"))
+
+
 def route(papers: DataFrame, limit: int = SINGLE_CALL_LIMIT) -> DataFrame:
     """Add ``chars``, ``route`` (accepted, too_big, empty, missing) and ``reason``; texts are never cut.
 

@@ -27,6 +27,8 @@ class Projection:
     papers: DataFrame
     naming: Naming
     durable: bool = False
+    #: ``(graph_id, name)`` that base addresses are made from; without it a graph goes by its id.
+    names: DataFrame | None = None
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return settle(df, name) if self.durable else df
@@ -69,7 +71,7 @@ class Projection:
         )
 
     def documents(self, width: int = project.OBJECTS_PER_PART, part_bytes: int = project.BYTES_PER_PART) -> DataFrame:
-        names = self.graphs.select("graph_id", F.col("graph_id").alias("name"))
+        names = self.graphs.select("graph_id", F.col("graph_id").alias("name")) if self.names is None else self.names
         return project.documents(self.objects, names, self.naming, width, part_bytes)
 
 
@@ -147,7 +149,7 @@ class MergedStage:
         return settle(nodes, "merged-edited-nodes"), settle(edges, "merged-edited-edges")
 
 
-def built(graph: Graph, papers: DataFrame, naming: Naming) -> Projection:
-    """The whole build from a classified corpus: renumber, fold, project."""
+def built(graph: Graph, papers: DataFrame, naming: Naming, names: DataFrame | None = None) -> Projection:
+    """The whole build from a classified corpus: renumber, fold, project. ``names`` are as from ``routing.run_names``."""
     whole = merged(graph)
-    return Projection(whole.nodes, whole.edges, papers, naming, durable=True)
+    return Projection(whole.nodes, whole.edges, papers, naming, durable=True, names=names)

@@ -77,6 +77,7 @@ class Corpus:
             ("subject", F.col("new_subject"), F.col("new_subject").isNotNull()),
             ("object", F.col("new_object"), F.col("new_object").isNotNull()),
             ("title", F.col("new_title"), F.col("new_title").isNotNull()),
+            ("authors", F.to_json(F.array(F.struct(F.col("new_author").alias("name")))), F.col("new_author").isNotNull()),
         ]
         entries = F.array(
             *[F.struct(is_set.alias("set"), F.lit(key).alias("key"), value.alias("value")) for key, value, is_set in touched]
@@ -148,6 +149,17 @@ def input_types(c: Corpus) -> DataFrame:
     return gated.select("paper_id", "name", "ext", "accepted", "web_accepted", "refusal", slug.alias("slug"))
 
 
+@query
+def run_names(c: Corpus) -> DataFrame:
+    """Names and base addresses of runs: by an option, a file, or the title that the paper gives."""
+    graphs = c.lazy_graph.nodes.select("graph_id").distinct()
+    numbered = F.substring("graph_id", 4, 9)
+    option = F.when(numbered.startswith("1"), F.concat(F.lit("Run of "), "graph_id"))
+    file = F.when(numbered.startswith("2"), F.concat(F.lit("in/"), "graph_id", F.lit(".v1.txt")))
+    runs_ = graphs.select("graph_id", option.alias("option"), file.alias("file"))
+    return routing.run_names(runs_, c.papers).withColumn("base_iri", project.base_iri(NAMING, F.col("name")))
+
+
 @query
 def route_papers(c: Corpus) -> DataFrame:
     return routing.route(c.view("paper_rows"), ROUTE_LIMIT).select("paper_id", "chars", "route", "reason")
@@ -639,7 +651,8 @@ def edited_edges(c: Corpus) -> DataFrame:
 
 @query
 def edited_papers(c: Corpus) -> DataFrame:
-    return edits.edited_papers(c.papers, c.edit_log).select("graph_id", "title", "doi", "license")
+    people = F.array_join(F.col("authors")["name"], "; ").alias("authors")
+    return edits.edited_papers(c.papers, c.edit_log).select("graph_id", "title", "doi", "license", people)
 
 
 @query

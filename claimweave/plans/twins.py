@@ -912,6 +912,12 @@ QUERIES: dict[str, str] = {
                {_SLUG.format(x=_EDITOR_SLUG)} as exported_slug,
                '{catalog.NAMING.base_prefix}' || {_SLUG.format(x='name')} || ':' as base_iri
         from paper_rows""",
+    "run_names": f"""
+        select graph_id, name, '{catalog.NAMING.base_prefix}' || {_SLUG.format(x='name')} || ':' as base_iri
+        from (select g.graph_id, case when substr(g.graph_id, 4, 1) = '1' then 'Run of ' || g.graph_id
+                                      when substr(g.graph_id, 4, 1) = '2' then g.graph_id || '.v1'
+                                      else coalesce(p.title, 'extraction') end as name
+              from (select distinct graph_id from nodes) g left join paper_info p on p.graph_id = g.graph_id) t""",
     "accounts": "select graph_id, cast(ord as bigint) as ord, account_id, account_name from account_rows",
     "node_iris": "select graph_id, ord, id, iri from minted",
     "source_index": """
@@ -937,7 +943,10 @@ QUERIES: dict[str, str] = {
               union all select graph_id, 'anchors', 'nodes' from node_objs where anchor is not null
               union all select graph_id, 'anchors', 'edges' from relation_objs where anchor is not null
               union all select graph_id, 'stamps', stamp from stamps) t
-        group by graph_id, section, item""",
+        group by graph_id, section, item
+        union all
+        select graph_id, 'edges', 'dropped', count(*) - (select count(*) from relation_objs r where r.graph_id = e.graph_id)
+        from edges e group by graph_id""",
     "omission_notes": """
         select graph_id, 'license has no slot in the schema; kept in this report only' as note, license as detail
         from paper_info where license is not null
@@ -974,9 +983,11 @@ QUERIES: dict[str, str] = {
     "edited_nodes": "select graph_id, id, type, text, description, dropped, added from nodes_now",
     "edited_edges": "select graph_id, id, relation, subject, object, dropped, added from edges_now",
     "edited_papers": """
-        select coalesce(p.graph_id, e.graph_id) as graph_id, coalesce(e.title, p.title) as title, p.doi, p.license
+        select coalesce(p.graph_id, e.graph_id) as graph_id, coalesce(e.title, p.title) as title, p.doi, p.license,
+               case when e.author is not null then e.author when p.graph_id is not null then concat_ws('; ', p.author_1, p.author_2) end as authors
         from paper_info p
-        full join (select graph_id, max_by(new_title, seq) as title from edits where op = 'editPaper' group by graph_id) e
+        full join (select graph_id, max_by(new_title, seq) as title, max_by(new_author, seq) filter (where new_author is not null) as author
+                   from edits where op = 'editPaper' group by graph_id) e
                on e.graph_id = p.graph_id""",
     "edge_status": "select graph_id, id, relation, subject, object, reason is null as valid, reason from status_now",
     "publishable": f"""
@@ -1151,7 +1162,8 @@ QUERIES: dict[str, str] = {
                           union all select graph_id, target_id, op, seq, 'relation', new_relation, new_relation is not null from edits
                           union all select graph_id, target_id, op, seq, 'subject', new_subject, new_subject is not null from edits
                           union all select graph_id, target_id, op, seq, 'object', new_object, new_object is not null from edits
-                          union all select graph_id, target_id, op, seq, 'title', new_title, new_title is not null from edits) f
+                          union all select graph_id, target_id, op, seq, 'title', new_title, new_title is not null from edits
+                          union all select graph_id, target_id, op, seq, 'authors', '[{"name":"' || new_author || '"}]', new_author is not null from edits) f
                     where is_set and op like 'edit%'
                     union all
                     select graph_id, target_id, regexp_extract(op, '(Node|Edge)$', 1), seq, 'dropped',
@@ -1304,9 +1316,12 @@ def _edited_parts() -> dict[str, str]:
         "nodes": "select *, ord as pos from exported",
         "edges": f"select *, ord as pos from ({QUERIES['export_edges']})",
         "paper_info": """
-            select coalesce(p.graph_id, e.graph_id) as graph_id, coalesce(e.title, p.title) as title, p.* exclude (graph_id, title)
+            select coalesce(p.graph_id, e.graph_id) as graph_id, coalesce(e.title, p.title) as title, coalesce(e.author, p.author_1) as author_1,
+                   case when e.author is null then p.orcid_1 end as orcid_1, case when e.author is null then p.author_2 end as author_2,
+                   p.* exclude (graph_id, title, author_1, orcid_1, author_2)
             from x_paper_info p
-            full join (select graph_id, max_by(new_title, seq) as title from edits where op = 'editPaper' group by graph_id) e
+            full join (select graph_id, max_by(new_title, seq) as title, max_by(new_author, seq) filter (where new_author is not null) as author
+                       from edits where op = 'editPaper' group by graph_id) e
                    on e.graph_id = p.graph_id""",
         "account_rows": parts["account_rows"].replace(catalog.NAMING.creator, catalog.EDITOR_NAMING.creator),
     }

@@ -206,7 +206,8 @@ select 'src' || (user_id % 20) || '-0' as graph_id, event_id as seq, ts,
             when event_type = 'signup' and event_id % 2 = 1 then 'opposes' end as new_relation,
        case when event_type = 'signup' and event_id % 2 = 1 then 'n' || (event_id % 13) end as new_subject,
        case when event_type = 'signup' and event_id % 2 = 1 then 'n' || (event_id % 17) end as new_object,
-       case when event_type = 'purchase' and event_id % 4 = 3 then 'title ' || event_id end as new_title
+       case when event_type = 'purchase' and event_id % 4 = 3 then 'title ' || event_id end as new_title,
+       case when event_type = 'purchase' and event_id % 12 = 3 then 'Reviewer ' || event_id end as new_author
 from {events}
 """
 
