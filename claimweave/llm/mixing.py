@@ -67,22 +67,24 @@ def distribution(rate: Column) -> Column:
 def replicate(docs: DataFrame, weights: DataFrame | None = None, rows: int | None = None, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
     """All columns, with ``replica`` (0, 1, ...) and ``shuffle_key``, in an order that the hash of seed, id and replica gives.
 
-    A null source is a source of its own. The count depends on seed, id and rate alone: repeated rows are repeated
-    alike, a null id is hashed as an empty one, texts are carried whole and untouched. Input columns named ``replica`` or
-    ``shuffle_key`` are replaced. No rows in, no rows out.
+    A null source is a source of its own. The count depends on seed, id and rate alone: repeated rows are repeated alike,
+    texts are carried whole and untouched. A row without id goes by the digest of its text. Input columns named ``replica`` or
+    ``shuffle_key`` are replaced, all others come along. No rows in, no rows out.
     """
     mean = rates(docs, weights, rows, temperature)
-    table = mean.select(F.col("source").alias("_source"), distribution(F.col("rate")).alias("_sums"))
+    table = mean.select("source", distribution(F.col("rate")).alias("sums"))
     entries = mean.agg(F.sum(_last(F.col("rate")).cast("double"))).first()[0]
     if (entries or 0) <= SENT_ENTRIES:  # else a shuffle join, whose large sources adaptive execution splits
         table = F.broadcast(table)
-    seed_text, id_text = F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    joined = docs.drop("replica", "shuffle_key").join(table, docs["source"].eqNullSafe(table["_source"]))
-    below = F.size(F.filter("_sums", lambda s: s < F.col("_u")))
-    counted = joined.withColumn("_u", uniform(seed_text, id_text)).withColumn("_count", below).where(F.col("_count") > 0)
-    exploded = counted.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_source", "_sums", "_u", "_count")
+    carried = [name for name in docs.columns if name not in ("replica", "shuffle_key")]
+    whole = docs.select(F.struct(*[F.col(f"`{name}`") for name in carried]).alias("doc"))  # so that no name can clash
+    id_text = F.coalesce(F.col("doc.doc_id").cast("string"), F.md5(F.coalesce("doc.text", F.lit("")).cast("binary")))
+    seed_text = F.lit(str(seed))
+    joined = whole.join(table, F.col("doc.source").eqNullSafe(table["source"])).select("doc", "sums", uniform(seed_text, id_text).alias("u"))
+    counted = joined.select("doc", F.size(F.filter("sums", lambda s: s < F.col("u"))).alias("times")).where("times > 0")
+    exploded = counted.select("doc", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("replica"))
     digits = F.substring(F.md5(F.concat_ws("|", seed_text, F.lit("order"), id_text, F.col("replica").cast("string")).cast("binary")), 1, 15)
-    keyed = exploded.withColumn("replica", F.col("replica").cast("long")).withColumn("shuffle_key", F.conv(digits, 16, 10).cast("long"))
+    keyed = exploded.select("doc.*", F.col("replica").cast("long").alias("replica"), F.conv(digits, 16, 10).cast("long").alias("shuffle_key"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
@@ -97,12 +99,13 @@ with counts as (
 ), sums as (
     select source, k, sum(p) over (partition by source order by k) as s from terms
 ), drawn as (
-    select *, (cast('0x' || substr(md5(concat('{SEED}|', doc_id)), 1, 13) as bigint) + 0.5) / 4503599627370496.0 as u from documents
+    select *, (cast('0x' || substr(md5('{SEED}|' || name), 1, 13) as bigint) + 0.5) / 4503599627370496.0 as u
+    from (select *, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) as name from documents)
 ), counted as (
-    select d.doc_id, d.text, d.lang, d.source, d.n_chars, (select count(*) from sums where sums.source is not distinct from d.source and s < u) as n
+    select d.doc_id, d.text, d.lang, d.source, d.n_chars, d.name, (select count(*) from sums where sums.source is not distinct from d.source and s < u) as n
     from drawn d
 ), exploded as (
-    select doc_id, text, lang, source, n_chars, unnest(range(0, n)) as replica from counted where n > 0
+    select doc_id, text, lang, source, n_chars, name, unnest(range(0, n)) as replica from counted where n > 0
 )
-select *, cast('0x' || substr(md5(concat('{SEED}|order|', doc_id, '|', replica)), 1, 15) as bigint) as shuffle_key from exploded
+select * exclude (name), cast('0x' || substr(md5('{SEED}|order|' || name || '|' || replica), 1, 15) as bigint) as shuffle_key from exploded
 """
