@@ -103,14 +103,34 @@ def links(fps: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
         .select("fp", "group", F.coalesce("size", F.lit(1)).cast("long").alias("size"))
     )
     grouped = settle(grouped, "grouped-fingerprints")
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= MOST_BITS
+    return early, candidates(grouped, crowd).where(close).select(F.col("group").alias("u"), F.col("group2").alias("v"))
+
+
+def _pieces(bucket_size: Column, crowd: int) -> Column:
+    """What two fingerprints of a bucket must share besides: in a crowded one a byte of the other segment, else nothing.
+
+    The other segment may differ in three bits, so one of its four bytes is equal. Fingerprints that share a segment and
+    nothing else, however many they are, so hardly meet.
+    """
+    rest = F.when(F.col("seg") == 0, F.shiftrightunsigned("fp", SEGMENT_BITS)).otherwise(F.col("fp").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)))
+    piece = lambda part, value: F.struct(F.lit(part).cast("byte").alias("part"), value.cast("long").alias("piece"))
+    four = F.array(*[piece(k, F.shiftrightunsigned(rest, 8 * k).bitwiseAND(F.lit(255))) for k in range(SEGMENT_BITS // 8)])
+    return F.when(F.coalesce(bucket_size, F.lit(0)) >= crowd, four).otherwise(F.array(piece(-1, F.lit(0))))
+
+
+def candidates(grouped: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Pairs ``fp, group, fp2, group2`` of ``grouped(fp, group, size)`` whose distance is to be verified."""
     rank = F.struct("size", "group")
     # A lookup is worth its join only where the bucket holds a larger group than the one that asks.
-    held = _table(grouped).groupBy("seg", "value").agg(F.max(rank).alias("top"))
-    asking = _probes(grouped).join(held, ["seg", "value"]).where(rank < F.col("top")).drop("top")
-    other = _table(grouped).withColumnsRenamed({"fp": "fp2", "group": "group2", "size": "size2"})
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= MOST_BITS
-    found = asking.join(other, ["seg", "value"]).where((rank < F.struct("size2", "group2")) & close)
-    return early, found.select(F.col("group").alias("u"), F.col("group2").alias("v"))
+    held = _table(grouped).groupBy("seg", "value").agg(F.max(rank).alias("top"), F.count(F.lit(1)).alias("n"))
+    asking = _probes(grouped).join(held, ["seg", "value"]).where(rank < F.col("top"))
+    asking = asking.select("fp", "group", "size", "seg", "value", F.inline(_pieces(F.col("n"), crowd)))
+    crowded = held.where(F.col("n") >= crowd).select("seg", "value", "n")
+    other = _table(grouped).join(crowded, ["seg", "value"], "left")
+    other = other.select(F.col("fp").alias("fp2"), F.col("group").alias("group2"), F.col("size").alias("size2"), "seg", "value", F.inline(_pieces(F.col("n"), crowd)))
+    met = asking.join(other, ["seg", "value", "part", "piece"]).where(rank < F.struct("size2", "group2"))
+    return met.select("fp", "group", "fp2", "group2")
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

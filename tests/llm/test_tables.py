@@ -107,6 +107,20 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_a_shared_segment_lists_no_pairs(spark):
+    """600 fingerprints with one equal segment, far apart otherwise, and a few that are near."""
+    rng = random.Random(12)
+    values = {rng.getrandbits(32) << 32 | 0x1234ABCD for _ in range(600)}
+    values |= {v ^ 0b111 << 40 for v in rng.sample(sorted(values), 10)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    grouped = ready(spark).createDataFrame([(v, v, 1) for v in signed], "fp long, group long, size long")
+    met = simhash.candidates(grouped, 64)
+    assert met.count() < 20 * len(values)
+    close = {frozenset((r.fp, r.fp2)) for r in met.collect() if ((r.fp ^ r.fp2) & (1 << 64) - 1).bit_count() <= 3}
+    brute = {frozenset((a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    assert close == brute and len(brute) >= 10
+
+
 # ---- mixing ----
 
 
@@ -136,6 +150,17 @@ def test_mixing_edges(spark):
     assert counts[(1, 0)] % 2 == 0 and counts[(2, 100_000)] > 500
     keys = {(r.doc_id, r.replica): r.shuffle_key for r in found}
     assert len(set(keys.values())) == len(keys)
+    names = ["_u", "_count", "_source", "_sums", "u", "times", "sums", "doc", "replica"]
+    rows = [(None if i % 3 else i, f"text {i}", f"s{i % 2}", *names) for i in range(900)]
+    frame = ready(spark).createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mixing.replicate(frame, rows=2000)
+    assert set(mixed.columns) == set(frame.columns) | {"shuffle_key"}
+    got = mixed.collect()
+    assert all([r[n] for n in names[:-1]] == names[:-1] for r in got)
+    # Rows without id differ in their keys and draws like any others.
+    assert len({r.shuffle_key for r in got if r.doc_id is None}) == len([r for r in got if r.doc_id is None])
+    times = Counter(r.text for r in got if r.doc_id is None)
+    assert len(set(times.values())) > 2
     assert mixing.replicate(docs(spark, [])).collect() == []
     sums = spark.range(1).select(mixing.distribution(F.lit(900.0)).alias("s")).first().s
     assert sums[0] < 1e-300 and abs(sums[-1] - 1) < 1e-9 and sums == sorted(sums)
