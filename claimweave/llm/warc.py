@@ -399,7 +399,30 @@ def archive_folder(spark: SparkSession) -> str:
     return os.path.join(shared_dir(spark), "claimweave", spark.sparkContext.applicationId, f"archives-{uuid.uuid4().hex}")
 
 
+class RecordsLost(RuntimeError):
+    """Fewer, or more, records were read than the manifest has."""
+
+
+def salvaged(manifest: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """What the archives of a manifest give: the rows read, the log of byte gaps, and how many records are missing.
+
+    Both tables are written, the log beside the records, so that the archives are read once.
+    """
+    read = settle(read_archives(manifest), "archive-records")
+    gaps = settle(quarantined(read), "archive-gaps")
+    expected = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    return read, gaps, expected - read.where(F.col("kind") == "record").count()
+
+
 def round_trip(pages: DataFrame, folder: str | None = None, compressed: bool = True) -> DataFrame:
-    """Write all pages as records and read the archives back; columns as in ``resolved``."""
+    """Write all pages as records and read the archives back; columns as in ``resolved``.
+
+    A page whose record cannot be read would be missing without a word, so a difference between the manifest and the records
+    read, or a gap in the log, ends the run.
+    """
     manifest = write_archives(plan_revisits(pages), folder or archive_folder(pages.sparkSession), compressed)
-    return resolved(settle(read_archives(manifest), "archive-records"))
+    read, gaps, missing = salvaged(manifest)
+    quarantine = gaps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    if missing or quarantine[0]:
+        raise RecordsLost(f"{missing} records missing, {quarantine[0]} gaps of {quarantine[1]} bytes")
+    return resolved(read)

@@ -102,3 +102,20 @@ def test_ranges_see_every_record_once(spark, tmp_path):
     gaps = warc.quarantined(rows).collect()
     lost = len(data) - sum(r.end - r.start for r in records)
     assert sum(g.end - g.start for g in gaps) == lost
+
+
+def test_lost_records_are_logged_and_end_a_round_trip(spark, tmp_path, monkeypatch):
+    """One damaged byte: the gap is in the log, the record is missed, and no result is given without it."""
+    rows = pages(spark, [(i, f"http://x/{i}", f"<p>{i}</p>" * 50) for i in range(20)]).coalesce(1)
+    manifest = warc.write_archives(warc.plan_revisits(rows), str(tmp_path / "archives"))
+    assert warc.salvaged(manifest)[2] == 0
+    (path,) = [r.path for r in manifest.collect()]
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2] ^= 0x5A
+    with open(path, "wb") as file:
+        file.write(data)
+    read_, gaps, missing = warc.salvaged(manifest)
+    assert missing == 1 and gaps.count() == 1 and warc.resolved(read_).count() == 19
+    monkeypatch.setattr(warc, "write_archives", lambda *a: manifest)
+    with pytest.raises(warc.RecordsLost, match="1 records missing, 1 gaps"):
+        warc.round_trip(rows)
