@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import mapped, text_bytes
+from claimweave.llm.common import mapped, settle, text_bytes
 
 # The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -134,9 +134,18 @@ def ablation(entries: DataFrame) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept`` under the policy (never kept where the base rules fail)."""
-    return ledger(docs).withColumns({"base_failed": fails("base"), "kept": ~fails("base") & ~fails(policy)})
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written once: verdicts of every policy and ablations read the store and never a text."""
+    return settle(ledger(docs), "quality-ledger")
+
+
+def judged(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """A stored ledger with ``base_failed``, ``kept`` under the policy, and ``kept_<version>`` under each of its versions.
+
+    A document that fails the base rules is kept by none.
+    """
+    versions = {f"kept_{name}": ~fails("base") & ~fails(name) for name in POLICIES if name != "base"}
+    return entries.withColumns({"base_failed": fails("base"), "kept": ~fails("base") & ~fails(policy), **versions})
 
 
 ORACLE = r"""
@@ -172,5 +181,16 @@ with texts as (
         + 16 * cast(word_chars < 2 * n_words as bigint) + 32 * cast(word_chars > 15 * n_words as bigint) as fail_bits
     from measures
 )
-select *, fail_bits & 3 <> 0 as base_failed, fail_bits = 0 as kept from failed
+select *, fail_bits & 3 <> 0 as base_failed, fail_bits = 0 as kept, fail_bits & 7 = 0 as kept_v1, fail_bits = 0 as kept_v2 from failed
+"""
+
+#: What each rule of each policy rejects, from the rows that ``ORACLE`` gives.
+ABLATION_ORACLE = f"""
+with ledger as ({ORACLE}), rules as (
+    select * from (values {", ".join(f"('{policy}', '{rule.name}', {mask_of(policy)}, {1 << rule.bit})" for policy, names in POLICIES.items() for rule in RULES if rule.name in names)})
+        as r(policy, rule, mask, bit)
+)
+select policy, rule, count(*) as n_docs, count(*) filter (where fail_bits & mask <> 0) as n_rejected,
+    count(*) filter (where fail_bits & bit <> 0) as n_failed, count(*) filter (where fail_bits & mask = bit) as n_only
+from ledger, rules group by policy, rule
 """

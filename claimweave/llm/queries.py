@@ -17,7 +17,12 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents"))
+    return quality.judged(quality.stored(table(spark, sf_dir, "documents")))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version rejects, from the same store."""
+    return quality.ablation(quality.stored(table(spark, sf_dir, "documents")))
 
 
 def op2_interleaved_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +102,7 @@ _QUERIES: list[Query] = [
     op11_pairwise_ranking,
     op12_prefix_trie,
     op13_secondary_sort_negatives,
+    quality_ablation,
 ]
 
 
@@ -108,6 +114,7 @@ def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can express over whole tables."""
     return {
         "op1_quality_ledger": quality.ORACLE,
+        "quality_ablation": quality.ABLATION_ORACLE,
         "op5_poisson_mixing": mixing.ORACLE,
         "op8_stupid_backoff": backoff.oracle(backoff.ORDER),
         "op12_prefix_trie": prefixes.ORACLE,
