@@ -150,6 +150,16 @@ def references(sequences: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> Da
     return sequences.select(*keep, F.explode(media).alias("item")).select(*keep, "item.position", "item.media", "item.caption", digest.alias("digest"))
 
 
+def described(items: str) -> list[Column]:
+    """``n_items`` and ``items_sha256``: the number of items, and a digest of their kinds and contents in order.
+
+    An item is told by its kind, a tab, its text or media reference, a tab and its caption; items end with the character 30.
+    """
+    told = lambda item: F.concat(item["kind"], F.lit("\t"), F.coalesce(item["text"], item["media"], F.lit("")), F.lit("\t"), F.coalesce(item["caption"], F.lit("")), F.lit("\x1e"))
+    whole = F.array_join(F.transform(items, told), "")
+    return [F.size(items).cast("long").alias("n_items"), F.sha2(F.encode(whole, "UTF-8"), 256).alias("items_sha256")]
+
+
 # ---- payloads as pictures ----
 
 
@@ -289,6 +299,8 @@ def document_pages(docs: DataFrame) -> DataFrame:
 def document_media(docs: DataFrame) -> DataFrame:
     """A row per document with what was computed from its stored picture: ``doc_id, n_bytes``, position, caption and features.
 
+    ``n_items`` and ``items_sha256`` are of the whole sequence that its page gave, texts included.
+
     Equal texts share one stored picture, so all their values agree. A null text is an empty one, whose payload is one row
     of spaces; repeated rows come back as often as they came; null ids are kept; other columns play no part. No rows
     in, no rows out.
@@ -297,5 +309,6 @@ def document_media(docs: DataFrame) -> DataFrame:
     payloads = docs.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
     store = store_media(payloads)
     keep = ("doc_id", "n_bytes")
-    found = references(parse(document_pages(docs), keep=keep), keep)
+    parsed = parse(document_pages(docs), keep=keep).select(*keep, "items", *described("items"))
+    found = references(parsed, (*keep, "n_items", "items_sha256"))
     return resolve(found, media_features(store)).drop("digest", "media")

@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import random
+import struct
 import zlib
 
 import duckdb
@@ -41,12 +42,12 @@ def brute(text):
 
 
 def test_ledger(spark):
-    found = quality.judged(docs(spark, TEXTS)).collect()
+    found = quality.judged(quality.stored(docs(spark, TEXTS))).collect()
     rows = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in found]
     assert sorted(rows, key=str) == sorted(((i, *brute(t)) for i, t in TEXTS), key=str)
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in found)
     assert {r.doc_id for r in found if r.kept} == {8}
-    assert quality.judged(docs(spark, [])).collect() == []
+    assert quality.judged(quality.stored(docs(spark, []))).collect() == []
 
 
 def test_ledger_twin(spark):
@@ -56,7 +57,7 @@ def test_ledger_twin(spark):
     result = con.execute(quality.ORACLE)
     names = [c[0] for c in result.description]
     twin = sorted(map(str, result.fetchall()))
-    assert twin == sorted(str(tuple(r)) for r in quality.judged(docs(spark, TEXTS)).select(*names).collect())
+    assert twin == sorted(str(tuple(r)) for r in quality.judged(quality.stored(docs(spark, TEXTS))).select(*names).collect())
 
 
 def test_ablation(spark):
@@ -166,6 +167,54 @@ def test_pictures():
         sequences.to_picture(b"x")
 
 
+def decoded(picture):
+    """Samples of an RGB PNG, by the format's own rules."""
+    assert picture[:8] == b"\x89PNG\r\n\x1a\n"
+    at, data, header = 8, b"", None
+    while at < len(picture):
+        size, kind = struct.unpack(">I4s", picture[at : at + 8])
+        body = picture[at + 8 : at + 8 + size]
+        assert zlib.crc32(kind + body) == struct.unpack(">I", picture[at + 8 + size : at + 12 + size])[0]
+        header = struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else header
+        data += body if kind == b"IDAT" else b""
+        at += 12 + size
+    width, height, depth, colour, _, _, interlaced = header
+    assert (depth, colour, interlaced) == (8, 2, 0)
+    width *= 3
+    raw, rows, before = zlib.decompress(data), [], bytes(width)
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for x in range(width):
+            left, up, corner = (line[x - 3] if x > 2 else 0), before[x], (before[x - 3] if x > 2 else 0)
+            guess = left + up - corner
+            paeth = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
+            line[x] = (line[x] + (0, left, up, (left + up) // 2, paeth)[kind]) & 255
+        rows.append(bytes(line))
+        before = rows[-1]
+    return b"".join(rows)
+
+
+def test_ablation_equals_its_twin(spark):
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", TEXTS)
+    result = con.execute(quality.ABLATION_ORACLE)
+    names = [column[0] for column in result.description]
+    found = quality.ablation(quality.stored(docs(spark, TEXTS))).select(*names).collect()
+    assert sorted(map(tuple, found)) == sorted(result.fetchall())
+
+
+def test_one_row_an_id_leaves_the_executors(spark, monkeypatch):
+    """An id that holds most of the table sends one row, and the model does not depend on the order of the rows."""
+    table = [(3, f"mean words number {i}") for i in range(2000)] + [(i, "kind words" if i % 2 else "vile words") for i in range(4, 60)]
+    labels = spark.createDataFrame([(i, 0, 1 - i % 2) for i in range(3, 60)], "doc_id long, quality int, toxic int")
+    sent, fit = [], toxicity.fit_arrays
+    monkeypatch.setattr(toxicity, "fit_arrays", lambda flat, lengths, *rest, **more: (sent.append(len(lengths)), fit(flat, lengths, *rest, **more))[1])
+    one = toxicity.train(docs(spark, table), labels)
+    other = toxicity.train(docs(spark, table[::-1]).repartition(5), labels)
+    assert one == other and sent[0] == sent[1] <= 57
+
+
 def test_documents(spark):
     texts = TEXTS + [(20, "a <b> & c &amp; </p><img src=x>"), (21, "y" * 192), (22, "y" * 192)]
     found = sequences.document_media(docs(spark, texts)).collect()
@@ -176,8 +225,17 @@ def test_documents(spark):
         rows.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), binascii.crc32(payload[-16:]), sequences.feature_of(payload)))
     assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in found), key=str) == sorted(rows, key=str)
     assert {(r.doc_id, r.caption) for r in found} == {(i, "text of the page") for i, _ in texts}
-    pictures = {r.payload_sha256: sequences.to_picture for r in found}
-    assert len({r.media_sha256 for r in found}) == len(pictures)
+    whole = {i: (t or "") for i, t in texts}
+    store = {r.digest: r.media for r in sequences.store_media(docs(spark, texts).select(sequences.F.sha2(sequences.padded(sequences.F.col("text")), 256).alias("digest"), sequences.padded(sequences.F.col("text")).alias("payload"))).collect()}
+    for r in found:
+        picture = bytes(store[r.payload_sha256])
+        assert (r.media_bytes, r.media_sha256) == (len(picture), hashlib.sha256(picture).hexdigest())
+        assert hashlib.sha256(decoded(picture)).hexdigest() == r.payload_sha256
+        # The text of the page comes back without the white space around it, then the picture with its caption.
+        shown = whole[r.doc_id].strip()
+        items = ([("text", shown, "")] if shown else []) + [("media", "sha256:" + r.payload_sha256, "text of the page")]
+        told = "".join(f"{kind}\t{content}\t{caption}\x1e" for kind, content, caption in items)
+        assert (r.n_items, r.items_sha256) == (len(items), hashlib.sha256(told.encode()).hexdigest())
     assert sequences.document_media(docs(spark, [])).collect() == []
 
 
