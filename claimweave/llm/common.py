@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import zstandard
@@ -64,6 +66,14 @@ def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[dict]], sche
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system: a worker lives on, idle or in other stages, with all it keeps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def record_batch(columns: dict, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[name]) if not isinstance(columns[name], pa.Array) else columns[name] for name in names], names)
 
@@ -89,4 +99,4 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-__all__ = ["HELD_BYTES", "NO_ID", "expand", "mapped", "ready", "record_batch", "settle", "small_batches", "squeeze", "table", "text_bytes"]
+__all__ = ["HELD_BYTES", "NO_ID", "expand", "mapped", "ready", "record_batch", "release_memory", "settle", "small_batches", "squeeze", "table", "text_bytes"]

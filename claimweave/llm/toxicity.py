@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import mapped
+from claimweave.llm.common import mapped, release_memory
 
 #: Labelled rows that a fit reads at most; chosen by a hash of the id among all rows that may be learned from.
 SAMPLE_ROWS = 12_000
@@ -68,6 +68,7 @@ _memory = Memory()
 def forget() -> None:
     """Drop what a task remembered, so that an idle worker holds nothing of it."""
     _memory.clear()
+    release_memory()
 
 
 def features(text: str) -> set[int]:
@@ -177,25 +178,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pe
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     )
     # At most ``sample_rows`` narrow rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(known), "doc_id")
 
     def step(batch: pa.RecordBatch) -> Iterable[dict]:
         texts = [text.as_py() or "" for text in batch["text"]]
         yield {
             "doc_id": batch["doc_id"],
             "toxic": batch["toxic"],
+            "hash": batch["hash"],
             "slots": pa.array([sorted(features(text)) for text in texts], pa.list_(pa.int32())),
             "others": pa.array([[sorted(other) for other in counterfactuals(text)] for text in texts], pa.list_(pa.list_(pa.int32()))),
         }
 
-    found = mapped(rows, step, "doc_id long, toxic int, slots array<int>, others array<array<int>>").toArrow()
-    ids = found["doc_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    new = np.ones(len(order), bool)
-    new[1:] = ids[order][1:] != ids[order][:-1]
-    once = order[new]  # repeated rows of one id count once
-    rows = found.take(pa.array(once)).combine_chunks()
-    del found
+    found = mapped(rows, step, "doc_id long, toxic int, hash long, slots array<int>, others array<array<int>>", forget)
+    # Repeated rows of one id count once, and of different texts that with the smallest hash: one row an id leaves the executors.
+    once = found.groupBy("doc_id").agg(F.min(F.struct("hash", "toxic", "slots", "others")).alias("row"))
+    rows = once.select("doc_id", "row.toxic", "row.slots", "row.others").toArrow().sort_by("doc_id").combine_chunks()
     slots, others = (rows[name].combine_chunks() for name in ("slots", "others"))
     lengths = np.diff(slots.offsets.to_numpy())
     swapped = []
