@@ -5,6 +5,7 @@ import random
 import pytest
 
 from claimweave.llm import near, simhash
+from claimweave.llm.common import ready
 
 from .test_tables import docs
 
@@ -44,10 +45,10 @@ def test_shingles():
     assert (near.shingles(b"A b C d e f") == near.shingles(b" a B c\nd e f")).all()
 
 
-@pytest.mark.parametrize("crowd", [2, 16])
-def test_near_copies_by_similarity(spark, crowd):
+@pytest.mark.parametrize(("crowd", "rounds"), [(2, 1), (16, 3)])
+def test_near_copies_by_similarity(spark, crowd, rounds):
     texts = planted()
-    kept = near.representatives(docs(spark, texts).repartition(3), crowd).collect()
+    kept = near.representatives(docs(spark, texts).repartition(3), crowd, rounds).collect()
     left = [(r.doc_id, r.text) for r in kept]
     assert len(left) == len(set(left))
     assert not [(a, b) for i, (a, x) in enumerate(left) for b, y in left[:i] if brute_jaccard(x, y) >= 0.8]
@@ -76,3 +77,66 @@ def test_stage_drops_near_copies_beyond_three_bits(spark):
     assert len(far) > 10
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()}
     assert not [pair for pair in far if kept.issuperset(pair)]
+
+
+def words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def crowd_of(kind, n):
+    rng = random.Random(8)
+    base = words(rng, 165)
+    if kind == "passage":  # 140 words that all share and 25 of their own: below the similarity
+        return [(i, " ".join(base[:70] + words(rng, 25) + base[70:140])) for i in range(n)]
+    out = []
+    for i in range(n):  # near copies of one text
+        copy = list(base)
+        for _ in range(2):
+            copy[rng.randrange(165)] = words(rng, 1)[0]
+        out.append((i, " ".join(copy)))
+    return out
+
+
+@pytest.mark.parametrize(("kind", "n"), [("passage", 400), ("copies", 300)])
+def test_crowds_list_few_pairs(spark, monkeypatch, kind, n):
+    listed = []
+
+    def counted(df, name, settle=near.settle):
+        out = settle(df, name)
+        if name == "near-pairs":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "settle", counted)
+    texts = crowd_of(kind, n)
+    left = near.representatives(docs(spark, texts).repartition(4)).count()
+    assert sum(listed) <= 50 * n
+    assert left == n if kind == "passage" else left <= 3
+
+
+def test_rarest_shingles_lose_no_pair(spark):
+    """All pairs of the similarity among random sets with common parts, whatever else is listed."""
+    rng = random.Random(9)
+    parts = [words(rng, rng.randint(10, 60)) for _ in range(6)]
+    texts = []
+    for i in range(70):
+        body = [w for part in rng.sample(parts, rng.randint(2, 5)) for w in part]
+        for _ in range(rng.randint(0, 3)):
+            body[rng.randrange(len(body))] = words(rng, 1)[0]
+        texts.append((i, " ".join(body + words(rng, rng.randint(0, 4)))))
+    frame = docs(spark, texts)
+    keyed = near._keyed(frame, ("doc_id", "text"), signed=False).dropDuplicates(["key"])
+    ids = {r.key: r.c0 for r in keyed.collect()}
+    packed = spark.createDataFrame([(r.key, near.squeeze(r.c1.encode())) for r in keyed.collect()], "key long, packed binary")
+    listed = {frozenset((ids[r.u], ids[r.v])) for r in near.rare_pairs(packed).collect()}
+    wanted = {frozenset((a, b)) for a, x in texts for b, y in texts if a < b and a in ids.values() and b in ids.values() and brute_jaccard(x, y) >= 0.8}
+    assert len(wanted) > 10 and wanted <= listed
+
+
+def test_clashing_names(spark):
+    names = ["key", "_utf8", "utf8", "c0", "n", "sig", "first_id", "packed", "u"]
+    rows = [(i, t, *names) for i, t in planted()[:8]] + [(None, "x y", *names), (None, "x y", *names)]
+    frame = ready(spark).createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = near.representatives(frame)
+    assert kept.columns == frame.columns
+    assert all([row[name] for name in names] == names for row in kept.collect()) and kept.where("doc_id is null").count() == 1
