@@ -5,8 +5,12 @@ probability ``sigmoid(utility of the better - utility of the worse)``; the weigh
 pairs, on the differences of their measurements. Only differences count, so utilities have no natural zero: documents are kept
 from a quantile of the utilities on. Scores are utilities moved so that this quantile lies at ``THRESHOLD``.
 
-Measurements see nothing but the text. Preferences come from a table of pairs, or from labels: every sampled document that is
+Measurements see nothing but the text. Preferences come from a table of pairs, or from labels: every document that is
 labelled 1 is preferred to a few that are labelled 0, and the reverse.
+
+All labelled documents that may be learned from are read. Their measurements are dealt into *blocks* of bounded size by a hash of
+the id, and partners are drawn inside a block; where one label is rare, its rows are partners in several blocks. A block is a row
+of a written table, so each Newton step, and each digit of a quantile, is a sum over the blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import mapped
+from claimweave.llm.common import mapped, settle, small_batches
 
-#: Labelled rows of each label that a fit reads at most; chosen by a hash of the id among all rows that may be learned from.
+#: Pairs that a fit on a table of preferences reads at most; chosen by a hash of both ids.
 SAMPLE_ROWS = 6_000
-#: Preference pairs in which a sampled document of the rarer and of the more frequent label takes part on its own account.
+#: Labelled rows in a block on average, and rows of the rarer label that a block has at least, if there are so many.
+BLOCK_ROWS = 4_096
+BLOCK_PARTNERS = 64
+#: Groups that sums over blocks are gathered in.
+PARTS = 16
+#: Preference pairs in which a document of the rarer and of the more frequent label takes part on its own account.
 PARTNERS = 8
 #: The score at the quantile from which on documents are kept.
 THRESHOLD = 0.7
@@ -146,6 +155,25 @@ def constant() -> Model:
     return Model(np.zeros(size), np.ones(size), np.zeros(2 * size))
 
 
+def newton(size: int, sums: Callable[[np.ndarray], tuple[int, np.ndarray, np.ndarray]], ridge: float, steps: int) -> np.ndarray:
+    """Weights that minimise the mean logistic loss plus ``ridge`` times their squares, from ``pair_sums`` at given weights."""
+    weights = np.zeros(size)
+    for _ in range(steps):
+        pairs, slope, curve = sums(weights)
+        gradient = slope / pairs + 2 * ridge * weights
+        step = np.linalg.solve(curve / pairs + 2 * ridge * np.eye(size), gradient)
+        weights -= step * min(1.0, 4.0 / max(1e-12, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-8:
+            break
+    return weights
+
+
+def pair_sums(difference: np.ndarray, weights: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of pairs, and the sums of the loss's first and second derivatives over their differences."""
+    chance = 1 / (1 + np.exp(np.clip(difference @ weights, -50, 50)))  # of the wrong order
+    return len(difference), -difference.T @ chance, (difference * (chance * (1 - chance))[:, None]).T @ difference
+
+
 def fit(rows: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> Model:
     """Weights for measurements ``rows`` under the preferences ``rows[better[k]]`` over ``rows[worse[k]]``.
 
@@ -158,17 +186,8 @@ def fit(rows: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float =
     spread = rows.std(axis=0)
     spread[spread < 1e-9] = 1.0
     spaced = expanded((rows - middle) / spread)
-    weights = np.zeros(spaced.shape[1])
     difference = spaced[better] - spaced[worse]
-    for _ in range(steps):
-        chance = 1 / (1 + np.exp(np.clip(difference @ weights, -50, 50)))  # of the wrong order
-        gradient = -difference.T @ chance / len(difference) + 2 * ridge * weights
-        curve = (difference * (chance * (1 - chance))[:, None]).T @ difference / len(difference)
-        step = np.linalg.solve(curve + 2 * ridge * np.eye(len(weights)), gradient)
-        weights -= step * min(1.0, 4.0 / max(1e-12, float(np.abs(step).max())))
-        if np.abs(step).max() < 1e-8:
-            break
-    return Model(middle, spread, weights)
+    return Model(middle, spread, newton(spaced.shape[1], lambda weights: pair_sums(difference, weights), ridge, steps))
 
 
 def quantile_cut(utilities: np.ndarray, weights: np.ndarray, share: float) -> float:
@@ -203,11 +222,11 @@ def _once(rows: DataFrame, *more: str) -> pa.Table:
     return rows.groupBy("doc_id", *more).agg(F.min("measures").alias("measures")).toArrow().sort_by("doc_id")
 
 
-def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """Measurements and labels of at most ``sample_rows`` rows a label, and how many rows each label has in all.
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, quality, measures`` of every labelled document that may be learned from, written once.
 
     Rows of the held-out quarter, null labels, and ids with several labels are left out. Several documents of one id
-    count as one.
+    count as one, the one with the smallest measurements.
     """
     known = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -216,41 +235,136 @@ def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
         .where((F.col("quality") == F.col("_most")) & F.col("quality").isin(0, 1))
         .select("doc_id", F.col("quality").cast("int").alias("quality"))
     )
-    sizes = {row["quality"]: row["count"] for row in known.groupBy("quality").count().collect()}  # two rows at most
-    chosen = None
-    for label in (0, 1):
-        part = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # At most twice ``sample_rows`` narrow rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = _once(measured(rows, ("doc_id", "quality")), "quality")
-    values = np.array(found["measures"].to_pylist(), float).reshape(-1, len(MEASURES))
-    return values, found["quality"].to_numpy(), sizes
-
-
-def preferences(labels: np.ndarray, partners: int = PARTNERS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (better, worse) of rows with different labels; each row meets ``partners`` drawn ones of the other label."""
+    # Measured before the join, so that measurements are moved and not texts.
+    rows = measured(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), ("doc_id",))
+    return settle(rows.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("measures").alias("measures")), "labelled-measures")
+
+
+def dealt(rows: DataFrame, sizes: dict[int, int], block_rows: int = BLOCK_ROWS, block_partners: int = BLOCK_PARTNERS) -> DataFrame:
+    """``block, marks, own, data`` of labelled rows: a written row a block, measurements packed.
+
+    Every row has one block of its own, by a hash of its id. Rows of the rarer label also lie, as partners only, in as many more
+    blocks as it takes that a block has ``block_partners`` of them, or all there are.
+    """
+    blocks = max(1, math.ceil(sum(sizes.values()) / block_rows))
+    rarer = min(sizes, key=lambda label: (sizes[label], label))
+    copies = min(blocks, math.ceil(block_partners * blocks / sizes[rarer]))
+    last = F.when(F.col("quality") == rarer, copies - 1).otherwise(0)
+    placed = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), last))).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id") + F.col("turn"), F.lit(blocks)).cast("int")
+    )
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("turn", "ascending")])
+        data = np.array([row.values.to_numpy() for row in table["measures"]], "<f8").tobytes()
+        own = np.equal(table["turn"].to_numpy(), 0).tolist()
+        columns = {"block": pa.array([table["block"][0].as_py()], pa.int32()), "marks": pa.array([table["quality"].to_pylist()], pa.list_(pa.int32()))}
+        return pa.table(columns | {"own": pa.array([own], pa.list_(pa.bool_())), "data": pa.array([data], pa.binary())})
+
+    schema = "block int, marks array<int>, own array<boolean>, data binary"
+    return settle(placed.groupBy("block").applyInArrow(pack, schema), "preference-blocks")
+
+
+#: Sums over a block, from its measurements, labels, which rows are its own, and its number.
+Step = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+
+
+def summed(blocks: DataFrame, step: Step) -> np.ndarray:
+    """The sum of ``step`` over all blocks, added in the order of their numbers."""
+
+    def each(batch: pa.RecordBatch) -> Iterable[dict]:
+        for block, marks, own, data in zip(batch["block"].to_pylist(), batch["marks"], batch["own"], batch["data"]):
+            rows = np.frombuffer(data.as_py(), "<f8").reshape(-1, len(MEASURES))
+            found = step(rows, marks.values.to_numpy(), np.array(own.as_py(), bool), block)
+            yield {"block": pa.array([block], pa.int32()), "sums": pa.array([found], pa.list_(pa.float64()))}
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        total = np.add.reduce([row.values.to_numpy() for row in table["sums"]])
+        return pa.table({"part": pa.array([table["block"][0].as_py() % PARTS], pa.int32()), "sums": pa.array([total], pa.list_(pa.float64()))})
+
+    with small_batches(blocks.sparkSession, 1):  # a row is large here
+        parts = mapped(blocks, each, "block int, sums array<double>").groupBy((F.col("block") % PARTS).alias("part"))
+        found = parts.applyInArrow(add, "part int, sums array<double>").toArrow().sort_by("part")
+    return np.add.reduce([row.values.to_numpy() for row in found["sums"]])
+
+
+def sortable(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles; both zeros are one."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def unsortable(keys: np.ndarray) -> np.ndarray:
+    return np.where(keys >> np.uint64(63) == 1, keys & np.uint64((1 << 63) - 1), ~keys).view(np.float64)
+
+
+def order_values(blocks: DataFrame, columns: Callable[[np.ndarray], np.ndarray], ranks: np.ndarray) -> np.ndarray:
+    """The value at ``ranks[k]`` (from 0, ascending) of column k of ``columns(rows)`` over the own rows of all blocks.
+
+    Exact: each pass over the blocks counts one more byte of the values that agree with what is known so far.
+    """
+    found, left = np.zeros(len(ranks), np.uint64), np.array(ranks, np.int64)
+    for shift in range(56, -1, -8):
+
+        def digits(rows, marks, own, block, shift=shift, found=found.copy()):
+            keys = sortable(np.ascontiguousarray(columns(rows[own])))
+            same = (keys >> np.uint64(shift) >> np.uint64(8)) == found if shift < 56 else np.ones(keys.shape, bool)
+            digit = (keys >> np.uint64(shift) & np.uint64(255)).astype(np.int64)
+            return np.concatenate([np.bincount(digit[same[:, k], k], minlength=256) for k in range(len(found))]).astype(float)
+
+        counts = summed(blocks, digits).reshape(len(ranks), 256).astype(np.int64)
+        reached = np.cumsum(counts, axis=1)
+        digit = (reached <= left[:, None]).sum(axis=1)
+        left -= np.where(digit > 0, reached[np.arange(len(ranks)), np.maximum(digit - 1, 0)], 0)
+        found = found << np.uint64(8) | digit.astype(np.uint64)
+    return unsortable(found)
+
+
+def preferences(labels: np.ndarray, partners: int = PARTNERS, seed: int | list[int] = 42, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (better, worse) of rows with different labels; each row, or each ``own`` one, meets ``partners`` drawn ones of the other label."""
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     if not len(good) or not len(bad):
         return np.empty(0, int), np.empty(0, int)
+    own_good, own_bad = (good, bad) if own is None else (good[own[good]], bad[own[bad]])
     draw = np.random.default_rng(seed)
-    better = np.concatenate([np.repeat(good, partners), good[draw.integers(0, len(good), partners * len(bad))]])
-    worse = np.concatenate([bad[draw.integers(0, len(bad), partners * len(good))], np.repeat(bad, partners)])
+    better = np.concatenate([np.repeat(own_good, partners), good[draw.integers(0, len(good), partners * len(own_bad))]])
+    worse = np.concatenate([bad[draw.integers(0, len(bad), partners * len(own_good))], np.repeat(own_bad, partners)])
     return better, worse
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from the labelled documents outside the held-out quarter.
+def train(docs: DataFrame, labels: DataFrame, ridge: float = 1e-3, steps: int = 60, block_rows: int = BLOCK_ROWS) -> Model:
+    """A model from all labelled documents outside the held-out quarter.
 
-    The cut is the quantile of the sampled utilities, each weighted by the labelled rows it stands for, at the share of label 0
-    among all of these rows. With labels of one kind only, or none, the model is constant.
+    The cut is the quantile of their utilities at the share of label 0 among them: the middle between the two utilities on its
+    sides. With labels of one kind only, or none, the model is constant.
     """
-    rows, marks, sizes = sample(docs, labels, sample_rows)
-    better, worse = preferences(marks)
-    model = fit(rows, better, worse)
-    if len(better):
-        stands_for = np.array([sizes[mark] / max(1, int((marks == mark).sum())) for mark in marks.tolist()])
-        model.cut = quantile_cut(model.utilities(rows), stands_for, sizes[0] / (sizes[0] + sizes[1]))
+    rows = labelled(docs, labels)
+    sizes = {row["quality"]: row["count"] for row in rows.groupBy("quality").count().collect()}  # two rows at most
+    if len(sizes) < 2:
+        return constant()
+    blocks, n = dealt(rows, sizes, block_rows), sum(sizes.values())
+    size = len(MEASURES)
+
+    middles = order_values(blocks, lambda values: np.tile(values, 2), np.repeat([(n - 1) // 2, n // 2], size))
+    middle = (middles[:size] + middles[size:]) / 2
+    moments = summed(blocks, lambda values, marks, own, block: np.concatenate([(values[own] - middle).sum(axis=0), ((values[own] - middle) ** 2).sum(axis=0)])) / n
+    spread = np.sqrt(np.maximum(0.0, moments[size:] - moments[:size] ** 2))
+    spread[spread < 1e-9] = 1.0
+
+    def sums(weights: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        def step(values, marks, own, block):
+            spaced = expanded((values - middle) / spread)
+            better, worse = preferences(marks, seed=[42, block], own=own)
+            pairs, slope, curve = pair_sums(spaced[better] - spaced[worse], weights)
+            return np.concatenate([[pairs], slope, curve.ravel()])
+
+        found = summed(blocks, step)
+        return int(found[0]), found[1 : 2 * size + 1], found[2 * size + 1 :].reshape(2 * size, 2 * size)
+
+    model = Model(middle, spread, newton(2 * size, sums, ridge, steps))
+    below, above = order_values(blocks, lambda values: np.repeat(model.utilities(values)[:, None], 2, axis=1), np.array([sizes[0] - 1, sizes[0]]))
+    model.cut = float((below + above) / 2)
     return model
 
 

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from claimweave.llm import queries, ranking
 from claimweave.llm.common import ready
@@ -116,3 +117,37 @@ def test_pairs(spark):
     found = ranking.scored(docs, ranking.train_on_pairs(docs, given, 0.5)).collect()
     assert all(r.predicted == (r.doc_id % 4 < 2) for r in found)
     assert {r.predicted for r in ranking.scored(docs, ranking.train_on_pairs(docs, given.limit(0), 0.5)).collect()} <= {0, 1}
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    ready(spark)
+    draw = np.random.default_rng(4)
+    marks = {i: int(draw.random() < 0.9) for i in range(600)}
+    texts = ["A plain sentence of words, and one more. " * int(draw.integers(1, 9)) + ("&& | " * int(draw.integers(0, 6)) if not marks[i] else "") for i in marks]
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "doc_id long, text string")
+    rows = ranking.labelled(docs, spark.createDataFrame(list(marks.items()), "doc_id long, quality int"))
+    taken = [i for i in marks if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(r.doc_id for r in rows.collect()) == taken
+    sizes = {label: sum(marks[i] == label for i in taken) for label in (0, 1)}
+    blocks = ranking.dealt(rows, sizes, block_rows=40, block_partners=30)
+    held = blocks.collect()
+    assert len(held) == math.ceil(len(taken) / 40)
+    assert sum(sum(r.own) for r in held) == len(taken)
+    assert min(r.marks.count(0) for r in held) >= 10 and max(len(r.marks) for r in held) < 140
+    # Sums and order statistics are those of all rows.
+    values = np.array([ranking.measures(texts[i]) for i in taken])
+    total = ranking.summed(blocks, lambda rows, marks, own, block: rows[own].sum(axis=0))
+    assert total == pytest.approx(values.sum(axis=0))
+    ranks = np.arange(len(ranking.MEASURES)) * 7
+    assert (ranking.order_values(blocks, lambda rows: rows - 1.5, ranks) == (np.sort(values - 1.5, axis=0)[ranks, np.arange(len(ranks))])).all()
+
+
+def test_rows_beyond_the_first_thousands_count(spark):
+    ready(spark)
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some plain words "), F.repeat(F.lit("more "), (F.col("id") % 97).cast("int"))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 97 >= 30).cast("int").alias("quality"))
+    learned = ranking.labelled(docs, labels)
+    assert learned.count() == labels.where(~ranking.held_out(F.col("doc_id"))).count() > 12_000
+    model = ranking.train(docs, labels)
+    wrong = ranking.scored(docs, model).join(labels, "doc_id").where("predicted <> quality").count()
+    assert wrong < 200
