@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm import blocks
-from claimweave.llm.common import expand, mapped, release_memory, settle, small_batches, squeeze, text_bytes
+from claimweave.llm.common import chosen_rows, expand, mapped, release_memory, settle, small_batches, squeeze, text_bytes
 from claimweave.llm.components import connected
 
 WORDS = 5
@@ -210,32 +210,27 @@ def _thinned(classes: DataFrame, links: DataFrame) -> DataFrame:
     return settle(classes.join(stay, "key", "left_semi"), "thinned-classes")
 
 
-def representatives(docs: DataFrame, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
+def representatives(docs: DataFrame, crowd: int = CROWD, rounds: int = ROUNDS, among: DataFrame | None = None) -> DataFrame:
     """The documents that stay, with all their columns, whatever these are called: one of each group of near copies.
 
     It is the one with the smallest id. Groups come from verified pairs, directly or through others. Rows that share this id
     and their shingles count once; a group without ids keeps one row. Null and empty texts, and texts without words, are copies
     of each other; a text of fewer than five words is one shingle, and a very long one is read whole. No rows in, no rows out.
+
+    With ``among(wanted_id, wanted_hash, copies)`` only rows with these ids and hashes of the text take part.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     with small_batches(docs.sparkSession, BATCH):
-        own = settle(_keyed(rows, ("doc_id", "hash"), signed=True), "shingle-keys")
+        own = _keyed(rows, ("doc_id", "hash"), signed=True)
+        if among is not None:
+            own = own.join(among, own["c0"].eqNullSafe(among["wanted_id"]) & (own["c1"] == among["wanted_hash"]), "left_semi")
+        own = settle(own, "shingle-keys")
         classes = settle(_kept(docs, own, crowd, rounds), "kept-classes")
-    # Rows are found again by id and hash, so that texts are neither read by Python workers again nor moved twice.
     same = own["c0"].eqNullSafe(classes["first_id"]) & (own["key"] == classes["key"])
     kept = own.join(classes, same, "left_semi").groupBy("c0", "key", "c1").agg(F.count(F.lit(1)).alias("copies"))
     one = kept.groupBy("c0", "key").agg(F.min(F.struct("c1", "copies")).alias("row"))
     wanted = settle(one.select(F.col("c0").alias("wanted_id"), F.col("row.c1").alias("wanted_hash"), "row.copies"), "kept-rows")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    id_, text = (f"c{docs.columns.index(name)}" for name in ("doc_id", "text"))
-    every = docs.toDF(*names)
-
-    def found(which: DataFrame) -> DataFrame:
-        return every.join(which, F.col(id_).eqNullSafe(F.col("wanted_id")) & (F.xxhash64(text) == F.col("wanted_hash")), "left_semi")
-
-    single = found(wanted.where("copies = 1"))
-    several = found(wanted.where("copies > 1")).dropDuplicates([id_, text])
-    return single.unionByName(several).toDF(*docs.columns)
+    return chosen_rows(docs, wanted)
 
 
 def _kept(docs: DataFrame, own: DataFrame, crowd: int, rounds: int) -> DataFrame:

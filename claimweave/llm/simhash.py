@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import mapped, settle, text_bytes
+from claimweave.llm.common import chosen_rows, mapped, settle, text_bytes
 from claimweave.llm.components import connected
 
 SEED = 42
@@ -133,14 +133,8 @@ def candidates(grouped: DataFrame, crowd: int = CROWD) -> DataFrame:
     return met.select("fp", "group", "fp2", "group2")
 
 
-def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """``doc_id, fp, fingerprint, component_id``: fingerprints within three bits link, directly or through others.
-
-    ``component_id`` is the smallest id reachable, the document's own included. Texts without words have fingerprint zero and
-    link like any other. Repeated rows come back as often as they came; a null id counts as no id, so ``component_id`` is
-    null where a group has none. Other columns play no part. No rows in, no rows out.
-    """
-    own = settle(fingerprints(docs), "fingerprints")
+def _classes(own: DataFrame, crowd: int) -> DataFrame:
+    """``fp, component, component_id`` of the fingerprints in ``own(doc_id, fp)``: the group and its smallest id."""
     first = settle(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     early, between = links(first.select("fp"), crowd)
     late = connected(between).withColumnsRenamed({"node": "group", "root": "component"})
@@ -151,15 +145,35 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         .select("fp", "first_id", F.coalesce("component", "group").alias("component"))
     )
     smallest = roots.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = roots.join(smallest, "component").select("fp", "component_id")
+    return roots.join(smallest, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``doc_id, fp, fingerprint, component_id``: fingerprints within three bits link, directly or through others.
+
+    ``component_id`` is the smallest id reachable, the document's own included. Texts without words have fingerprint zero and
+    link like any other. Repeated rows come back as often as they came; a null id counts as no id, so ``component_id`` is
+    null where a group has none. Other columns play no part. No rows in, no rows out.
+    """
+    own = settle(fingerprints(docs), "fingerprints")
+    classes = _classes(own, crowd).select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """The documents that stay, with their columns: of each group the one whose id is the group's.
+def kept_rows(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``wanted_id, wanted_hash, copies``: id and hash of the text of the one row of each group that stays, and how often it comes.
 
-    Rows that share this id count once; a group without ids keeps one row.
+    It is the one with the smallest id, of several texts of this id the one with the smallest hash; a group without ids
+    keeps one row as well.
     """
-    keep = near_duplicates(docs, crowd).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    rows = fingerprints(docs, tuple(docs.columns))
-    return rows.join(keep, [rows["doc_id"].eqNullSafe(keep["doc_id"]), rows["fp"] == keep["fp"]], "left_semi").dropDuplicates(["doc_id", "fp"]).drop("fp")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    own = settle(fingerprints(rows, ("doc_id", "hash")), "fingerprints")
+    held = own.join(_classes(own, crowd), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = held.groupBy("component", "doc_id", "hash").agg(F.count(F.lit(1)).alias("copies"))
+    one = counted.groupBy("component").agg(F.min(F.struct("hash", "copies", "doc_id")).alias("row"))
+    return settle(one.select(F.col("row.doc_id").alias("wanted_id"), F.col("row.hash").alias("wanted_hash"), "row.copies"), "kept-fingerprints")
+
+
+def representatives(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """The documents that stay, with all their columns: of each group one row, that of ``kept_rows``."""
+    return chosen_rows(docs, kept_rows(docs, crowd))

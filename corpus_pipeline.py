@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import bpe, mixing, near, suffix, toxicity
+from claimweave.llm import bpe, mixing, near, simhash, suffix, toxicity
 from claimweave.llm.common import ready, settle, table
 from claimweave.llm.queries import vocabulary
 
@@ -22,10 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; documents without near copies stay.
 
-    Near copies have a Jaccard similarity of 0.8 and more on five-word shingles, directly or through others.
+    Near copies have SimHash fingerprints within three bits, found by multi-index hashing as in op4. Of what that leaves, texts
+    with a Jaccard similarity of 0.8 and more on five-word shingles are near copies as well. Both directly or through others.
     """
     ready(spark)
-    return near.representatives(docs.select(*COLUMNS))
+    rows = docs.select(*COLUMNS)
+    return near.representatives(rows, among=simhash.kept_rows(rows))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,3 +140,25 @@ def test_clashing_names(spark):
     kept = near.representatives(frame)
     assert kept.columns == frame.columns
     assert all([row[name] for name in names] == names for row in kept.collect()) and kept.where("doc_id is null").count() == 1
+
+
+def test_stage_groups_by_fingerprints_too(spark):
+    """Texts within three bits are one group though their shingles differ by more than the similarity allows."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    base = words(rng, 40)
+    found = None
+    for _ in range(20_000):  # few changed words seldom leave the fingerprint alone
+        copy = list(base)
+        for at in (9, 24):
+            copy[at] = words(rng, 1)[0]
+        one, other = " ".join(base), " ".join(copy)
+        if brute_jaccard(one, other) < 0.8 and (simhash.fingerprint(one.encode()) ^ simhash.fingerprint(other.encode())).bit_count() <= 3:
+            found = one, other
+            break
+    assert found
+    texts = [(7, found[0]), (4, found[1]), (4, found[1]), (9, " ".join(words(rng, 40))), (None, " ".join(words(rng, 40)))]
+    kept = corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted({*texts[2:]}, key=str)
+    assert sorted((r.doc_id for r in simhash.representatives(docs(spark, texts)).collect()), key=str) == [4, 9, None]
