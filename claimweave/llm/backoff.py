@@ -117,9 +117,11 @@ class Grams:
         """
         for n, found in enumerate(totals, 1):
             count = np.zeros(len(self.asks), np.uint64)
-            _, where = np.unique(self.keys[self.asks], return_inverse=True)
-            count[self.asks] = found[where]
-            del where
+            order, _, where = _ranked(self.keys[self.asks])
+            spread = np.empty(len(order), np.uint64)
+            spread[order] = found[where]
+            count[self.asks] = spread
+            del order, where, spread
             yield count
             often = count >= cutoff
             self.asks = self.place >= n
@@ -130,6 +132,15 @@ class Grams:
             self.keys = longer
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts the keys, where each different key begins in it, and which different key each place holds."""
+    order = np.argsort(keys)
+    opens = np.ones(len(keys), bool)
+    ranked = keys[order]
+    opens[1:] = ranked[1:] != ranked[:-1]
+    return order, np.flatnonzero(opens), np.cumsum(opens) - 1
+
+
 def _bucket_bounds(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash ranges that occur and where each begins in the sorted keys (with the end added)."""
     ranges = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -190,11 +201,12 @@ def _totals(entries: pa.Table) -> pa.Table:
     """Counts over all packs of one hash range, for every pack in the order of its keys."""
     keys = [np.cumsum(_from_bytes(x.as_py()), dtype=np.uint64) for x in entries["keys"]]
     counts = [_from_bytes(x.as_py()) for x in entries["counts"]]
-    different, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(different), np.uint64)
-    np.add.at(total, where, np.concatenate(counts))
+    order, begins, where = _ranked(np.concatenate(keys))
+    total = np.add.reduceat(np.concatenate(counts)[order], begins)
+    spread = np.empty(len(order), np.uint64)
+    spread[order] = total[where]
     edges = np.cumsum([0] + [len(k) for k in keys])
-    answers = [_to_bytes(total[where[a:b]]) for a, b in zip(edges, edges[1:])]
+    answers = [_to_bytes(spread[a:b]) for a, b in zip(edges, edges[1:])]
     return pa.table({"pack": entries["pack"], "range": entries["range"], "totals": pa.array(answers, pa.binary())})
 
 

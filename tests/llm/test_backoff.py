@@ -1,6 +1,8 @@
 """The registered back-off query scores by histories of several words."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
 from claimweave.llm import backoff, queries
 
@@ -19,3 +21,20 @@ def test_registered_order(spark, tmp_path):
     con.executemany("insert into documents values (?, ?)", texts)
     assert sorted(((*r[:3], round(r[3], 4)) for r in con.execute(queries.oracle_sql()["op8_stupid_backoff"]).fetchall()), key=str) == expected
     assert backoff.ORDER == 5
+
+
+def test_totals_sum_equal_keys_of_all_packs():
+    draw = np.random.default_rng(6)
+    keys = [np.unique(draw.integers(0, 90, 60).astype(np.uint64) << np.uint64(57)) for _ in range(9)]
+    counts = [draw.integers(1, 5, len(k)).astype(np.uint64) for k in keys]
+    deltas = [backoff._to_bytes(np.diff(k, prepend=np.uint64(0))) for k in keys]
+    table = pa.table({"range": [3] * 9, "pack": list(range(9)), "keys": pa.array(deltas, pa.binary()), "counts": pa.array(list(map(backoff._to_bytes, counts)), pa.binary())})
+    wanted = {}
+    for k, c in zip(keys, counts):
+        for key, count in zip(k.tolist(), c.tolist()):
+            wanted[key] = wanted.get(key, 0) + count
+    for row, k in zip(backoff._totals(table)["totals"].to_pylist(), keys):
+        assert backoff._from_bytes(row).tolist() == [wanted[key] for key in k.tolist()]
+    order, begins, where = backoff._ranked(np.array([5, 2, 5, 9], np.uint64))
+    assert begins.tolist() == [0, 1, 3] and where.tolist() == [0, 1, 1, 2] and order[0] == 1
+    assert all(not len(part) for part in backoff._ranked(np.empty(0, np.uint64)))
