@@ -58,11 +58,15 @@ class Projection:
         return self.nodes.select("graph_id").distinct()
 
     @cached_property
-    def objects(self) -> DataFrame:
-        linked = project.linked_objects(
+    def object_rows(self) -> DataFrame:
+        """The objects as planned, for a reader that takes them once."""
+        return project.linked_objects(
             self.nodes, self.papers, self.node_objects, self.relation_objects, self.naming
         )
-        return self._keep(linked, "objects")
+
+    @cached_property
+    def objects(self) -> DataFrame:
+        return self._keep(self.object_rows, "objects")
 
     @cached_property
     def report(self) -> DataFrame:

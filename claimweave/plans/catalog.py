@@ -592,7 +592,7 @@ def build_documents(c: Corpus) -> DataFrame:
 
 def _triples(c: Corpus) -> conform.Triples:
     """Triples of the emitted objects and of some from elsewhere that break rules."""
-    emitted = c.projection.objects.unionByName(c.view("foreign_objects"), allowMissingColumns=True)
+    emitted = c.projection.object_rows.unionByName(c.view("foreign_objects"), allowMissingColumns=True)
     return conform.triples_of(emitted.select("graph_id", F.try_parse_json("obj_json").alias("obj")))
 
 

@@ -73,3 +73,14 @@ def test_folds_aggregate_positions_only(spark):
     }
     for name, df in plans.items():
         assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_triples_write_no_table_of_objects(spark, monkeypatch):
+    from claimweave.plans import build
+
+    names = []
+    real = build.settle
+    monkeypatch.setattr(build, "settle", lambda df, name: names.append(name) or real(df, name))
+    found = catalog.queries()["triple_counts"](spark, "/root/testdata/sf0.001")
+    assert "relation-objects" in names and "objects" not in names
+    assert found.count() > 0
