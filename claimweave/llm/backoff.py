@@ -9,7 +9,8 @@
 Steps 1 and 2 run once per length. A pack lists an n-gram only where both (n-1)-grams in it reach the cutoff; any other occurs
 less often than the cutoff itself, so no score needs its count.
 
-Entries travel as sorted columns of hashes, not as a row each.
+Entries travel as sorted columns of hashes, not as a row each. Words are hashed once: a pack holds the hashes of its different
+words and, for each word of its texts, which of them it is.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm import blocks
-from claimweave.llm.common import expand, settle, small_batches, squeeze, text_bytes
+from claimweave.llm.common import expand, release_memory, settle, small_batches, squeeze, text_bytes
 
 ORDER = 5
 #: Factor of each step to a shorter history.
@@ -34,7 +35,7 @@ CUTOFF = 2
 PACK_BYTES = 8 << 20
 _SLICE = 1 << 20
 
-PACK = "pack long, size long, n_words long, rows array<long>, lengths array<long>, packed binary"
+PACK = "pack long, size long, n_words long, rows array<long>, lengths array<long>, hashes binary, places binary"
 
 
 def _gathered(pack_bytes: int):
@@ -43,13 +44,19 @@ def _gathered(pack_bytes: int):
         count, held, ids, size = 0, [], [], 0
 
         def pack() -> pa.RecordBatch:
+            words, lengths = _hashed(held)
+            hashes, places, uses = np.unique(words, return_inverse=True, return_counts=True)
+            order = np.argsort(-uses, kind="stable")  # frequent words get small numbers, which take little room
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
             columns = {
                 "pack": [task << 32 | count],
                 "size": [size],
-                "n_words": [sum(map(_n_words, held))],
+                "n_words": [len(words)],
                 "rows": pa.array([ids], pa.list_(pa.int64())),
-                "lengths": pa.array([[len(x) for x in held]], pa.list_(pa.int64())),
-                "packed": pa.array([squeeze(b"".join(held))], pa.binary()),
+                "lengths": pa.array([lengths], pa.list_(pa.int64())),
+                "hashes": pa.array([_to_bytes(np.diff(hashes[order], prepend=np.uint64(0)))], pa.binary()),  # ascending for each number of uses
+                "places": pa.array([_to_bytes(number[places])], pa.binary()),
             }
             return pa.RecordBatch.from_pydict(columns)
 
@@ -64,64 +71,64 @@ def _gathered(pack_bytes: int):
                     count, held, ids, size = count + 1, [], [], 0
         if held:
             yield pack()
+        release_memory()
 
     return run
 
 
-def _n_words(data: bytes) -> int:
-    return data.count(b" ") + 1 if data else 0
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of texts one after the other, and how many words each text has; some texts at a time."""
+    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        group.append(text)
+        size += len(text)
+        if size >= _SLICE or i == len(texts) - 1:
+            h, c = _hash_texts(group)
+            hashes.append(h)
+            counts.append(c)
+            group, size = [], 0
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def _hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_hashed``, of texts whose words are joined by single spaces; they are hashed all at once."""
+    counts = np.array([text.count(b" ") + 1 if text else 0 for text in texts], np.int64)
+    joined = np.frombuffer(b" ".join(filter(None, texts)), np.uint8)
+    return blocks.word_hashes(joined, *blocks.word_starts(joined)), counts
 
 
 class Grams:
     """The word hashes of a pack, and n-gram hashes length by length: an entry per word, unset (0) near a text's begin."""
 
-    def __init__(self, packed: bytes, lengths: np.ndarray):
-        raw = np.frombuffer(expand(packed), np.uint8)
-        hashes, counts = [], []
-        begin = 0
-        group: list[int] = []
-        for i, length in enumerate(lengths.tolist()):
-            group.append(length)
-            if sum(group) >= _SLICE or i == len(lengths) - 1:
-                h, c = self._hash_texts(raw[begin : begin + sum(group)], group)
-                hashes.append(h)
-                counts.append(c)
-                begin += sum(group)
-                group = []
-        self.words = self.keys = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.n_words = np.concatenate(counts) if counts else np.empty(0, np.int64)
+    def __init__(self, hashes: bytes, places: bytes, n_words: np.ndarray):
+        self.hashes = np.cumsum(_from_bytes(hashes), dtype=np.uint64)
+        self.places = _from_bytes(places).astype(np.int64)
+        self.words = self.keys = self.hashes[self.places]
+        self.n_words = n_words
         first = np.cumsum(self.n_words) - self.n_words
         self.place = (np.arange(len(self.keys)) - np.repeat(first, self.n_words)).astype(np.int32)
         #: Where the current length is asked for.
         self.asks = np.ones(len(self.keys), bool)
 
-    @staticmethod
-    def _hash_texts(raw: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        found, counts, begin = [], [], 0
-        spaced = np.full(len(raw) + len(lengths), 32, np.uint8)  # a space after each text lets all be hashed at once
-        at = 0
-        for length in lengths:
-            spaced[at : at + length] = raw[begin : begin + length]
-            counts.append(int((raw[begin : begin + length] == 32).sum()) + 1 if length else 0)
-            begin, at = begin + length, at + length + 1
-        starts, ends = blocks.word_starts(spaced[:-1]) if len(spaced) > 1 else (np.empty(0, np.int64),) * 2
-        full = starts < ends  # texts without words leave empty ones
-        if len(starts):
-            found = blocks.word_hashes(spaced[:-1], starts, ends)[full]
-        return np.asarray(found, np.uint64), np.asarray(counts, np.int64)
-
     def counted(self, totals: Iterable[np.ndarray], cutoff: int) -> Iterator[np.ndarray]:
         """Counts over all packs, length by length as far as ``totals`` go; 0 where a length is not asked for.
 
         One length is held at a time: afterwards ``keys`` and ``asks`` are those of the next one.
         """
         for n, found in enumerate(totals, 1):
-            count = np.zeros(len(self.asks), np.uint64)
-            order, _, where = _ranked(self.keys[self.asks])
-            spread = np.empty(len(order), np.uint64)
-            spread[order] = found[where]
-            count[self.asks] = spread
-            del order, where, spread
+            if n == 1:
+                spread = np.empty(len(self.hashes), np.uint64)
+                spread[np.argsort(self.hashes)] = found
+                count = spread[self.places]
+                del spread
+            else:
+                count = np.zeros(len(self.asks), np.uint64)
+                order, _, where = _ranked(self.keys[self.asks])
+                spread = np.empty(len(order), np.uint64)
+                spread[order] = found[where]
+                count[self.asks] = spread
+                del order, where, spread
             yield count
             often = count >= cutoff
             self.asks = self.place >= n
@@ -149,12 +156,16 @@ def _bucket_bounds(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _to_bytes(values: np.ndarray) -> bytes:
-    """Compressed unsigned integers, byte plane by byte plane."""
-    return squeeze(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Compressed unsigned integers, byte plane by byte plane, as many as the largest needs; their number comes first."""
+    planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + squeeze(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes())
 
 
 def _from_bytes(data: bytes) -> np.ndarray:
-    return np.frombuffer(np.frombuffer(expand(data), np.uint8).reshape(8, -1).T.tobytes(), "<u8")
+    planes = np.frombuffer(expand(data[1:]), np.uint8).reshape(data[0], -1)
+    values = np.zeros((planes.shape[1], 8), np.uint8)
+    values[:, : len(planes)] = planes.T
+    return values.view("<u8").reshape(-1)
 
 
 ENTRIES = "range long, pack long, keys binary, counts binary"
@@ -173,8 +184,8 @@ def _entries(n: int, bits: int, cutoff: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack, lengths, packed, found in zip(batch["pack"], batch["lengths"], batch["packed"], batch["found"]):
-                grams = Grams(packed.as_py(), lengths.values.to_numpy())
+            for pack, lengths, hashes, places, found in zip(*(batch[name] for name in ("pack", "lengths", "hashes", "places", "found"))):
+                grams = Grams(hashes.as_py(), places.as_py(), lengths.values.to_numpy())
                 for _ in grams.counted(_by_order(found, n), cutoff):
                     pass
                 keys, counts = np.unique(grams.keys[grams.asks], return_counts=True)
@@ -216,8 +227,8 @@ SCORES = "doc_id long, n_words long, n_backed_off long, log_score double"
 def _scores(order: int, words: int, alpha: float, cutoff: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, lengths, packed, found in zip(batch["rows"], batch["lengths"], batch["packed"], batch["found"]):
-                grams = Grams(packed.as_py(), lengths.values.to_numpy())
+            for rows, lengths, hashes, places, found in zip(*(batch[name] for name in ("rows", "lengths", "hashes", "places", "found"))):
+                grams = Grams(hashes.as_py(), places.as_py(), lengths.values.to_numpy())
                 place, score, backed, before = grams.place, np.empty(0), np.empty(0, bool), None
                 for n, count in enumerate(grams.counted(_by_order(found, order), cutoff)):
                     if n == 0:
@@ -242,7 +253,7 @@ def _scores(order: int, words: int, alpha: float, cutoff: int):
 
 def _answered(packs: DataFrame, known: DataFrame | None) -> DataFrame:
     """The packs and ``found``, what is known of their n-grams."""
-    texts = packs.select("pack", "rows", "lengths", "packed")
+    texts = packs.select("pack", "rows", "lengths", "hashes", "places")
     if known is None:
         return texts.withColumn("found", F.lit(None).cast("array<struct<level: int, range: bigint, totals: binary>>"))
     return texts.join(known.groupBy("pack").agg(F.collect_list(F.struct("level", "range", "totals")).alias("found")), "pack", "left")
