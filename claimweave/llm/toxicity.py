@@ -103,15 +103,29 @@ def fit(rows: list[tuple[list[int], list[list[int]], int]], **options) -> Model:
     """Fit to ``(slots, slots of each counterfactual, label)`` rows; options as in ``fit_arrays``."""
     lengths = np.array([len(slots) for slots, _, _ in rows], np.int64)
     flat = np.fromiter((slot for slots, _, _ in rows for slot in slots), np.int32, int(lengths.sum()))
-    swapped = [(slots, other) for slots, others, _ in rows for other in others]
-    return fit_arrays(flat, lengths, np.array([label for *_, label in rows], float), swapped, **options)
+    changes = [difference(slots, other) for slots, others, _ in rows for other in others]
+    return fit_arrays(flat, lengths, np.array([label for *_, label in rows], float), changes, **options)
+
+
+def difference(slots: list[int], other: list[int]) -> list[tuple[int, float]]:
+    """The slots that a counterfactual changes: 1 where the text alone has them, else -1."""
+    own, swapped = set(slots), set(other)
+    return [(slot, 1.0 if slot in own else -1.0) for slot in own ^ swapped]
+
+
+def _counted(slots: np.ndarray) -> np.ndarray:
+    """How often each slot occurs; ``bincount`` widens what it is given, so that is a piece at a time."""
+    total = np.zeros(SLOTS, np.int64)
+    for begin in range(0, len(slots), SLOTS):
+        total += np.bincount(slots[begin : begin + SLOTS], minlength=SLOTS)
+    return total
 
 
 def fit_arrays(
-    flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, swapped: list[tuple[list[int], list[int]]],
+    flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, changes: list[list[tuple[int, float]]],
     penalty: float = 4.0, ridge: float = 0.02, steps: int = 300, least: int = 3, excess: float = 3.5,
 ) -> Model:
-    """Fit to texts given by their slots one after the other, and to pairs of a text and its counterfactual.
+    """Fit to texts given by their slots one after the other, and to what counterfactuals change, as from ``difference``.
 
     Slots on fewer than ``least`` texts, or less than ``excess`` standard deviations more frequent among toxic ones than chance
     would have it, are left out first: rare words of long texts would only add noise to their scores. With no texts, or one
@@ -121,26 +135,25 @@ def fit_arrays(
     bias = math.log((positive + 0.5) / (n - positive + 0.5))
     if not positive or positive == n:
         return Model(bias)
-    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
-    total = np.bincount(flat, minlength=SLOTS)
-    hits = np.bincount(flat[np.repeat(labels > 0, lengths)], minlength=SLOTS)
+    total = _counted(flat)
+    hits = _counted(flat[np.repeat(labels > 0, lengths)])
     share = positive / n
     z = (hits - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
     used = (total >= least) & (z >= excess)
-    changed = sorted({slot for slots, other in swapped for slot in set(slots) ^ set(other)})
+    changed = sorted({slot for change in changes for slot, _ in change})
     used[changed] |= total[changed] > 0
     place = np.cumsum(used) - 1
     size = int(used.sum())
     if not size:
         return Model(bias)
-    keep = used[flat]
-    column, line = place[flat[keep]], owner[keep]
+    keep = np.flatnonzero(used[flat])
+    column, line = place[flat[keep]], np.searchsorted(np.cumsum(lengths), keep, side="right")
     # Differences between a text and its counterfactual, on the slots in use.
     pair, pair_column, pair_sign = [], [], []
-    for p, (slots, other) in enumerate(swapped):
-        for slot in set(slots) ^ set(other):
+    for p, change in enumerate(changes):
+        for slot, sign in change:
             if used[slot]:
-                pair.append(p), pair_column.append(place[slot]), pair_sign.append(1.0 if slot in set(slots) else -1.0)
+                pair.append(p), pair_column.append(place[slot]), pair_sign.append(sign)
     pair, pair_column, pair_sign = np.array(pair, int), np.array(pair_column, int), np.array(pair_sign)
     weights, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     weights[-1] = bias
@@ -150,7 +163,7 @@ def fit_arrays(
         gradient = np.append(np.bincount(column, weights=error[line], minlength=size), error.sum())
         gradient[:-1] += ridge * weights[:-1] * 2
         if len(pair):
-            change = np.bincount(pair, weights=pair_sign * weights[pair_column], minlength=len(swapped))
+            change = np.bincount(pair, weights=pair_sign * weights[pair_column], minlength=len(changes))
             gradient[:-1] += np.bincount(pair_column, weights=2 * penalty * pair_sign * change[pair], minlength=size)
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
@@ -193,14 +206,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pe
     found = mapped(rows, step, "doc_id long, toxic int, hash long, slots array<int>, others array<array<int>>", forget)
     # Repeated rows of one id count once, and of different texts that with the smallest hash: one row an id leaves the executors.
     once = found.groupBy("doc_id").agg(F.min(F.struct("hash", "toxic", "slots", "others")).alias("row"))
-    rows = once.select("doc_id", "row.toxic", "row.slots", "row.others").toArrow().sort_by("doc_id").combine_chunks()
-    slots, others = (rows[name].combine_chunks() for name in ("slots", "others"))
-    lengths = np.diff(slots.offsets.to_numpy())
-    swapped = []
-    for i in np.flatnonzero(np.diff(others.offsets.to_numpy())).tolist():
-        text = slots[i].as_py()
-        swapped += [(text, other) for other in others[i].as_py()]
-    return fit_arrays(slots.flatten().to_numpy(), lengths, rows["toxic"].to_numpy().astype(float), swapped, penalty=penalty)
+    model = fit_arrays(*_gathered(once.select("doc_id", "row.toxic", "row.slots", "row.others").toArrow()), penalty=penalty)
+    release_memory()
+    return model
+
+
+def _gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, float]]]]:
+    """Slots one after the other, their number per row, labels and changes of the rows in the order of their ids.
+
+    The rows are most of what training holds in the driver, so they are neither copied whole nor turned into Python objects.
+    """
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    batches = rows.to_batches()
+    starts = np.cumsum([0] + [len(batch) for batch in batches])
+    size = sum(len(batch["slots"].flatten()) for batch in batches)
+    flat, lengths, changes, at = np.empty(size, np.int32), np.empty(len(order), np.int64), [], 0
+    for i, (row, which) in enumerate(zip(order.tolist(), (np.searchsorted(starts, order, side="right") - 1).tolist())):
+        slots, others = (batches[which][name][row - int(starts[which])] for name in ("slots", "others"))
+        own = slots.values.to_numpy()
+        lengths[i] = len(own)
+        flat[at : at + len(own)] = own
+        at += len(own)
+        changes += [difference(own.tolist(), other.as_py()) for other in others.values]
+    return flat, lengths, rows["toxic"].to_numpy()[order].astype(float), changes
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
