@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import regex
@@ -27,6 +29,19 @@ REMEMBERED = 200_000
 NONE = 1 << 60
 
 
+class Lefts(dict):
+    """Whether a token may come after another one, by the latter; asked once for each that turns up."""
+
+    __slots__ = ("vocabulary", "right")
+
+    def __init__(self, vocabulary: Vocabulary, right: int):
+        self.vocabulary, self.right = vocabulary, right
+
+    def __missing__(self, left: int) -> bool:
+        found = self[left] = self.vocabulary.may_follow(left, self.right)
+        return found
+
+
 class Vocabulary:
     """Ranks of a vocabulary file: per line a token in base 64 and its rank, which is its id."""
 
@@ -39,13 +54,16 @@ class Vocabulary:
         self.token = {rank: token for token, rank in self.rank.items()}
         self.longest = max(map(len, self.rank), default=0)
         self.size = {rank: len(token) for rank, token in self.token.items()}
-        self._pairs: dict[int, bool] = {}
+        self.decimal = {rank: str(rank) for rank in self.token}
+        self._held = 0
+        self._after: list[Lefts] = []
         self._histories: dict[int, list[tuple[int, bytes, bytes]]] = {}
         # Finds all tokens that end at each place of a text. Tokens that merging never makes are not among them.
         self.ending = ahocorasick.Automaton()
         for token, rank in self.rank.items():
             if len(self.merged(token)) == 1:
-                self.ending.add_word(token.decode("latin-1"), (len(token), rank))
+                self._after.append(Lefts(self, rank))
+                self.ending.add_word(token.decode("latin-1"), (len(token), rank, self._after[-1]))
         self.ending.make_automaton()
 
     def merged(self, data: bytes, history: list | None = None) -> list[bytes]:
@@ -100,29 +118,29 @@ class Vocabulary:
                 j += 1
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self._pairs.get(left << 32 | right)
-        if known is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[left << 32 | right] = self._stay_apart(left, right)
-        return known
+        if self._held >= REMEMBERED:
+            self.forget()
+        self._held += 1
+        return self._stay_apart(left, right)
 
-    def fill(self, last: list[int], data: bytes, offset: int = 0) -> None:
-        """Set the open entries (-1) of ``last``; ``data`` holds the bytes from ``offset`` to the end."""
-        known, may_follow = self._pairs.get, self.may_follow
-        for end, (size, token) in self.ending.iter(data.decode("latin-1")):
+    def forget(self) -> None:
+        for lefts in self._after:
+            lefts.clear()
+        self._held = 0
+
+    def extend(self, last: list[int], data: bytes, offset: int = 0) -> None:
+        """Continue ``last`` up to the end of ``data``, which holds the bytes from ``offset`` on."""
+        place, add = len(last), last.append
+        for end, (size, token, lefts) in self.ending.iter(data.decode("latin-1")):
             end += offset
-            if last[end] >= 0:
-                continue
-            before = end - size
-            if before < 0:
-                last[end] = token
+            if end < place:
                 continue
-            left = last[before]
-            fits = known(left << 32 | token)
-            if fits or fits is None and may_follow(left, token):
-                last[end] = token
-        if -1 in last:
+            if end > place:
+                break  # no token ends at the place before
+            if size > end or lefts[last[end - size]]:
+                add(token)
+                place += 1
+        if place < offset + len(data):
             raise ValueError("the vocabulary lacks a single byte")
 
     def walk(self, last: list[int], end: int) -> list[int]:
@@ -148,11 +166,9 @@ class Prefixes:
 
     def append(self, data: bytes) -> None:
         """Continue with more bytes; the entries so far stay."""
-        old = len(self.last)
         self.data += data
-        self.last += [-1] * len(data)
-        back = max(0, old - self.vocabulary.longest)  # a token that ends in the new bytes may begin before them
-        self.vocabulary.fill(self.last, bytes(self.data[back:]), back)
+        back = max(0, len(self.last) - self.vocabulary.longest)  # a token that ends in the new bytes may begin before them
+        self.vocabulary.extend(self.last, bytes(self.data[back:]), back)
 
     def edit(self, start: int, end: int, data: bytes) -> int:
         """Replace the bytes from ``start`` to ``end``; returns how many entries were computed anew.
@@ -184,21 +200,23 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern).findall
-        self._known: dict[str, list[int]] = {}
-        self._older: dict[str, list[int]] = {}
+        # Ids as bytes, four each: these join fast, and the garbage collector does not visit them.
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
         """Encoding of one match. Two generations of known pieces: what is asked for again outlives the change."""
         known = self._older.get(piece)
         if known is None:
             data = piece.encode()
             whole = self.vocabulary.rank.get(data)
             if whole is not None:
-                known = [whole]
+                found = [whole]
             else:
-                last = [-1] * len(data)
-                self.vocabulary.fill(last, data)
-                known = self.vocabulary.walk(last, len(data))
+                last: list[int] = []
+                self.vocabulary.extend(last, data)
+                found = self.vocabulary.walk(last, len(data))
+            known = array("i", found).tobytes()
             if len(data) > 256:
                 return known
         if len(self._known) >= REMEMBERED // 2:
@@ -207,18 +225,19 @@ class Encoder:
         self._known[piece] = known
         return known
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, four bytes each."""
         known, piece = self._known.get, self.piece
-        for match in self.pieces(text):
-            out += known(match) or piece(match)
-        return out
+        return b"".join([known(match) or piece(match) for match in self.pieces(text)])
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def forget(self) -> None:
         """Drop what was remembered of texts, so that an idle worker holds the vocabulary alone."""
         self._known.clear()
         self._older = {}
-        self.vocabulary._pairs.clear()
+        self.vocabulary.forget()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, ids))
@@ -249,17 +268,21 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[st
 
     def step(batch: pa.RecordBatch) -> Iterable[dict]:
         own = encoder(*shared.value)
-        counts, hashes, decoded, lists = [], [], [], []
+        counts, hashes, decoded, packed = [], [], [], []
+        decimal = own.vocabulary.decimal.__getitem__
         for data in batch["_utf8"]:
-            found = own.encode(data.as_py().decode())
+            packed.append(own.packed(data.as_py().decode()))
+            found = array("i", packed[-1]).tolist()
             counts.append(len(found))
-            hashes.append(hashlib.sha256(",".join(map(str, found)).encode()).hexdigest())
+            hashes.append(hashlib.sha256(",".join(map(decimal, found)).encode()).hexdigest())
             decoded.append(hashlib.sha256(own.decode(found)).hexdigest())
-            lists.append(found)
+            if not ids:
+                packed.clear()
         columns = {name: batch[name] for name in keep}
         columns |= {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
         if ids:
-            columns["ids"] = pa.array(lists, pa.list_(pa.int32()))
+            offsets = np.cumsum([0, *counts], dtype=np.int32)
+            columns["ids"] = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packed), np.int32))
         yield columns
 
     kept = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in keep)

@@ -1,7 +1,10 @@
 """Prefix table against the public library on the public vocabularies."""
 
+import base64
 import hashlib
 import random
+import re
+from array import array
 
 import pytest
 import tiktoken
@@ -68,3 +71,26 @@ def test_documents(spark):
         expected.append((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest(), ids))
     assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
     assert bpe.encode_documents(docs.limit(0), ranks, public_tokenizers.PATTERN).collect() == []
+
+
+def test_ids_are_kept_as_bytes_and_pairs_are_bounded(monkeypatch):
+    tokens = [bytes([i]) for i in range(256)] + [b"ab", b"bc", b"abc", b"ca", b"abca", b"aa", b"aaaa"]
+    lines = b"\n".join(base64.b64encode(token) + b" %d" % rank for rank, token in enumerate(tokens))
+    encoder = bpe.Encoder(bpe.Vocabulary(lines), r"\S+|\s+")
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    asked, apart = [], encoder.vocabulary._stay_apart
+    monkeypatch.setattr(encoder.vocabulary, "_stay_apart", lambda left, right: (asked.append((left, right)), apart(left, right))[1])
+    draw = random.Random(5)
+    for _ in range(200):
+        text = "".join(draw.choice("aaabc ä") for _ in range(draw.randrange(30)))
+        wanted = [encoder.vocabulary.rank[part] for piece in re.findall(r"\S+|\s+", text) for part in encoder.vocabulary.merged(piece.encode())]
+        packed = encoder.packed(text)
+        assert encoder.encode(text) == wanted == array("i", packed).tolist() and encoder.decode(wanted) == text.encode()
+        assert sum(map(len, encoder.vocabulary._after)) <= bpe.REMEMBERED and len(encoder._known) <= 4
+    assert asked and all(isinstance(known, bytes) for known in encoder._known.values())
+    encoder.forget()
+    assert not any(encoder.vocabulary._after) and not encoder._known
+    lacking = bpe.Vocabulary(b"YQ== 0\nYg== 1")
+    for data in (b"x", b"ax", b"xa", b"axb"):
+        with pytest.raises(ValueError):
+            lacking.extend([], data)
