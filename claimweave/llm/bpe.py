@@ -10,6 +10,7 @@ continue the table, and after an edit only the places are computed anew whose la
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterable
@@ -22,7 +23,7 @@ import pyarrow.fs
 import regex
 from pyspark.sql import DataFrame
 
-from claimweave.llm.common import mapped, text_bytes
+from claimweave.llm.common import HELD_BYTES, mapped, text_bytes
 
 #: Pieces and token pairs whose encoding a task remembers; beyond it the memory starts anew.
 REMEMBERED = 200_000
@@ -245,7 +246,9 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(ranks: bytes, pattern: str) -> Encoder:
-    return Encoder(Vocabulary(ranks), pattern)
+    made = Encoder(Vocabulary(ranks), pattern)
+    gc.freeze()  # the vocabulary stays: no later collection need visit it
+    return made
 
 
 def read_ranks(path: str) -> bytes:
@@ -255,6 +258,38 @@ def read_ranks(path: str) -> bytes:
         return source.read()
 
 
+def encoded(batch: pa.RecordBatch, own: Encoder, keep: tuple[str, ...], ids: bool, held: int = HELD_BYTES) -> Iterable[dict]:
+    """Columns of ``encode_documents`` for a batch with the texts as ``_utf8``, in pieces that end where their ids pass ``held`` bytes."""
+    decimal = own.vocabulary.decimal.__getitem__
+    counts, hashes, decoded, packed = [], [], [], []
+    start = size = 0
+
+    def piece() -> dict:
+        columns = {name: batch[name].slice(start, len(counts)) for name in keep}
+        columns |= {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        if ids:
+            offsets = np.cumsum([0, *counts], dtype=np.int32)
+            columns["ids"] = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packed), np.int32))
+        return columns
+
+    for data in batch["_utf8"]:
+        packed.append(own.packed(data.as_py().decode()))
+        found = array("i", packed[-1]).tolist()
+        counts.append(len(found))
+        hashes.append(hashlib.sha256(",".join(map(decimal, found)).encode()).hexdigest())
+        decoded.append(hashlib.sha256(own.decode(found)).hexdigest())
+        if ids:
+            size += len(packed[-1])
+        else:
+            packed.clear()
+        if size >= held:
+            yield piece()
+            start, size = start + len(counts), 0
+            counts, hashes, decoded, packed = [], [], [], []
+    if counts:
+        yield piece()
+
+
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """Encode every text and decode its ids again.
 
@@ -267,23 +302,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[st
     rows = docs.select(*keep, text_bytes().alias("_utf8"))
 
     def step(batch: pa.RecordBatch) -> Iterable[dict]:
-        own = encoder(*shared.value)
-        counts, hashes, decoded, packed = [], [], [], []
-        decimal = own.vocabulary.decimal.__getitem__
-        for data in batch["_utf8"]:
-            packed.append(own.packed(data.as_py().decode()))
-            found = array("i", packed[-1]).tolist()
-            counts.append(len(found))
-            hashes.append(hashlib.sha256(",".join(map(decimal, found)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(own.decode(found)).hexdigest())
-            if not ids:
-                packed.clear()
-        columns = {name: batch[name] for name in keep}
-        columns |= {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
-        if ids:
-            offsets = np.cumsum([0, *counts], dtype=np.int32)
-            columns["ids"] = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packed), np.int32))
-        yield columns
+        return encoded(batch, encoder(*shared.value), keep, ids)
 
     kept = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in keep)
     return mapped(rows, step, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if ids else ''}", lambda: encoder(*shared.value).forget())

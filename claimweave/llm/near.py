@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm import blocks
-from claimweave.llm.common import chosen_rows, expand, mapped, release_memory, settle, small_batches, squeeze, text_bytes
+from claimweave.llm.common import chosen_rows, expand, mapped, settle, small_batches, squeeze, text_bytes
 from claimweave.llm.components import connected
 
 WORDS = 5
@@ -101,7 +101,7 @@ def _keyed(docs: DataFrame, keep: tuple[str, ...], signed: bool) -> DataFrame:
         yield {name: batch[name] for name in names} | {"key": pa.array(keys, pa.int64())} | more
 
     kept = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in names)
-    return mapped(rows, step, f"{kept}, key long" + (", n long, sig binary" if signed else ""), release_memory)
+    return mapped(rows, step, f"{kept}, key long" + (", n long, sig binary" if signed else ""))
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
         repeat = lambda name: pa.array(np.repeat(batch[name].to_numpy(), BANDS))
         yield {"key": repeat("key"), "n": repeat("n"), "bucket": pa.array(value.reshape(-1).view(np.int64))}
 
-    return mapped(classes.select("key", "n", "sig"), step, "key long, n long, bucket long", release_memory)
+    return mapped(classes.select("key", "n", "sig"), step, "key long, n long, bucket long")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         chosen = pa.array((a == b).mean(axis=1) >= LEAST_AGREEMENT)
         yield {x: batch[x].filter(chosen) for x in "uv"}
 
-    return mapped(pairs.join(sides[0], "u").join(sides[1], "v"), step, "u long, v long", release_memory)
+    return mapped(pairs.join(sides[0], "u").join(sides[1], "v"), step, "u long, v long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         chosen = pa.array([jaccard(of(u, a), of(v, b)) >= SIMILARITY for u, a, v, b in keys], pa.bool_())
         yield {x: batch[x].filter(chosen) for x in "uv"}
 
-    return mapped(pairs.join(sides[0], "u").join(sides[1], "v"), step, "u long, v long", lambda: (held.clear(), release_memory()))
+    return mapped(pairs.join(sides[0], "u").join(sides[1], "v"), step, "u long, v long", held.clear)
 
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     def step(batch: pa.RecordBatch) -> Iterable[dict]:
         yield {"key": batch["key"], "packed": pa.array([squeeze(data.as_py()) for data in batch["utf8"]], pa.binary())}
 
-    return settle(mapped(one, step, "key long, packed binary", release_memory), "near-texts")
+    return settle(mapped(one, step, "key long, packed binary"), "near-texts")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def rare_pairs(texts: DataFrame) -> DataFrame:
                 same = lambda value: pa.array(np.full(len(part), value, np.int64))
                 yield {"key": same(key), "n": same(len(found)), "shingle": pa.array(part)}
 
-    rows = settle(mapped(texts, step, "key long, n long, shingle long", release_memory), "crowded-shingles")
+    rows = settle(mapped(texts, step, "key long, n long, shingle long"), "crowded-shingles")
     uses = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses"))
     place = F.row_number().over(Window.partitionBy("key").orderBy("uses", "shingle"))
     probing = F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5)) + 1

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from claimweave.llm.common import expand
+from claimweave.llm.common import expand, releasing
 from claimweave.llm.windows import CLASS_LIMIT, Units, covered, marked_runs, with_runs
 
 WIDTH = 100
@@ -107,4 +107,4 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("d
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = f"row {row_type}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string{extra}"
-    return rows.mapInArrow(run, schema).select("row.*", "n_bytes", "n_removed", "spans", "kept_sha256", *(["kept_text"] if text else []))
+    return rows.mapInArrow(releasing(run), schema).select("row.*", "n_bytes", "n_removed", "spans", "kept_sha256", *(["kept_text"] if text else []))

@@ -68,7 +68,6 @@ _memory = Memory()
 def forget() -> None:
     """Drop what a task remembered, so that an idle worker holds nothing of it."""
     _memory.clear()
-    release_memory()
 
 
 def features(text: str) -> set[int]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm import blocks
-from claimweave.llm.common import HELD_BYTES, NO_ID, expand, mapped, settle, squeeze, text_bytes
+from claimweave.llm.common import HELD_BYTES, NO_ID, expand, mapped, releasing, settle, squeeze, text_bytes
 
 #: Different blocks of one anchor that a task compares in memory; beyond it windows become rows. Any value gives the same result.
 CLASS_LIMIT = 1024
@@ -152,7 +152,7 @@ def _rows(kind, *columns) -> pa.RecordBatch:
 
 def outline(texts: DataFrame, units: Units) -> DataFrame:
     """A row per different block of each stretch of the input."""
-    return texts.mapInArrow(_outline(units), ROW)
+    return texts.mapInArrow(releasing(_outline(units)), ROW)
 
 
 # ---- step 2 ----
@@ -237,7 +237,7 @@ def _compare(all_copies: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def compare(rows: DataFrame, all_copies: bool) -> DataFrame:
     """Marks of equal blocks, and a request for the content of one copy of each block that shares its anchor with others."""
     dealt = rows.repartition("key").sortWithinPartitions("key", "digest", "doc", "text_hash", "start")
-    return dealt.mapInArrow(_compare(all_copies), ROW)
+    return dealt.mapInArrow(releasing(_compare(all_copies)), ROW)
 
 
 # ---- step 3 ----
@@ -295,7 +295,7 @@ def contents(texts: DataFrame, needs: DataFrame, units: Units, limit: int) -> Da
     crowded = needs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key", F.lit(True).alias("crowded"))
     told = needs.join(crowded, "key", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     wanted = told.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "count", "key", "crowded")).alias("wanted"))
-    return packed_texts(texts).join(wanted, ["doc", "text_hash"]).mapInArrow(_contents(units), CONTENT)
+    return packed_texts(texts).join(wanted, ["doc", "text_hash"]).mapInArrow(releasing(_contents(units)), CONTENT)
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def _resolve(units: Units, match: Matcher) -> Callable[[Iterator[pa.RecordBatch]
 def resolve(content: DataFrame, units: Units, match: Matcher) -> DataFrame:
     """Marks inside blocks that only partly agree."""
     dealt = content.repartition("key").sortWithinPartitions("key", "digest", "doc", "text_hash", "start")
-    return dealt.mapInArrow(_resolve(units, match), ROW)
+    return dealt.mapInArrow(releasing(_resolve(units, match)), ROW)
 
 
 def marked_runs(docs: DataFrame, units: Units, match: Matcher, limit: int = CLASS_LIMIT) -> DataFrame:
@@ -385,6 +385,6 @@ def with_runs(docs: DataFrame, runs: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     row_type = rows.schema["row"].dataType.simpleString()
-    packed = rows.mapInArrow(run, f"row {row_type}, doc long, text_hash long, packed binary")
+    packed = rows.mapInArrow(releasing(run), f"row {row_type}, doc long, text_hash long, packed binary")
     return packed.join(runs, ["doc", "text_hash"], "left")
 

@@ -6,6 +6,7 @@ import random
 import re
 from array import array
 
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -73,6 +74,22 @@ def test_documents(spark):
     assert bpe.encode_documents(docs.limit(0), ranks, public_tokenizers.PATTERN).collect() == []
 
 
+def test_long_batches_leave_in_pieces():
+    own, library = both(FILES[0])
+    rng = random.Random(8)
+    texts = [words(rng, rng.randrange(60)) for _ in range(40)] + [""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(41)), "_utf8": [text.encode() for text in texts]})
+    pieces = list(bpe.encoded(batch, own, ("doc_id",), True, held=400))
+    assert len(pieces) > 5
+    for piece in pieces:
+        assert 4 * sum(map(len, piece["ids"].to_pylist()[:-1])) < 400
+    rows = [row for piece in pieces for row in zip(piece["doc_id"].to_pylist(), piece["ids"].to_pylist(), piece["n_tokens"].to_pylist())]
+    wanted = [library.encode_ordinary(text) for text in texts]
+    assert rows == [(i, ids, len(ids)) for i, ids in enumerate(wanted)]
+    assert len(list(bpe.encoded(batch, own, ("doc_id",), False, held=400))) == 1
+    assert list(bpe.encoded(batch.slice(0, 0), own, ("doc_id",), True)) == []
+
+
 def test_ids_are_kept_as_bytes_and_pairs_are_bounded(monkeypatch):
     tokens = [bytes([i]) for i in range(256)] + [b"ab", b"bc", b"abc", b"ca", b"abca", b"aa", b"aaaa"]
     lines = b"\n".join(base64.b64encode(token) + b" %d" % rank for rank, token in enumerate(tokens))
