@@ -317,7 +317,7 @@ class Graph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return accepted_edges(self.judged_edges, self.raw_edges)
+        return self._keep(accepted_edges(self.judged_edges, self.raw_edges), "accepted-edges")
 
     @cached_property
     def numbered_edges(self) -> DataFrame:
