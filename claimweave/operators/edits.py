@@ -115,15 +115,21 @@ def counter_starts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def added_records(edit_log: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """New nodes and edges with their ids: one counter per graph, from ``counter_starts`` on."""
-    starts = counter_starts(edges, nodes)
-    adds = edit_log.where(F.col("op").isin("addNode", "addEdge"))
+    return named_adds(numbered_adds(edit_log, "patch"), edges, nodes)
+
+
+def numbered_adds(edit_log: DataFrame, *carried: str) -> DataFrame:
+    """``(graph_id, seq, op)`` of the edits that add a record, and their place ``_k`` among those of the graph."""
+    adds = edit_log.where(F.col("op").isin("addNode", "addEdge")).select("graph_id", "seq", "op", *carried)
+    return number_rows(settle(adds, "adds"), ["graph_id"], "seq", "_k")
+
+
+def named_adds(adds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Numbered new records with their ids in a staging."""
     letter = F.when(F.col("op") == "addNode", "n").otherwise("e")
     counter = F.col("_k") + F.coalesce("_start", F.lit(1))
-    return (
-        number_rows(adds, ["graph_id"], "seq", "_k")
-        .join(starts, "graph_id", "left")
-        .select("graph_id", "seq", "op", "patch", F.concat(letter, counter.cast("string")).alias("id"))
-    )
+    named = adds.join(counter_starts(edges, nodes), "graph_id", "left")
+    return named.withColumn("id", F.concat(letter, counter.cast("string"))).drop("_k", "_start")
 
 
 def with_added(staged: DataFrame, adds: DataFrame, op: str, fields: list[str]) -> DataFrame:

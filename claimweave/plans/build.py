@@ -125,7 +125,8 @@ class MergedStage:
     @cached_property
     def edges(self) -> DataFrame:
         """Staged edges of the merged graph: its relations, then the refused ones with their ends carried over."""
-        refused = edits.renamed(edits.refused_edges(self.graph), self.whole.ids, ["subject", "object"])
+        # Numbering reads its rows twice, so the ends are carried over before and once.
+        refused = settle(edits.renamed(edits.refused_edges(self.graph), self.whole.ids, ["subject", "object"]), "refused-ends")
         return settle(edits.numbered_edges(self.whole.edges, refused), "merged-stage")
 
     @cached_property
@@ -140,9 +141,11 @@ class MergedStage:
     @cached_property
     def rebased(self) -> DataFrame:
         """The edit log in the names of the merged graph."""
-        before = edits.added_records(self.log, self._old_edges, self.graph.nodes)
-        after = edits.added_records(self.log, self.edges, self.whole.nodes)
-        added = before.select("graph_id", "seq", "op", F.col("id").alias("old_id")).join(after.select("graph_id", "seq", "id"), ["graph_id", "seq"])
+        # New records have the same places in both stagings; only where their numbers start differs.
+        adds = settle(edits.numbered_adds(self.log), "numbered-adds")
+        before = edits.named_adds(adds, self._old_edges, self.graph.nodes).select("graph_id", "seq", "op", F.col("id").alias("old_id"))
+        after = edits.named_adds(adds, self.edges, self.whole.nodes).select("graph_id", "seq", "id")
+        added = settle(before.join(after, ["graph_id", "seq"]), "added-names")
         own = lambda op: added.where(F.col("op") == op).select("graph_id", "old_id", "id")
         nodes = settle(self.whole.ids.unionByName(own("addNode")), "record-names")
         return settle(edits.rebased(self.log, nodes, self.edge_ids.unionByName(own("addEdge"))), "rebased-log")
