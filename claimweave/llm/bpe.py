@@ -14,6 +14,7 @@ import gc
 import hashlib
 from array import array
 from collections.abc import Iterable
+from contextlib import suppress
 from functools import lru_cache
 
 import ahocorasick
@@ -55,7 +56,10 @@ class Vocabulary:
         self.token = {rank: token for token, rank in self.rank.items()}
         self.longest = max(map(len, self.rank), default=0)
         self.size = {rank: len(token) for rank, token in self.token.items()}
-        self.decimal = {rank: str(rank) for rank in self.token}
+        # Both by rank; a taken column's values lie one after the other, which is the joined whole.
+        ranks = range(max(self.token, default=-1) + 1)
+        self.parts = pa.array([self.token.get(rank) for rank in ranks], pa.large_binary())
+        self.decimals = pa.array([b"%d," % rank if rank in self.token else None for rank in ranks], pa.large_binary())
         self._held = 0
         self._after: list[Lefts] = []
         self._histories: dict[int, list[tuple[int, bytes, bytes]]] = {}
@@ -132,15 +136,25 @@ class Vocabulary:
     def extend(self, last: list[int], data: bytes, offset: int = 0) -> None:
         """Continue ``last`` up to the end of ``data``, which holds the bytes from ``offset`` on."""
         place, add = len(last), last.append
-        for end, (size, token, lefts) in self.ending.iter(data.decode("latin-1")):
-            end += offset
-            if end < place:
-                continue
-            if end > place:
-                break  # no token ends at the place before
-            if size > end or lefts[last[end - size]]:
-                add(token)
-                place += 1
+        found = self.ending.iter(data.decode("latin-1"))
+        if not offset:  # by far the most calls; the same without shifting
+            for end, (size, token, lefts) in found:
+                if end == place:
+                    if size > end or lefts[last[end - size]]:
+                        add(token)
+                        place += 1
+                elif end > place:
+                    break  # no token ends at the place before
+        else:
+            for end, (size, token, lefts) in found:
+                end += offset
+                if end < place:
+                    continue
+                if end > place:
+                    break
+                if size > end or lefts[last[end - size]]:
+                    add(token)
+                    place += 1
         if place < offset + len(data):
             raise ValueError("the vocabulary lacks a single byte")
 
@@ -202,22 +216,21 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern).findall
         # Ids as bytes, four each: these join fast, and the garbage collector does not visit them.
+        self._whole: dict[str, bytes] = {}
+        for token, rank in vocabulary.rank.items():
+            with suppress(UnicodeDecodeError):  # a part of a character matches nothing
+                self._whole[token.decode()] = array("i", [rank]).tobytes()
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
-        """Encoding of one match. Two generations of known pieces: what is asked for again outlives the change."""
+        """Encoding of one match that is no token. Two generations of such pieces: what is asked for again outlives the change."""
         known = self._older.get(piece)
         if known is None:
             data = piece.encode()
-            whole = self.vocabulary.rank.get(data)
-            if whole is not None:
-                found = [whole]
-            else:
-                last: list[int] = []
-                self.vocabulary.extend(last, data)
-                found = self.vocabulary.walk(last, len(data))
-            known = array("i", found).tobytes()
+            last: list[int] = []
+            self.vocabulary.extend(last, data)
+            known = array("i", self.vocabulary.walk(last, len(data))).tobytes()
             if len(data) > 256:
                 return known
         if len(self._known) >= REMEMBERED // 2:
@@ -228,8 +241,8 @@ class Encoder:
 
     def packed(self, text: str) -> bytes:
         """The ids of a text, four bytes each."""
-        known, piece = self._known.get, self.piece
-        return b"".join([known(match) or piece(match) for match in self.pieces(text)])
+        whole, known, piece = self._whole.get, self._known.get, self.piece
+        return b"".join([whole(match) or known(match) or piece(match) for match in self.pieces(text)])
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.packed(text)).tolist()
@@ -258,9 +271,14 @@ def read_ranks(path: str) -> bytes:
         return source.read()
 
 
+def joined(values: pa.Array, ids: pa.Array) -> memoryview:
+    """The values at the places ``ids``, one after the other."""
+    return memoryview(values.take(ids).buffers()[2] or b"")
+
+
 def encoded(batch: pa.RecordBatch, own: Encoder, keep: tuple[str, ...], ids: bool, held: int = HELD_BYTES) -> Iterable[dict]:
     """Columns of ``encode_documents`` for a batch with the texts as ``_utf8``, in pieces that end where their ids pass ``held`` bytes."""
-    decimal = own.vocabulary.decimal.__getitem__
+    parts, decimals = own.vocabulary.parts, own.vocabulary.decimals
     counts, hashes, decoded, packed = [], [], [], []
     start = size = 0
 
@@ -274,10 +292,10 @@ def encoded(batch: pa.RecordBatch, own: Encoder, keep: tuple[str, ...], ids: boo
 
     for data in batch["_utf8"]:
         packed.append(own.packed(data.as_py().decode()))
-        found = array("i", packed[-1]).tolist()
+        found = pa.Array.from_buffers(pa.int32(), len(packed[-1]) // 4, [None, pa.py_buffer(packed[-1])])
         counts.append(len(found))
-        hashes.append(hashlib.sha256(",".join(map(decimal, found)).encode()).hexdigest())
-        decoded.append(hashlib.sha256(own.decode(found)).hexdigest())
+        hashes.append(hashlib.sha256(joined(decimals, found)[:-1]).hexdigest())
+        decoded.append(hashlib.sha256(joined(parts, found)).hexdigest())
         if ids:
             size += len(packed[-1])
         else:

@@ -90,6 +90,22 @@ def test_long_batches_leave_in_pieces():
     assert list(bpe.encoded(batch.slice(0, 0), own, ("doc_id",), True)) == []
 
 
+def test_digests_without_a_list_of_ids(monkeypatch):
+    """Tokens are told at once and digests taken from columns; ids with gaps between them stay apart."""
+    tokens = [bytes([i]) for i in range(256)] + [b"ab", b"bc", b"abc", "ä".encode()]
+    encoder = bpe.Encoder(bpe.Vocabulary(b"\n".join(base64.b64encode(token) + b" %d" % (3 * rank) for rank, token in enumerate(tokens))), r"\S+|\s+")
+    asked, piece = [], encoder.piece
+    monkeypatch.setattr(encoder, "piece", lambda match: (asked.append(match), piece(match))[1])
+    texts = ["", "abc ä", "abc abcab ää z\x00", "bcab " * 3000]
+    batch = pa.RecordBatch.from_pydict({"_utf8": [text.encode() for text in texts]})
+    (out,) = bpe.encoded(batch, encoder, (), False)
+    for i, text in enumerate(texts):
+        ids = [encoder.vocabulary.rank[part] for match in re.findall(r"\S+|\s+", text) for part in encoder.vocabulary.merged(match.encode())]
+        row = [out[name][i].as_py() for name in ("n_tokens", "ids_sha256", "decoded_sha256")]
+        assert row == [len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
+    assert not {"abc", "ä", " "} & set(asked)
+
+
 def test_ids_are_kept_as_bytes_and_pairs_are_bounded(monkeypatch):
     tokens = [bytes([i]) for i in range(256)] + [b"ab", b"bc", b"abc", b"ca", b"abca", b"aa", b"aaaa"]
     lines = b"\n".join(base64.b64encode(token) + b" %d" % rank for rank, token in enumerate(tokens))
