@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm import blocks
-from claimweave.llm.common import chosen_rows, expand, mapped, settle, small_batches, squeeze, text_bytes
+from claimweave.llm.common import chosen_rows, expand, last_settled, mapped, settle, small_batches, squeeze, text_bytes
 from claimweave.llm.components import connected
 
 WORDS = 5
@@ -171,12 +171,21 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key")))
 
 
-def rare_pairs(texts: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, counted: DataFrame, before: DataFrame) -> DataFrame:
+    """The ``rows`` with a shingle in ``counted`` and their ``place`` in their text, after the ``before`` that its ``key`` may have."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("uses", "shingle"))
+    met = rows.join(counted.select("shingle", "uses"), "shingle").withColumn("place", place)
+    return met.join(before, "key", "left").withColumn("place", F.col("place") + F.coalesce("before", F.lit(0)))
+
+
+def rare_pairs(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Pairs ``(u, v)`` of the classes in ``texts(key, packed)`` that can have the similarity, by their rarest shingles.
 
     Shingles have one order, from the rarest on. Two sets of x <= y shingles with a Jaccard similarity of 4/5 share one of the
     first x - ceil(8x/9) + 1 shingles of the smaller and y - ceil(4y/5) + 1 of the larger, and the one that comes first leaves
-    enough after it on both sides for an overlap of 4(x + y)/9. No pair of the similarity is left out.
+    enough after it on both sides for an overlap of 4(x + y)/9. No pair of the similarity is left out. Shingles of ``crowd``
+    texts and more are put in order only where a text has too few others, so that common passages are not looked up; any value
+    gives the same result.
     """
 
     def step(batch: pa.RecordBatch) -> Iterable[dict]:
@@ -188,10 +197,18 @@ def rare_pairs(texts: DataFrame) -> DataFrame:
                 yield {"key": same(key), "n": same(len(found)), "shingle": pa.array(part)}
 
     rows = settle(mapped(texts, step, "key long, n long, shingle long"), "crowded-shingles")
-    uses = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("uses", "shingle"))
     probing = F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5)) + 1
-    first = rows.join(uses, "shingle").withColumn("place", place).where((F.col("place") <= probing) & (F.col("uses") > 1))
+    counted = settle(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses"), F.min("key").alias("key")), "shingle-uses")
+    # Shingles of one text are its first and meet nothing; they are numbered as a whole.
+    alone = counted.where("uses = 1").groupBy("key").agg(F.count(F.lit(1)).alias("before"))
+    few = _placed(rows, counted.where((F.col("uses") > 1) & (F.col("uses") < crowd)), alone)
+    few = settle(few.select("key", "n", "shingle", "place"), "rare-shingles")
+    # Common shingles come last, and are looked up only for texts whose other ones are too few.
+    known = few.groupBy("key").agg(F.count(F.lit(1)).alias("few")).join(alone, "key", "full")
+    before = known.select("key", (F.coalesce("few", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("before"))
+    short = settle(rows.groupBy("key").agg(F.max("n").alias("n")).join(before, "key", "left").where(F.coalesce("before", F.lit(0)) < probing), "common-texts")
+    many = _placed(rows.join(short.select("key"), "key", "left_semi"), counted.where(F.col("uses") >= crowd), short.select("key", "before"))
+    first = few.unionByName(many.select("key", "n", "shingle", "place")).where(F.col("place") <= probing)
     first = settle(first.select("key", "n", "shingle", "place"), "rarest-shingles")
     small = first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 8 / F.lit(9)) + 1)
     small = small.withColumnsRenamed({"key": "key2", "n": "n2", "place": "place2"})
@@ -219,18 +236,21 @@ def representatives(docs: DataFrame, crowd: int = CROWD, rounds: int = ROUNDS, a
 
     With ``among(wanted_id, wanted_hash, copies)`` only rows with these ids and hashes of the text take part.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    with small_batches(docs.sparkSession, BATCH):
-        own = _keyed(rows, ("doc_id", "hash"), signed=True)
-        if among is not None:
-            own = own.join(among, own["c0"].eqNullSafe(among["wanted_id"]) & (own["c1"] == among["wanted_hash"]), "left_semi")
-        own = settle(own, "shingle-keys")
-        classes = settle(_kept(docs, own, crowd, rounds), "kept-classes")
-    same = own["c0"].eqNullSafe(classes["first_id"]) & (own["key"] == classes["key"])
-    kept = own.join(classes, same, "left_semi").groupBy("c0", "key", "c1").agg(F.count(F.lit(1)).alias("copies"))
-    one = kept.groupBy("c0", "key").agg(F.min(F.struct("c1", "copies")).alias("row"))
-    wanted = settle(one.select(F.col("c0").alias("wanted_id"), F.col("row.c1").alias("wanted_hash"), "row.copies"), "kept-rows")
-    return chosen_rows(docs, wanted)
+
+    def wanted() -> DataFrame:
+        rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+        with small_batches(docs.sparkSession, BATCH):
+            own = _keyed(rows, ("doc_id", "hash"), signed=True)
+            if among is not None:
+                own = own.join(among, own["c0"].eqNullSafe(among["wanted_id"]) & (own["c1"] == among["wanted_hash"]), "left_semi")
+            own = settle(own, "shingle-keys")
+            classes = settle(_kept(docs, own, crowd, rounds), "kept-classes")
+        same = own["c0"].eqNullSafe(classes["first_id"]) & (own["key"] == classes["key"])
+        kept = own.join(classes, same, "left_semi").groupBy("c0", "key", "c1").agg(F.count(F.lit(1)).alias("copies"))
+        one = kept.groupBy("c0", "key").agg(F.min(F.struct("c1", "copies")).alias("row"))
+        return settle(one.select(F.col("c0").alias("wanted_id"), F.col("row.c1").alias("wanted_hash"), "row.copies"), "kept-rows")
+
+    return chosen_rows(docs, last_settled(docs.sparkSession, wanted))
 
 
 def _kept(docs: DataFrame, own: DataFrame, crowd: int, rounds: int) -> DataFrame:
@@ -241,9 +261,12 @@ def _kept(docs: DataFrame, own: DataFrame, crowd: int, rounds: int) -> DataFrame
     ordered = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
     def linked(pairs: DataFrame) -> DataFrame:
-        likely = settle(_agreeing(pairs, classes), "near-pairs")
+        likely = settle(_agreeing(pairs.distinct(), classes), "near-pairs")
         return settle(_verified(likely, _texts(docs, classes, _ends(likely))), "near-links")
 
+    def thinned(pairs: DataFrame) -> DataFrame:
+        return last_settled(docs.sparkSession, lambda: _thinned(classes, linked(pairs)))
+
     for round_ in range(rounds + 1):
         buckets = settle(_buckets(classes), "buckets")
         rank = F.xxhash64("key", "bucket", F.lit(round_))
@@ -252,11 +275,10 @@ def _kept(docs: DataFrame, own: DataFrame, crowd: int, rounds: int) -> DataFrame
         if round_ == rounds or crowded.isEmpty():
             break
         met = buckets.join(crowded, "bucket").where((F.col("key") != F.col("key2")) & similar(F.col("n"), F.col("n2")))
-        classes = _thinned(classes, linked(met.select(*ordered("key", "key2")).distinct()))
+        classes = thinned(met.select(*ordered("key", "key2")))
     loose = buckets.join(crowded.select("bucket"), "bucket", "left_anti")
     other = loose.withColumnsRenamed({"key": "key2", "n": "n2"})
     met = loose.join(other, "bucket").where((F.col("key") < F.col("key2")) & similar(F.col("n"), F.col("n2")))
     tight = buckets.join(crowded.select("bucket"), "bucket", "left_semi").select("key")
     pairs = met.select(*ordered("key", "key2")).unionByName(rare_pairs(_texts(docs, classes, tight)))
-    classes = _thinned(classes, linked(pairs.distinct()))
-    return classes.select("key", "first_id")
+    return thinned(pairs).select("key", "first_id")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import chosen_rows, mapped, settle, text_bytes
+from claimweave.llm.common import chosen_rows, last_settled, mapped, settle, text_bytes
 from claimweave.llm.components import connected
 
 SEED = 42
@@ -166,12 +166,16 @@ def kept_rows(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     It is the one with the smallest id, of several texts of this id the one with the smallest hash; a group without ids
     keeps one row as well.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    own = settle(fingerprints(rows, ("doc_id", "hash")), "fingerprints")
-    held = own.join(_classes(own, crowd), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counted = held.groupBy("component", "doc_id", "hash").agg(F.count(F.lit(1)).alias("copies"))
-    one = counted.groupBy("component").agg(F.min(F.struct("hash", "copies", "doc_id")).alias("row"))
-    return settle(one.select(F.col("row.doc_id").alias("wanted_id"), F.col("row.hash").alias("wanted_hash"), "row.copies"), "kept-fingerprints")
+
+    def found() -> DataFrame:
+        rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+        own = settle(fingerprints(rows, ("doc_id", "hash")), "fingerprints")
+        held = own.join(_classes(own, crowd), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        counted = held.groupBy("component", "doc_id", "hash").agg(F.count(F.lit(1)).alias("copies"))
+        one = counted.groupBy("component").agg(F.min(F.struct("hash", "copies", "doc_id")).alias("row"))
+        return settle(one.select(F.col("row.doc_id").alias("wanted_id"), F.col("row.hash").alias("wanted_hash"), "row.copies"), "kept-fingerprints")
+
+    return last_settled(docs.sparkSession, found)
 
 
 def representatives(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

@@ -133,6 +133,37 @@ def test_rarest_shingles_lose_no_pair(spark):
     assert len(wanted) > 10 and wanted <= listed
 
 
+def test_common_shingles_are_looked_up_where_they_are_needed(spark, monkeypatch):
+    """A passage of many texts is put in order for those texts only that have too few other words; the pairs stay the same."""
+    rng = random.Random(3)
+    base = words(rng, 120)
+    texts = [" ".join(base[:60] + words(rng, 50) + base[60:]) for _ in range(120)] + [text for _, text in crowd_of("copies", 30)]
+    packed = spark.createDataFrame([(i, near.squeeze(text.encode())) for i, text in enumerate(texts)], "key long, packed binary")
+    placed, looked_up = near._placed, []
+
+    def counted(*args):
+        out = placed(*args)
+        looked_up.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "_placed", counted)
+    pairs = [{(r.u, r.v) for r in near.rare_pairs(packed, crowd).collect()} for crowd in (2, 16, 10_000)]
+    assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) > 10
+    every = sum(len(near.shingles(text.encode())) for text in texts)
+    assert looked_up[2] + looked_up[3] < every / 2
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    import glob
+
+    from claimweave.session import shared_dir
+
+    left = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/claimweave/*/*"))
+    before = left()
+    out = near.representatives(docs(spark, planted()), among=simhash.kept_rows(docs(spark, planted())))
+    assert out.count() and len(left() - before) == 2
+
+
 def test_clashing_names(spark):
     names = ["key", "_utf8", "utf8", "c0", "n", "sig", "first_id", "packed", "u"]
     rows = [(i, t, *names) for i, t in planted()[:8]] + [(None, "x y", *names), (None, "x y", *names)]
