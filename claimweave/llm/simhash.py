@@ -120,16 +120,20 @@ def _pieces(bucket_size: Column, crowd: int) -> Column:
 
 
 def candidates(grouped: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Pairs ``fp, group, fp2, group2`` of ``grouped(fp, group, size)`` whose distance is to be verified."""
+    """Pairs ``fp, group, fp2, group2`` of ``grouped(fp, group, size)`` whose distance is to be verified.
+
+    Spark sizes what an explode makes like what it is made from, here a 66th, so both joins are told to merge: otherwise the probes
+    of some hundred thousand fingerprints pass for a table small enough to be collected in the driver and broadcast.
+    """
     rank = F.struct("size", "group")
     # A lookup is worth its join only where the bucket holds a larger group than the one that asks.
     held = _table(grouped).groupBy("seg", "value").agg(F.max(rank).alias("top"), F.count(F.lit(1)).alias("n"))
-    asking = _probes(grouped).join(held, ["seg", "value"]).where(rank < F.col("top"))
+    asking = _probes(grouped).hint("merge").join(held, ["seg", "value"]).where(rank < F.col("top"))
     asking = asking.select("fp", "group", "size", "seg", "value", F.inline(_pieces(F.col("n"), crowd)))
     crowded = held.where(F.col("n") >= crowd).select("seg", "value", "n")
     other = _table(grouped).join(crowded, ["seg", "value"], "left")
     other = other.select(F.col("fp").alias("fp2"), F.col("group").alias("group2"), F.col("size").alias("size2"), "seg", "value", F.inline(_pieces(F.col("n"), crowd)))
-    met = asking.join(other, ["seg", "value", "part", "piece"]).where(rank < F.struct("size2", "group2"))
+    met = asking.join(other.hint("merge"), ["seg", "value", "part", "piece"]).where(rank < F.struct("size2", "group2"))
     return met.select("fp", "group", "fp2", "group2")
 
 

@@ -10,7 +10,7 @@ import xxhash
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import backoff, mixing, simhash
+from claimweave.llm import backoff, components, mixing, simhash
 from claimweave.llm.common import ready
 from claimweave.llm.components import connected
 
@@ -121,6 +121,36 @@ def test_a_shared_segment_lists_no_pairs(spark):
     assert close == brute and len(brute) >= 10
 
 
+def broadcast_explodes(df):
+    """Explodes in the plan of ``df`` whose rows, not summed up or written before, would be collected in the driver and broadcast."""
+
+    def below(node, sent):
+        name = node.nodeName()
+        sent = "BroadcastExchange" in name or (sent and "Aggregate" not in name)
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        return ([node.toString()] if sent and name == "Generate" else []) + [x for child in children for x in below(child, sent)]
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return below(plan.initialPlan() if "Adaptive" in plan.nodeName() else plan, False)
+
+
+def test_probes_are_never_broadcast(spark, monkeypatch):
+    """However small Spark takes them for: 66 rows a fingerprint, sized like one."""
+    plans = {}
+
+    def written(df, name, settle=simhash.settle):
+        plans.setdefault(name, []).append(broadcast_explodes(df))
+        return settle(df, name)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "settle", written)
+    texts = docs(spark, [(i, f"text number {i} of the table {i * i}") for i in range(50)])
+    found = simhash.near_duplicates(texts)
+    plans["result"] = [broadcast_explodes(found)]
+    assert "links" in plans and not any(sum(plans.values(), []))
+    assert found.count() == 50
+
+
 # ---- mixing ----
 
 
