@@ -10,7 +10,7 @@ import xxhash
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import backoff, components, mixing, simhash
+from claimweave.llm import backoff, components, mixing, near, simhash
 from claimweave.llm.common import ready
 from claimweave.llm.components import connected
 
@@ -134,7 +134,8 @@ def broadcast_explodes(df):
     return below(plan.initialPlan() if "Adaptive" in plan.nodeName() else plan, False)
 
 
-def test_probes_are_never_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("stage", ["op4", "pipeline"])
+def test_probes_are_never_broadcast(spark, monkeypatch, stage):
     """However small Spark takes them for: 66 rows a fingerprint, sized like one."""
     plans = {}
 
@@ -142,10 +143,10 @@ def test_probes_are_never_broadcast(spark, monkeypatch):
         plans.setdefault(name, []).append(broadcast_explodes(df))
         return settle(df, name)
 
-    for module in (simhash, components):
+    for module in (simhash, near, components):
         monkeypatch.setattr(module, "settle", written)
     texts = docs(spark, [(i, f"text number {i} of the table {i * i}") for i in range(50)])
-    found = simhash.near_duplicates(texts)
+    found = simhash.near_duplicates(texts) if stage == "op4" else near.representatives(texts, among=simhash.kept_rows(texts))
     plans["result"] = [broadcast_explodes(found)]
     assert "links" in plans and not any(sum(plans.values(), []))
     assert found.count() == 50
